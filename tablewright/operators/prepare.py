@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tablewright.operators.catalog import distinct_at_most
 from tablewright.operators.columns import (
     as_text,
     categorical_columns,
@@ -19,6 +20,7 @@ from tablewright.operators.columns import (
 )
 from tablewright.operators.profile import distinct_counts, value_counts
 from tablewright.operators.quantiles import exact_quantiles
+from tablewright.session import cut
 
 # The formats a text date may have, tried in this order.
 DATE_FORMATS = (
@@ -28,6 +30,9 @@ DATE_FORMATS = (
 DATE_SHARE = 0.9
 ID_SHARE = 0.98
 RARE = "__infrequent__"
+# More levels than this make no sensible set of indicator columns.
+MOST_LEVELS = 10_000
+ONE_TASK_LEVELS = 100_000
 
 
 # ---- rows ----------------------------------------------------------------------------
@@ -180,10 +185,15 @@ def category_levels(df: DataFrame, columns: Sequence[str], cap: int | None = Non
     """Levels per column in alphabetical order. Above ``cap`` levels only the
     ``cap - 1`` most frequent stay (ties: smaller text first).
 
-    Only the kept levels reach the driver; ``cap=None`` is for columns known to be small.
+    Only the kept levels reach the driver. Without ``cap`` a column may have at most
+    ``MOST_LEVELS`` values, else it is an error.
     """
     if not columns:
         return {}
+    if cap is None:
+        for c in columns:
+            if not distinct_at_most(df, c, MOST_LEVELS):
+                raise ValueError(f"column {c!r} has more than {MOST_LEVELS} levels; set a cap")
     counts = value_counts(df, list(columns)).filter("value IS NOT NULL")
     if cap is not None:
         order = W.partitionBy("column").orderBy(F.desc("n"), "value")
@@ -249,14 +259,19 @@ def label_codes(df: DataFrame, column: str, code: str = "code", missing: str | N
 
 
 def _sorted_levels(levels: DataFrame, code: str) -> DataFrame:
-    """Distinct text with its rank. Ranked by first characters in parallel, so a column of
-    many values is not sorted in one task."""
-    head = levels.withColumn("__p", F.substring("__v", 1, 3))
-    sizes = head.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
+    """Distinct text with its rank from 0.
+
+    A short list is ranked in one task; a longer one is range-partitioned and written to
+    the shared folder, then each range is ranked by itself behind its offset.
+    """
+    if levels.count() <= ONE_TASK_LEVELS:
+        return levels.withColumn(code, (F.row_number().over(W.orderBy("__v")) - 1).cast("int"))
+    ranged = cut(levels.repartitionByRange(F.col("__v")).withColumn("__p", F.spark_partition_id()))
+    sizes = ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
     before = W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)
     sizes = sizes.select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     place = F.row_number().over(W.partitionBy("__p").orderBy("__v"))
-    return head.join(sizes, "__p").select("__v", (F.col("__before") + place - 1).cast("int").alias(code))
+    return ranged.join(sizes, "__p").select("__v", (F.col("__before") + place - 1).cast("int").alias(code))
 
 
 def dummies(df: DataFrame, target: str | None = None) -> DataFrame:
