@@ -36,4 +36,4 @@ def load_all() -> None:
         import_module(f"tablewright.workload.{module}")
 
 
-MODULES = ("profiling", "sqltext", "scalars", "inference", "preparation", "series", "evaluation")
+MODULES = ("profiling", "sqltext", "scalars", "inference", "preparation", "series", "evaluation", "vectors")

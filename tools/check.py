@@ -85,7 +85,7 @@ def main(sf="0.01", *names):
             continue
         took = time.time() - start
         if name not in workload.ORACLES:
-            print(f"rows  {name}: {len(got)} rows {took:.1f}s {got[:2] if names else ''}", flush=True)
+            print(f"rows  {name}: {len(got)} rows {took:.1f}s {str(got[:2])[:300] if names else ''}", flush=True)
             continue
         try:
             s2 = time.time()
