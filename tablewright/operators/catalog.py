@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.functions.text import slug
-from tablewright.operators.columns import datetime_columns, nan_to_null, numeric_columns, q
+from tablewright.operators.columns import datetime_columns, nan_to_null, numeric_columns, q, rough_distinct
 from tablewright.operators.ranking import rank_rows
 
 # Name patterns of likely targets, strongest first, for a single run and
@@ -63,7 +63,7 @@ def distinct_at_most(df: DataFrame, column: str, limit: float) -> bool:
     """Whether ``column`` has at most ``limit`` values; a sketch settles clear cases, so a
     key column is not shuffled to learn that it is one."""
     known = nan_to_null(df.select(q(column)))
-    rough = known.agg(F.approx_count_distinct(q(column), 0.02)).first()[0]
+    rough = known.agg(rough_distinct(column)).first()[0]
     if rough > 2 * limit + 100:
         return False
     return known.agg(F.count_distinct(q(column))).first()[0] <= limit

@@ -100,42 +100,41 @@ def mean_abs_shap(values: DataFrame, k: int = 20) -> DataFrame:
 
 def sampled_shap(
     df: DataFrame,
-    background: list,
     keys: Sequence[str],
     features: Sequence[str],
+    background: Sequence[Sequence[float]],
+    orders: Sequence[Sequence[int]],
     predict: Callable[[DataFrame], DataFrame],
     score: Column,
-    orders: Sequence[Sequence[str]],
+    vector: str = "x",
 ) -> DataFrame:
     """Monte-Carlo Shapley values of any model as ``(keys, feature, phi)``.
 
-    For each explained row, feature order and background row, features switch from the
-    background to the row one by one; the score change at a switch is that feature's
-    share. ``background`` and ``orders`` are small, fixed lists (driver parameters), so the
-    blow-up per explained row is their product, scored in one ``transform``. Per row the
-    values add up to its score minus the mean background score.
+    ``df`` holds the feature values as one array column ``vector``. For each explained row
+    and background row, features switch from the background to the row one by one in a
+    given order (positions into ``features``); the score change at a switch is that
+    feature's share. ``background`` and ``orders`` are small driver-side parameters, so a
+    row is repeated ``len(background) * (len(features) + 1)`` times inside its task and all
+    copies are scored in one ``transform``. Per row the values add up to its score minus
+    the mean background score.
     """
-    steps = []
-    for r, base in enumerate(background):
-        order = orders[r % len(orders)]
-        for i in range(len(order) + 1):
-            on = set(order[:i])
-            values = [
-                (q(f).cast("double") if f in on else F.lit(float(base[f]))).alias(f) for f in features
-            ]
-            steps.append(
-                F.struct(
-                    F.lit(r).alias("__r"), F.lit(i).alias("__i"),
-                    F.lit(order[i - 1] if i else None).cast("string").alias("feature"), *values,
-                )
-            )
-    rows = df.select(*keys, F.inline(F.array(*steps)))
-    scored = predict(rows).select(*keys, "__r", "__i", "feature", score.alias("__s"))
-    one_path = W.partitionBy(*keys, "__r").orderBy("__i")
-    moved = scored.withColumn("__d", F.col("__s") - F.lag("__s").over(one_path))
-    return moved.filter("__i > 0").groupBy(*keys, "feature").agg(
-        (F.sum("__d") / F.lit(len(background))).alias("phi")
+    d = len(features)
+    base = F.lit([[float(v) for v in row] for row in background])
+    # place[r][j]: when feature j switches on path r; turn[r][i]: which feature switches i-th
+    paths = [orders[r % len(orders)] for r in range(len(background))]
+    place = F.lit([[list(p).index(j) for j in range(d)] for p in paths])
+    turn = F.lit([list(p) for p in paths])
+    path = F.explode(F.sequence(F.lit(0), F.lit(len(background) - 1))).alias("__r")
+    rows = df.select(*keys, vector, path).select("*", F.explode(F.sequence(F.lit(0), F.lit(d))).alias("__i"))
+    mixed = F.transform(
+        F.sequence(F.lit(0), F.lit(d - 1)),
+        lambda j: F.when(place[F.col("__r")][j] < F.col("__i"), F.col(vector)[j]).otherwise(base[F.col("__r")][j]),
     )
+    scored = predict(rows.withColumn(vector, mixed)).select(*keys, "__r", "__i", score.alias("__s"))
+    one_path = W.partitionBy(*keys, "__r").orderBy("__i")
+    moved = scored.withColumn("__d", F.col("__s") - F.lag("__s").over(one_path)).filter("__i > 0")
+    switched = F.lit(list(features))[turn[F.col("__r")][F.col("__i") - 1]]
+    return moved.groupBy(*keys, switched.alias("feature")).agg((F.sum("__d") / F.lit(len(background))).alias("phi"))
 
 
 def what_if_grid(row: dict, ranges: dict[str, tuple[float, float]], steps: int = 5) -> list[dict]:

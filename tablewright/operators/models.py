@@ -30,6 +30,7 @@ from tablewright.operators import metrics, prepare, profile
 from tablewright.operators.columns import categorical_columns, datetime_columns, nan_to_null, numeric_columns, q
 from tablewright.operators.ranking import row_hash
 from tablewright.operators.sampling import split_rows
+from tablewright.session import cut
 
 LABEL = "__label"
 WEIGHT = "__weight"
@@ -117,15 +118,14 @@ def fit_features(train: DataFrame, target: str, dropped: Sequence[str] = (), dat
         exprs.append(f"{value} AS {_name('cat__' + c)}")
     stages.append(SQLTransformer(statement=f"SELECT *, {', '.join(exprs)} FROM __THIS__"))
     if categorical:
-        index = StringIndexerModel.from_arrays_of_labels(
-            [levels[c] for c in categorical], [f"cat__{c}" for c in categorical],
-            [f"idx__{c}" for c in categorical], handleInvalid="keep",
-        )
+        indexes = [
+            StringIndexerModel.from_labels(levels[c], f"cat__{c}", f"idx__{c}", handleInvalid="keep") for c in categorical
+        ]
         encoder = OneHotEncoder(
             inputCols=[f"idx__{c}" for c in categorical], outputCols=[f"hot__{c}" for c in categorical]
         )
-        so_far = PipelineModel([*stages, index]).transform(train.drop(*dropped).limit(1))
-        stages += [index, encoder.fit(so_far)]
+        so_far = PipelineModel([*stages, *indexes]).transform(train.drop(*dropped).limit(1))
+        stages += [*indexes, encoder.fit(so_far)]
         assembled += [f"hot__{c}" for c in categorical]
         names += [f"{c}={v}" for c in categorical for v in levels[c]]
     stages.append(VectorAssembler(inputCols=assembled, outputCol=FEATURES))
@@ -158,7 +158,7 @@ def prepare_task(
     ``hashed`` decides the split (default: a hash of the whole row); ``ties`` are its
     tie-breaking columns.
     """
-    clean = prepare.clean_rows(df, target)
+    clean = cut(prepare.clean_rows(df, target))
     dropped = prepare.id_like_names(clean, target)
     columns = list(clean.columns)
     order = hashed if hashed is not None else row_hash(*columns)
@@ -212,16 +212,24 @@ def primary_metric(problem: str) -> str:
 
 
 def scores(predicted: DataFrame, problem: str) -> dict[str, float]:
-    """All metrics of a transformed frame; only aggregates reach the driver."""
-    if problem == "regression":
-        row = metrics.regression_metrics(predicted, LABEL, "prediction").first()
-        return {"r2": row["r2"], "mae": row["mae"], "rmse": row["rmse"]}
-    row = metrics.classification_metrics(predicted, LABEL, "prediction").first()
-    out = {"accuracy": row["accuracy"], "f1_weighted": row["f1_weighted"]}
-    if problem == "binary" and "probability" in predicted.columns:
-        chance = predicted.select(LABEL, vector_to_array("probability")[1].alias("p"))
-        out["roc_auc"] = metrics.roc_auc(chance, "p", F.col(LABEL) == 1).first()["roc_auc"]
-    return out
+    """All metrics of a transformed frame; only aggregates reach the driver.
+
+    The model runs once: its few output columns are kept for the metrics that follow.
+    """
+    chance = problem == "binary" and "probability" in predicted.columns
+    extra = [vector_to_array("probability")[1].alias("p")] if chance else []
+    slim = predicted.select(LABEL, "prediction", *extra).persist()
+    try:
+        if problem == "regression":
+            row = metrics.regression_metrics(slim, LABEL, "prediction").first()
+            return {"r2": row["r2"], "mae": row["mae"], "rmse": row["rmse"]}
+        row = metrics.classification_metrics(slim, LABEL, "prediction").first()
+        out = {"accuracy": row["accuracy"], "f1_weighted": row["f1_weighted"]}
+        if chance:
+            out["roc_auc"] = metrics.roc_auc(slim, "p", F.col(LABEL) == 1).first()["roc_auc"]
+        return out
+    finally:
+        slim.unpersist()
 
 
 @dataclass

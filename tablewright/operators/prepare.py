@@ -17,6 +17,7 @@ from tablewright.operators.columns import (
     numeric_columns,
     one_row_to_long,
     q,
+    rough_distinct,
 )
 from tablewright.operators.profile import distinct_counts, value_counts
 from tablewright.operators.quantiles import exact_quantiles
@@ -73,7 +74,7 @@ def id_like_names(df: DataFrame, target: str) -> list[str]:
         return []
     rough = df.agg(
         F.count(F.lit(1)).alias("rows"),
-        *[F.approx_count_distinct(q(c), 0.02).alias(f"d{i}") for i, c in enumerate(columns)],
+        *[rough_distinct(c).alias(f"d{i}") for i, c in enumerate(columns)],
     ).first()
     doubtful = [
         c for i, c in enumerate(columns)

@@ -13,6 +13,7 @@ from tablewright.operators.columns import (
     numeric_columns,
     one_row_to_long,
     q,
+    rough_distinct,
 )
 from tablewright.operators.quantiles import exact_quantiles
 
@@ -36,7 +37,7 @@ def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
 def distinct_counts(df: DataFrame, columns: list[str], approx: bool = False) -> DataFrame:
     """``(column, distinct)``; ``approx`` uses sketches and needs no shuffle of values."""
     if approx:
-        agg = df.agg(*[F.approx_count_distinct(q(c)).alias(f"d{i}") for i, c in enumerate(columns)])
+        agg = df.agg(*[rough_distinct(c).alias(f"d{i}") for i, c in enumerate(columns)])
         return one_row_to_long(
             agg, [{"column": F.lit(c), "distinct": F.col(f"d{i}")} for i, c in enumerate(columns)]
         )

@@ -5,13 +5,14 @@ from __future__ import annotations
 import random
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tablewright.operators import catalog, explain, insights, models, profile, sampling
 from tablewright.operators.columns import q
-from tablewright.operators.ranking import row_hash
+from tablewright.operators.ranking import HASH_SPACE, row_hash
 from tablewright.sources.sinks import write_table
 
 EXPLAINED_ROWS = 100
@@ -22,42 +23,35 @@ def explain_model(task: models.Task, model, rows: int = EXPLAINED_ROWS, backgrou
     """Monte-Carlo Shapley values of a trained model on a fixed-size sample of test rows.
 
     Values are per model input (scaled numbers, indicator columns); their number is bounded
-    by the category cap.
+    by the category cap. The sample is small by definition, so numbering it is one task.
     """
-    names = [f"f{i}" for i in range(len(task.spec.names))]
-    part = task.part("test").select(models.FEATURES).withColumn("__k", F.xxhash64(models.FEATURES))
-    hashed = F.pmod(F.xxhash64("__k", F.lit(seed)), F.lit(2147483647))
-    picked = sampling.sample_rows(part, rows, hashed, ["__k"])
+    names = task.spec.names
     values = vector_to_array(models.FEATURES)
-    flat = picked.select(
-        F.row_number().over(_by_key()).alias("row_id"), *[values[i].alias(n) for i, n in enumerate(names)]
-    )
-    base = task.part("train").select(models.FEATURES).withColumn("__k", F.xxhash64(models.FEATURES))
-    base_hash = F.pmod(F.xxhash64("__k", F.lit(seed + 1)), F.lit(2147483647))
-    chosen = sampling.sample_rows(base, background, base_hash, ["__k"])
-    basis = [r.asDict() for r in chosen.select(*[values[i].alias(n) for i, n in enumerate(names)]).collect()]
+    test = _keyed(task.part("test"))
+    picked = sampling.sample_rows(test, rows, _order(seed), ["__k"])
+    ids = F.row_number().over(W.orderBy("__k"))
+    flat = picked.select(ids.alias("row_id"), values.alias("x"))
+    chosen = sampling.sample_rows(_keyed(task.part("train")), background, _order(seed + 1), ["__k"])
+    basis = [list(r["x"]) for r in chosen.select(values.alias("x")).collect()]
     draw = random.Random(seed)
-    paths = [draw.sample(names, len(names)) for _ in range(orders)]
+    paths = [draw.sample(range(len(names)), len(names)) for _ in range(orders)]
 
     def predict(df: DataFrame) -> DataFrame:
-        from pyspark.ml.functions import array_to_vector
-
-        packed = df.withColumn(models.FEATURES, array_to_vector(F.array(*[F.col(n) for n in names])))
-        return model.transform(packed)
+        return model.transform(df.withColumn(models.FEATURES, array_to_vector("x")))
 
     if task.problem == "regression":
         score = F.col("prediction")
     else:
         score = vector_to_array("probability")[1 if task.problem == "binary" else 0]
-    phis = explain.sampled_shap(flat, basis, ["row_id"], names, predict, score, paths)
-    label = F.create_map(*[x for n, v in zip(names, task.spec.names) for x in (F.lit(n), F.lit(v))])
-    return phis.withColumn("feature", label[F.col("feature")])
+    return explain.sampled_shap(flat, ["row_id"], names, basis, paths, predict, score)
+
 
+def _keyed(part: DataFrame) -> DataFrame:
+    return part.select(models.FEATURES).withColumn("__k", F.xxhash64(models.FEATURES))
 
-def _by_key():
-    from pyspark.sql import Window
 
-    return Window.orderBy("__k")
+def _order(seed: int):
+    return F.pmod(F.xxhash64("__k", F.lit(seed)), F.lit(HASH_SPACE))
 
 
 def model_importance(task: models.Task, model, repeats: int = 5, seed: int = 42) -> DataFrame:
@@ -118,7 +112,7 @@ def run(df: DataFrame, target: str | None = None, budget: float = 600.0, folder:
     return spark.createDataFrame(rows, "stage string, key string, value string")
 
 
-def review(df: DataFrame, target: str, problem: str) -> DataFrame:
+def review(df: DataFrame, target: str, problem: str, candidates=None) -> DataFrame:
     """Explore, check quality, model, judge, advise: one ``(step, key, value)`` table."""
     spark = df.sparkSession
     steps = [("Explorer", profile.explorer(df, target))]
@@ -128,7 +122,7 @@ def review(df: DataFrame, target: str, problem: str) -> DataFrame:
     score, ranked, name = None, [], "failed"
     try:
         task = models.prepare_task(df, target, catalog.TASKS.get(problem, "multiclass"))
-        best = models.train_leaderboard(task, budget=120.0)[0]
+        best = models.train_leaderboard(task, candidates, budget=120.0)[0]
         name, score = best.name, best.scores.get(models.primary_metric(task.problem))
         found = model_importance(task, best.model, repeats=2).orderBy(F.desc("importance"), "feature").limit(5)
         ranked = [(r["feature"], float(r["importance"])) for r in found.collect()]

@@ -36,4 +36,6 @@ def load_all() -> None:
         import_module(f"tablewright.workload.{module}")
 
 
-MODULES = ("profiling", "sqltext", "scalars", "inference", "preparation", "series", "evaluation", "vectors")
+MODULES = (
+    "profiling", "sqltext", "scalars", "inference", "preparation", "series", "evaluation", "vectors", "modelling", "reports",
+)
