@@ -23,11 +23,18 @@ from tablewright.operators.profile import distinct_counts, value_counts
 from tablewright.operators.quantiles import exact_quantiles
 from tablewright.session import cut
 
-# The formats a text date may have, tried in this order.
-DATE_FORMATS = (
-    "yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy/MM/dd", "MM/dd/yyyy", "dd/MM/yyyy",
-    "dd-MM-yyyy", "yyyyMMdd",
-)
+# The formats a text date may have, tried in this order, each with the shape
+# a text must have to be worth the (much slower) attempt to parse it.
+DATE_SHAPES = {
+    "yyyy-MM-dd": r"^\d{4}-\d\d-\d\d$",
+    "yyyy-MM-dd HH:mm:ss": r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d$",
+    "yyyy-MM-dd'T'HH:mm:ss": r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d$",
+    "yyyy/MM/dd": r"^\d{4}/\d\d/\d\d$",
+    "MM/dd/yyyy": r"^\d\d/\d\d/\d{4}$",
+    "dd/MM/yyyy": r"^\d\d/\d\d/\d{4}$",
+    "dd-MM-yyyy": r"^\d\d-\d\d-\d{4}$",
+    "yyyyMMdd": r"^\d{8}$",
+}
 DATE_SHARE = 0.9
 ID_SHARE = 0.98
 RARE = "__infrequent__"
@@ -87,9 +94,9 @@ def id_like_names(df: DataFrame, target: str) -> list[str]:
     return [c for c in columns if c in drop]
 
 
-def parse_date(c: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
+def parse_date(c: Column) -> Column:
     """Text as timestamp through the first format that fits, else null."""
-    tries = [F.try_to_timestamp(c, F.lit(f)) for f in formats]
+    tries = [F.when(c.rlike(shape), F.try_to_timestamp(c, F.lit(f))) for f, shape in DATE_SHAPES.items()]
     return F.coalesce(*tries)
 
 
