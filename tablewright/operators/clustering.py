@@ -169,13 +169,13 @@ def pca2(df: DataFrame, features: Sequence[str]) -> DataFrame:
     Each component's sign makes its largest loading positive.
     """
     mid = medians(df, features)
-    filled = df.withColumns({f"__{c}": F.coalesce(q(c).cast("double"), F.lit(mid[c])) for c in features})
-    raw = VectorAssembler(inputCols=[f"__{c}" for c in features], outputCol="__raw").transform(filled)
-    centred = StandardScaler(withMean=True, withStd=False, inputCol="__raw", outputCol="__c").fit(raw).transform(raw)
-    model = PCA(k=2, inputCol="__c", outputCol="__p").fit(centred)
+    filled = df.withColumns({f"num__{c}": F.coalesce(q(c).cast("double"), F.lit(mid[c])) for c in features})
+    raw = VectorAssembler(inputCols=[f"num__{c}" for c in features], outputCol="__raw").transform(filled)
+    centred = StandardScaler(withMean=True, withStd=False, inputCol="__raw", outputCol="__centred").fit(raw).transform(raw)
+    model = PCA(k=2, inputCol="__centred", outputCol="__axes").fit(centred)
     loads = model.pc.toArray()
     signs = [1.0 if loads[np.abs(loads[:, j]).argmax(), j] > 0 else -1.0 for j in range(2)]
-    xy = vector_to_array("__p")
+    xy = vector_to_array("__axes")
     out = model.transform(centred).withColumn("__xy", xy)
     return out.select(*df.columns, (F.col("__xy")[0] * signs[0]).alias("pc1"), (F.col("__xy")[1] * signs[1]).alias("pc2"))
 

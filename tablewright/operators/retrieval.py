@@ -35,10 +35,12 @@ def chunk_documents(
 
 def term_frequency(df: DataFrame, text: str = "text") -> DataFrame:
     """``(term, n, docs)`` over lower-cased words; hot terms combine before the shuffle."""
-    listed = df.select(words(F.lower(text)).alias("__w"))
-    uses = listed.select(F.explode("__w").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    in_docs = listed.select(F.explode(F.array_distinct("__w")).alias("term")).groupBy("term")
-    return uses.join(in_docs.agg(F.count(F.lit(1)).alias("docs")), "term")
+    # sorted words: a word unlike the one before it is the document's first use of it
+    listed = df.select(F.array_sort(words(F.lower(text))).alias("__w"))
+    before = F.transform("__w", lambda w, i: F.when(i > 0, F.get("__w", i - 1)))
+    uses = listed.select(F.inline(F.arrays_zip(F.col("__w").alias("term"), before.alias("before"))))
+    first = F.col("before").isNull() | (F.col("before") != F.col("term"))
+    return uses.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.count_if(first).alias("docs"))
 
 
 def fit_embedder(df: DataFrame, text: str = "text", dim: int = 1024) -> PipelineModel:

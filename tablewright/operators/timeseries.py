@@ -84,11 +84,13 @@ def interpolate_gaps(
     """
     order = W.partitionBy(*keys).orderBy(ts)
     back = order.rowsBetween(W.unboundedPreceding, 0)
-    ahead = order.rowsBetween(0, W.unboundedFollowing)
+    # looking ahead is looking back in descending order: a frame that runs to the end of the
+    # partition would be evaluated anew for every row
+    ahead = W.partitionBy(*keys).orderBy(F.desc(ts)).rowsBetween(W.unboundedPreceding, 0)
     seen = F.when(F.col(value).isNotNull(), F.struct(F.col("__i").alias("i"), F.col(value).alias("v")))
     placed = df.withColumn("__i", F.row_number().over(order)).withColumn("__p", seen)
     placed = placed.withColumns(
-        {"__prev": F.last("__p", ignorenulls=True).over(back), "__next": F.first("__p", ignorenulls=True).over(ahead)}
+        {"__prev": F.last("__p", ignorenulls=True).over(back), "__next": F.last("__p", ignorenulls=True).over(ahead)}
     )
     gone = F.col("__i") - F.col("__prev.i")
     line = F.col("__prev.v") + (F.col("__next.v") - F.col("__prev.v")) * gone / (
