@@ -24,16 +24,25 @@ def missing(name: str) -> Column:
     return F.count_if(q(name).isNull())
 
 
-def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+def value_counts(df: DataFrame, columns: list[str], digest: bool = False) -> DataFrame:
     """``(column, value, n)`` for all columns in one shuffle, combined before it.
 
     One ``groupBy`` replaces a ``count(distinct)`` per column, which would expand every
-    row once per column and lose the partial aggregation.
+    row once per column and lose the partial aggregation. With ``digest`` long text
+    travels as its digest, enough to tell values apart.
     """
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), as_text(c).alias("value")) for c in columns])
+    pairs = F.array(
+        *[F.struct(F.lit(c).alias("column"), (short_text(c) if digest else as_text(c)).alias("value")) for c in columns]
+    )
     return df.select(F.inline(pairs)).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def short_text(name: str) -> Column:
+    """The value as text, or a marked digest of it when that is shorter."""
+    value = as_text(name)
+    return F.when(F.length(value) > DIGEST_OVER, F.concat(F.lit("\u0000"), F.sha2(value, 256))).otherwise(value)
+
+
 def distinct_counts(df: DataFrame, columns: list[str], approx: bool = False) -> DataFrame:
     """``(column, distinct)``; ``approx`` uses sketches and needs no shuffle of values."""
     if approx:
@@ -41,7 +50,7 @@ def distinct_counts(df: DataFrame, columns: list[str], approx: bool = False) ->
         return one_row_to_long(
             agg, [{"column": F.lit(c), "distinct": F.col(f"d{i}")} for i, c in enumerate(columns)]
         )
-    return value_counts(df, columns).groupBy("column").agg(F.count("value").alias("distinct"))
+    return value_counts(df, columns, digest=True).groupBy("column").agg(F.count("value").alias("distinct"))
 
 
 def column_profile(df: DataFrame, approx: bool = False) -> DataFrame:
@@ -101,12 +110,7 @@ def duplicate_count(df: DataFrame) -> DataFrame:
     group row; long text travels as its digest.
     """
     text = set(categorical_columns(df))
-    keys = [
-        F.when(F.length(q(c)) > DIGEST_OVER, F.concat(F.lit("\u0000"), F.sha2(q(c), 256))).otherwise(q(c)).alias(c)
-        if c in text
-        else q(c)
-        for c in df.columns
-    ]
+    keys = [short_text(c).alias(c) if c in text else q(c) for c in df.columns]
     groups = df.select(*keys).groupBy(*[q(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("__n"))
     return groups.agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows"))
 

@@ -14,12 +14,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tablewright.functions.text import chunk_starts, words
+from tablewright.session import cut
 
 CHUNK_WORDS = 400
 CHUNK_OVERLAP = 80
 TOP_K = 4
 ANSWER_CHARS = 300
 QUERY_BATCH = 1024
+BROADCAST_HITS = 100_000
 
 
 def chunk_documents(
@@ -126,15 +128,25 @@ def nearest(
 
 
 def context(hits: DataFrame, texts: DataFrame, ids: str, text: str = "text", limit: int | None = None) -> DataFrame:
-    """Per query the retrieved texts in rank order, joined by a blank line (at most ``k``)."""
-    joined = hits.join(texts.select(F.col(ids).alias("item_id"), F.col(text).alias("__t")), "item_id")
-    listed = joined.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "__t"))).alias("l"))
+    """Per query the retrieved texts in rank order, joined by a blank line (at most ``k``).
+
+    The hits are written out and counted: up to ``BROADCAST_HITS`` of them go to the texts,
+    which then need no shuffle.
+    """
+    hits = cut(hits.select("query_id", "item_id", "rank"))
+    few = hits.count() <= BROADCAST_HITS
+    listed = texts.select(F.col(ids).alias("item_id"), F.col(text).alias("__t"))
+    joined = listed.join(F.broadcast(hits) if few else hits, "item_id")
+    ranked = joined.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "__t"))).alias("l"))
     whole = F.array_join(F.col("l")["__t"], "\n\n")
-    return listed.select("query_id", F.size("l").alias("chunks"), (F.left(whole, F.lit(limit)) if limit else whole).alias("context"))
+    return ranked.select("query_id", F.size("l").alias("chunks"), (F.left(whole, F.lit(limit)) if limit else whole).alias("context"))
 
 
 class DocumentIndex:
-    """Chunks and vectors of a document table, asked with ``query``."""
+    """Chunks and vectors of a document table, asked with ``query``.
+
+    ``build`` writes the vectors to the shared folder once; every query then reads them.
+    """
 
     def __init__(self, size: int = CHUNK_WORDS, overlap: int = CHUNK_OVERLAP, dim: int = 1024) -> None:
         self.size, self.overlap, self.dim = size, overlap, dim
@@ -152,7 +164,8 @@ class DocumentIndex:
         if self.chunks is None:
             raise ValueError("load documents first")
         self.model = fit_embedder(self.chunks, "text", self.dim)
-        self.vectors = embed(self.model, self.chunks)
+        vectors = embed(self.model, self.chunks).select("item_id", F.col("embedding").cast("array<float>").alias("embedding"))
+        self.vectors = cut(vectors)
         return self
 
     def query(self, questions: DataFrame, key: str, text: str = "text", k: int = TOP_K) -> DataFrame:

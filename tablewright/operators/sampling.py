@@ -70,7 +70,14 @@ def split_rows(
         place = F.struct(F.col("__b").alias("b"), (at - (F.col("upto") - F.col("n"))).alias("r"))
         cuts.append(F.min(F.when(F.col("upto") >= at, place)).alias(f"__c{i}"))
     edges = per.groupBy("__l").agg(*cuts)
-    placed = keyed.join(edges, F.col(by).eqNullSafe(F.col("__l")))
+    if label is None:
+        # one group: its cuts are a handful of numbers
+        only = edges.first()
+        place = [only[f"__c{i}"] if only else None for i in range(len(cuts))]
+        fixed = [F.struct(F.lit(p["b"] if p else -1).alias("b"), F.lit(p["r"] if p else 0).alias("r")) for p in place]
+        placed = keyed.withColumns({f"__c{i}": c for i, c in enumerate(fixed)})
+    else:
+        placed = keyed.join(edges, F.col(by).eqNullSafe(F.col("__l")))
     on_edge = F.lit(False)
     for i in range(len(cuts)):
         on_edge = on_edge | (F.col("__b") == F.col(f"__c{i}.b"))

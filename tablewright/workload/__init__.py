@@ -24,20 +24,16 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given tables. A file that cannot be split (one row group) would keep all
-    but one core idle, so a table of fewer splits than cores is spread; larger ones are
-    read as they are."""
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """One of the given tables. ``spread`` is for costly work per row: a table of fewer
+    splits than cores (one row group cannot be split) is then dealt out to all of them."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    if name in SPREAD and df.rdd.getNumPartitions() < cores:
+    if spread and df.rdd.getNumPartitions() < cores:
         return df.repartition(cores)
     return df
 
 
-SPREAD = ("documents",)
-
-
 def load_all() -> None:
     """Import every module that registers queries."""
     from importlib import import_module

@@ -85,7 +85,7 @@ def scalar_math(spark, sf):
 )
 def scalar_array(spark, sf):
     w = F.col("w")
-    docs = table(spark, sf, "documents").select("doc_id", text.words(F.col("text")).alias("w"))
+    docs = table(spark, sf, "documents", spread=True).select("doc_id", text.words(F.col("text")).alias("w"))
     part = F.slice(w, 2, 3)
     return docs.select(
         "doc_id", F.size(w).alias("n_words"),

@@ -28,7 +28,7 @@ def _statements(spark, sf):
         F.lit("```SQL\n"), word, F.lit(" `n_chars` -- "), F.col("source"), F.lit("\n/* "), F.col("text"),
         F.lit(" */ FROM documents;\n```"),
     )
-    return table(spark, sf, "documents").select("doc_id", raw.alias("raw"))
+    return table(spark, sf, "documents", spread=True).select("doc_id", raw.alias("raw"))
 
 
 @query("sql_clean", CLEANED)

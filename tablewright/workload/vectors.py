@@ -18,7 +18,7 @@ CHUNKS = f"""SELECT doc_id, CAST(start // 320 AS INTEGER) AS chunk_id, list_aggr
 
 @query("chunk_documents", CHUNKS)
 def chunk_documents(spark, sf):
-    return retrieval.chunk_documents(table(spark, sf, "documents"), "doc_id")
+    return retrieval.chunk_documents(table(spark, sf, "documents", spread=True), "doc_id")
 
 
 @query(
@@ -27,7 +27,7 @@ def chunk_documents(spark, sf):
     (SELECT doc_id, unnest({WORDS.replace('(text', '(lower(text)')}) AS term FROM documents) GROUP BY 1""",
 )
 def term_frequency(spark, sf):
-    return retrieval.term_frequency(table(spark, sf, "documents"))
+    return retrieval.term_frequency(table(spark, sf, "documents", spread=True))
 
 
 CENTRES = """SELECT label, list(m ORDER BY i) AS c FROM (SELECT label, i, avg(CAST(x AS DOUBLE)) AS m FROM
@@ -71,13 +71,13 @@ def retrieval_context(spark, sf):
 @query("document_answers")
 def document_answers(spark, sf):
     """Benchmark items as questions to an index over all documents."""
-    index = retrieval.DocumentIndex().load(table(spark, sf, "documents"), "doc_id").build()
+    index = retrieval.DocumentIndex().load(table(spark, sf, "documents", spread=True), "doc_id").build()
     return index.query(table(spark, sf, "benchmark"), "item_id")
 
 
 @query("tfidf_embed")
 def tfidf_embed(spark, sf):
-    chunks = retrieval.chunk_documents(table(spark, sf, "documents"), "doc_id")
+    chunks = retrieval.chunk_documents(table(spark, sf, "documents", spread=True), "doc_id")
     return retrieval.embed(retrieval.fit_embedder(chunks, dim=256), chunks).drop("text")
 
 
