@@ -180,6 +180,31 @@ def pca2(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return out.select(*df.columns, (F.col("__xy")[0] * signs[0]).alias("pc1"), (F.col("__xy")[1] * signs[1]).alias("pc2"))
 
 
+def run_clustering(
+    df: DataFrame, key: str, method: str = "kmeans", features: Sequence[str] | None = None, max_k: int = 10
+) -> tuple[DataFrame, dict]:
+    """``(labelled rows, metrics)`` by kmeans, dbscan, gaussian or hierarchical.
+
+    Features are the numeric columns but the key, median-filled and robustly scaled. The
+    metrics hold ``best_k`` (or ``eps``) and the silhouette without noise.
+    """
+    if method not in ("kmeans", "dbscan", "gaussian", "hierarchical"):
+        raise ValueError(f"unknown method {method!r}")
+    features = list(features or [c for c in numeric_columns(df) if c != key])
+    if method == "dbscan":
+        scaled = robust_scale(df.select(key, *[q(c) for c in features]), features)
+        eps = auto_eps(scaled, key, features)
+        labels = cut(dbscan(scaled, key, features, eps).select(key, "cluster"))
+        vectors = scaled.select(key, F.array(*[q(c) for c in features]).alias("features"))
+        kept = vectors.join(labels.filter(F.col("cluster") != NOISE), key).select("features", "cluster")
+        return df.join(labels, key), {"eps": eps, "silhouette": silhouette(kept, "features", "cluster")}
+    vectors = cut(feature_vectors(df, features))
+    sweep = {"kmeans": kmeans_auto, "gaussian": gmm_auto, "hierarchical": hierarchical_auto}[method]
+    out, k, value, _ = sweep(vectors, max_k=max_k)
+    found = silhouette(out.select("features", "cluster"), "features", "cluster") if method == "gaussian" else value
+    return out.select(*df.columns, "cluster"), {"best_k": k, "silhouette": found}
+
+
 # ---- density clusters ----------------------------------------------------------------
 #
 # Points fall into cells of side eps/sqrt(d), so any two points of a cell are neighbours: a
@@ -369,8 +394,10 @@ def connected_labels(nodes: DataFrame, links: DataFrame, rounds: int = 100) -> D
         hooked = joined.select("node", F.least("label", F.coalesce("m", "label")).alias("label"), F.col("label").alias("old"))
         # follow the label to the label of its own node
         jump = hooked.select(F.col("node").alias("label"), F.col("label").alias("further"))
+        # many nodes share one label, so the join by label spreads the hot ones
+        followed = spread_join(cut(hooked), jump, ["label"], "left")
         new = cut(
-            hooked.join(jump, "label", "left").select("node", F.least("label", F.coalesce("further", "label")).alias("label"), "old")
+            followed.select("node", F.least("label", F.coalesce("further", "label")).alias("label"), "old")
         )
         changed = new.filter("label <> old").isEmpty()
         labels = new.select("node", "label")

@@ -25,11 +25,15 @@ def shuffled_copies(
 
     A hash puts every row in a random bucket and orders it there; the value comes from the
     next row, the last taking the first's. That permutes each column over buckets which are
-    random samples of a bounded size, in one shuffle per repeat for all features.
+    random samples of a bounded size, in one shuffle per repeat for all features. Equal rows
+    share a hash; if they overfill a bucket, buckets are dealt out at random as well.
     """
     copies = None
+    parts = _bucket_parts(df, hashes[0], buckets)
     for i, h in enumerate(hashes):
-        placed = df.withColumn("__h", h).withColumn("__b", F.pmod(F.col("__h"), F.lit(buckets)))
+        part = F.floor(F.rand(i) * parts) if parts > 1 else F.lit(0)
+        placed = df.withColumn("__h", h).withColumn("__s", part)
+        placed = placed.withColumn("__b", F.pmod(F.col("__h"), F.lit(buckets)) * parts + F.col("__s")).drop("__s")
         inside = W.partitionBy("__b").orderBy("__h", *ties)
         whole = inside.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
         last = F.row_number().over(inside) == F.count(F.lit(1)).over(W.partitionBy("__b"))
@@ -42,6 +46,12 @@ def shuffled_copies(
     return copies
 
 
+def _bucket_parts(df: DataFrame, hashed: Column, buckets: int) -> int:
+    sizes = df.groupBy(F.pmod(hashed, F.lit(buckets)).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    most = sizes.agg(F.max("n")).first()[0] or 0
+    return 1 if most <= 4 * ROWS_PER_BUCKET else -(-most // ROWS_PER_BUCKET)
+
+
 def with_one_shuffled(copies: DataFrame, features: Sequence[str]) -> DataFrame:
     """One row per feature with just that feature replaced, and one unchanged (``feature``
     null); the input of any model's ``transform``."""

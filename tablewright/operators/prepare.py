@@ -165,13 +165,21 @@ def impute_preview(df: DataFrame, target: str | None = None) -> DataFrame:
 def scale_statistics(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
     """``{column: (median, spread)}``: the spread is the IQR of the filled column, 1 if zero.
 
-    Filling with the median moves the quartiles, so they are taken after the fill.
+    Filling with the median moves the quartiles, so columns with missing values have them
+    taken again after the fill.
     """
-    df = nan_to_null(df)
-    mid = {c: m if m is not None else 0.0 for c, m in medians(df, columns).items()}
-    filled = df.select(*[F.coalesce(q(c).cast("double"), F.lit(mid[c])).alias(c) for c in columns])
+    df = nan_to_null(df).select(*[q(c).cast("double").alias(c) for c in columns])
+    raw = exact_quantiles(df, columns, [0.5, 0.25, 0.75])
+    holes = df.agg(*[F.count_if(q(c).isNull()).alias(f"h{i}") for i, c in enumerate(columns)]).first()
+    mid = {c: v[0] if v[0] is not None else 0.0 for c, v in raw.items()}
+    quartiles = {c: v[1:] for c, v in raw.items()}
+    holed = [c for i, c in enumerate(columns) if holes[f"h{i}"]]
+    if holed:
+        filled = df.select(*[F.coalesce(q(c), F.lit(mid[c])).alias(c) for c in holed])
+        quartiles |= exact_quantiles(filled, holed, [0.25, 0.75])
     out = {}
-    for c, (q1, q3) in exact_quantiles(filled, columns, [0.25, 0.75]).items():
+    for c in columns:
+        q1, q3 = quartiles[c]
         spread = (q3 - q1) if q1 is not None else 0.0
         out[c] = (mid[c], spread if spread > 0 else 1.0)
     return out

@@ -49,6 +49,8 @@ def split_rows(
 ) -> DataFrame:
     """Add ``split``: exact shares per label (or overall), rows chosen by hash order.
 
+    The hash is of a row's key and ``ties`` tell rows apart: remove copies first.
+
     Each label's cuts fall into one hash bucket each. A row in any other bucket knows its
     part from the bucket alone; only rows in a cut bucket are ranked, so the table itself
     is not shuffled and no task gets a whole label.

@@ -139,3 +139,29 @@ def review(df: DataFrame, target: str, problem: str, candidates=None) -> DataFra
     for step, part in steps:
         out = out.unionByName(part.toDF("key", "value").select(F.lit(step).alias("step"), "key", "value"))
     return out
+
+
+def train_automl(df: DataFrame, target: str, problem_type: str, time_limit: float = 300.0, calibrate: bool = True, folds: int = 5):
+    """Leaderboard and, with ``calibrate``, a stacked ensemble for any named problem type.
+
+    Returns ``{task, leaderboard, best, predict, metric, score}``, or None when training
+    fails. ``predict`` adds predictions to rows of the task; ``score`` is its validation
+    score (accuracy, or negative RMSE for regression).
+    """
+    try:
+        task = models.prepare_task(df, target, catalog.TASKS.get(problem_type, "multiclass"))
+        board = models.train_leaderboard(task, budget=time_limit)
+        predict = board[0].model.transform
+        if calibrate:
+            # second-level inputs need class probabilities, which boosting has for two classes only
+            base = {t.name: models.candidate_models(task.problem)[t.name] for t in board}
+            predict, _ = models.stacked_ensemble(task, base, folds)
+        found = models.scores(predict(task.part("val")), task.problem)
+    except (ValueError, RuntimeError) as exc:
+        print(f"training failed: {exc}")
+        return None
+    regression = task.problem == "regression"
+    return {
+        "task": task, "leaderboard": board, "best": board[0].name, "predict": predict,
+        "metric": "rmse" if regression else "accuracy", "score": -found["rmse"] if regression else found["accuracy"],
+    }

@@ -103,6 +103,17 @@ def test_sweeps_label_every_row(spark):
     assert bic == min(s for _, s in scores)
 
 
+def test_facade(spark):
+    x = cloud("blobs")
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(len(x)), "a": x[:, 0], "b": x[:, 1]}))
+    out, found = clustering.run_clustering(df, "id", "kmeans", max_k=4)
+    assert found["best_k"] == 3 and out.columns == ["id", "a", "b", "cluster"]
+    out, found = clustering.run_clustering(df, "id", "dbscan")
+    assert found["eps"] == 0.3 and out.filter("cluster >= 0").count() > 200
+    with pytest.raises(ValueError):
+        clustering.run_clustering(df, "id", "spectral")
+
+
 def test_pca_axes(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(200, 3)) * [3, 1, 0.1]

@@ -92,6 +92,14 @@ def test_shapley_of_a_linear_score_is_exact(spark):
     assert found == {(1, "a"): 0, (1, "b"): 2, (1, "c"): -1, (2, "a"): -1, (2, "b"): -4, (2, "c"): -3}
 
 
+def test_copies_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(explain, "ROWS_PER_BUCKET", 10)
+    df = spark.range(300).select(F.lit(1).alias("a"), (F.col("id") % 3 == 0).cast("int").alias("b"))
+    hashed = F.pmod(F.xxhash64("a"), F.lit(1000))
+    out = explain.shuffled_copies(df, ["b"], [hashed], 30, ["b"])
+    assert out.agg(F.sum("b"), F.sum("b__shuffled"), F.count("b__shuffled")).first()[:] == (100, 100, 300)
+
+
 def test_importance_finds_the_driver(task, fitted):
     got = autopilot.model_importance(task, fitted[0].model, repeats=2).orderBy(F.desc("importance")).first()
     assert got["feature"] == "tenure"
@@ -108,6 +116,13 @@ def test_stack_and_search(task):
     assert a[1]["goal_met"] == (a[1]["best_score"] >= 0.85)
 
 
+def test_automl_facade(spark):
+    df = churn(spark, 200).select("tenure", "charge", "contract")
+    out = autopilot.train_automl(df, "charge", "survival_analysis", calibrate=False)
+    assert out["metric"] == "rmse" and out["score"] < 0
+    assert autopilot.train_automl(df.select("charge"), "charge", "regression") is None
+
+
 def test_run_and_review(spark, tmp_path):
     quick = {"LogisticRegression": models.candidate_models("binary")["LogisticRegression"]}
     out = autopilot.run(churn(spark), folder=str(tmp_path / "r"), candidates=quick).toPandas()
