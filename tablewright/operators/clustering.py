@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.operators.columns import numeric_columns, q
+from tablewright.operators.components import components
 from tablewright.operators.prepare import medians, robust_scale
 from tablewright.operators.skew import spread_join
 from tablewright.session import cut
@@ -379,28 +380,12 @@ def _dense_links(grid: _Grid, points: DataFrame, nodes: DataFrame) -> DataFrame:
     return found.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
 
 
-def connected_labels(nodes: DataFrame, links: DataFrame, rounds: int = 100) -> DataFrame:
-    """``(node, label)``: the smallest node of each connected group.
-
-    Every round links each node's neighbours to the smallest of them, which shortens long
-    chains by a constant factor, and is written out, so the plan does not grow.
-    """
+def connected_labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """``(node, label)``: the smallest node of each connected group, itself if it has no link."""
     name = nodes.columns[0]
-    edges = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(nodes.select(F.col(name).alias("node"), F.col(name).alias("label")))
-    for _ in range(rounds):
-        there = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("m"))
-        joined = labels.join(there.withColumnRenamed("a", "node"), "node", "left")
-        hooked = joined.select("node", F.least("label", F.coalesce("m", "label")).alias("label"), F.col("label").alias("old"))
-        # follow the label to the label of its own node
-        jump = hooked.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        # many nodes share one label, so the join by label spreads the hot ones
-        followed = spread_join(cut(hooked), jump, ["label"], "left")
-        new = cut(
-            followed.select("node", F.least("label", F.coalesce("further", "label")).alias("label"), "old")
-        )
-        changed = new.filter("label <> old").isEmpty()
-        labels = new.select("node", "label")
-        if changed:
-            return labels
-    raise RuntimeError("connected groups did not settle")
+    found = components(links)
+    return (
+        nodes.select(F.col(name).alias("node"))
+        .join(found, "node", "left")
+        .select("node", F.coalesce("label", "node").alias("label"))
+    )

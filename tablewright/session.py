@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,3 +32,19 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` on the shared folder, so lost executors cost one re-read."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder on the shared storage."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as a table on the shared folder and read again.
+
+    Unlike ``cut`` the result forgets how it was partitioned: a join of it shuffles both
+    sides, which lets adaptive execution split a hot key.
+    """
+    folder = scratch(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

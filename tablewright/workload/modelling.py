@@ -12,7 +12,7 @@ from tablewright.functions.text import words
 from tablewright.operators import explain, forecasting, models, sampling
 from tablewright.operators.ranking import seeded_hash
 from tablewright.plans import autopilot, batch
-from tablewright.session import checkpoint_dir
+from tablewright.session import scratch
 from tablewright.sources.readers import run_history
 from tablewright.streaming.scoring import score_stream
 from tablewright.workload import query, table
@@ -21,11 +21,6 @@ from tablewright.workload.preparation import hash_sql
 from tablewright.workload.series import daily, filled, hourly
 
 
-def scratch(spark) -> str:
-    """A new folder on the shared storage."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/run-{uuid.uuid4().hex}"
-
-
 def document_quality(spark, sf):
     """Labelled documents with their size, language, source and quality."""
     docs = table(spark, sf, "documents").select(
