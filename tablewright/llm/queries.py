@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.llm import decontaminate, language_id, line_dedup, mixture, nearest, quality, sharding, simhash, token_count, url_filter
@@ -44,9 +44,10 @@ def op4_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-def domain() -> F.Column:
-    """Four domains, by the number of the source."""
-    return F.concat(F.lit("d"), F.pmod(F.coalesce(F.try_to_number(F.regexp_extract("source", r"(\d+)$", 1), F.lit("999999999")), F.lit(0)), F.lit(4)).cast("int").cast("string"))
+def domain() -> Column:
+    """Four domains, by the number at the end of the source; sources without one are in the first."""
+    number = F.regexp_extract("source", r"(\d+)$", 1).try_cast("bigint")
+    return F.concat(F.lit("d"), F.coalesce(F.pmod(number, F.lit(4)), F.lit(0)).cast("string"))
 
 
 def op5_mixture(spark: SparkSession, sf: str) -> DataFrame:
@@ -90,4 +91,126 @@ QUERIES = {f.__name__: f for f in (
     op1_token_count, op2_language_id, op3_simhash, op4_decontaminate, op5_mixture, op6_sharding, op7_line_dedup,
     op8_url_filter, op9_quality, op10_nearest,
 )}
-ORACLES: dict[str, str] = {}
+
+
+_LOWER = f"'{url_filter.CAPITALS}', '{url_filter.SMALL}'"
+
+_LINES = rf"""
+WITH lines AS (
+    SELECT doc_id, i, ls[i] AS line,
+        translate(regexp_replace(regexp_replace(ls[i], '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), {_LOWER}) AS key
+    FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents), unnest(range(1, len(ls) + 1)) t(i)),
+common AS (
+    SELECT key, count(DISTINCT doc_id) AS n FROM lines WHERE length(key) >= {line_dedup.MIN_CHARS}
+    GROUP BY key HAVING count(DISTINCT doc_id) >= {line_dedup.MIN_DOCS})
+SELECT doc_id, count(*) AS n_lines, count(n) AS n_dropped, coalesce(max(n), 0) AS most_docs,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE n IS NULL), '')) AS kept_sha256
+FROM lines LEFT JOIN common USING (key) GROUP BY doc_id"""
+
+_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+_HITS = f"""
+WITH items AS (SELECT item_id, {_WORDS} AS ws FROM benchmark),
+windows AS (
+    SELECT DISTINCT item_id, size, list_aggregate(ws[i:i + size - 1], 'string_agg', ' ') AS w
+    FROM (SELECT *, least({decontaminate.WINDOW}, len(ws)) AS size FROM items WHERE len(ws) > 0), unnest(range(1, len(ws) - size + 2)) t(i)),
+docs AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+places AS (
+    SELECT doc_id, size, i, list_aggregate(ws[i:i + size - 1], 'string_agg', ' ') AS w
+    FROM docs, (SELECT DISTINCT size FROM windows), unnest(range(1, len(ws) - size + 2)) t(i)),
+hits AS (SELECT doc_id, item_id, size, i FROM places JOIN windows USING (size, w)),
+found AS (
+    SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS names
+    FROM hits GROUP BY doc_id),
+hit AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM hits, unnest(range(i, i + size)) t(j) GROUP BY doc_id)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+    sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND {decontaminate.ONE_IN} * n_hit >= len(ws) AS contaminated
+FROM docs LEFT JOIN found USING (doc_id) LEFT JOIN hit USING (doc_id)"""
+
+
+def _budget_sql() -> str:
+    """The tree level by level: rooms, the common rate of siblings, shares."""
+    parts, above = [], "SELECT domain, lang, source, supply, (SELECT sum(supply) FROM leaf) * %s AS b FROM leaf" % MIX_FRACTION
+    parts.append(f"t0 AS ({above})")
+    for i in range(len(LEVELS)):
+        path, parent = LEVELS[: i + 1], LEVELS[:i]
+        cases = []
+        for key in sorted((k for k in WEIGHTS if len(k) == i + 1), key=lambda k: (sum(x == "*" for x in k), k)):
+            test = " AND ".join(f"{c} = '{x}'" for c, x in zip(path, key) if x != "*") or "true"
+            cases.append(f"WHEN {test} THEN {WEIGHTS[key]}")
+        weight = f"CASE {' '.join(cases)} ELSE 1.0 END" if cases else "1.0"
+        by = f"PARTITION BY {', '.join(parent)}" if parent else ""
+        order = f"{by} ORDER BY room / w, {', '.join(path)}"
+        parts.append(
+            f"n{i} AS (SELECT {', '.join(path)}, b, ({weight})::DOUBLE AS w, sum(supply) * {mixture.MOST_EPOCHS} AS room "
+            f"FROM t{i} GROUP BY {', '.join(path)}, b)"
+        )
+        parts.append(
+            f"r{i} AS (SELECT *, (b - coalesce(sum(room) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) "
+            f"/ sum(w) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rate, sum(room) OVER ({by}) AS rooms FROM n{i})"
+        )
+        parts.append(
+            f"g{i} AS (SELECT {', '.join(path)}, CASE WHEN b >= rooms THEN room "
+            f"ELSE least(room, w * greatest(max(rate) OVER ({by}), 0)) END AS given FROM r{i})"
+        )
+        parts.append(f"t{i + 1} AS (SELECT t.{', t.'.join(LEVELS)}, supply, given AS b FROM t{i} t JOIN g{i} USING ({', '.join(path)}))")
+    return ",\n".join(parts)
+
+
+_MIX = rf"""
+WITH docs AS (
+    SELECT doc_id, 'd' || coalesce(TRY_CAST(regexp_extract(source, '(\d+)$', 1) AS BIGINT) % 4, 0) AS domain, lang, source,
+        len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_tokens FROM documents),
+leaf AS (SELECT domain, lang, source, sum(n_tokens)::DOUBLE AS supply FROM docs GROUP BY ALL),
+{_budget_sql()},
+plan AS (SELECT *, floor(round(b, 6) / supply)::BIGINT AS full_epochs FROM t{len(LEVELS)}),
+placed AS (
+    SELECT docs.*, full_epochs, floor(round(b - full_epochs * supply, 6)) AS rest, sum(n_tokens) OVER (
+        PARTITION BY domain, lang, source ORDER BY md5('{mixture.SEED}:' || full_epochs || ':' || doc_id), doc_id
+        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS reached
+    FROM docs JOIN plan USING (domain, lang, source))
+SELECT doc_id, domain, lang, source, n_tokens, full_epochs + (reached <= rest)::BIGINT AS copies FROM placed
+WHERE full_epochs + (reached <= rest)::BIGINT > 0"""
+
+_JUMP = f"""
+jumps AS (
+    SELECT doc_id, n, -1::BIGINT AS b, 0::BIGINT AS j, (doc_id::HUGEINT & 18446744073709551615::HUGEINT) AS k
+    FROM documents, (VALUES ({sharding.SHARDS}), ({sharding.SHARDS + 1})) v(n)
+    UNION ALL
+    SELECT doc_id, n, j, floor((j + 1)::DOUBLE * (2147483648::DOUBLE / ((x >> 33) + 1)::DOUBLE))::BIGINT, x
+    FROM (SELECT *, (k * {sharding.MULTIPLIER}::HUGEINT + 1) & 18446744073709551615::HUGEINT AS x FROM jumps WHERE j < n))"""
+
+#: bytes the checksum is read in at once
+_BLOCK = 512
+
+_SHARDS = f"""
+WITH RECURSIVE {_JUMP},
+bits AS (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, s: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS v
+    FROM range(256) t(i)),
+rule AS (SELECT list(v ORDER BY i) AS t FROM bits),
+-- a register goes over a block of zeros as the sum of its bytes does; so blocks are read apart and put together
+zero AS (SELECT list(v ORDER BY i) AS z FROM (
+    SELECT i, list_reduce(list_prepend((i & 255) << (8 * (i >> 8)), range({_BLOCK})), lambda c, x: xor(c >> 8, rule.t[(c & 255) + 1])) AS v
+    FROM range(1024) r(i), rule)),
+texts AS (SELECT doc_id, strlen(coalesce(text, '')) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
+parts AS (
+    SELECT doc_id, k, CASE WHEN k = 0 THEN h[1:2 * (n % {_BLOCK})]
+        ELSE h[2 * (n % {_BLOCK} + (k - 1) * {_BLOCK}) + 1:2 * (n % {_BLOCK} + k * {_BLOCK})] END AS h
+    FROM texts, unnest(range(n // {_BLOCK} + 1)) t(k)),
+registers AS (
+    SELECT doc_id, k, list_reduce(list_prepend(CASE WHEN k = 0 THEN 4294967295 ELSE 0 END::BIGINT,
+        list_transform(range(len(h) // 2), lambda p: ('0x' || h[2 * p + 1:2 * p + 2])::BIGINT)),
+        lambda c, x: xor(c >> 8, rule.t[(xor(c, x) & 255) + 1])) AS v
+    FROM parts, rule),
+sums AS (
+    SELECT doc_id, n + 1 AS size, xor(4294967295, list_reduce(vs, lambda c, x: xor(x, xor(
+        xor(z[(c & 255) + 1], z[((c >> 8) & 255) + 257]), xor(z[((c >> 16) & 255) + 513], z[((c >> 24) & 255) + 769]))))) AS text_crc32
+    FROM texts JOIN (SELECT doc_id, list(v ORDER BY k) AS vs FROM registers GROUP BY doc_id) USING (doc_id), zero)
+SELECT doc_id, size, text_crc32, 'key' AS law, s.b AS shard, g.b AS grown_shard,
+    row_number() OVER (PARTITION BY s.b ORDER BY md5(doc_id || ':' || size || ':' || text_crc32), doc_id) - 1 AS slot
+FROM sums JOIN (SELECT doc_id, max(b) AS b FROM jumps WHERE n = {sharding.SHARDS} GROUP BY doc_id) s USING (doc_id)
+JOIN (SELECT doc_id, max(b) AS b FROM jumps WHERE n = {sharding.SHARDS + 1} GROUP BY doc_id) g USING (doc_id)"""
+
+ORACLES: dict[str, str] = {
+    "op4_decontaminate": _HITS, "op5_mixture": _MIX, "op6_sharding": _SHARDS, "op7_line_dedup": _LINES,
+}

@@ -77,13 +77,13 @@ def shard_table(df: DataFrame, ids: str = "doc_id", text: str = "text", shards:
 
     ``size`` is the text's UTF-8 bytes plus 1, ``text_crc32`` that of its bytes (null: none, so 0).
     The law is ``key``: the id and the number of shards decide. ``grown_shard`` is the shard
-    with one more. ``slot`` numbers the rows of a shard from 0 without gaps, by a bucket of the
-    row's hash, then id, size and checksum. Rows without an id have key 0, repeated rows get
+    with one more. ``slot`` numbers the rows of a shard from 0 without gaps, in the order of
+    MD5(id:size:checksum), then id, size and checksum. Rows without an id have key 0, repeated rows get
     slots of their own. No rows give no rows.
 
     Numbering never takes a shard into one task: rows that look the same are counted together,
-    what is left is numbered within hash buckets of some ``BUCKET_ROWS``, and sums per bucket
-    give the offsets.
+    what is left is numbered within buckets of that order of some ``BUCKET_ROWS``, and sums per
+    bucket give the offsets.
     """
     rows = df.select(
         F.col(ids).alias("id"),
@@ -93,12 +93,14 @@ def shard_table(df: DataFrame, ids: str = "doc_id", text: str = "text", shards:
     alike = stored(rows.groupBy("id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("n")))
     key = stable_key(alike, "id")
     buckets = max(1, -(-alike.count() // (BUCKET_ROWS * shards)))
-    mixed = F.pmod(F.xxhash64("id", "size", "text_crc32"), F.lit(buckets))
+    named = F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("size").cast("string"), F.col("text_crc32").cast("string"))
+    alike = alike.withColumn("md5", F.md5(named.cast("binary")))
+    mixed = F.floor(F.conv(F.substring("md5", 1, 8), 16, 10).cast("bigint") * F.lit(buckets) / F.lit(1 << 32)).cast("bigint")
     placed = alike.withColumns({"shard": jump_shard(key, shards), "grown_shard": jump_shard(key, shards + 1), "bucket": mixed})
     totals = placed.groupBy("shard", "bucket").agg(F.sum("n").alias("rows"))
     ahead = W.partitionBy("shard").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select("shard", "bucket", F.coalesce(F.sum("rows").over(ahead), F.lit(0)).alias("offset"))
-    within = W.partitionBy("shard", "bucket").orderBy("id", "size", "text_crc32").rowsBetween(W.unboundedPreceding, -1)
+    within = W.partitionBy("shard", "bucket").orderBy("md5", "id", "size", "text_crc32").rowsBetween(W.unboundedPreceding, -1)
     numbered = placed.withColumn("first", F.coalesce(F.sum("n").over(within), F.lit(0))).join(offsets, ["shard", "bucket"])
     first = F.col("offset") + F.col("first")
     slots = F.when(F.col("n") == 1, F.array(first)).otherwise(F.sequence(first, first + F.col("n") - 1))
