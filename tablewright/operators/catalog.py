@@ -111,12 +111,25 @@ def task_of(problem_type: Column) -> Column:
 def job_ids(df: DataFrame, name: Column, order: str, buckets: int = 64) -> DataFrame:
     """Add ``job_id``: the slug of ``name``; later rows with the same slug get _2, _3 …
 
-    ``order`` is a numeric key. A slug that many rows share is ranked in key ranges.
+    The first row of every slug keeps it, so the numbers pass over those that would make the
+    slug of another row: ``a, a, a_2`` gives ``a, a_3, a_2``. No id occurs twice. ``order`` is
+    a numeric key. A slug that many rows share is ranked in key ranges.
     """
     slugged = df.withColumn("__slug", slug(name))
     edge = df.agg(F.min(order).alias("lo"), F.max(order).alias("hi")).first()
     width = max((edge["hi"] or 0) - (edge["lo"] or 0) + 1, 1)
     bucket = F.floor((F.col(order) - F.lit(edge["lo"])) * F.lit(buckets) / F.lit(width))
     ranked = rank_rows(slugged, [order], bucket, ["__slug"], "__n", "__total")
-    number = F.when(F.col("__n") > 1, F.col("__n").cast("string"))
-    return ranked.withColumn("job_id", F.concat_ws("_", "__slug", number)).select(*df.columns, "job_id")
+    # taken numbers of a slug, ascending; the i-th of them (from 0) moves all ranks >= number - i on by one
+    parts = slugged.select("__slug").distinct().select(
+        F.regexp_extract("__slug", r"^(.*)_([1-9][0-9]{0,8})$", 1).alias("__base"),
+        F.regexp_extract("__slug", r"^(.*)_([1-9][0-9]{0,8})$", 2).alias("__number"),
+    )
+    taken = parts.filter("__number <> '' AND __number <> '1'").groupBy(F.col("__base").alias("__slug")).agg(
+        F.sort_array(F.collect_list(F.col("__number").cast("bigint"))).alias("__taken")
+    )
+    number = F.col("__n") + F.size(F.filter(F.coalesce("__taken", F.array().cast("array<bigint>")), lambda x, i: x - i <= F.col("__n")))
+    placed = ranked.join(taken, "__slug", "left")
+    return placed.withColumn(
+        "job_id", F.concat_ws("_", "__slug", F.when(F.col("__n") > 1, number.cast("string")))
+    ).select(*df.columns, "job_id")

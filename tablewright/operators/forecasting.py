@@ -34,10 +34,19 @@ DAYS = {"yearly": 365.25, "weekly": 7.0, "daily": 1.0}
 ORDERS = {"yearly": 10, "weekly": 3, "daily": 4}
 
 
-def long_enough(df: DataFrame, keys: Sequence[str], points: int = MIN_POINTS) -> DataFrame:
-    """Only the series with at least ``points`` points."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= points)
-    return df.join(sizes.select(*keys), list(keys), "left_semi")
+FITTED, SHORT = "fitted", "short"
+
+
+def by_length(df: DataFrame, keys: Sequence[str], points: int = MIN_POINTS) -> tuple[DataFrame, DataFrame]:
+    """The series with at least ``points`` points, and the others."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= points).select(*keys)
+    return df.join(sizes, list(keys), "left_semi"), df.join(sizes, list(keys), "left_anti")
+
+
+def _fallback(df: DataFrame, keys: Sequence[str], ts: str, value: str, horizon: int, step: str) -> DataFrame:
+    """Rows for series too short to fit: the last value, marked ``short``."""
+    out = timeseries.last_value_forecast(df, keys, ts, value, horizon, step)
+    return out.select(*keys, ts, "step", "forecast", F.lit(SHORT).alias("status"))
 
 
 def _schema(df: DataFrame, keys: Sequence[str], extra: str) -> str:
@@ -48,35 +57,69 @@ def _schema(df: DataFrame, keys: Sequence[str], extra: str) -> str:
 def seasonal_ar(
     df: DataFrame, keys: Sequence[str], ts: str, value: str, horizon: int, step: str = "1 day", season: int | None = None
 ) -> DataFrame:
-    """``(keys, ts, step, forecast, lower, upper)``: least squares of each change on the
-    previous change and, with more than two seasons of data, the one a season before."""
-    keys, season = list(keys), season or SEASONS.get(step, 7)
+    """``(keys, ts, step, forecast, lower, upper, status)``: least squares of each change on the
+    previous change and, with more than two seasons of data, the one a season before.
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = pdf.sort_values(ts)[value].to_numpy(dtype="float64")
-        change = np.diff(y)
-        lags = [1, season] if len(y) > 2 * season else [1]
-        first = max(lags)
-        past = np.column_stack([np.ones(len(change) - first), *[change[first - n : len(change) - n] for n in lags]])
-        coef = np.linalg.lstsq(past, change[first:], rcond=None)[0]
-        spread = float(np.std(change[first:] - past @ coef))
-        steps, level = list(change), y[-1]
-        rows = []
-        for h in range(1, horizon + 1):
-            nxt = float(coef[0] + sum(c * steps[-n] for c, n in zip(coef[1:], lags)))
-            steps.append(nxt)
-            level += nxt
-            band = BAND_95 * spread * np.sqrt(h)
-            rows.append((h, level, level - band, level + band))
-        out = pd.DataFrame(rows, columns=["step", "forecast", "lower", "upper"])
-        for k in reversed(keys):
-            out.insert(0, k, pdf[k].iloc[0])
-        return out
-
-    schema = _schema(df, keys, "step int, forecast double, lower double, upper double")
-    enough = long_enough(df, keys, 5)
-    made = enough.select(*keys, ts, value).groupBy(*keys).applyInPandas(solve, schema)
-    return timeseries.future_steps(enough, keys, ts, horizon, step).join(made, [*keys, "step"])
+    The normal equations come from one aggregate per series, their solution and the recursion
+    are expressions, so no series is gathered anywhere; a series sends on its last ``season``
+    changes only. Where the two regressors are one and the same only the first is used. Series
+    under ``MIN_TREND_POINTS`` points repeat their last value, without a band, as ``short``.
+    """
+    keys, season = list(keys), season or SEASONS.get(step, 7)
+    order = W.partitionBy(*keys).orderBy(ts)
+    change = df.select(*keys, ts, F.col(value).cast("double").alias("__y")).withColumn("__c", F.col("__y") - F.lag("__y").over(order))
+    newest = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(ts)))
+    lagged = change.withColumns({"__x": F.lag("__c").over(order), "__s": F.lag("__c", season).over(order), "__r": newest})
+    known, both = F.col("__x").isNotNull(), F.col("__s").isNotNull() & F.col("__x").isNotNull()
+    recent = F.when((F.col("__r") <= season) & F.col("__c").isNotNull(), F.struct(F.col(ts).alias("t"), F.col("__c").alias("c")))
+
+    def moments(rows: Column, names: dict[str, str], mark: str) -> list[Column]:
+        col = {k: F.when(rows, F.col(c)) for k, c in names.items()}
+        out = [F.avg(c).alias(f"{mark}m{k}") for k, c in col.items()]
+        pairs = [(i, j) for i in names for j in names if i <= j]
+        return out + [F.covar_pop(col[i], col[j]).alias(f"{mark}{i}{j}") for i, j in pairs]
+
+    sums = lagged.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.max(ts).alias("__last"), F.max_by("__y", ts).alias("__level"),
+        F.sort_array(F.collect_list(recent)).alias("__recent"),
+        *moments(known, {"x": "__x", "y": "__c"}, "a"), *moments(both, {"s": "__s", "x": "__x", "y": "__c"}, "b"),
+    )
+    det = F.col("bss") * F.col("bxx") - F.col("bsx") * F.col("bsx")
+    two = F.coalesce((F.col("n") > 2 * season) & (det > 1e-9 * F.col("bss") * F.col("bxx")), F.lit(False))
+    sums = sums.withColumns({
+        "two": two, "det": det,
+        "c1": F.when(two, (F.col("bss") * F.col("bxy") - F.col("bsx") * F.col("bsy")) / det)
+        .when(F.col("axx") > 0, F.col("axy") / F.col("axx")).otherwise(0.0),
+        "c2": F.when(two, (F.col("bxx") * F.col("bsy") - F.col("bsx") * F.col("bxy")) / det).otherwise(0.0),
+    })
+    base = F.when(F.col("two"), F.col("bmy") - F.col("c1") * F.col("bmx") - F.col("c2") * F.col("bms"))
+    left = F.when(F.col("two"), F.col("byy") - F.col("c1") * F.col("bxy") - F.col("c2") * F.col("bsy"))
+    fitted = sums.withColumns({
+        "c0": base.otherwise(F.col("amy") - F.col("c1") * F.col("amx")),
+        "spread": F.sqrt(F.greatest(left.otherwise(F.col("ayy") - F.col("c1") * F.col("axy")), F.lit(0.0))),
+        "long": F.col("n") >= MIN_TREND_POINTS,
+    })
+
+    def forward(s: Column, _: Column) -> Column:
+        past = s["past"]
+        far = F.when(F.size(past) >= season, F.element_at(past, -season)).otherwise(0.0)
+        moved = F.col("c0") + F.col("c1") * F.element_at(past, -1) + F.col("c2") * far
+        held = F.when(F.size(past) >= season, F.slice(past, -(season - 1), season - 1) if season > 1 else F.array().cast("array<double>")).otherwise(past)
+        level = s["level"] + moved
+        return F.struct(F.concat(held, F.array(moved)).alias("past"), level.alias("level"), F.concat(s["made"], F.array(level)).alias("made"))
+
+    start = F.struct(
+        F.col("__recent")["c"].alias("past"), F.col("__level").alias("level"), F.array().cast("array<double>").alias("made")
+    )
+    rolled = F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), start, forward)["made"]
+    level = F.when(F.col("long"), rolled).otherwise(F.array_repeat("__level", horizon))
+    band = F.when(F.col("long"), F.lit(BAND_95) * F.col("spread") * F.sqrt(F.col("step")))
+    out = fitted.select(*keys, "__last", "long", "spread", F.posexplode(level).alias("__p", "forecast")).withColumn("step", F.col("__p") + 1)
+    return out.select(
+        *keys, (F.col("__last") + F.col("step") * timeseries.interval(step)).alias(ts), "step", "forecast",
+        (F.col("forecast") - band).alias("lower"), (F.col("forecast") + band).alias("upper"),
+        F.when(F.col("long"), FITTED).otherwise(SHORT).alias("status"),
+    )
 
 
 def fit_lag_model(df: DataFrame, keys: Sequence[str], ts: str, value: str, estimator=None) -> PipelineModel:
@@ -109,17 +152,22 @@ def lag_forecast(
 
     A series' state is its last 14 values in one array column, so a step is a projection
     and a ``transform`` without shuffle. Steps are written out in groups to bound the plan.
+    Series of fewer points repeat their last value, with the status ``short``.
     """
     keys = list(keys)
-    model = model or fit_lag_model(df, keys, ts, value, estimator)
     depth = max(timeseries.LAGS)
-    state = cut(last_values(df, keys, ts, value, depth).filter(F.size("__hist") == depth))
+    enough, short = by_length(df, keys, depth)
+    rest = _fallback(short, keys, ts, value, horizon, step)
+    state = cut(last_values(enough, keys, ts, value, depth))
+    if state.isEmpty():
+        return rest
+    model = model or fit_lag_model(df, keys, ts, value, estimator)
     hist, week = F.col("__hist"), F.slice("__hist", -7, 7)
     mean = F.aggregate(week, F.lit(0.0), lambda s, x: s + x) / 7
     square = F.aggregate(week, F.lit(0.0), lambda s, x: s + (x - F.col("rolling_mean_7")) * (x - F.col("rolling_mean_7")))
     state = state.withColumn("__made", F.array().cast("array<double>"))
     for h in range(1, horizon + 1):
-        at = F.col("__last") + F.lit(h) * F.expr(f"INTERVAL {step}")
+        at = F.col("__last") + F.lit(h) * timeseries.interval(step)
         frame = state.withColumns({f"lag_{n}": F.element_at(hist, -n) for n in timeseries.LAGS})
         frame = frame.withColumns({"rolling_mean_7": mean, "month": F.month(at), "dow": F.weekday(at)})
         frame = model.transform(frame.withColumn("rolling_std_7", F.sqrt(square / 6)))
@@ -132,7 +180,8 @@ def lag_forecast(
             state = cut(state)
     out = state.select(*keys, "__last", F.posexplode("__made").alias("__p", "forecast"))
     steps = F.col("__p") + 1
-    return out.select(*keys, (F.col("__last") + steps * F.expr(f"INTERVAL {step}")).alias(ts), steps.alias("step"), "forecast")
+    at = (F.col("__last") + steps * timeseries.interval(step)).alias(ts)
+    return out.select(*keys, at, steps.alias("step"), "forecast", F.lit(FITTED).alias("status")).unionByName(rest)
 
 
 def lag_forecast_linear(
@@ -141,33 +190,38 @@ def lag_forecast_linear(
     """The same recursion with a linear model, rolled forward from its coefficients; for
     long horizons. Each series sends its last 14 values only."""
     keys = list(keys)
+    depth = max(timeseries.LAGS)
+    enough, short = by_length(df, keys, depth)
+    rest = _fallback(short, keys, ts, value, horizon, step)
+    if enough.isEmpty():
+        return rest
     model = model or fit_lag_model(df, keys, ts, value)
     coef, base = model.stages[-1].coefficients.toArray(), float(model.stages[-1].intercept)
-    depth = max(timeseries.LAGS)
-    state = last_values(df, keys, ts, value, depth).filter(F.size("__hist") == depth)
     ahead = F.transform(
-        F.sequence(F.lit(1), F.lit(horizon)), lambda h: F.col("__last") + h * F.expr(f"INTERVAL {step}")
+        F.sequence(F.lit(1), F.lit(horizon)), lambda h: F.col("__last") + h * timeseries.interval(step)
     )
-    state = state.select(
+    state = last_values(enough, keys, ts, value, depth).select(
         *keys, "__hist", F.transform(ahead, lambda t: F.month(t)).alias("__months"),
         F.transform(ahead, lambda t: F.weekday(t)).alias("__days"),
     )
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def roll(hists: pd.Series, months: pd.Series, days: pd.Series) -> pd.Series:
-        results = []
-        for hist, month, day in zip(hists, months, days):
-            past = list(hist)
-            for m, d in zip(month, day):
-                week = past[-7:]
-                x = [*[past[-n] for n in timeseries.LAGS], np.mean(week), np.std(week, ddof=1), m, d]
-                past.append(base + float(np.dot(coef, x)))
-            results.append(past[depth:])
-        return pd.Series(results)
+        # all series of the batch take each step together
+        past = np.zeros((len(hists), depth + horizon))
+        past[:, :depth] = np.stack(hists.to_numpy())
+        month, day = np.stack(months.to_numpy()), np.stack(days.to_numpy())
+        for h in range(horizon):
+            at = depth + h
+            week = past[:, at - 7 : at]
+            x = [*[past[:, at - n] for n in timeseries.LAGS], week.mean(axis=1), week.std(axis=1, ddof=1), month[:, h], day[:, h]]
+            past[:, at] = base + np.column_stack(x) @ coef
+        return pd.Series(list(past[:, depth:]))
 
     made = state.select(*keys, F.posexplode(roll("__hist", "__months", "__days")).alias("__p", "forecast"))
     made = made.select(*keys, (F.col("__p") + 1).alias("step"), "forecast")
-    return timeseries.future_steps(df, keys, ts, horizon, step).join(made, [*keys, "step"])
+    out = timeseries.future_steps(enough, keys, ts, horizon, step).join(made, [*keys, "step"])
+    return out.select(*keys, ts, "step", "forecast", F.lit(FITTED).alias("status")).unionByName(rest)
 
 
 def forecast_race(
@@ -175,33 +229,40 @@ def forecast_race(
 ) -> DataFrame:
     """Per series the candidate with the lowest hold-out MAE, refitted on all points.
 
-    Returns ``(keys, ts, step, model, mae, forecast)``. The hold-out is the last fifth (at
-    least ``horizon`` points), forecast recursively from the rest.
+    Returns ``(keys, ts, step, model, mae, forecast, lower, upper, status)``. The hold-out is the
+    last fifth (at least ``horizon`` points), forecast recursively from the rest. Bands come
+    from the autoregression alone. Series under ``MIN_POINTS`` points, or without a point left to learn
+    from, do not race: they repeat their last value as model ``last_value`` with the status ``short``.
     """
     keys, season = list(keys), SEASONS.get(step, 7)
-    series = cut(long_enough(df, keys).select(*keys, ts, value))
+    every = cut(df.select(*keys, ts, value))
+    long, short = by_length(every, keys, max(MIN_POINTS, horizon + 1))
+    columns = [*keys, ts, "step", "model", "mae", "forecast", "lower", "upper", "status"]
+    nothing = {c: F.lit(None).cast("double") for c in ("mae", "lower", "upper")}
+    rest = _fallback(short, keys, ts, value, horizon, step).withColumns({"model": F.lit("last_value"), **nothing}).select(*columns)
+    if long.isEmpty():
+        return rest
+    series = cut(long)
     parts = timeseries.time_split(series, keys, ts, horizon)
     train, test = cut(parts.filter("split = 'train'").drop("split")), parts.filter("split = 'test'").drop("split")
     longest = test.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or horizon
 
     def candidates(data: DataFrame, steps: int) -> DataFrame:
-        columns = [*keys, ts, "step", "forecast"]
-        naive = timeseries.seasonal_naive(data, keys, ts, value, season, steps, step).select(*columns)
-        ar = seasonal_ar(data, keys, ts, value, steps, step, season).select(*columns)
-        lags = lag_forecast_linear(data, keys, ts, value, steps, step).select(*columns)
-        named = zip(("seasonal_naive", "seasonal_ar", "lag_regression"), (naive, ar, lags))
+        naive = timeseries.seasonal_naive(data, keys, ts, value, season, steps, step)
+        ar = seasonal_ar(data, keys, ts, value, steps, step, season)
+        lags = lag_forecast_linear(data, keys, ts, value, steps, step)
         out = None
-        for name, made in named:
-            made = made.withColumn("model", F.lit(name))
+        for name, made in (("seasonal_naive", naive), ("seasonal_ar", ar), ("lag_regression", lags)):
+            bands = [F.col(c) if c in made.columns else F.lit(None).cast("double").alias(c) for c in ("lower", "upper")]
+            made = made.select(*keys, ts, "step", "forecast", *bands, F.lit(name).alias("model"))
             out = made if out is None else out.unionByName(made)
         return out
 
     missed = candidates(train, longest).join(test, [*keys, ts])
     errors = missed.groupBy(*keys, "model").agg(F.avg(F.abs(F.col(value) - F.col("forecast"))).alias("mae"))
     winners = timeseries.pick_winner(cut(errors), keys)
-    return candidates(series, horizon).join(winners, [*keys, "model"]).select(
-        *keys, ts, "step", "model", "mae", "forecast"
-    )
+    won = candidates(series, horizon).join(winners, [*keys, "model"]).withColumn("status", F.lit(FITTED))
+    return won.select(*columns).unionByName(rest)
 
 
 def trend_fourier(
@@ -211,7 +272,8 @@ def trend_fourier(
 
     Returns ``(keys, ts, is_future, yhat, yhat_lower, yhat_upper)`` with an 80 % band from
     the residuals. Yearly terms need two years, weekly ones two weeks and steps below a
-    week, daily ones two days and steps below a day.
+    week, daily ones two days and steps below a day. Series under ``MIN_TREND_POINTS`` points come
+    back as they are and repeat their last value, without a band.
     """
     keys = list(keys)
 
@@ -254,4 +316,11 @@ def trend_fourier(
     points = timeseries.mean_per_timestamp(df.na.drop(subset=[ts, value]), keys, ts, value)
     kind = df.schema[ts].dataType.simpleString()
     schema = _schema(df, keys, f"`{ts}` {kind}, is_future boolean, yhat double, yhat_lower double, yhat_upper double")
-    return long_enough(points, keys, MIN_TREND_POINTS).groupBy(*keys).applyInPandas(solve, schema)
+    enough, short = by_length(points, keys, MIN_TREND_POINTS)
+    fitted = enough.groupBy(*keys).applyInPandas(solve, schema)
+    columns = [*keys, F.col(ts).cast(kind).alias(ts)]
+    no_band = [F.lit(None).cast("double").alias(c) for c in ("yhat_lower", "yhat_upper")]
+    past = short.select(*columns, F.lit(False).alias("is_future"), F.col(value).alias("yhat"), *no_band)
+    ahead = timeseries.last_value_forecast(short, keys, ts, value, horizon, "1 day")
+    future = ahead.select(*columns, F.lit(True).alias("is_future"), F.col("forecast").alias("yhat"), *no_band)
+    return fitted.unionByName(past).unionByName(future)

@@ -25,11 +25,17 @@ def asof_join(
 ) -> DataFrame:
     """Every left row with the latest right row of the same key at or before its time.
 
+    A left row whose key or time is null has no match, like one that nothing precedes.
+
     Rows meet in ``(key, time bucket)`` groups, so a key that holds a third of all rows is
     spread over its buckets. The last right row of each bucket is computed with partial
     aggregation and carried forward over the (few) bucket rows of its key.
     """
     keys, values = list(keys), list(values)
+    complete = F.lit(True)
+    for c in [*keys, ts]:
+        complete = complete & F.col(c).isNotNull()
+    alone, left, right = left.filter(~complete), left.filter(complete), right.filter(complete)
     slot = F.floor(micros(F.col(ts)) / F.lit(bucket_seconds * 1_000_000)).alias("__b")
     found = F.struct(F.col(ts).alias("ts"), *[F.col(v).alias(v) for v in values])
     marks = right.select(*keys, slot, F.col(ts).alias("__ts"), found.alias("__found"))
@@ -50,6 +56,8 @@ def asof_join(
         "__hit", F.coalesce(F.last("__found", ignorenulls=True).over(upto), "__carried")
     )
     hit = F.col("__hit")
-    return joined.filter("__side = 1").select(
+    out = joined.filter("__side = 1").select(
         "__left.*", hit["ts"].alias(f"{prefix}{ts}"), *[hit[v].alias(f"{prefix}{v}") for v in values]
     )
+    added = out.columns[len(alone.columns) :]
+    return out.unionByName(alone.select("*", *[F.lit(None).cast(out.schema[c].dataType).alias(c) for c in added]))

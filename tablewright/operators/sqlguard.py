@@ -2,10 +2,39 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.functions.text import clean_statement, first_token
+from tablewright.session import stored
+
+#: plan and expression nodes that reach outside the tables: programs, and methods called by name
+FORBIDDEN = ("ScriptTransformation", "ScriptInputOutputSchema", "CallMethodViaReflection", "PythonUDF", "PythonUDTF")
+
+
+def forbidden_nodes(df: DataFrame) -> list[str]:
+    """Names of the nodes in the analysed plan that a read-only statement must not have.
+
+    The plan is looked at, not the text: comments, aliases and literals cannot hide or fake a
+    node. Commands count as forbidden too.
+    """
+    found = set()
+
+    def walk(node) -> None:
+        if isinstance(node, dict):
+            name = str(node.get("class", "")).rpartition(".")[2]
+            if name in FORBIDDEN or name.endswith("Command"):
+                found.add(name)
+            for child in node.values():
+                walk(child)
+        elif isinstance(node, list):
+            for child in node:
+                walk(child)
+
+    walk(json.loads(df._jdf.queryExecution().analyzed().toJSON()))
+    return sorted(found)
 
 
 class SqlDesk:
@@ -30,8 +59,13 @@ class SqlDesk:
         row = row.select("s", first_token(F.col("s")).alias("t")).first()
         return row["s"], row["t"]
 
-    def run(self, text: str | None = None) -> dict:
-        """``{success, sql, result, error}``; no text means a look at the first table."""
+    def run(self, text: str | None = None, executed: bool = False) -> dict:
+        """``{success, sql, result, error}``; no text means a look at the first table.
+
+        A result is lazy, so a cast that fails on some row fails when it is read. With
+        ``executed`` the statement runs here, into a table on the shared folder, and such
+        errors are values as well.
+        """
         if text is None:
             if not self.tables:
                 return {"success": False, "sql": "", "result": None, "error": "no tables registered"}
@@ -42,6 +76,12 @@ class SqlDesk:
             return {"success": False, "sql": statement, "result": None, "error": error}
         try:
             result = self.spark.sql(statement)
+            bad = forbidden_nodes(result)
+            if bad:
+                error = f"statement reaches outside the tables: {', '.join(bad)}"
+                return {"success": False, "sql": statement, "result": None, "error": error}
+            if executed:
+                result = stored(result)
             return {"success": True, "sql": statement, "result": result, "error": ""}
         except Exception as exc:
             return {"success": False, "sql": statement, "result": None, "error": str(exc)}

@@ -7,6 +7,7 @@ windows below then run over these bounded series, one partition per series.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -19,6 +20,13 @@ LAGS = (1, 2, 3, 7, 14)
 LONGEST_FILL = 5
 
 
+def interval(step: str) -> Column:
+    """``3 hours``, ``1 day`` … as an interval; anything else is refused, since it goes into SQL text."""
+    if not re.fullmatch(r"[1-9][0-9]{0,8} (second|minute|hour|day|week|month|year)s?", step):
+        raise ValueError(f"not a step: {step!r}")
+    return F.expr(f"INTERVAL {step}")
+
+
 def mean_per_timestamp(df: DataFrame, keys: Sequence[str], ts: str, value: str) -> DataFrame:
     return df.groupBy(*keys, ts).agg(F.avg(F.col(value).cast("double")).alias(value))
 
@@ -70,7 +78,7 @@ def regularize(df: DataFrame, keys: Sequence[str], ts: str, value: str, step: st
     keys = list(keys)
     points = mean_per_timestamp(df.filter(F.col(ts).isNotNull()), keys, ts, value)
     span = points.groupBy(*keys).agg(F.min(ts).alias("__lo"), F.max(ts).alias("__hi"))
-    grid = F.explode(F.expr(f"sequence(__lo, __hi, INTERVAL {step})")).alias(ts)
+    grid = F.explode(F.sequence("__lo", "__hi", interval(step))).alias(ts)
     return span.select(*keys, grid).join(points, [*keys, ts], "left")
 
 
@@ -131,7 +139,13 @@ def future_steps(df: DataFrame, keys: Sequence[str], ts: str, horizon: int, step
     """``horizon`` timestamps after the last one of each series, numbered from 1."""
     last = df.groupBy(*keys).agg(F.max(ts).alias("__last"))
     steps = last.select(*keys, "__last", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step"))
-    return steps.select(*keys, (F.col("__last") + F.col("step") * F.expr(f"INTERVAL {step}")).alias(ts), "step")
+    return steps.select(*keys, (F.col("__last") + F.col("step") * interval(step)).alias(ts), "step")
+
+
+def last_value_forecast(df: DataFrame, keys: Sequence[str], ts: str, value: str, horizon: int, step: str) -> DataFrame:
+    """Forecast every step with the last value: what is left where a series is too short to fit."""
+    last = df.groupBy(*keys).agg(F.max_by(F.col(value).cast("double"), ts).alias("forecast"))
+    return future_steps(df, keys, ts, horizon, step).join(last, list(keys))
 
 
 def seasonal_naive(

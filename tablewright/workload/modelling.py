@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.ml import PipelineModel
 from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tablewright.functions.text import words
@@ -18,7 +17,7 @@ from tablewright.streaming.scoring import score_stream
 from tablewright.workload import query, table
 from tablewright.workload.evaluation import LINE_TIES
 from tablewright.workload.preparation import hash_sql
-from tablewright.workload.series import daily, filled, hourly
+from tablewright.workload.series import HOURLY, STAMP, daily, filled, filled_sql, hourly, stamped
 
 
 def document_quality(spark, sf):
@@ -196,10 +195,47 @@ def batch_run(spark, sf):
     return batch.run_batch(spark, registry, tables.__getitem__, candidates=light).drop("seconds")
 
 
-@query("seasonal_ar")
+@query(
+    "seasonal_ar",
+    f"""WITH RECURSIVE {filled_sql(HOURLY, 'event_type', '1 hour')},
+    a AS (SELECT *, value - lag(value) OVER (PARTITION BY event_type ORDER BY ts) AS c FROM f),
+    b AS (SELECT *, lag(c) OVER w AS x, lag(c, 24) OVER w AS s, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC) AS r FROM a
+      WINDOW w AS (PARTITION BY event_type ORDER BY ts)),
+    m AS (SELECT event_type, avg(c) AS my, avg(x) AS mx, avg(s) AS ms, var_pop(x) AS xx, var_pop(s) AS ss, covar_pop(x, s) AS xs,
+      covar_pop(x, c) AS xy, covar_pop(s, c) AS sy, var_pop(c) AS yy FROM b WHERE s IS NOT NULL AND x IS NOT NULL GROUP BY 1),
+    k AS (SELECT *, (ss * xy - xs * sy) / (ss * xx - xs * xs) AS c1, (xx * sy - xs * xy) / (ss * xx - xs * xs) AS c2 FROM m),
+    z AS (SELECT *, my - c1 * mx - c2 * ms AS c0, sqrt(yy - c1 * xy - c2 * sy) AS spread FROM k),
+    h AS (SELECT event_type, ts AS last, 0 AS step, value AS level, c AS moved FROM b WHERE r = 1
+      UNION ALL SELECT h.event_type, last, step + 1, level + c0 + c1 * moved + c2 * b.c, c0 + c1 * moved + c2 * b.c
+      FROM h JOIN z ON h.event_type = z.event_type JOIN b ON b.event_type = h.event_type AND b.r = 24 - step WHERE step < 24)
+    SELECT h.event_type, strftime(last + step * INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS ts, step, round(level, 6) AS forecast,
+      round(level - 1.96 * spread * sqrt(step), 6) AS lower, round(level + 1.96 * spread * sqrt(step), 6) AS upper, 'fitted' AS status
+    FROM h JOIN z ON h.event_type = z.event_type WHERE step > 0""",
+)
 def seasonal_ar(spark, sf):
     series = filled(hourly(spark, sf), "event_type", "1 hour")
-    return forecasting.seasonal_ar(series, ["event_type"], "ts", "value", 24, "1 hour")
+    return stamped(forecasting.seasonal_ar(series, ["event_type"], "ts", "value", 24, "1 hour"), "forecast", "lower", "upper", digits=6)
+
+
+SHORT_AND_LONG = "SELECT event_type, ts, value FROM f UNION ALL SELECT concat(event_type, '_short') AS event_type, ts, value FROM q WHERE r <= 9"
+
+
+@query(
+    "forecast_race_short",
+    f"""WITH {filled_sql(HOURLY, 'event_type', '1 hour')}, q AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts) AS r FROM f),
+    e AS ({SHORT_AND_LONG}), l AS (SELECT event_type, max(ts) AS last, arg_max(value, ts) AS value, count(*) >= 30 AS long FROM e GROUP BY 1)
+    SELECT event_type, strftime(last + step * INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS ts, step, CASE WHEN long THEN 'fitted' ELSE 'short' END AS status,
+      CASE WHEN NOT long THEN round(value, 9) END AS forecast FROM l, (SELECT unnest(generate_series(1, 24)) AS step)""",
+)
+def forecast_race_short(spark, sf):
+    """Long series and the first nine points of each: all of them come back."""
+    series = filled(hourly(spark, sf), "event_type", "1 hour")
+    few = series.withColumn("r", F.row_number().over(Window.partitionBy("event_type").orderBy("ts"))).filter("r <= 9").drop("r")
+    both = series.unionByName(few.withColumn("event_type", F.concat("event_type", F.lit("_short"))))
+    out = forecasting.forecast_race(both, ["event_type"], "ts", "value", 24, "1 hour")
+    return stamped(out.withColumn("forecast", F.when(F.col("status") == "short", F.col("forecast"))), "forecast").select(
+        "event_type", "ts", "step", "status", "forecast"
+    )
 
 
 @query("lag_forecast")

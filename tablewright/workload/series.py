@@ -184,3 +184,21 @@ def asof_join(spark, sf):
     out = relational.asof_join(left, right, ["user_id"], "ts", ["event_id", "value"])
     out = out.withColumn("asof_ts", F.date_format("asof_ts", "yyyy-MM-dd HH:mm:ss"))
     return out.select("event_id", "user_id", "asof_event_id", "asof_value", "asof_ts")
+
+
+@query(
+    "asof_join_nulls",
+    """WITH e AS (SELECT event_id, nullif(user_id % 7, 0) AS k, CASE WHEN event_id % 11 <> 0 THEN ts END AS ts, value, event_type FROM events)
+    SELECT p.event_id, v.value AS asof_value, v.n AS asof_n
+    FROM (SELECT * FROM e WHERE event_type = 'purchase') p ASOF LEFT JOIN
+    (SELECT k, ts, max(value) AS value, count(*) AS n FROM e WHERE event_type = 'view' AND k IS NOT NULL AND ts IS NOT NULL GROUP BY k, ts) v
+    ON p.k = v.k AND p.ts >= v.ts""",
+)
+def asof_join_nulls(spark, sf):
+    """Rows without a key or a time, on either side, and keys of a seventh of all rows."""
+    events = table(spark, sf, "events").select(
+        "event_id", F.expr("nullif(user_id % 7, 0)").alias("k"), F.expr("CASE WHEN event_id % 11 <> 0 THEN ts END").alias("ts"), "value", "event_type"
+    )
+    left = events.filter("event_type = 'purchase'").select("event_id", "k", "ts")
+    right = events.filter("event_type = 'view'").groupBy("k", "ts").agg(F.max("value").alias("value"), F.count(F.lit(1)).alias("n"))
+    return relational.asof_join(left, right, ["k"], "ts", ["value", "n"]).select("event_id", "asof_value", "asof_n")

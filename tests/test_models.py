@@ -182,6 +182,38 @@ def test_sql_desk(spark):
         assert not out["success"] and out["error"]
 
 
+def test_sql_desk_looks_at_the_plan(spark):
+    desk = SqlDesk(spark)
+    desk.register("data", spark.range(3).selectExpr("id AS val", "concat('x', id) AS name"))
+    outside = (
+        "SELECT java_method('java.lang.System', 'getProperty', 'user.home')",
+        "SELECT reflect('java.lang.System', 'getProperty', 'user.home') FROM data",
+        "SELECT val FROM data WHERE name IN (SELECT java_method('java.lang.System', 'getProperty', 'user.home'))",
+        "SELECT TRANSFORM (val) USING 'cat' AS (v) FROM data",
+    )
+    for text in outside:
+        out = desk.run(text)
+        assert not out["success"] and out["error"] and out["result"] is None
+    # a literal that only looks like it is fine
+    assert desk.run("SELECT 'java_method(ScriptTransformation)' AS t FROM data")["success"]
+
+
+def test_sql_desk_returns_run_time_errors(spark):
+    desk = SqlDesk(spark)
+    desk.register("data", spark.range(3).selectExpr("concat('x', id) AS name"))
+    assert desk.run("SELECT CAST(name AS INT) AS n FROM data")["success"]  # lazy
+    out = desk.run("SELECT CAST(name AS INT) AS n FROM data", executed=True)
+    assert not out["success"] and "CAST_INVALID_INPUT" in out["error"]
+    assert desk.run("SELECT name FROM data", executed=True)["result"].count() == 3
+
+
+def test_job_ids_pass_over_taken_names(spark):
+    names = ["a", "a", "a_2", "a", "a_2", "a 4", "b", "a"]
+    df = spark.createDataFrame(list(enumerate(names)), "k long, name string")
+    found = {r["k"]: r["job_id"] for r in catalog.job_ids(df, F.col("name"), "k").collect()}
+    assert [found[i] for i in range(8)] == ["a", "a_3", "a_2", "a_5", "a_2_2", "a_4", "b", "a_6"]
+
+
 def test_inference(spark):
     df = churn(spark)
     assert catalog.infer_target(df) == "churn"

@@ -63,6 +63,14 @@ def test_asof_equals_pandas_for_a_hot_key(spark):
     assert np.array_equal(got.toPandas().sort_values("l")["asof_r"].to_numpy(dtype=float), want, equal_nan=True)
 
 
+def test_asof_keeps_rows_without_key_or_time(spark):
+    left = spark.createDataFrame([(1, "a", 10), (2, None, 10), (3, "a", None)], "id int, k string, at int")
+    right = spark.createDataFrame([("a", 5, 7.0), (None, 5, 8.0), ("a", None, 9.0)], "k string, at int, v double")
+    stamp = F.timestamp_seconds(F.col("at")).alias("ts")
+    out = relational.asof_join(left.select("id", "k", stamp), right.select("k", stamp, "v"), ["k"], "ts", ["v"])
+    assert {r["id"]: r["asof_v"] for r in out.collect()} == {1: 7.0, 2: None, 3: None}
+
+
 def sine(spark, n=120):
     ts = pd.date_range("2024-01-01", periods=n)
     frames = [pd.DataFrame({"key": k, "ts": ts, "value": 50 + i + 10 * np.sin(2 * np.pi * np.arange(n) / 7)}) for i, k in enumerate("ab")]
@@ -84,6 +92,55 @@ def test_forecasts_have_a_full_horizon(spark):
         assert np.abs(pdf[pdf["key"] == "a"]["forecast"].to_numpy() - want).max() < 0.5
 
 
+def test_short_series_come_back(spark):
+    df, few = sine(spark), sine(spark, 4).replace({"a": "few_a", "b": "few_b"}, subset=["key"])
+    both = df.unionByName(few)
+    for out in (
+        forecasting.seasonal_ar(both, ["key"], "ts", "value", 6),
+        forecasting.lag_forecast(both, ["key"], "ts", "value", 6),
+        forecasting.lag_forecast_linear(both, ["key"], "ts", "value", 6),
+        forecasting.forecast_race(both, ["key"], "ts", "value", 6),
+    ):
+        pdf = out.toPandas()
+        assert pdf.groupby("key")["step"].apply(sorted).tolist() == [list(range(1, 7))] * 4
+        short = pdf[pdf["key"].str.startswith("few")]
+        assert set(short["status"]) == {"short"} and set(pdf["status"]) == {"short", "fitted"}
+        assert np.ptp(short[short["key"] == "few_a"]["forecast"]) == 0
+    trend = forecasting.trend_fourier(both, ["key"], "ts", "value", 5).toPandas()
+    assert trend.groupby("key").size().to_dict() == {"a": 125, "b": 125, "few_a": 9, "few_b": 9}
+    only_short = forecasting.forecast_race(few, ["key"], "ts", "value", 6)
+    assert only_short.count() == 12
+
+
+def test_autoregression_equals_least_squares(spark):
+    rng = np.random.default_rng(4)
+    y = np.cumsum(rng.normal(size=60)) + 3 * np.sin(np.arange(60) * 2 * np.pi / 7)
+    df = spark.createDataFrame(pd.DataFrame({"key": "a", "ts": pd.date_range("2024-01-01", periods=60), "value": y}))
+    for n, season in ((60, 7), (12, 7), (60, 1)):
+        part = df.orderBy("ts").limit(n)
+        got = forecasting.seasonal_ar(part, ["key"], "ts", "value", 20, season=season).toPandas().sort_values("step")
+        change = np.diff(y[:n])
+        lags = [1, season] if n > 2 * season and season > 1 else [1]
+        first = max(lags)
+        past = np.column_stack([np.ones(n - 1 - first), *[change[first - k : n - 1 - k] for k in lags]])
+        coef = np.linalg.lstsq(past, change[first:], rcond=None)[0]
+        steps, level, want = list(change), y[n - 1], []
+        for _ in range(20):
+            steps.append(coef[0] + sum(c * steps[-k] for c, k in zip(coef[1:], lags)))
+            level += steps[-1]
+            want.append(level)
+        assert np.allclose(got["forecast"], want)
+        spread = np.std(change[first:] - past @ coef)
+        assert np.allclose(got["upper"] - got["forecast"], 1.96 * spread * np.sqrt(np.arange(1, 21)))
+
+
+def test_steps_are_checked(spark):
+    import pytest
+
+    with pytest.raises(ValueError):
+        timeseries.future_steps(sine(spark), ["key"], "ts", 3, "1 day) OR (1=1")
+
+
 def test_both_recursions_agree(spark):
     df, _ = gappy(spark, 5)
     model = forecasting.fit_lag_model(df, ["key"], "ts", "value")
