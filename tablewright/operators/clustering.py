@@ -23,6 +23,8 @@ from tablewright.session import cut
 
 MIN_EPS = 0.3
 MIN_SAMPLES = 5
+#: columns a grid of cells is made for
+GRID_COLUMNS = 3
 EPS_SHARE = 0.9
 NOISE = -1
 
@@ -181,21 +183,33 @@ def pca2(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return out.select(*df.columns, (F.col("__xy")[0] * signs[0]).alias("pc1"), (F.col("__xy")[1] * signs[1]).alias("pc2"))
 
 
+def principal_axes(df: DataFrame, key: str, features: Sequence[str], k: int = GRID_COLUMNS) -> tuple[DataFrame, list[str]]:
+    """``(key, axis1 …)``: the first ``k`` principal components, and the names of the axes."""
+    ready = VectorAssembler(inputCols=list(features), outputCol="__raw").transform(df.select(key, *[q(c).cast("double").alias(c) for c in features]))
+    ready = StandardScaler(withMean=True, withStd=False, inputCol="__raw", outputCol="__centred").fit(ready).transform(ready)
+    axes = PCA(k=k, inputCol="__centred", outputCol="__axes").fit(ready).transform(ready).withColumn("__a", vector_to_array("__axes"))
+    names = [f"axis{i + 1}" for i in range(k)]
+    return cut(axes.select(key, *[F.col("__a")[i].alias(n) for i, n in enumerate(names)])), names
+
+
 def run_clustering(
     df: DataFrame, key: str, method: str = "kmeans", features: Sequence[str] | None = None, max_k: int = 10
 ) -> tuple[DataFrame, dict]:
     """``(labelled rows, metrics)`` by kmeans, dbscan, gaussian or hierarchical.
 
     Features are the numeric columns but the key, median-filled and robustly scaled. The
-    metrics hold ``best_k`` (or ``eps``) and the silhouette without noise.
+    metrics hold ``best_k`` (or ``eps``) and the silhouette without noise. Density clusters of
+    more than three features are found on their first three principal components, since a grid
+    has too many neighbour cells beyond that; their silhouette is that of all features.
     """
     if method not in ("kmeans", "dbscan", "gaussian", "hierarchical"):
         raise ValueError(f"unknown method {method!r}")
     features = list(features or [c for c in numeric_columns(df) if c != key])
     if method == "dbscan":
         scaled = robust_scale(df.select(key, *[q(c) for c in features]), features)
-        eps = auto_eps(scaled, key, features)
-        labels = cut(dbscan(scaled, key, features, eps).select(key, "cluster"))
+        points, dims = (scaled, features) if len(features) <= GRID_COLUMNS else principal_axes(scaled, key, features)
+        eps = auto_eps(points, key, dims)
+        labels = cut(dbscan(points, key, dims, eps).select(key, "cluster"))
         vectors = scaled.select(key, F.array(*[q(c) for c in features]).alias("features"))
         kept = vectors.join(labels.filter(F.col("cluster") != NOISE), key).select("features", "cluster")
         return df.join(labels, key), {"eps": eps, "silhouette": silhouette(kept, "features", "cluster")}
@@ -279,7 +293,8 @@ def auto_eps(df: DataFrame, key: str, dims: Sequence[str], min_samples: int = MI
 
     That radius is the 90th percentile of the distance to the ``min_samples``-th nearest
     point (itself included). Core points at a trial radius are counted on the grid, and the
-    radius is bracketed by doubling and halved down to ``tolerance``.
+    radius is bracketed by doubling and halved down to ``tolerance``. A table of fewer rows than
+    ``min_samples`` has no such radius and gets the smallest.
     """
 
     def share(eps: float) -> float:
@@ -287,7 +302,9 @@ def auto_eps(df: DataFrame, key: str, dims: Sequence[str], min_samples: int = MI
         row = grid.flagged().agg(F.sum(F.when(F.col("core"), F.col("w")).otherwise(0)).alias("c"), F.sum("w").alias("n")).first()
         return row["c"] / row["n"]
 
-    low, high = MIN_EPS, MIN_EPS
+    if df.limit(min_samples).count() < min_samples:
+        return MIN_EPS  # no radius makes any point core
+    low, high = MIN_EPS, 2 * MIN_EPS
     if share(MIN_EPS) >= EPS_SHARE:
         return MIN_EPS
     while share(high) < EPS_SHARE:

@@ -39,7 +39,7 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     floats = [c for c in df.columns if is_float(df, c)]
     if not floats:
         return df
-    return df.withColumns({c: F.nanvl(F.col(f"`{c}`"), F.lit(None).cast("double")) for c in floats})
+    return df.withColumns({c: F.nanvl(q(c), F.lit(None).cast(df.schema[c].dataType)) for c in floats})
 
 
 def q(name: str) -> Column:
@@ -51,6 +51,11 @@ def as_text(name: str) -> Column:
     return q(name).cast("string")
 
 
+def no_rows(df: DataFrame, schema: str) -> DataFrame:
+    """An empty table, the answer for a frame without any column of the kind asked for."""
+    return df.sparkSession.createDataFrame([], schema)
+
+
 def one_row_to_long(agg: DataFrame, records: list[dict[str, Column]]) -> DataFrame:
     """Turn a one-row aggregate into one row per record, without a second job."""
     structs = [F.struct(*[c.alias(k) for k, c in r.items()]) for r in records]

@@ -26,12 +26,13 @@ def shuffled_copies(
     A hash puts every row in a random bucket and orders it there; the value comes from the
     next row, the last taking the first's. That permutes each column over buckets which are
     random samples of a bounded size, in one shuffle per repeat for all features. Equal rows
-    share a hash; if they overfill a bucket, buckets are dealt out at random as well.
+    share a hash; if one overfills a bucket, the hash of the ``ties`` deals it out as well, so
+    the result depends on the rows alone.
     """
     copies = None
     parts = _bucket_parts(df, hashes[0], buckets)
     for i, h in enumerate(hashes):
-        part = F.floor(F.rand(i) * parts) if parts > 1 else F.lit(0)
+        part = F.pmod(F.xxhash64(F.lit(i), *[q(t) for t in ties]), F.lit(parts)).cast("int")
         placed = df.withColumn("__h", h).withColumn("__s", part)
         placed = placed.withColumn("__b", F.pmod(F.col("__h"), F.lit(buckets)) * parts + F.col("__s")).drop("__s")
         inside = W.partitionBy("__b").orderBy("__h", *ties)

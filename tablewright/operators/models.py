@@ -340,11 +340,15 @@ def load_bundle(spark: SparkSession, folder: str) -> tuple[PipelineModel, dict]:
 # ---- importance, stacking, search ----------------------------------------------------
 
 
-def tree_importance(model, names: Sequence[str]) -> dict[str, float]:
-    """Impurity importance per source column, one-hot parts added up."""
+def tree_importance(model, names: Sequence[str], columns: Sequence[str] = ()) -> dict[str, float]:
+    """Impurity importance per source column, one-hot parts (``column=level``) added up.
+
+    ``columns`` are the source columns; with them, names that hold ``=`` themselves stay apart.
+    """
     out: dict[str, float] = {}
     for name, value in zip(names, model.featureImportances.toArray()):
-        source = name.split("=", 1)[0]
+        fits = [c for c in columns if name == c or name.startswith(f"{c}=")]
+        source = max(fits, key=len) if fits else name.split("=", 1)[0]
         out[source] = out.get(source, 0.0) + float(value)
     return out
 

@@ -14,6 +14,7 @@ from tablewright.operators.columns import (
     categorical_columns,
     is_float,
     nan_to_null,
+    no_rows,
     numeric_columns,
     one_row_to_long,
     q,
@@ -103,6 +104,8 @@ def parse_date(c: Column) -> Column:
 def datetime_share(df: DataFrame) -> DataFrame:
     """Per text column: the share of rows that read as a date, nulls counted as failures."""
     columns = categorical_columns(df)
+    if not columns:
+        return no_rows(df, "column string, parsed double, is_date boolean")
     aggs = [F.avg(parse_date(q(c)).isNotNull().cast("double")).alias(f"s{i}") for i, c in enumerate(columns)]
     return one_row_to_long(
         df.agg(*aggs),
@@ -197,19 +200,21 @@ def robust_scale(df: DataFrame, columns: Sequence[str], stats=None) -> DataFrame
 # ---- categories ----------------------------------------------------------------------
 
 
-def category_levels(df: DataFrame, columns: Sequence[str], cap: int | None = None) -> dict[str, list[str]]:
+def category_levels(
+    df: DataFrame, columns: Sequence[str], cap: int | None = None, most: int = MOST_LEVELS
+) -> dict[str, list[str]]:
     """Levels per column in alphabetical order. Above ``cap`` levels only the
     ``cap - 1`` most frequent stay (ties: smaller text first).
 
     Only the kept levels reach the driver. Without ``cap`` a column may have at most
-    ``MOST_LEVELS`` values, else it is an error.
+    ``most`` values, else it is an error; raise it where so many indicator columns are wanted.
     """
     if not columns:
         return {}
     if cap is None:
         for c in columns:
-            if not distinct_at_most(df, c, MOST_LEVELS):
-                raise ValueError(f"column {c!r} has more than {MOST_LEVELS} levels; set a cap")
+            if not distinct_at_most(df, c, most):
+                raise ValueError(f"column {c!r} has more than {most} levels; set a cap or raise the limit")
     counts = value_counts(df, list(columns)).filter("value IS NOT NULL")
     if cap is not None:
         order = W.partitionBy("column").orderBy(F.desc("n"), "value")
@@ -290,12 +295,15 @@ def _sorted_levels(levels: DataFrame, code: str) -> DataFrame:
     return ranged.join(sizes, "__p").select("__v", (F.col("__before") + place - 1).cast("int").alias(code))
 
 
-def dummies(df: DataFrame, target: str | None = None) -> DataFrame:
-    """Numbers with null as 0; text as 0/1 columns without the first level; all rows kept."""
+def dummies(df: DataFrame, target: str | None = None, most: int = MOST_LEVELS) -> DataFrame:
+    """Numbers with null as 0; text as 0/1 columns without the first level; all rows kept.
+
+    A text column of more than ``most`` levels is an error, as each level is a column.
+    """
     df = nan_to_null(df)
     text = [c for c in categorical_columns(df) if c != target]
     numbers = [c for c in numeric_columns(df) if c != target]
-    levels = category_levels(df, text)
+    levels = category_levels(df, text, most=most)
     flags = {f"{c}_{v}": F.coalesce((q(c) == v).cast("int"), F.lit(0)) for c in text for v in levels[c][1:]}
     filled = df.withColumns({c: F.coalesce(q(c), F.lit(0)) for c in numbers} | flags)
     return filled.drop(*text)

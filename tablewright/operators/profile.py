@@ -10,6 +10,7 @@ from tablewright.operators.columns import (
     categorical_columns,
     datetime_columns,
     nan_to_null,
+    no_rows,
     numeric_columns,
     one_row_to_long,
     q,
@@ -181,6 +182,9 @@ def numeric_describe(df: DataFrame) -> DataFrame:
     """Count, mean, std, min, exact quartiles and max of every numeric column."""
     df = nan_to_null(df)
     columns = numeric_columns(df)
+    if not columns:
+        kinds = " double, ".join(["mean", "std", "min", "q25", "q50", "q75", "max"])
+        return no_rows(df, f"column string, count bigint, {kinds} double")
     quartiles = exact_quantiles(df, columns, [0.25, 0.5, 0.75])
     aggs, records = [], []
     for i, c in enumerate(columns):
@@ -208,7 +212,10 @@ def categorical_top(df: DataFrame, k: int = 5, kind: str = "other") -> DataFrame
     """
     from pyspark.sql import Window as W
 
-    counts = value_counts(df, categorical_columns(df, kind))
+    columns = categorical_columns(df, kind)
+    if not columns:
+        return no_rows(df, "column string, value string, n bigint, rank int, distinct bigint")
+    counts = value_counts(df, columns)
     order = W.partitionBy("column").orderBy(F.desc("n"), F.asc_nulls_first("value"))
     top = counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     distinct = counts.groupBy("column").agg(F.count("value").alias("distinct"))
@@ -235,6 +242,8 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataF
     """Pearson correlation of every pair, rows with a null in either left out; one scan."""
     df = nan_to_null(df)
     columns = columns or numeric_columns(df)
+    if not columns:
+        return no_rows(df, "a string, b string, corr double")
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
     aggs = [
         F.corr(q(a).cast("double"), q(b).cast("double")).alias(f"r{n}") for n, (a, b) in enumerate(pairs)
@@ -262,6 +271,9 @@ def box_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Quartiles, whiskers (furthest points within 1.5 IQR) and outliers per column."""
     df = nan_to_null(df)
     columns = columns or numeric_columns(df)
+    empty = "column string, q1 double, median double, q3 double, lower double, upper double, outliers bigint"
+    if not columns:
+        return no_rows(df, empty)
     quartiles = exact_quantiles(df, columns, [0.25, 0.5, 0.75])
     aggs, records = [], []
     for i, c in enumerate(columns):
@@ -281,12 +293,16 @@ def box_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
                 "outliers": F.col(f"out{i}"),
             }
         )
+    if not records:  # every value of every column is missing
+        return no_rows(df, empty)
     return one_row_to_long(df.agg(*aggs), records)
 
 
 def feature_ranges(df: DataFrame, k: int = 5, exclude: tuple[str, ...] = ()) -> DataFrame:
     """Min and max of the first ``k`` numeric features."""
     columns = [c for c in numeric_columns(df) if c not in exclude][:k]
+    if not columns:
+        return no_rows(df, "column string, low double, high double")
     agg = nan_to_null(df).agg(
         *[f(q(c).cast("double")).alias(f"{p}{i}") for i, c in enumerate(columns) for f, p in ((F.min, "lo"), (F.max, "hi"))]
     )
@@ -301,6 +317,8 @@ def value_column_ranking(df: DataFrame) -> DataFrame:
     one to forecast, earlier columns winning ties."""
     dates = set(datetime_columns(df))
     columns = [c for c in numeric_columns(df) if c not in dates]
+    if not columns:
+        return no_rows(df, "column string, position int, variation double")
     aggs, records = [], []
     for i, c in enumerate(columns):
         v = q(c).cast("double")

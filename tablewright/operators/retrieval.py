@@ -14,13 +14,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tablewright.functions.text import chunk_starts, words
-from tablewright.session import cut
+from tablewright.session import cut, stored
 
 CHUNK_WORDS = 400
 CHUNK_OVERLAP = 80
 TOP_K = 4
 ANSWER_CHARS = 300
 QUERY_BATCH = 1024
+#: rows of the base compared with one batch of queries in one task
+BASE_BLOCK = 65_536
 BROADCAST_HITS = 100_000
 
 
@@ -100,29 +102,34 @@ def nearest(
 ) -> DataFrame:
     """``(query_id, item_id, distance, rank)``: the exact ``k`` nearest by squared distance.
 
-    The base is read once per ``batch`` queries: a batch is small enough to send to every
-    task, each task keeps ``k`` rows per query, and only those are ranked together. More
-    queries than one batch take more passes; no pair is ever shuffled. Ids are integers.
+    Up to ``batch`` queries go to every task and the base is not shuffled. More are a table
+    like any other: queries and base are dealt into blocks, each pair of blocks is compared in
+    one task that keeps ``k`` rows per query, and only those are ranked together. The plan is
+    the same for any number of queries, and no pair of rows is ever shuffled. Ids are integers.
     """
-    slim = base.select(ids, vector)
-    total = queries.count()
-    passes = max(1, -(-total // batch))
+    slim = base.select(F.col(ids).alias("item_id"), F.col(vector).alias("v"))
     numbered = queries.select(F.col(query_id).cast("bigint").alias("query_id"), F.col(vector).alias("v"))
-    part = F.pmod(F.xxhash64("query_id"), F.lit(passes))
-    parts = None
-    for i in range(passes):
-        rows = numbered.filter(part == i).collect() if passes > 1 else numbered.collect()
-        if not rows:
-            continue
-        points = np.array([r["v"] for r in rows], dtype="float64")
-        top = slim.mapInPandas(
-            _partial_top(ids, vector, [r["query_id"] for r in rows], points, k),
-            "query_id bigint, item_id bigint, distance double",
-        )
-        parts = top if parts is None else parts.unionByName(top)
-    if parts is None:
-        empty = "CAST(NULL AS BIGINT) query_id, CAST(NULL AS BIGINT) item_id, CAST(NULL AS DOUBLE) distance, 0 rank"
-        return base.sparkSession.sql(f"SELECT {empty} WHERE false")
+    kind = "query_id bigint, item_id bigint, distance double"
+    few = numbered.limit(batch + 1).collect()
+    if not few:
+        return base.sparkSession.createDataFrame([], f"{kind}, rank int")
+    if len(few) <= batch:
+        points = np.array([r["v"] for r in few], dtype="float64")
+        parts = slim.mapInPandas(_partial_top("item_id", "v", [r["query_id"] for r in few], points, k), kind)
+    else:
+        turns, dealt = -(-numbered.count() // batch), max(1, -(-slim.count() // BASE_BLOCK))
+        left = slim.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(dealt)))
+        left = left.withColumn("turn", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(turns - 1).cast("bigint"))))
+        right = numbered.withColumn("turn", F.pmod(F.xxhash64("query_id"), F.lit(turns)))
+        right = right.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(dealt - 1).cast("bigint"))))
+
+        def compare(some: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+            if some.empty or asked.empty:
+                return pd.DataFrame({"query_id": [], "item_id": [], "distance": []})
+            points = np.stack(asked["v"].to_numpy()).astype("float64")
+            return pd.concat(_partial_top("item_id", "v", asked["query_id"].tolist(), points, k)(iter([some])))
+
+        parts = left.groupBy("block", "turn").cogroup(right.groupBy("block", "turn")).applyInPandas(compare, kind)
     order = W.partitionBy("query_id").orderBy("distance", "item_id")
     return parts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
@@ -156,8 +163,8 @@ class DocumentIndex:
 
     def load(self, df: DataFrame, key: str, text: str = "text") -> "DocumentIndex":
         chunks = chunk_documents(df, key, text, self.size, self.overlap)
-        item = (F.col(key) * F.lit(1_000_000) + F.col("chunk_id")).cast("bigint")
-        self.chunks = chunks.withColumn("item_id", item)
+        # numbered once and written, so keys of any type and any number of chunks are told apart
+        self.chunks = stored(chunks.withColumn("item_id", F.monotonically_increasing_id()))
         return self
 
     def build(self) -> "DocumentIndex":

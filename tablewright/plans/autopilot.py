@@ -10,16 +10,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tablewright.operators import catalog, explain, insights, models, profile, sampling
-from tablewright.operators.columns import q
+from tablewright.operators import catalog, explain, forecasting, insights, models, prepare, profile, sampling, timeseries
+from tablewright.operators.columns import datetime_columns, q
 from tablewright.operators.ranking import HASH_SPACE, row_hash
+from tablewright.session import cut
 from tablewright.sources.sinks import write_table
 
 EXPLAINED_ROWS = 100
 BACKGROUND_ROWS = 50
 
 
-def explain_model(task: models.Task, model, rows: int = EXPLAINED_ROWS, background: int = 10, orders: int = 10, seed: int = 42) -> DataFrame:
+def explain_model(task: models.Task, model, rows: int = EXPLAINED_ROWS, background: int = BACKGROUND_ROWS, orders: int = 10, seed: int = 42) -> DataFrame:
     """Monte-Carlo Shapley values of a trained model on a fixed-size sample of test rows.
 
     Values are per model input (scaled numbers, indicator columns); their number is bounded
@@ -96,7 +97,7 @@ def run(df: DataFrame, target: str | None = None, budget: float = 600.0, folder:
     best = board[0]
     held_out, report = models.evaluate(task, best.model)
     rows += [("evaluate", k, f"{v:.6f}") for k, v in held_out.items() if v is not None]
-    importance = model_importance(task, best.model, repeats=3)
+    importance = model_importance(task, best.model)
     top = importance.orderBy(F.desc("importance"), "feature").limit(20).collect()
     rows += [("explain", r["feature"], f"{r['importance']:.6f}") for r in top]
     if folder:
@@ -112,6 +113,75 @@ def run(df: DataFrame, target: str | None = None, budget: float = 600.0, folder:
     return spark.createDataFrame(rows, "stage string, key string, value string")
 
 
+def find_time(df: DataFrame) -> str:
+    """The first date column, else the first text column that reads as dates; an error if there is none."""
+    found = datetime_columns(df) or prepare.date_text_columns(df)
+    if not found:
+        raise ValueError("no time column found; name one")
+    return found[0]
+
+
+def find_value(df: DataFrame, time: str) -> str:
+    """The numeric column of the largest relative variation; an error if there is none."""
+    first = profile.value_column_ranking(df.drop(time)).first()
+    if first is None:
+        raise ValueError("no numeric column to forecast; name one")
+    return first["column"]
+
+
+# Names of the usual steps, which have a season of their own.
+STEPS = {3600: "1 hour", 86400: "1 day", 604800: "7 days"}
+
+
+def find_step(points: DataFrame, time: str) -> str:
+    """The step between the points of one series; a day where they are irregular or few."""
+    found = timeseries.infer_frequency(points.withColumn("__all", F.lit(0)), ["__all"], time).first()
+    if found is None:
+        return "1 day"
+    if found["months"]:
+        return "1 month" if found["months"] == 1 else f"{found['months']} months"
+    seconds = max(1, found["seconds"])
+    return STEPS.get(seconds, f"{seconds} seconds")
+
+
+def forecast(
+    df: DataFrame, time: str | None = None, value: str | None = None, horizon: int = 30, folder: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Unattended forecast: ``(facts, forecast)``.
+
+    Finds the time and value columns unless they are named, averages values of equal times,
+    infers the step, puts the points on its grid, fills short gaps, lets the candidates race on
+    the held-out end and refits the winner on all points. ``facts`` are ``(stage, key, value)``
+    rows. With ``folder`` the forecast and a ``run_meta`` of mode ``forecast`` are written there.
+    """
+    spark = df.sparkSession
+    for name in (time, value):
+        if name is not None and name not in df.columns:
+            raise ValueError(f"no column {name!r}")
+    time = time or find_time(df)
+    value = value or find_value(df, time)
+    stamp = prepare.parse_date(q(time)) if dict(df.dtypes)[time] == "string" else q(time).cast("timestamp")
+    points = df.select(F.lit("all").alias("series"), stamp.alias("ts"), q(value).cast("double").alias("value")).na.drop()
+    points = cut(timeseries.mean_per_timestamp(points, ["series"], "ts", "value"))
+    step = find_step(points, "ts")
+    grid = timeseries.regularize(points, ["series"], "ts", "value", step)
+    series = cut(timeseries.interpolate_gaps(grid, ["series"], "ts", "value"))
+    n = series.count()
+    out = cut(forecasting.forecast_race(series, ["series"], "ts", "value", horizon, step).drop("series"))
+    best = out.select("model", "mae", "status").first()
+    held_out = max(n // 5, horizon) if best and best["status"] == forecasting.FITTED else 0
+    facts = [("detect", "time", time), ("detect", "value", value), ("detect", "step", step), ("series", "points", str(n))]
+    facts.append(("series", "held_out", str(held_out)))
+    if best:
+        facts += [("race", "model", best["model"]), ("race", "mae", None if best["mae"] is None else f"{best['mae']:.6f}")]
+    if folder:
+        write_table(out, f"{folder}/forecast", "csv")
+        meta = [("forecast", best["model"] if best else None, time, value, step, horizon, best["mae"] if best else None)]
+        kinds = "mode string, best_model string, time string, value string, step string, horizon int, mae double"
+        spark.createDataFrame(meta, kinds).write.mode("overwrite").json(f"{folder}/run_meta")
+    return spark.createDataFrame(facts, "stage string, key string, value string"), out
+
+
 def review(df: DataFrame, target: str, problem: str, candidates=None) -> DataFrame:
     """Explore, check quality, model, judge, advise: one ``(step, key, value)`` table."""
     spark = df.sparkSession

@@ -58,8 +58,10 @@ def discover(spark: SparkSession, root: str) -> DataFrame:
         .option("pathGlobFilter", "*.{" + ",".join(KINDS) + "}").load(root)
         .select("path", "length")
     )
-    relative = F.regexp_replace("path", "^.*?" + root.rstrip("/").replace(".", r"\.") + "/", "")
-    listed = files.select("path", relative.alias("relative"), F.col("length").alias("bytes"))
+    inside = f"{root.rstrip('/')}/"
+    # by length, not by pattern: a root may hold any characters
+    relative = F.expr("substring(path, locate(root, path) + length(root))")
+    listed = files.withColumn("root", F.lit(inside)).select("path", relative.alias("relative"), F.col("length").alias("bytes"))
     return listed.filter(~skipped(F.col("relative"))).distinct().orderBy("relative")
 
 

@@ -59,9 +59,9 @@ def evaluate_holdout(spark, sf):
 def feature_importance(spark, sf):
     task = quality_task(spark, sf)
     forest = models.candidate_models("binary", trees=20)["RandomForest"].fit(task.part("train"))
-    shares = models.tree_importance(forest, task.spec.names)
+    shares = models.tree_importance(forest, task.spec.names, [*task.spec.numeric, *task.spec.categorical])
     impurity = spark.createDataFrame(list(shares.items()), "feature string, impurity double")
-    drops = autopilot.model_importance(task, forest, repeats=3)
+    drops = autopilot.model_importance(task, forest)
     return drops.join(impurity, "feature", "full").orderBy(F.desc("importance"), "feature")
 
 
@@ -86,7 +86,7 @@ def mlp(spark, sf):
     dims = len(vectors.select("embedding").first()[0])
     wide = vectors.select("vec_id", *[F.col("embedding")[i].alias(f"e{i}") for i in range(dims)], F.col("label").cast("string").alias("label"))
     task = models.prepare_task(wide, "label", "multiclass", seeded_hash(F.col("vec_id")), ["vec_id"])
-    model = models.network(len(task.spec.names), len(task.labels), epochs=30).fit(task.part("train"))
+    model = models.network(len(task.spec.names), len(task.labels), epochs=80).fit(task.part("train"))
     found, _ = models.evaluate(task, model)
     return spark.createDataFrame([(k, float(v)) for k, v in found.items()], "metric string, value double")
 
@@ -251,6 +251,22 @@ def forecast_race(spark, sf):
     return forecasting.forecast_race(series, ["event_type"], "ts", "value", 24, "1 hour")
 
 
+@query(
+    "forecast_run",
+    f"""WITH {filled_sql("SELECT 'all' AS series, o_orderdate AS ts, o_totalprice AS value FROM orders", 'series', '1 day')},
+    n AS (SELECT count(*) AS n FROM f), v AS (SELECT stddev_samp(o_totalprice) / abs(avg(o_totalprice)) AS price,
+      stddev_samp(o_custkey) / abs(avg(o_custkey)) AS customer FROM orders)
+    SELECT 'time' AS key, 'o_orderdate' AS value UNION ALL SELECT 'value', CASE WHEN price >= customer THEN 'o_totalprice' ELSE 'o_custkey' END FROM v
+    UNION ALL SELECT 'step', '1 day' UNION ALL SELECT 'points', CAST(n AS VARCHAR) FROM n
+    UNION ALL SELECT 'held_out', CAST(greatest(n // 5, 30) AS VARCHAR) FROM n""",
+)
+def forecast_run(spark, sf):
+    """Columns, step and hold-out that an unattended forecast of the orders finds for itself."""
+    orders = table(spark, sf, "orders").select("o_orderpriority", "o_totalprice", "o_custkey", "o_orderdate")
+    facts, _ = autopilot.forecast(orders, folder=f"{scratch(spark)}/orders")
+    return facts.filter("stage <> 'race'").select("key", "value")
+
+
 @query("trend_fourier")
 def trend_fourier(spark, sf):
     return forecasting.trend_fourier(daily(spark, sf), ["o_orderstatus"], "ts", "value", 30)

@@ -78,7 +78,7 @@ def document_answers(spark, sf):
 @query("tfidf_embed")
 def tfidf_embed(spark, sf):
     chunks = retrieval.chunk_documents(table(spark, sf, "documents", spread=True), "doc_id")
-    return retrieval.embed(retrieval.fit_embedder(chunks, dim=256), chunks).drop("text")
+    return retrieval.embed(retrieval.fit_embedder(chunks), chunks).drop("text")
 
 
 @query(
@@ -138,6 +138,35 @@ def dbscan(spark, sf):
     return clustering.dbscan(plane(spark, sf), "c_custkey", PLANE, 0.1)
 
 
+WIDE = f"""p AS (SELECT c_custkey, round(balance * 20, 6) AS balance, round(spend * 20, 6) AS spend FROM ({_scaled_sql(tuple(PLANE), CUSTOMER_POINTS, 'c_custkey')})),
+  q AS (SELECT a.c_custkey AS a, b.c_custkey AS b, (a.balance - b.balance) ** 2 + (a.spend - b.spend) ** 2 AS d FROM p a, p b),
+  fifth AS (SELECT a, d FROM (SELECT a, d, row_number() OVER (PARTITION BY a ORDER BY d) AS r FROM q) WHERE r = 5),
+  radius AS (SELECT 0.3::DOUBLE AS low, 0.6::DOUBLE AS high, true AS growing, 0 AS step
+    UNION ALL SELECT CASE WHEN growing THEN CASE WHEN much THEN low ELSE high END WHEN half THEN low ELSE (low + high) / 2 END,
+      CASE WHEN growing THEN CASE WHEN much THEN high ELSE 2 * high END WHEN half THEN (low + high) / 2 ELSE high END,
+      growing AND NOT much, step + 1
+    FROM (SELECT r.*, (SELECT avg(CASE WHEN d <= r.high * r.high THEN 1.0 ELSE 0.0 END) FROM fifth) >= 0.9 AS much,
+        (SELECT avg(CASE WHEN d <= (r.low + r.high) / 2 * (r.low + r.high) / 2 THEN 1.0 ELSE 0.0 END) FROM fifth) >= 0.9 AS half FROM radius r)
+    WHERE growing OR high - low > 0.01 * low),
+  eps AS (SELECT CASE WHEN (SELECT avg(CASE WHEN d <= 0.09 THEN 1.0 ELSE 0.0 END) FROM fifth) >= 0.9 THEN 0.3 ELSE arg_max(high, step) END AS eps FROM radius),
+  e AS (SELECT a, b FROM q, eps WHERE d <= eps * eps),
+  k AS (SELECT a AS c_custkey, count(*) >= 5 AS core FROM e GROUP BY 1)"""
+
+
+@query(
+    "dbscan_auto",
+    f"""WITH RECURSIVE {WIDE}, g AS (SELECT e.a, e.b FROM e JOIN k x ON x.c_custkey = e.a AND x.core JOIN k y ON y.c_custkey = e.b AND y.core),
+    r(a, label) AS (SELECT a, a FROM g WHERE a = b UNION SELECT g.b, r.label FROM r JOIN g ON g.a = r.a WHERE g.b > r.label),
+    l AS (SELECT a, min(label) AS label FROM r GROUP BY 1)
+    SELECT k.c_custkey, k.core, coalesce(CASE WHEN core THEN (SELECT label FROM l WHERE l.a = k.c_custkey)
+      ELSE (SELECT min(label) FROM e JOIN l ON l.a = e.b WHERE e.a = k.c_custkey) END, -1) AS cluster FROM k""",
+)
+def dbscan_auto(spark, sf):
+    """Density clusters with the radius found from the data."""
+    wide = plane(spark, sf).select("c_custkey", *[F.round(F.col(c) * 20, 6).alias(c) for c in PLANE])
+    return clustering.dbscan(wide, "c_custkey", PLANE)
+
+
 def _shape(spark, sf):
     return clustering.feature_vectors(customer_points(spark, sf), ["balance", "n_orders", "spend"]).select("c_custkey", "features").cache()
 

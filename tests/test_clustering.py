@@ -133,3 +133,16 @@ def test_chunks(spark):
     docs = spark.createDataFrame([(1, " ".join(map(str, range(1000)))), (2, ""), (3, "a b")], "id long, text string")
     got = retrieval.chunk_documents(docs, "id").withColumn("n", F.size(F.split("text", " "))).orderBy("id", "chunk_id").collect()
     assert [(r["id"], r["chunk_id"], r["n"]) for r in got] == [(1, 0, 400), (1, 1, 400), (1, 2, 360), (1, 3, 40), (3, 0, 2)]
+
+
+def test_density_clusters_of_many_columns_and_of_few_rows(spark):
+    rng = np.random.default_rng(2)
+    points = np.vstack([rng.normal(c, 0.05, size=(60, 5)) for c in (0.0, 3.0)])
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(points)], "key long, a double, b double, c double, d double, e double")
+    out, facts = clustering.run_clustering(df, "key", "dbscan")
+    label = {r["key"]: r["cluster"] for r in out.collect()}
+    assert len(label) == 120 and facts["eps"] > 0
+    left, right = ({label[i] for i in part} - {-1} for part in (range(60), range(60, 120)))
+    assert left and right and not left & right
+    few, _ = clustering.run_clustering(df.limit(4), "key", "dbscan")
+    assert {r["cluster"] for r in few.collect()} == {-1}

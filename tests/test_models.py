@@ -3,10 +3,11 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import functions as F
 
-from tablewright.operators import catalog, explain, models, prepare
+from tablewright.operators import catalog, explain, models, prepare, profile, retrieval
 from tablewright.operators.sqlguard import SqlDesk
 from tablewright.plans import autopilot, batch
 from tablewright.sources import readers, sinks
@@ -182,6 +183,58 @@ def test_sql_desk(spark):
         assert not out["success"] and out["error"]
 
 
+def test_unattended_forecast(spark, tmp_path):
+    days = pd.date_range("2024-01-01", periods=60)
+    frame = pd.DataFrame({"day": days.strftime("%Y-%m-%d"), "flat": 5.0, "sales": 50 + np.arange(60) + np.arange(60) % 5, "shop": "x"})
+    facts, out = autopilot.forecast(spark.createDataFrame(frame), horizon=7, folder=f"{tmp_path}/f")
+    found = {r["key"]: r["value"] for r in facts.collect()}
+    assert (found["time"], found["value"], found["step"], found["points"], found["held_out"]) == ("day", "sales", "1 day", "60", "12")
+    rows = out.orderBy("step").collect()
+    assert [r["step"] for r in rows] == list(range(1, 8)) and abs(rows[0]["forecast"] - 110) < 5
+    models.save_bundle(PipelineModel([]), {"target": "t", "problem_type": "regression", "best_model": "Linear"}, f"{tmp_path}/a")
+    labels = {r["label"] for r in readers.run_history(spark, str(tmp_path)).collect()}
+    assert labels == {"Linear (regression)", f"{found['model']} (forecast)"}
+    for bad, text in ((spark.range(3), "no time column"), (spark.createDataFrame(frame[["day", "shop"]]), "no numeric column")):
+        with pytest.raises(ValueError, match=text):
+            autopilot.forecast(bad)
+    monthly = spark.range(24).selectExpr("add_months(date'2020-01-15', CAST(id AS INT)) AS m", "CAST(id AS DOUBLE) AS v")
+    assert {r["key"]: r["value"] for r in autopilot.forecast(monthly, horizon=3)[0].collect()}["step"] == "1 month"
+
+
+def test_frames_without_the_columns_asked_for(spark):
+    words, numbers = spark.createDataFrame([("a",)], "w string"), spark.createDataFrame([(1.5, None)], "x float, y double")
+    assert profile.numeric_describe(words).count() == profile.correlation_matrix(words).count() == profile.box_stats(words).count() == 0
+    assert profile.categorical_top(numbers).count() == prepare.datetime_share(numbers).count() == 0
+    assert [r["column"] for r in profile.box_stats(numbers).collect()] == ["x"]
+    assert {r["column"]: r["dtype"] for r in profile.column_profile(numbers).collect()} == {"x": "float", "y": "double"}
+
+
+def test_discovery_takes_any_root(spark, tmp_path):
+    root = tmp_path / "a+b (c).d"
+    root.mkdir()
+    (root / "t.csv").write_text("x\n1\n")
+    assert [r["relative"] for r in readers.discover(spark, str(root)).collect()] == ["t.csv"]
+
+
+def test_importance_of_columns_with_equals_signs():
+    class Tree:
+        featureImportances = type("V", (), {"toArray": lambda self: np.array([0.2, 0.3, 0.5])})()
+
+    assert models.tree_importance(Tree(), ["a=b", "a=x", "a=b=c"], ["a", "a=b"]) == {"a=b": 0.7, "a": 0.3}
+
+
+def test_nearest_in_blocks_equals_one_pass(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    base = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(90, 3)))], "vec_id long, embedding array<double>")
+    asked = base.limit(25).selectExpr("vec_id AS query_id", "embedding")
+    whole = {tuple(r) for r in retrieval.nearest(base, asked).collect()}
+    monkeypatch.setattr(retrieval, "BASE_BLOCK", 20)
+    assert {tuple(r) for r in retrieval.nearest(base, asked, batch=7).collect()} == whole
+    index = retrieval.DocumentIndex(size=5, overlap=1).load(spark.createDataFrame([("k1", "one two three"), ("k2", "four five six")], "k string, text string"), "k").build()
+    out = index.query(spark.createDataFrame([(1, "four six")], "q long, text string"), "q", k=1).first()
+    assert out["context"] == "four five six"
+
+
 def test_sql_desk_looks_at_the_plan(spark):
     desk = SqlDesk(spark)
     desk.register("data", spark.range(3).selectExpr("id AS val", "concat('x', id) AS name"))
