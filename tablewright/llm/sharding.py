@@ -13,6 +13,8 @@ SHARDS = 16
 _JUMPS = 64
 #: different rows of a shard that are numbered together, about
 BUCKET_ROWS = 2048
+#: slots of equal rows that are made from one array
+_RUN = 65_536
 #: multiplier of the generator that jump consistent hashing is defined with, a fixed value
 MULTIPLIER = 2862933555777941757
 _LOW = (1 << 32) - 1
@@ -103,8 +105,11 @@ def shard_table(df: DataFrame, ids: str = "doc_id", text: str = "text", shards:
     within = W.partitionBy("shard", "bucket").orderBy("md5", "id", "size", "text_crc32").rowsBetween(W.unboundedPreceding, -1)
     numbered = placed.withColumn("first", F.coalesce(F.sum("n").over(within), F.lit(0))).join(offsets, ["shard", "bucket"])
     first = F.col("offset") + F.col("first")
-    slots = F.when(F.col("n") == 1, F.array(first)).otherwise(F.sequence(first, first + F.col("n") - 1))
-    return numbered.select(
+    # rows that look the same come back in runs, so no array grows with their number
+    runs = F.explode(F.sequence(first, first + F.col("n") - 1, F.lit(_RUN))).alias("start")
+    dealt = numbered.select("id", "size", "text_crc32", "shard", "grown_shard", (first + F.col("n") - 1).alias("last"), runs)
+    slots = F.sequence("start", F.least(F.col("last"), F.col("start") + (_RUN - 1)))
+    return dealt.select(
         F.col("id").alias(ids), "size", "text_crc32", F.lit("key").alias("law"), "shard", F.explode(slots).alias("slot"), "grown_shard"
     )
 

@@ -325,6 +325,7 @@ def test_more_jumps_than_the_short_loop(spark, monkeypatch):
 
 def test_slots(spark, odd, none, monkeypatch):
     monkeypatch.setattr(sharding, "BUCKET_ROWS", 3)
+    monkeypatch.setattr(sharding, "_RUN", 7)
     rows = [(i, "text" * (i % 5)) for i in range(700)] + [(None, "a")] * 40 + [(3, None)] * 5
     out = sharding.shard_table(spark.createDataFrame(rows, "doc_id long, text string"), shards=4).collect()
     assert len(out) == len(rows)
