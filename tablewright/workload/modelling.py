@@ -11,7 +11,7 @@ from tablewright.functions.text import words
 from tablewright.operators import explain, forecasting, models, sampling
 from tablewright.operators.ranking import seeded_hash
 from tablewright.plans import autopilot, batch
-from tablewright.session import scratch
+from tablewright.session import cut, scratch
 from tablewright.sources.readers import run_history
 from tablewright.streaming.scoring import score_stream
 from tablewright.workload import query, table
@@ -36,21 +36,21 @@ def quality_task(spark, sf):
 @query("leaderboard")
 def leaderboard(spark, sf):
     task = quality_task(spark, sf)
-    return models.leaderboard_frame(spark, models.train_leaderboard(task, models.candidate_models("binary", trees=20, rounds=10)), task.problem)
+    return models.leaderboard_frame(spark, models.train_leaderboard(task, models.candidate_models("binary")), task.problem)
 
 
 @query("leaderboard_regression")
 def leaderboard_regression(spark, sf):
     columns = ["l_quantity", "l_discount", "l_tax", "l_returnflag", "l_extendedprice"]
     task = models.prepare_task(table(spark, sf, "lineitem").select(*columns), "l_extendedprice", "regression")
-    board = models.train_leaderboard(task, models.candidate_models("regression", trees=20, rounds=10))
+    board = models.train_leaderboard(task, models.candidate_models("regression"))
     return models.leaderboard_frame(spark, board, "regression")
 
 
 @query("evaluate_holdout")
 def evaluate_holdout(spark, sf):
     task = quality_task(spark, sf)
-    best = models.train_leaderboard(task, {"LogisticRegression": models.candidate_models("binary")["LogisticRegression"]})[0]
+    best = models.train_leaderboard(task)[0]
     _, report = models.evaluate(task, best.model)
     return report
 
@@ -58,7 +58,7 @@ def evaluate_holdout(spark, sf):
 @query("feature_importance")
 def feature_importance(spark, sf):
     task = quality_task(spark, sf)
-    forest = models.candidate_models("binary", trees=20)["RandomForest"].fit(task.part("train"))
+    forest = models.candidate_models("binary")["RandomForest"].fit(task.part("train"))
     shares = models.tree_importance(forest, task.spec.names, [*task.spec.numeric, *task.spec.categorical])
     impurity = spark.createDataFrame(list(shares.items()), "feature string, impurity double")
     drops = autopilot.model_importance(task, forest)
@@ -68,7 +68,7 @@ def feature_importance(spark, sf):
 @query("stacked_ensemble")
 def stacked_ensemble(spark, sf):
     task = quality_task(spark, sf)
-    predict, _ = models.stacked_ensemble(task, models.candidate_models("multiclass", trees=10), folds=3)
+    predict, _ = models.stacked_ensemble(task)
     found = models.scores(predict(task.part("test")), task.problem)
     return spark.createDataFrame([(k, float(v)) for k, v in found.items()], "metric string, value double")
 
@@ -167,8 +167,7 @@ def history(spark, sf):
 @query("autopilot_run")
 def autopilot_run(spark, sf):
     folder = scratch(spark)
-    quick = models.candidate_models("binary", trees=10, rounds=3)
-    return autopilot.run(document_quality(spark, sf), "quality", folder=folder, candidates=quick)
+    return autopilot.run(document_quality(spark, sf), "quality", folder=folder)
 
 
 @query("review_steps")
@@ -240,7 +239,7 @@ def forecast_race_short(spark, sf):
 
 @query("lag_forecast")
 def lag_forecast(spark, sf):
-    series = filled(hourly(spark, sf), "event_type", "1 hour").persist()
+    series = cut(filled(hourly(spark, sf), "event_type", "1 hour"))
     boosted = GBTRegressor(maxIter=10, maxDepth=4, seed=42)
     return forecasting.lag_forecast(series, ["event_type"], "ts", "value", 12, "1 hour", boosted)
 

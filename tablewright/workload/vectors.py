@@ -7,6 +7,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from tablewright.operators import clustering, retrieval
+from tablewright.session import cut
 from tablewright.workload import query, table
 from tablewright.workload.frames import CUSTOMER_POINTS, customer_points
 from tablewright.workload.preparation import _scaled_sql
@@ -168,24 +169,24 @@ def dbscan_auto(spark, sf):
 
 
 def _shape(spark, sf):
-    return clustering.feature_vectors(customer_points(spark, sf), ["balance", "n_orders", "spend"]).select("c_custkey", "features").cache()
+    return cut(clustering.feature_vectors(customer_points(spark, sf), ["balance", "n_orders", "spend"]).select("c_custkey", "features"))
 
 
 @query("kmeans_auto")
 def kmeans_auto(spark, sf):
-    out, _, _, _ = clustering.kmeans_auto(_shape(spark, sf), max_k=5, seeds=(42, 43))
+    out, _, _, _ = clustering.kmeans_auto(_shape(spark, sf), seeds=(42, 43))
     return out.select("c_custkey", "cluster")
 
 
 @query("gmm_auto")
 def gmm_auto(spark, sf):
-    out, _, _, _ = clustering.gmm_auto(_shape(spark, sf), max_k=4)
+    out, _, _, _ = clustering.gmm_auto(_shape(spark, sf))
     return out.select("c_custkey", "cluster")
 
 
 @query("hierarchical")
 def hierarchical(spark, sf):
-    out, _, _, _ = clustering.hierarchical_auto(_shape(spark, sf), max_k=5)
+    out, _, _, _ = clustering.hierarchical_auto(_shape(spark, sf))
     return out.select("c_custkey", "cluster")
 
 
