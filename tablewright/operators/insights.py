@@ -24,6 +24,8 @@ ADVICE = (
     "Validate model on holdout data that reflects real production distribution.",
     "Monitor model drift quarterly and retrain when performance degrades > 5%.",
 )
+DRIVERS = "Focus on top drivers: %s. These explain most of the model's predictive power."
+NO_MODEL = "No trained model found. Train a model first."
 NO_DRIVERS = "Collect more data and ensure feature quality before deployment."
 OVERFIT_FROM, OK_FROM, RESIDUAL_OK = 0.95, 0.6, 1.0
 
@@ -117,3 +119,67 @@ def report_overview(df: DataFrame, target: str | None, problem: str) -> DataFram
     }
     return kpis.select(F.inline(F.array(*[F.struct(F.lit(k).alias("metric"), v.alias("value")) for k, v in rows.items()])))
 
+
+def _numbered(part: str, texts: DataFrame) -> DataFrame:
+    """``(section, key, value)`` of a one-row table whose ``texts`` is an array, numbered from 1."""
+    placed = texts.select(F.posexplode("texts").alias("p", "value"))
+    return placed.select(F.lit(part).alias("section"), (F.col("p") + 1).cast("string").alias("key"), "value")
+
+
+def drivers(importance: DataFrame, k: int = 3) -> DataFrame:
+    """One row of ``texts``: advice on the ``k`` most important of ``(feature, importance)``, or none."""
+    top = importance.orderBy(F.desc("importance"), "feature").limit(k)
+    listed = F.sort_array(F.collect_list(F.struct((-F.col("importance")).alias("s"), "feature")))["feature"]
+    text = F.format_string(DRIVERS, F.array_join("l", ", "))
+    return top.agg(listed.alias("l")).select(F.when(F.size("l") > 0, F.array(text)).otherwise(F.array().cast("array<string>")).alias("texts"))
+
+
+def business_insights(df: DataFrame, target: str | None, problem: str, importance: DataFrame | None = None) -> DataFrame:
+    """KPIs, summary, recommendations and risks as one ``(section, key, value)`` table.
+
+    With the ``(feature, importance)`` of a model its top drivers are recommended; without, or
+    where it has none, the standing advice is given.
+    """
+    kpis = kpi_row(df, target)
+    facts = kpis.select(F.inline(F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).cast("string").alias("value")) for c in kpis.columns])))
+    out = facts.filter("value IS NOT NULL").select(F.lit("kpis").alias("section"), "key", "value")
+    summary = summary_text(df, target, problem, importance is not None).select(F.array("summary").alias("texts"))
+    advice = kpis.select(F.array(*[F.lit(a) for a in ADVICE]).alias("texts"))
+    if importance is not None:
+        found = drivers(importance).withColumnRenamed("texts", "found")
+        standing = F.array(*[F.lit(a) for a in ADVICE])
+        advice = found.select(F.when(F.size("found") > 0, F.col("found")).otherwise(standing).alias("texts"))
+    missing = [c for c in ("minority_class_pct",) if c not in kpis.columns]
+    complete = kpis.withColumns({c: F.lit(None).cast("double") for c in missing}) if missing else kpis
+    order = F.array_position(F.array(*[F.lit(r) for r in RISKS]), F.col("rule"))
+    risks = risk_rules(complete.select("rows", "missing_pct", "categorical_features", "minority_class_pct"))
+    risks = risks.agg(F.sort_array(F.collect_list(F.struct(order.alias("o"), "finding")))["finding"].alias("texts"))
+    return out.unionByName(_numbered("summary", summary)).unionByName(_numbered("recommendations", advice)).unionByName(_numbered("risks", risks))
+
+
+def report_tables(
+    df: DataFrame, target: str | None, problem: str, board: DataFrame | None = None, importance: DataFrame | None = None, k: int = 10
+) -> DataFrame:
+    """The tables of a report as ``(section, key, value)``: overview, model, importance, insights.
+
+    ``board`` has ``model`` and ``score``, the larger the better; ``importance`` has ``feature`` and
+    ``importance``, of which the ``k`` largest are shown.
+    """
+    out = report_overview(df, target, problem).select(F.lit("overview").alias("section"), F.col("metric").alias("key"), "value")
+    if board is None:
+        note = df.sparkSession.createDataFrame([("model", "note", NO_MODEL)], "section string, key string, value string")
+        out = out.unionByName(note)
+    else:
+        best = board.orderBy(F.desc_nulls_last("score"), "model").limit(1)
+        pairs = F.array(
+            F.struct(F.lit("Best model").alias("key"), F.col("model").cast("string").alias("value")),
+            F.struct(F.lit("Validation score").alias("key"), F.format_string("%.4f", F.col("score").cast("double")).alias("value")),
+        )
+        out = out.unionByName(best.select(F.inline(pairs)).select(F.lit("model").alias("section"), "key", "value"))
+    if importance is not None:
+        top = importance.orderBy(F.desc("importance"), "feature").limit(k)
+        out = out.unionByName(top.select(
+            F.lit("importance").alias("section"), F.col("feature").alias("key"), F.format_string("%.4f", F.col("importance").cast("double")).alias("value")
+        ))
+    parts = business_insights(df, target, problem, importance).filter("section <> 'kpis'")
+    return out.unionByName(parts)

@@ -300,6 +300,16 @@ def evaluate(task: Task, model) -> tuple[dict[str, float], DataFrame | None]:
     return scores(predicted, task.problem), report
 
 
+def confusion(task: Task, model) -> DataFrame | None:
+    """Confusion matrix of the test part; None for a regression."""
+    if not task.labels:
+        return None
+    predicted = model.transform(task.part("test"))
+    named = F.element_at(F.lit(task.labels), F.col("prediction").cast("int") + 1)
+    pairs = predicted.select(q(task.target).cast("string").alias("y"), named.alias("p"))
+    return metrics.confusion_matrix(pairs, "y", "p")
+
+
 # ---- scoring and keeping -------------------------------------------------------------
 
 

@@ -18,6 +18,10 @@ from tablewright.sources.sinks import write_table
 
 EXPLAINED_ROWS = 100
 BACKGROUND_ROWS = 50
+# rows the unattended run explains
+RUN_EXPLAINED_ROWS = 500
+# classes whose confusion matrix is shown among the facts; the table is written for any number
+SHOWN_CLASSES = 20
 
 
 def explain_model(task: models.Task, model, rows: int = EXPLAINED_ROWS, background: int = BACKGROUND_ROWS, orders: int = 10, seed: int = 42) -> DataFrame:
@@ -88,6 +92,8 @@ def run(df: DataFrame, target: str | None = None, budget: float = 600.0, folder:
     rows += [("profile", k, str(v)) for k, v in kpis.items() if v is not None]
     duplicates = profile.duplicate_count(df).first()["duplicate_rows"]
     rows.append(("profile", "duplicate_rows", str(duplicates)))
+    spread = profile.target_distribution(df, target)
+    rows += [("target", r["value"], f"{r['n']} ({r['share']:.4f})") for r in spread.collect()]
     task = models.prepare_task(df, target, problem)
     rows += [("prepare", "dropped", c) for c in task.spec.dropped]
     rows.append(("prepare", "imbalance", task.strategy))
@@ -100,6 +106,11 @@ def run(df: DataFrame, target: str | None = None, budget: float = 600.0, folder:
     importance = model_importance(task, best.model)
     top = importance.orderBy(F.desc("importance"), "feature").limit(20).collect()
     rows += [("explain", r["feature"], f"{r['importance']:.6f}") for r in top]
+    shapley = explain.mean_abs_shap(explain_model(task, best.model, RUN_EXPLAINED_ROWS)).collect()
+    rows += [("shapley", r["feature"], f"{r['mean_abs']:.6f}") for r in shapley]
+    confusion = models.confusion(task, best.model)
+    if confusion is not None and len(task.labels) <= SHOWN_CLASSES:
+        rows += [("confusion", f"{r['label']} as {r['predicted']}", str(r["n"])) for r in confusion.collect()]
     if folder:
         meta = {
             "target": target, "problem_type": problem, "best_model": best.name, "dropped": task.spec.dropped,
@@ -108,8 +119,10 @@ def run(df: DataFrame, target: str | None = None, budget: float = 600.0, folder:
         models.save_bundle(models.full_model(task, best.model), meta, folder)
         write_table(models.leaderboard_frame(spark, board, problem), f"{folder}/leaderboard", "csv")
         write_table(profile.column_profile(df), f"{folder}/eda_profile", "json")
+        write_table(spread, f"{folder}/target_distribution", "json")
         if report is not None:
             write_table(report, f"{folder}/evaluation", "json")
+            write_table(confusion, f"{folder}/confusion_matrix", "json")
     return spark.createDataFrame(rows, "stage string, key string, value string")
 
 

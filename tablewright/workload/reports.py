@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablewright.functions.text import utf8_text
-from tablewright.operators import insights, selection
+from tablewright.operators import insights, profile, selection
 from tablewright.plans import batch
 from tablewright.sources import readers, sinks
 from tablewright.workload import query, table
@@ -93,6 +93,58 @@ def summary_text(spark, sf):
     return insights.summary_text(orders_gaps(spark, sf), "o_orderstatus", "multiclass_classification")
 
 
+GAPS = f"""t AS ({ORDERS_GAPS}), m AS (SELECT count(*) AS n, round(100.0 * (count(*) FILTER (WHERE o_totalprice IS NULL)
+      + count(*) FILTER (WHERE o_orderpriority IS NULL)) / (6 * count(*)), 2) AS pct FROM t)"""
+VARIATION = """v AS (SELECT 'o_orderkey' AS c, round(stddev_samp(o_orderkey) / abs(avg(o_orderkey)), 6) AS s FROM t
+    UNION ALL SELECT 'o_custkey', round(stddev_samp(o_custkey) / abs(avg(o_custkey)), 6) FROM t
+    UNION ALL SELECT 'o_totalprice', round(stddev_samp(o_totalprice) / abs(avg(o_totalprice)), 6) FROM t)"""
+SUMMARY = """concat('Dataset contains ', format('{:,}', n), ' records with 5 predictive features. Problem type: Multiclass Classification. Data completeness: ',
+      printf('%.1f', 100 - pct + 1e-9), '%. A trained model is available for inference and explanation. Numeric features (3) dominate; 2 categorical columns require encoding.')"""
+DRIVEN = """concat('Focus on top drivers: ', (SELECT string_agg(c, ', ' ORDER BY s DESC, c) FROM v), '. These explain most of the model''s predictive power.')"""
+FOUND = """SELECT 'risks' AS section, CAST(row_number() OVER (ORDER BY o) AS VARCHAR) AS key, finding AS value FROM (
+      SELECT 1 AS o, concat('High missingness (', printf('%.1f', pct + 1e-9), '%) may bias model. Investigate and impute carefully.') AS finding FROM m WHERE pct > 20
+      UNION ALL SELECT 2, 'Moderate missing data detected – consider multiple imputation strategies.' FROM m WHERE pct > 5
+      UNION ALL SELECT 4, 'Small dataset (<1,000 rows). Model generalisation may be limited; use cross-validation.' FROM m WHERE n < 1000
+      UNION ALL SELECT 6, 'No major data quality risks detected. Proceed with modelling.' FROM m WHERE pct <= 5 AND n >= 1000)"""
+
+
+def _drivers(df):
+    """A stand-in for a model's importance that SQL can compute: relative variation."""
+    return profile.value_column_ranking(df).select(F.col("column").alias("feature"), F.col("variation").alias("importance"))
+
+
+@query(
+    "insights",
+    f"""WITH {GAPS}, {VARIATION} SELECT 'summary' AS section, '1' AS key, {SUMMARY} AS value FROM m
+    UNION ALL SELECT 'recommendations', '1', {DRIVEN} UNION ALL {FOUND}
+    UNION ALL SELECT 'kpis', 'rows', CAST(n AS VARCHAR) FROM m UNION ALL SELECT 'kpis', 'features', '5'
+    UNION ALL SELECT 'kpis', 'numeric_features', '3' UNION ALL SELECT 'kpis', 'categorical_features', '2'
+    UNION ALL SELECT 'kpis', 'target_classes', CAST(count(DISTINCT o_orderstatus) AS VARCHAR) FROM t""",
+)
+def business_insights(spark, sf):
+    df = orders_gaps(spark, sf)
+    out = insights.business_insights(df, "o_orderstatus", "multiclass_classification", _drivers(df))
+    return out.filter("section <> 'kpis' OR key IN ('rows', 'features', 'numeric_features', 'categorical_features', 'target_classes')")
+
+
+@query(
+    "report_tables",
+    f"""WITH {GAPS}, {VARIATION}, b AS (SELECT o_orderpriority AS model, round(avg(o_totalprice) / 1e6, 6) AS score FROM t
+      WHERE o_orderpriority IS NOT NULL GROUP BY 1)
+    SELECT 'overview' AS section, 'Rows' AS key, format('{{:,}}', n) AS value FROM m UNION ALL SELECT 'overview', 'Columns', '6'
+    UNION ALL SELECT 'overview', 'Target column', 'o_orderstatus' UNION ALL SELECT 'overview', 'Problem type', 'Multiclass Classification'
+    UNION ALL SELECT 'overview', 'Missing %', printf('%.2f%%', pct + 1e-9) FROM m
+    UNION ALL SELECT 'model', 'Best model', arg_max(model, score) FROM b UNION ALL SELECT 'model', 'Validation score', printf('%.4f', max(score)) FROM b
+    UNION ALL SELECT 'importance', c, printf('%.4f', s) FROM v
+    UNION ALL SELECT 'summary', '1', {SUMMARY} FROM m UNION ALL SELECT 'recommendations', '1', {DRIVEN} UNION ALL {FOUND}""",
+)
+def report_tables(spark, sf):
+    """Priorities stand for the models of a leaderboard."""
+    df = orders_gaps(spark, sf)
+    board = df.filter("o_orderpriority IS NOT NULL").groupBy(F.col("o_orderpriority").alias("model")).agg(F.round(F.avg("o_totalprice") / 1e6, 6).alias("score"))
+    return insights.report_tables(df, "o_orderstatus", "multiclass_classification", board, _drivers(df))
+
+
 # ---- registries ----------------------------------------------------------------------
 
 COLUMNS = {
