@@ -413,7 +413,11 @@ def goal_search(task: Task, goal: float = 0.85, trials: int = 8, seed: int = 42)
     All trials run; any score beats none, so negative metrics work too.
     """
     draw = random.Random(seed)
-    train, val = task.part("train").persist(), task.part("val").persist()
+    # a forest draws its samples by partition and row, so both must depend on the rows alone
+    train = task.part("train")
+    parts, placed = train.sparkSession.sparkContext.defaultParallelism, F.xxhash64(FEATURES, LABEL)
+    train = train.repartition(parts, placed).sortWithinPartitions(placed).persist()
+    val = task.part("val").persist()
     metric, rows = primary_metric(task.problem), []
     kind = RandomForestRegressor if task.problem == "regression" else RandomForestClassifier
     seen: dict[tuple, float] = {}

@@ -127,7 +127,7 @@ def test_automl_facade(spark):
 def test_run_and_review(spark, tmp_path):
     quick = {"LogisticRegression": models.candidate_models("binary")["LogisticRegression"]}
     out = autopilot.run(churn(spark), folder=str(tmp_path / "r"), candidates=quick).toPandas()
-    assert set(out["stage"]) == {"infer", "profile", "prepare", "leaderboard", "evaluate", "explain"}
+    assert set(out["stage"]) == {"infer", "profile", "target", "prepare", "leaderboard", "evaluate", "explain", "shapley", "confusion"}
     assert out[out["key"] == "target"]["value"].tolist() == ["churn"]
     assert readers.read_csv(spark, str(tmp_path / "r" / "leaderboard")).count() == 3
     steps = autopilot.review(churn(spark), "churn", "binary_classification", quick).toPandas()
