@@ -54,6 +54,17 @@ def catalog_columns(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFr
     return spark.createDataFrame(rows, "table string, position int, column string, type string")
 
 
+def known_values(tables: dict[str, DataFrame]) -> DataFrame:
+    """``(table, column, known)``: values that are not null, one scan per table."""
+    out = None
+    for name, df in tables.items():
+        agg = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(df.columns)])
+        facts = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("known")) for i, c in enumerate(df.columns)])
+        part = agg.select(F.lit(name).alias("table"), F.inline(facts))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def hinted_target(columns: Sequence[str], hints: Sequence[str]) -> str | None:
     names = {c: c.strip().lower().replace(" ", "_") for c in columns}
     return next((c for h in hints for c in columns if re.search(h, names[c])), None)
