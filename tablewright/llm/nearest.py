@@ -15,10 +15,10 @@ from tablewright.session import stored
 FIT_ROWS = 16_384
 #: lists: about the square root of the rows, at most this many
 MOST_LISTS = 4096
-#: share of the true neighbours whose lists a query must probe, as measured inside the sample
+#: share of the true neighbours whose lists a query must probe, as measured on trial queries
 TARGET = 0.95
 LEAST_PROBED = 8
-#: queries of that measurement
+#: queries of that measurement (a documented bound); each meets the whole table
 _TRIALS = 256
 #: columns of one block of the scan
 BLOCK = 16
@@ -57,17 +57,42 @@ def centres(sample: np.ndarray, lists: int, seed: int = SEED) -> np.ndarray:
     return middle
 
 
-def lists_to_probe(sample: np.ndarray, middle: np.ndarray, k: int, target: float = TARGET) -> int:
-    """How many lists hold ``target`` of the ``k`` nearest rows of some sample rows, by brute force
-    inside the bounded sample. The whole table is denser, its neighbours are nearer, so this errs
-    on the safe side: few lists for clustered vectors, about half of them for random ones."""
-    asked = sample[np.random.default_rng(SEED).permutation(len(sample))[:_TRIALS]]
-    near = asked @ sample.T
-    true = np.argsort(-near, axis=1, kind="stable")[:, : k + 1]
-    owner = np.argmax(sample @ middle.T, axis=1)
-    place = np.argsort(np.argsort(-(asked @ middle.T), axis=1, kind="stable"), axis=1)
-    ranks = np.sort(np.take_along_axis(place, owner[true], axis=1).ravel())
-    return int(min(len(middle), max(LEAST_PROBED, ranks[int(np.ceil(target * len(ranks))) - 1] + 1)))
+def lists_to_probe(trials: np.ndarray, middle: np.ndarray, trial: np.ndarray, owner: np.ndarray, target: float = TARGET) -> int:
+    """How many of its nearest lists a query must probe to meet ``target`` of the true neighbours:
+    ``owner`` has the list of each, ``trial`` the row of ``trials`` whose neighbour it is."""
+    place = np.argsort(np.argsort(-(trials @ middle.T), axis=1, kind="stable"), axis=1)
+    ranks = np.sort(place[trial, owner])
+    most = ranks[max(0, int(np.ceil(target * len(ranks))) - 1)] + 1 if len(ranks) else 0
+    return int(min(len(middle), max(LEAST_PROBED, most)))
+
+
+def _true_neighbours(listed: DataFrame, names: np.ndarray, trials: np.ndarray, size: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(trial, list)`` of the ``k`` nearest other vectors of each trial, by brute force over the whole
+    table. A task keeps the best ``k`` of its rows, so what is shuffled does not grow with them."""
+    sent = listed.sparkSession.sparkContext.broadcast((names, trials))
+
+    def run(batches):
+        own, points = sent.value
+        near = np.full((len(points), k), -np.inf)
+        vid, owner = (np.zeros((len(points), k), dtype=np.int64) for _ in range(2))
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1024):
+                some = batch.slice(i, 1024)
+                ids, lists = (np.asarray(some.column(c), dtype=np.int64) for c in (0, 2))
+                found = points @ _unit(_numbers(some.column(1), size)).T
+                found[own[:, None] == ids[None, :]] = -np.inf
+                near = np.concatenate([near, found], axis=1)
+                vid, owner = (np.concatenate([x, np.broadcast_to(y, found.shape)], axis=1) for x, y in ((vid, ids), (owner, lists)))
+                best = np.argpartition(-near, k - 1, axis=1)[:, :k]
+                near, vid, owner = (np.take_along_axis(x, best, axis=1) for x in (near, vid, owner))
+        trial, place = np.nonzero(np.isfinite(near))
+        columns = [pa.array(x, t) for x, t in ((trial, pa.int64()), (near[trial, place], pa.float64()), (vid[trial, place], pa.int64()), (owner[trial, place], pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["trial", "near", "vid", "list"])
+
+    found = listed.select("vid", "v", "list").mapInArrow(run, "trial bigint, near double, vid bigint, list bigint")
+    order = W.partitionBy("trial").orderBy(F.desc("near"), "vid")
+    rows = found.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k).select("trial", "list").collect()
+    return np.array([r["trial"] for r in rows], dtype=np.int64), np.array([r["list"] for r in rows], dtype=np.int64)
 
 
 def scan(queries: np.ndarray, base: np.ndarray, bound: np.ndarray, block: int = BLOCK, doubt: float = DOUBT):
@@ -185,7 +210,9 @@ def search(
     frequent ones the longest). A row repeated is one row. Equal vectors are searched once: of
     each, the ``k + 1`` smallest ids can be results. No usable rows give no rows.
 
-    Every row is indexed. Centres of the lists are fitted on a bounded sample, lists of more
+    Every row is indexed. Centres of the lists are fitted on a bounded sample; how many lists a
+    query probes is measured on some of the queries, kept out of that sample, whose true
+    neighbours are looked up in the whole table. Lists of more
     than ``PART`` vectors are dealt out in parts, and so are the queries that probe a list; no
     task holds more than one part of each. Scores are computed on the original vectors.
     """
@@ -207,19 +234,28 @@ def search(
     members = stored(named.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k + 1))
     unique = members.filter("n = 1").select(F.col("id").alias("vid"), "v", "h1", "h2")
     total = unique.count()
-    rows = max(1, min(fit_rows, (64 << 20) // (8 * size)))
-    sample = _unit(np.array([r["v"] for r in unique.select("v", "h1").orderBy("h1").limit(rows).collect()]))
-    middle = centres(sample, int(max(1, min(MOST_LISTS, len(sample), round(total**0.5)))))
-    number = lists_to_probe(sample, middle, k, target)
-    sent = spark.sparkContext.broadcast(middle)
     asked = stored(
         named.filter("asks").select(F.col("id").alias("query_id"), "h1", "h2").join(unique.select("vid", "h1", "h2"), ["h1", "h2"])
         .select("query_id", F.col("vid").alias("qid"))
     )
+    points = stored(unique.join(asked.select(F.col("qid").alias("vid")).distinct(), "vid"))
 
+    # the trials are queries that neither seed nor fit the centres, unless there is nothing else
+    tried = points.select("vid", "v", "h2").orderBy("h2", "vid").limit(_TRIALS).collect()
+    if not tried:
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    names = np.array([r["vid"] for r in tried], dtype=np.int64)
+    trials = _unit(np.array([r["v"] for r in tried]))
+    rows = max(1, min(fit_rows, (64 << 20) // (8 * size)))
+    first = unique.select("vid", "v", "h1").orderBy("h1", "vid").limit(rows + len(names)).collect()
+    apart = set(names.tolist())
+    sample = _unit(np.array(([r["v"] for r in first if r["vid"] not in apart] or [r["v"] for r in first])[:rows]))
+    middle = centres(sample, int(max(1, min(MOST_LISTS, len(sample), round(total**0.5)))))
+    sent = spark.sparkContext.broadcast(middle)
     listed = stored(_nearest_lists(unique.select("vid", "v"), sent, size, 1).select("vid", "v", F.col("lists")[0].alias("list")))
-    points = listed.select(F.col("vid").alias("qid"), "v").join(asked.select("qid").distinct(), "qid")
-    probes = stored(_nearest_lists(points, sent, size, number).select("qid", "v", F.explode("lists").alias("list")))
+    number = lists_to_probe(trials, middle, *_true_neighbours(listed, names, trials, size, k), target)
+    asking = points.select(F.col("vid").alias("qid"), "v")
+    probes = stored(_nearest_lists(asking, sent, size, number).select("qid", "v", F.explode("lists").alias("list")))
 
     # parts of each list and of its queries; as many rows as there are lists, so both may be broadcast
     parts = listed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))

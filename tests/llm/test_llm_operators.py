@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -536,6 +537,23 @@ def test_hot_vector_and_parts(spark, monkeypatch):
         assert [ranks[i] for i in range(1, 6)] == true
 
 
+def test_recall_of_a_larger_table(spark):
+    base = np.random.default_rng(11).normal(size=(40_000, 64)).astype(np.float32)
+    table = pa.table({"vec_id": pa.array(range(len(base)), pa.int64()), "embedding": pa.array(list(base), pa.list_(pa.float32()))})
+    df = spark.createDataFrame(table).repartition(8)
+    got = {}
+    for r in nearest.search(df, F.pmod("vec_id", F.lit(50)) == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    asked = np.arange(0, len(base), 50)
+    unit = nearest._unit(base)
+    near = unit[asked] @ unit.T
+    near[np.arange(len(asked)), asked] = -2
+    true = np.argsort(-near, axis=1)[:, :5]
+    hits = sum(len(got[int(q)] & set(t.tolist())) for q, t in zip(asked, true))
+    print("recall", hits / true.size)
+    assert hits >= 0.93 * true.size
+
+
 # pipeline
 
 def test_pipeline_of_odd_rows(spark, odd, none, sf):
