@@ -16,8 +16,6 @@ RULES = (
 )
 #: characters of the longest context
 ORDER = 4
-#: hashed places of each order, so the whole model has 2 * (ORDER + 1) * 2 * 32,768 numbers (5 MB)
-PLACES = 1 << 15
 #: probability of any character before anything is known
 FLOOR = 1.0 / 256
 #: the threshold is looked for in steps of 1 / STEPS between -LIMIT and LIMIT
@@ -53,83 +51,83 @@ def _letters(url: Column) -> Column:
     return F.concat(F.lit("\x02" * ORDER), rest, F.lit("\x03"))
 
 
-def _place(text: Column) -> Column:
-    return F.pmod(F.xxhash64(text), F.lit(PLACES)).cast("int")
+def _windows(s: Column) -> Column:
+    """Each character behind the first marks, with the ``ORDER`` characters before it."""
+    return F.transform(F.sequence(F.lit(1), F.length(s) - ORDER), lambda i: F.substring(s, i, F.lit(ORDER + 1)))
 
 
-def _row(kind: int, order: Column | int, part: int) -> Column | int:
-    """Row of the flat table: kind 0 allow, 1 block; part 0 characters, 1 contexts."""
-    return (order * 2 + kind) * 2 + part
+def train(labelled: DataFrame, url: str = "url", verdict: str = "verdict") -> DataFrame:
+    """``(x, allow, block)``: how often each window of ``ORDER + 1`` characters stands in the URLs of either
+    verdict, exactly. Windows are added up per task before the shuffle; the table grows with the input.
+    """
+    whole = labelled.select((F.col(verdict) == "block").alias("blocked"), _letters(F.col(url)).alias("s"))
+    windows = whole.select("blocked", F.explode(_windows(F.col("s"))).alias("x"))
+    return windows.groupBy("x").agg(F.count_if(~F.col("blocked")).alias("allow"), F.count_if("blocked").alias("block"))
 
 
-def train(labelled: DataFrame, url: str = "url", verdict: str = "verdict") -> DataFrame:
-    """One row with ``model``: the flat table of both smoothed variable-order Markov models.
+def _window_ratios(model: DataFrame, asked: DataFrame) -> DataFrame:
+    """``(x, ratio)`` of each of the ``asked`` windows, which must be distinct: the log-probability of its
+    last character after those before it under the allowed model less that under the blocked one.
 
-    Of each order, a character's place holds ``n / (N + T)`` and its context's place
-    ``T / (N + T)`` (n: how often it follows, N: how often the context stands, T: how many
-    different characters follow it), so the probability of a character is the sum, over all
-    orders, of its own number times the numbers of the longer contexts. Windows of characters
-    are added up per task before the shuffle; the model has the same size for any input.
+    Both are smoothed variable-order Markov models. The probability of a character after a
+    context is ``(n + T * p) / (N + T)`` (n: how often it follows, N: how often the context
+    stands, T: how many different characters follow it, p: its probability after the context
+    without its first character); a context never seen passes on ``p``. Every order joins
+    different n-grams to their contexts and to their ends, so no key has more rows than there
+    are different characters.
     """
-    whole = labelled.select((F.col(verdict) == "block").cast("int").alias("kind"), _letters(F.col(url)).alias("s"))
-    windows = whole.select("kind", F.explode(F.transform(
-        F.sequence(F.lit(1), F.length("s") - ORDER), lambda i: F.substring(F.col("s"), i, F.lit(ORDER + 1))
-    )).alias("x"))
-    windows = windows.groupBy("kind", "x").agg(F.count(F.lit(1)).alias("n"))
-    grams = F.array(*[
-        F.struct(
-            F.lit(o).alias("o"), _place(F.substring("x", ORDER + 1 - o, o)).alias("c"), _place(F.substring("x", ORDER + 1 - o, o + 1)).alias("g"),
-            F.col("n"),
-        )
-        for o in range(ORDER + 1)
+    every = model.withColumn("asked", F.lit(False)).unionByName(
+        asked.select("x", F.lit(0).cast("bigint").alias("allow"), F.lit(0).cast("bigint").alias("block"), F.lit(True).alias("asked"))
+    )
+    ends = F.transform(F.sequence(F.lit(1), F.lit(ORDER + 1)), lambda i: F.substring(F.col("x"), i, F.lit(ORDER + 1)))
+    grams = every.select(F.explode(ends).alias("g"), "allow", "block", "asked").groupBy("g")
+    grams = grams.agg(*[F.sum(k).alias(k) for k in ("allow", "block")], F.max("asked").alias("asked"))
+    grams = stored(grams.select("*", F.expr("substring(g, 1, length(g) - 1)").alias("c")))
+    contexts = grams.groupBy("c").agg(*[
+        f.alias(f"{k}_{n}") for k in ("allow", "block") for n, f in (("stands", F.sum(k)), ("kinds", F.count_if(F.col(k) > 0)))
     ])
-    pairs = windows.select("kind", F.inline(grams)).groupBy("kind", "o", "c", "g").agg(F.sum("n").alias("n"))
-    context = W.partitionBy("kind", "o", "c")
-    pairs = pairs.select("*", F.sum("n").over(context).alias("stands"), F.count(F.lit(1)).over(context).alias("kinds"))
-    total = F.col("stands") + F.col("kinds")
-    both = pairs.select(F.inline(F.array(
-        F.struct(_row(0, F.col("o"), 0).alias("r"), F.col("kind"), F.col("g").alias("p"), (F.col("n") / total).alias("v")),
-        # T / (N + T), in equal parts from each of the context's T rows
-        F.struct(_row(0, F.col("o"), 1).alias("r"), F.col("kind"), F.col("c").alias("p"), (F.lit(1.0) / total).alias("v")),
-    )))
-    cells = both.groupBy((F.col("r") + 2 * F.col("kind")).alias("r"), "p").agg(F.sum("v").alias("v"))
-    spark = labelled.sparkSession
-    rows = 4 * (ORDER + 1)
-    every = spark.range(rows * PLACES).select(F.floor(F.col("id") / PLACES).cast("int").alias("r"), F.pmod("id", F.lit(PLACES)).cast("int").alias("p"), "id")
-    unseen = F.when(F.pmod("r", F.lit(2)) == 1, F.lit(1.0)).otherwise(F.lit(0.0))  # an unknown context passes on everything
-    filled = every.join(cells, ["r", "p"], "left").select("id", F.coalesce("v", unseen).alias("v"))
-    # whole rows of the table first, so the single row is put together from a few arrays
-    by_row = filled.groupBy(F.floor(F.col("id") / PLACES).alias("r")).agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("l"))
-    by_row = by_row.select("r", F.transform("l", lambda x: x["v"]).alias("l"))
-    return by_row.agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("r", "l"))), lambda x: x["l"])).alias("model"))
 
+    def shares(kind: str) -> list[Column]:
+        total = F.col(f"{kind}_stands") + F.col(f"{kind}_kinds")
+        own = F.when(total > 0, F.col(kind) / total).otherwise(F.lit(0.0))
+        return [own.alias(f"{kind}_own"), F.when(total > 0, F.col(f"{kind}_kinds") / total).otherwise(F.lit(1.0)).alias(f"{kind}_pass")]
 
-def ratio(df: DataFrame, url: Column, model: DataFrame, name: str = "score") -> DataFrame:
-    """Add the log-likelihood under the allowed model less that under the blocked one, per character;
-    null for a null URL.
+    terms = stored(grams.filter("asked").join(contexts, "c").select("g", *shares("allow"), *shares("block")))
+    level = None
+    for o in range(ORDER + 1):
+        here = terms.filter(F.length("g") == o + 1)
+        if level is None:
+            here = here.withColumns({f"{k}_less": F.lit(FLOOR) for k in ("allow", "block")})
+        else:
+            here = here.withColumn("end", F.substring("g", 2, ORDER)).join(level, "end")
+        p = {k: F.col(f"{k}_own") + F.col(f"{k}_pass") * F.col(f"{k}_less") for k in ("allow", "block")}
+        level = here.select(F.col("g").alias("end"), *[c.alias(f"{k}_less") for k, c in p.items()])
+    # a decimal, so that a sum does not depend on its order
+    value = F.round(F.log("allow_less") - F.log("block_less"), 12).cast("decimal(18,12)")
+    return level.select(F.col("end").alias("x"), value.alias("ratio"))
 
-    The model comes in as a scalar. Both it and the URL are named just once, by the outer
-    functions, so the optimizer moves the scalar into them and no row ever carries it.
-    """
 
-    def score(s: Column, table: Column) -> Column:
-        def cell(kind: int, order: int, part: int, text: Column) -> Column:
-            return F.get(table, _place(text) + F.lit(_row(kind, order, part) * PLACES))
+def _key(text: Column) -> list[Column]:
+    """Two XXH64 of a text: 128 bits that stand for it."""
+    return [F.xxhash64(text).alias("__k1"), F.xxhash64(F.lit(7), text).alias("__k2")]
 
-        def probability(kind: int, i: Column) -> Column:
-            p = F.lit(FLOOR)
-            for o in range(ORDER + 1):
-                at = i + F.lit(ORDER - o)
-                p = cell(kind, o, 0, F.substring(s, at, F.lit(o + 1))) + cell(kind, o, 1, F.substring(s, at, F.lit(o))) * p
-            return p
 
-        places = F.sequence(F.lit(1), F.length(s) - ORDER)
-        total = F.aggregate(places, F.lit(0.0), lambda a, i: a + F.log(probability(0, i)) - F.log(probability(1, i)))
-        return total / (F.length(s) - ORDER)
+def _scores(texts: DataFrame, model: DataFrame) -> DataFrame:
+    """``(__k1, __k2, __score)`` of each different ``t`` that is not null: its windows' ratios, per window."""
+    different = stored(texts.filter("t IS NOT NULL").groupBy("t").agg(F.lit(1).alias("one")).select("t", *_key(F.col("t"))))
+    windows = different.select("__k1", "__k2", F.explode(_windows(_letters(F.col("t")))).alias("x"))
+    ratios = stored(_window_ratios(model, windows.select("x").distinct()))
+    total = windows.join(ratios, "x").groupBy("__k1", "__k2").agg(F.sum("ratio").cast("double").alias("s"), F.count(F.lit(1)).alias("n"))
+    return total.select("__k1", "__k2", (F.col("s") / F.col("n")).alias("__score"))
 
-    with_model = df.withColumn("__model", model.scalar())
-    scored = F.transform(F.array(_letters(url)), lambda s: F.transform(F.array("__model"), lambda m: score(s, m))[0])[0]
-    return with_model.withColumn(name, scored).drop("__model")
+
+def ratio(df: DataFrame, url: Column, model: DataFrame, name: str = "score") -> DataFrame:
+    """Add the log-likelihood under the allowed model less that under the blocked one, per character;
+    null for a null URL. Different URLs are scored once, by joins with the counts of ``model``."""
+    scores = _scores(df.select(url.alias("t")), model)
+    k1, k2 = _key(url)
+    joined = df.withColumns({"__k1": F.when(url.isNotNull(), k1), "__k2": k2}).join(scores, ["__k1", "__k2"], "left")
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns if c != name], F.col("__score").alias(name))
 
 
 def threshold(scored: DataFrame, verdict: str = "verdict", score: str = "score") -> float:
@@ -158,23 +156,31 @@ def judge(df: DataFrame, url: str = "url", rules: Sequence[tuple[str, str]] = RU
     by hash, on which the threshold is set. ``score`` is null where a rule decides. Null URLs,
     URLs without ``://`` and empty ones have empty host and path and are scored as the text
     they are. Where no rule fits any row, every score is 0 and all are allowed. No rows give no
-    rows. Rows are never shuffled; the model is a scalar of fixed size.
+    rows. The model is a table of exact counts that grows with the URLs; different URLs are
+    scored once, and rows meet their scores in a join.
     """
     host, path = url_host(F.col(url)), url_path(F.col(url))
     rule, verdict = rule_of(host, path, rules)
-    known = df.select(F.col(url).alias("url"), verdict.alias("verdict")).filter("verdict IS NOT NULL")
-    aside = F.pmod(F.crc32(F.col("url").cast("binary")), F.lit(5)) == 0
-    model = stored(train(known.filter(~aside)))
-    least = threshold(ratio(known.filter(aside), F.col("url"), model))
+    kept = [c for c in df.columns if c.lower() not in ("host", "path", "rule", "verdict", "score") or c == url]
+    text = F.coalesce(F.col(url), F.lit(""))
     own = df.select(
-        *[F.col(f"`{c}`") for c in df.columns if c.lower() not in ("host", "path", "rule", "verdict", "score") or c == url],
-        host.alias("__host"), path.alias("__path"), rule.alias("__rule"), verdict.alias("__verdict"),
-        # nothing is to be scored where a rule decides
-        F.when(rule.isNull(), F.coalesce(F.col(url), F.lit(""))).alias("__text"),
+        *[F.col(f"`{c}`") for c in kept], host.alias("__host"), path.alias("__path"), rule.alias("__rule"), verdict.alias("__verdict"),
+        *_key(text), text.alias("__text"),
+    )
+    slim = stored(own.select(F.col("__text").alias("t"), F.col("__verdict").alias("verdict"), "__k1", "__k2"))
+    known = slim.filter("verdict IS NOT NULL")
+    aside = F.pmod(F.crc32(F.col("t").cast("binary")), F.lit(5)) == 0
+    model = stored(train(known.filter(~aside), "t"))
+    # nothing else is to be scored where a rule decides
+    scores = stored(_scores(slim.filter(F.col("verdict").isNull() | aside).select("t"), model))
+    least = threshold(known.filter(aside).join(scores, ["__k1", "__k2"]), score="__score")
+    scored = own.drop("__text").join(scores, ["__k1", "__k2"], "left")
+    score = F.when(F.col("__rule").isNull(), F.col("__score"))
+    decided = F.coalesce("__verdict", F.when(score >= F.lit(least), F.lit("allow")).otherwise(F.lit("block")))
+    return scored.select(
+        *[F.col(f"`{c}`") for c in kept], F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__rule").alias("rule"),
+        decided.alias("verdict"), score.alias("score"),
     )
-    own = ratio(own, F.col("__text"), model, "__score").drop("__text")
-    decided = F.coalesce("__verdict", F.when(F.col("__score") >= F.lit(least), F.lit("allow")).otherwise(F.lit("block")))
-    return own.withColumn("__verdict", decided).withColumnsRenamed({f"__{c}": c for c in ("host", "path", "rule", "verdict", "score")})
 
 
 def keep_allowed(df: DataFrame, url: str = "url", rules: Sequence[tuple[str, str]] = RULES) -> DataFrame:

@@ -490,6 +490,39 @@ def test_fit_sample_is_bounded(spark):
     assert some.grades == whole.grades == [0, 1]
 
 
+def test_url_scores_of_many_windows(spark):
+    import math
+    from collections import defaultdict
+
+    rng = random.Random(8)
+    letters = {"allow": "abcdefghijklmnopqrstuvwxyz", "block": "0123456789abcdefghijklm"}
+    seen = [("x://" + "".join(rng.choice(letters[v]) for _ in range(60)), v) for v in ("allow", "block") for _ in range(2000)]
+    counts = {v: defaultdict(lambda: defaultdict(int)) for v in letters}
+    for u, v in seen:
+        s = "\x02" * 4 + u.split("://")[1] + "\x03"
+        for i in range(4, len(s)):
+            for o in range(5):
+                counts[v][s[i - o : i]][s[i]] += 1
+    assert sum(len(t) for v in counts for c, t in counts[v].items() if len(c) == 4) > 150_000
+
+    def probability(v, s, i):
+        p = 1 / 256
+        for o in range(5):
+            if follows := counts[v].get(s[i - o : i]):
+                p = (follows.get(s[i], 0) + len(follows) * p) / (sum(follows.values()) + len(follows))
+        return p
+
+    asked = [u for u, _ in seen[::400]] + ["x://" + "".join(rng.choice(letters[v]) for _ in range(40)) for v in letters]
+    model = url_filter.stored(url_filter.train(spark.createDataFrame(seen, "url string, verdict string")))
+    df = spark.createDataFrame([(u,) for u in [*asked, asked[0], None]], "url string")
+    found = [(r["url"], r["score"]) for r in url_filter.ratio(df, F.col("url"), model).collect()]
+    assert sorted(u or "" for u, _ in found) == sorted([*asked, asked[0], ""])
+    for u, score in found:
+        s = "\x02" * 4 + (u or "").partition("://")[2] + "\x03"
+        total = sum(math.log(probability("allow", s, i) / probability("block", s, i)) for i in range(4, len(s)))
+        assert score is None if u is None else math.isclose(score, total / (len(s) - 4), rel_tol=1e-9)
+
+
 # vectors
 
 def test_scan_keeps_the_nearest():
