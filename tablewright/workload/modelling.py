@@ -16,6 +16,7 @@ from tablewright.sources.readers import run_history
 from tablewright.streaming.scoring import score_stream
 from tablewright.workload import query, table
 from tablewright.workload.evaluation import LINE_TIES
+from tablewright.workload.inference import TABLES
 from tablewright.workload.preparation import hash_sql
 from tablewright.workload.series import HOURLY, STAMP, daily, filled, filled_sql, hourly, stamped
 
@@ -177,21 +178,12 @@ def review_steps(spark, sf):
     return autopilot.review(df, "l_linestatus", "binary_classification", light)
 
 
-BATCH_TABLES = ("labels", "orders", "events")
-
-
 @query("batch_run")
 def batch_run(spark, sf):
-    """Registry and run over three of the tables, light candidates."""
-    tables = {t: table(spark, sf, t) for t in BATCH_TABLES}
-    tables["events"] = tables["events"].select("user_id", "value", "event_type")
-
-    def light(problem):
-        pool = models.candidate_models(problem, trees=5, rounds=3)
-        return {k: v for k, v in pool.items() if k in ("LogisticRegression", "Ridge")}
-
+    """Registry of all tables with all columns, and a run with the library's default candidates."""
+    tables = {t: table(spark, sf, t) for t in TABLES}
     registry = batch.build_registry(spark, tables, "retail")
-    return batch.run_batch(spark, registry, tables.__getitem__, candidates=light).drop("seconds")
+    return batch.run_batch(spark, registry, tables.__getitem__).drop("seconds")
 
 
 @query(

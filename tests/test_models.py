@@ -284,3 +284,21 @@ def test_one_hot_ignores_unseen_and_caps(spark):
     assert len(prepare.one_hot(df, ["c"]).columns) == 51
     with pytest.raises(ValueError):
         prepare.category_levels(spark.range(20_001).select(F.col("id").cast("string").alias("c")), ["c"])
+
+
+def test_batch_run_takes_every_table_whole(spark, sf, monkeypatch):
+    from tablewright.plans import batch
+    from tablewright.workload import inference, modelling, table
+
+    runs = []
+
+    def run(spark, registry, load, **rest):
+        runs.append((registry.collect(), load, rest))
+        return spark.createDataFrame([], batch.RESULTS)
+
+    monkeypatch.setattr(batch, "run_batch", run)
+    modelling.batch_run(spark, sf)
+    jobs, load, rest = runs[0]
+    whole = batch.build_registry(spark, {t: table(spark, sf, t) for t in inference.TABLES}, "retail").collect()
+    assert jobs == whole and len(jobs) > 3 and not rest
+    assert all(load(j["dataset"]).columns == table(spark, sf, j["dataset"]).columns for j in jobs)
