@@ -48,7 +48,7 @@ def leaf_budgets(
     """``leaves`` (one row per leaf, with its ``supply`` of tokens) plus ``budget`` tokens.
 
     From the root down, a node's budget is shared among its children by weight. A child cannot
-    take more than ``most_epochs`` times the supply below it; what it leaves goes to its
+    take more than ``most_epochs`` times the supply below it, without leaves that a weight of 0 shuts out; what it leaves goes to its
     siblings by their weights, again up to what each can take. Since a node never gets more
     than its own children can take together, a shortage is met among siblings first, and only
     what they cannot take reaches the ancestor's other children. Children of weight 0 get
@@ -59,11 +59,16 @@ def leaf_budgets(
     here on), over all children.
     """
     levels = list(levels)
-    tree = leaves.select(*levels, "supply", F.lit(float(budget)).alias("b"))
+    # what a leaf can take: nothing if it or a node above it has weight 0
+    open_path = F.lit(True)
+    for i, _ in enumerate(levels):
+        open_path = open_path & (weight_of(weights, i, [F.col(c) for c in levels[: i + 1]]) > 0)
+    takes = F.when(open_path, F.col("supply")).otherwise(F.lit(0)).alias("takes")
+    tree = leaves.select(*levels, "supply", takes, F.lit(float(budget)).alias("b"))
     for i, _ in enumerate(levels):
         path = [F.col(c) for c in levels[: i + 1]]
         weight = F.greatest(weight_of(weights, i, path), F.lit(0.0))
-        nodes = tree.groupBy(*levels[: i + 1], "b").agg((F.sum("supply") * F.lit(float(most_epochs))).alias("room"))
+        nodes = tree.groupBy(*levels[: i + 1], "b").agg((F.sum("takes") * F.lit(float(most_epochs))).alias("room"))
         nodes = nodes.withColumn("w", weight).withColumn("room", F.when(F.col("w") > 0, F.col("room")).otherwise(F.lit(0.0)))
         siblings = W.partitionBy(*levels[:i]) if i else W.partitionBy(F.lit(0))
         order = siblings.orderBy(F.when(F.col("w") > 0, F.col("room") / F.col("w")).otherwise(F.lit(-1.0)), *path)
@@ -77,8 +82,8 @@ def leaf_budgets(
         fits = F.lit(True)
         for j, c in enumerate(levels[: i + 1]):
             fits = fits & F.col(c).eqNullSafe(F.col(f"g{j}"))
-        tree = tree.join(given, fits).select(*levels, "supply", F.col("given").alias("b"))
-    return tree.withColumnRenamed("b", "budget")
+        tree = tree.join(given, fits).select(*levels, "supply", "takes", F.col("given").alias("b"))
+    return tree.drop("takes").withColumnRenamed("b", "budget")
 
 
 def mix(

@@ -275,6 +275,13 @@ def test_budgets_by_hand(spark):
     assert set(shares({}, 0).values()) == {0}
 
 
+def test_budget_of_a_leaf_shut_out_goes_to_siblings(spark):
+    leaves = spark.createDataFrame([("a", "x", 10.0), ("a", "y", 1000.0), ("b", "x", 30.0), ("b", None, 10.0)], "d string, s string, supply double")
+    out = mixture.leaf_budgets(leaves, ["d", "s"], {("a", "y"): 0.0}, 40, 1).collect()
+    # a can take 10 in all, so b gets 30
+    assert {(r["d"], r["s"]): round(r["budget"], 6) for r in out} == {("a", "x"): 10, ("a", "y"): 0, ("b", "x"): 20, ("b", None): 10}
+
+
 def test_prefix_of_epochs(spark):
     rows = [(i, "s", i % 7) for i in range(3000)]
     df = spark.createDataFrame(rows, "doc_id long, source string, t long")
