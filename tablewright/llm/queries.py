@@ -7,7 +7,10 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import decontaminate, language_id, line_dedup, mixture, nearest, quality, sharding, simhash, token_count, url_filter
+from tablewright.llm import (
+    decontaminate, hadamard, language_id, line_dedup, merkle, mixture, nearest, norm_search, quality, sharding, simhash, token_count,
+    url_filter,
+)
 from tablewright.llm.common import table
 
 TOKEN_LIMIT = 1024
@@ -87,9 +90,34 @@ def op10_nearest(spark: SparkSession, sf: str) -> DataFrame:
     return nearest.search(rows, F.pmod(F.col("vec_id"), F.lit(50)) == 0)
 
 
+def op11_exact_topk(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return norm_search.search(rows, F.pmod(F.col("vec_id"), F.lit(50)) == 0)
+
+
+def op12_centroids(spark: SparkSession, sf: str) -> DataFrame:
+    assigned, centroids = hadamard.cluster(table(spark, sf, "embeddings").select("vec_id", "embedding"))
+    digest = F.lit(None).cast("string")
+    for number, centroid in enumerate(centroids):
+        digest = F.when(F.col("cluster") == number, F.lit(hadamard.centroid_digest(centroid))).otherwise(digest)
+    return hadamard.with_inertia(assigned).withColumn("centroid_sha256", digest).withColumnRenamed("id", "vec_id")
+
+
+def op13_merkle(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    leaf, spoilt = (merkle.leaf_digest([F.col(c) for c in ("doc_id", "source", "lang", "n_chars")] + [t]) for t in (F.col("text"), F.translate("text", "\n", "")))
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.unhex(spoilt))
+    proved = merkle.prove(docs, leaf, F.col("source"), F.col("doc_id"), {"doc_id": F.col("doc_id"), "tampered": tampered})
+    folded = merkle.with_folded_root(proved, F.coalesce(F.lower(F.hex("tampered")), F.col("leaf")))
+    return folded.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(F.lower(F.hex("proof")).cast("binary"), 256).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_count, op2_language_id, op3_simhash, op4_decontaminate, op5_mixture, op6_sharding, op7_line_dedup,
-    op8_url_filter, op9_quality, op10_nearest,
+    op8_url_filter, op9_quality, op10_nearest, op11_exact_topk, op12_centroids, op13_merkle,
 )}
 
 
@@ -211,6 +239,106 @@ SELECT doc_id, size, text_crc32, 'key' AS law, s.b AS shard, g.b AS grown_shard,
 FROM sums JOIN (SELECT doc_id, max(b) AS b FROM jumps WHERE n = {sharding.SHARDS} GROUP BY doc_id) s USING (doc_id)
 JOIN (SELECT doc_id, max(b) AS b FROM jumps WHERE n = {sharding.SHARDS + 1} GROUP BY doc_id) g USING (doc_id)"""
 
+_TOPK = f"""
+WITH vectors AS (
+    SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor({norm_search.SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, max(coalesce(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])), 0))::BIGINT AS score
+    FROM vectors q JOIN vectors c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0 GROUP BY ALL)
+SELECT query_id, rank::INT AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5"""
+
+
+def _kmeans_sql() -> str:
+    """Every round by its own tables: assignments, then the floors of the means."""
+    near = (
+        "SELECT rn, c AS cluster, d AS distance FROM (SELECT rn, c, list_sum(list_transform(list_zip(x.v, m.v), lambda z: "
+        "(z[1] - z[2]) * (z[1] - z[2]))) AS d FROM kept x, m{i} m) QUALIFY row_number() OVER (PARTITION BY rn ORDER BY d, c) = 1"
+    )
+    parts = [
+        f"""kept AS MATERIALIZED (
+    SELECT row_number() OVER () AS rn, vec_id, list_transform(embedding, lambda x: floor({hadamard.SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE len(embedding) = {hadamard.SIZE} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"m0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), v) - 1 AS c, v FROM kept "
+        f"QUALIFY row_number() OVER (ORDER BY sha256('3:' || vec_id), v) <= {hadamard.CLUSTERS})",
+    ]
+    for i in range(hadamard.ROUNDS):
+        parts.append(f"a{i} AS MATERIALIZED ({near.format(i=i)})")
+        parts.append(
+            f"s{i} AS (SELECT cluster, i, sum(v[i])::BIGINT AS s, count(*) AS n FROM a{i} JOIN kept USING (rn), "
+            f"unnest(range(1, {hadamard.SIZE + 1})) t(i) GROUP BY cluster, i)"
+        )
+        parts.append(
+            f"m{i + 1} AS MATERIALIZED (SELECT c, coalesce(w, v) AS v FROM m{i} LEFT JOIN (SELECT cluster AS c, "
+            f"list((s - ((s % n) + n) % n) // n ORDER BY i) AS w FROM s{i} GROUP BY cluster) USING (c))"
+        )
+    parts.append(f"last AS MATERIALIZED ({near.format(i=hadamard.ROUNDS)})")
+    return (
+        "WITH " + ",\n".join(parts) + "\nSELECT vec_id, cluster::INT AS cluster, distance::BIGINT AS distance, "
+        "(sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia, "
+        f"sha256(array_to_string(m.v, ',')) AS centroid_sha256 FROM last JOIN kept USING (rn) JOIN m{hadamard.ROUNDS} m ON m.c = cluster"
+    )
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen({value}) || ':' || {value}, '-')"
+
+
+def _leaf(text: str) -> str:
+    fields = [_field(f"{c}::VARCHAR") for c in ("doc_id", "source", "lang", "n_chars")]
+    return f"sha256({' || '.join([*fields, _field(text)])})"
+
+
+#: nodes of a forest level by level
+_GROW = (
+    "SELECT tree, level + 1, place // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY place)) FROM {t} WHERE n > 1 "
+    "GROUP BY tree, level, place // 3, n"
+)
+_SIBLINGS = (
+    "SELECT rn, {stage} AS stage, s.level, string_agg(s.digest, '' ORDER BY s.place) AS siblings FROM docs d JOIN {t} s ON {on} "
+    "AND s.place // 3 = ({place} // (3 ** s.level)::BIGINT) // 3 AND s.place <> {place} // (3 ** s.level)::BIGINT GROUP BY ALL"
+)
+_FOLD = (
+    "SELECT f.rn, f.level + 1, f.place // 3, (f.n + 2) // 3, f.tree, sha256(coalesce(string_agg(s.digest, '' ORDER BY s.place) FILTER "
+    "(WHERE s.place < f.place), '') || f.digest || coalesce(string_agg(s.digest, '' ORDER BY s.place) FILTER (WHERE s.place > f.place), '')) "
+    "FROM {f} f LEFT JOIN {t} s ON s.tree = f.tree AND s.level = f.level AND s.place // 3 = f.place // 3 AND s.place <> f.place WHERE f.n > 1 "
+    "GROUP BY f.rn, f.level, f.place, f.n, f.tree, f.digest"
+)
+
+_MERKLE = rf"""
+WITH RECURSIVE bits AS (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, s: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS v
+    FROM range(256) t(i)),
+rule AS (SELECT list(v ORDER BY i) AS t FROM bits),
+named AS MATERIALIZED (
+    SELECT *, {_leaf('text')} AS leaf, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT,
+        list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]))) AS crc
+    FROM documents, rule),
+docs AS MATERIALIZED (
+    SELECT row_number() OVER () AS rn, doc_id, leaf, CASE WHEN crc % 2 = 0 THEN {_leaf("replace(text, chr(10), '')")} ELSE leaf END AS shown,
+        dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, count(*) OVER (PARTITION BY source) AS n,
+        row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place
+    FROM named),
+nodes AS (SELECT tree, 0 AS level, place, n, leaf AS digest FROM docs UNION ALL {_GROW.format(t='nodes')}),
+low AS MATERIALIZED (SELECT * FROM nodes),
+tops AS (
+    SELECT -1 AS tree, 0 AS level, tree AS place, count(*) OVER () AS n, digest FROM low WHERE n = 1
+    UNION ALL {_GROW.format(t='tops')}),
+high AS MATERIALIZED (SELECT * FROM tops),
+proofs AS (
+    SELECT rn, string_agg(siblings, '' ORDER BY stage, level) AS proof FROM (
+        {_SIBLINGS.format(stage=0, t='low', on='s.tree = d.tree', place='d.place')}
+        UNION ALL {_SIBLINGS.format(stage=1, t='high', on='true', place='d.tree')}) GROUP BY rn),
+up AS (SELECT rn, 0 AS level, place, n, tree, shown AS digest FROM docs UNION ALL {_FOLD.format(f='up', t='low')}),
+over AS (
+    SELECT rn, 0 AS level, tree AS place, (SELECT count(*) FROM low WHERE n = 1) AS n, -1 AS tree, digest FROM up WHERE n = 1
+    UNION ALL {_FOLD.format(f='over', t='high')}),
+folded AS (SELECT rn, digest AS folded_root FROM over WHERE n = 1)
+SELECT doc_id, leaf, s.digest AS subroot, r.digest AS root, sha256(coalesce(proof, '')) AS proof_sha256, folded_root, folded_root = r.digest AS verified
+FROM docs JOIN low s ON s.tree = docs.tree AND s.n = 1 JOIN high r ON r.n = 1 LEFT JOIN proofs USING (rn) JOIN folded USING (rn)"""
+
 ORACLES: dict[str, str] = {
     "op4_decontaminate": _HITS, "op5_mixture": _MIX, "op6_sharding": _SHARDS, "op7_line_dedup": _LINES,
+    "op11_exact_topk": _TOPK, "op12_centroids": _kmeans_sql(), "op13_merkle": _MERKLE,
 }
