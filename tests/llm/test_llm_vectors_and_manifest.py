@@ -78,12 +78,14 @@ def test_topk_with_many_parts_and_blocks(spark, monkeypatch):
     assert searched(vectors(spark, rows)) == top(whole(rows))
 
 
-@pytest.mark.parametrize("short, long, coordinates", [(0.2, 3.0, False), (0.97, 1.03, True)])
+@pytest.mark.parametrize("short, long, coordinates", [(0.2, 3.0, False), (0.9999, 1.0001, True)])
 def test_a_part_is_pruned_by_lengths_or_coordinates(short, long, coordinates):
     rng = np.random.default_rng(2)
     middle = rng.normal(size=(40, 32))
     middle /= np.linalg.norm(middle, axis=1, keepdims=True)
-    base = np.floor(2048 * (middle[rng.integers(0, 40, 4000)] + 0.01 * rng.normal(size=(4000, 32))) * rng.uniform(short, long, size=(4000, 1)))
+    near = middle[rng.integers(0, 40, 4000)] + 0.01 * rng.normal(size=(4000, 32))
+    near /= np.linalg.norm(near, axis=1, keepdims=True)
+    base = np.floor(2**16 * near * rng.uniform(short, long, size=(4000, 1)))
     points, names = base[:30], np.arange(4000)
     switches, choose = [], norm_search.Bucket.choose
     norm_search.Bucket.choose = lambda self, *a: (choose(self, *a), switches.append(self.switch))[0]
