@@ -1,8 +1,8 @@
 """Forecasts of many series: seasonal autoregression, lag regression, trend + seasons.
 
-Series are regular and bounded by their calendar (see ``timeseries``). Spark groups them
-and computes features, errors and winners; a per-series function only solves one small
-least-squares problem or rolls a fitted recursion forward.
+Series are regular and of any length (see ``timeseries``). Spark computes features, sums of
+products, errors and winners; a per-series function only solves one small least-squares problem
+or rolls a fitted recursion forward.
 """
 
 from __future__ import annotations
@@ -60,16 +60,18 @@ def seasonal_ar(
     """``(keys, ts, step, forecast, lower, upper, status)``: least squares of each change on the
     previous change and, with more than two seasons of data, the one a season before.
 
-    The normal equations come from one aggregate per series, their solution and the recursion
-    are expressions, so no series is gathered anywhere; a series sends on its last ``season``
-    changes only. Where the two regressors are one and the same only the first is used. Series
+    The changes come from windows over parts of a series with a halo, the normal equations from one
+    aggregate per series, their solution and the recursion are expressions, so no series is gathered
+    anywhere; it sends on its last ``season`` changes only. Where the two regressors are one and the same only the first is used. Series
     under ``MIN_TREND_POINTS`` points repeat their last value, without a band, as ``short``.
     """
     keys, season = list(keys), season or SEASONS.get(step, 7)
-    order = W.partitionBy(*keys).orderBy(ts)
-    change = df.select(*keys, ts, F.col(value).cast("double").alias("__y")).withColumn("__c", F.col("__y") - F.lag("__y").over(order))
-    newest = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(ts)))
-    lagged = change.withColumns({"__x": F.lag("__c").over(order), "__s": F.lag("__c", season).over(order), "__r": newest})
+    points = timeseries.numbered(df.select(*keys, ts, F.col(value).cast("double").alias("__y")), keys, ts, step)
+    rows, by = timeseries.overlapping(points, keys, season + 1)
+    order = W.partitionBy(*by).orderBy("__i")
+    change = rows.withColumn("__c", F.col("__y") - F.lag("__y").over(order))
+    lagged = change.withColumns({"__x": F.lag("__c").over(order), "__s": F.lag("__c", season).over(order)}).filter("__own")
+    lagged = lagged.withColumn("__r", F.col("__n") - F.col("__i") + 1)
     known, both = F.col("__x").isNotNull(), F.col("__s").isNotNull() & F.col("__x").isNotNull()
     recent = F.when((F.col("__r") <= season) & F.col("__c").isNotNull(), F.struct(F.col(ts).alias("t"), F.col("__c").alias("c")))
 
@@ -122,9 +124,9 @@ def seasonal_ar(
     )
 
 
-def fit_lag_model(df: DataFrame, keys: Sequence[str], ts: str, value: str, estimator=None) -> PipelineModel:
+def fit_lag_model(df: DataFrame, keys: Sequence[str], ts: str, value: str, estimator=None, step: str | None = None) -> PipelineModel:
     """One regression on lag features, pooled over all series."""
-    frame = timeseries.lag_features(df, keys, ts, value).na.drop(subset=FEATURES)
+    frame = timeseries.lag_features(df, keys, ts, value, step=step).na.drop(subset=FEATURES)
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="__features")
     estimator = estimator or LinearRegression(regParam=1e-6, elasticNetParam=0.0)
     estimator = estimator.copy().setParams(featuresCol="__features", labelCol=value, predictionCol="__next")
@@ -161,7 +163,7 @@ def lag_forecast(
     state = cut(last_values(enough, keys, ts, value, depth))
     if state.isEmpty():
         return rest
-    model = model or fit_lag_model(df, keys, ts, value, estimator)
+    model = model or fit_lag_model(df, keys, ts, value, estimator, step)
     hist, week = F.col("__hist"), F.slice("__hist", -7, 7)
     mean = F.aggregate(week, F.lit(0.0), lambda s, x: s + x) / 7
     square = F.aggregate(week, F.lit(0.0), lambda s, x: s + (x - F.col("rolling_mean_7")) * (x - F.col("rolling_mean_7")))
@@ -195,7 +197,7 @@ def lag_forecast_linear(
     rest = _fallback(short, keys, ts, value, horizon, step)
     if enough.isEmpty():
         return rest
-    model = model or fit_lag_model(df, keys, ts, value)
+    model = model or fit_lag_model(df, keys, ts, value, step=step)
     coef, base = model.stages[-1].coefficients.toArray(), float(model.stages[-1].intercept)
     ahead = F.transform(
         F.sequence(F.lit(1), F.lit(horizon)), lambda h: F.col("__last") + h * timeseries.interval(step)
@@ -243,7 +245,7 @@ def forecast_race(
     if long.isEmpty():
         return rest
     series = cut(long)
-    parts = timeseries.time_split(series, keys, ts, horizon)
+    parts = timeseries.time_split(series, keys, ts, horizon, step=step)
     train, test = cut(parts.filter("split = 'train'").drop("split")), parts.filter("split = 'test'").drop("split")
     longest = test.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or horizon
 

@@ -178,7 +178,7 @@ def forecast(
     points = cut(timeseries.mean_per_timestamp(points, ["series"], "ts", "value"))
     step = find_step(points, "ts")
     grid = timeseries.regularize(points, ["series"], "ts", "value", step)
-    series = cut(timeseries.interpolate_gaps(grid, ["series"], "ts", "value"))
+    series = cut(timeseries.interpolate_gaps(grid, ["series"], "ts", "value", step=step))
     n = series.count()
     out = cut(forecasting.forecast_race(series, ["series"], "ts", "value", horizon, step).drop("series"))
     best = out.select("model", "mae", "status").first()

@@ -49,7 +49,7 @@ def filled_sql(frame: str, key: str, step: str) -> str:
 
 def filled(df, key, step):
     grid = ts.regularize(df, [key], "ts", "value", step)
-    return ts.interpolate_gaps(grid, [key], "ts", "value")
+    return ts.interpolate_gaps(grid, [key], "ts", "value", step=step)
 
 
 @query("regularize_series", f"WITH {regular_sql(HOURLY, 'event_type', '1 hour')} SELECT event_type, {STAMP}, round(value, 9) AS value FROM g")
@@ -99,7 +99,7 @@ LAGGED = ", ".join(f"lag(value, {n}) OVER w AS lag_{n}" for n in ts.LAGS)
     round(rolling_mean_7, 9) AS rolling_mean_7, round(rolling_std_7, 9) AS rolling_std_7, month, dow FROM l""",
 )
 def lag_features(spark, sf):
-    lagged = ts.lag_features(filled(hourly(spark, sf), "event_type", "1 hour"), ["event_type"], "ts", "value")
+    lagged = ts.lag_features(filled(hourly(spark, sf), "event_type", "1 hour"), ["event_type"], "ts", "value", step="1 hour")
     rounded = ["value", *[f"lag_{n}" for n in ts.LAGS], "rolling_mean_7", "rolling_std_7"]
     return stamped(lagged, *rounded)
 
@@ -114,7 +114,7 @@ SPLIT = """n AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY t
 )
 def time_split(spark, sf):
     series = filled(hourly(spark, sf), "event_type", "1 hour")
-    return stamped(ts.time_split(series, ["event_type"], "ts", 24), "value")
+    return stamped(ts.time_split(series, ["event_type"], "ts", 24, step="1 hour"), "value")
 
 
 @query(
@@ -152,7 +152,7 @@ def forecast_tail(spark, sf):
 )
 def backtest_mae(spark, sf):
     series = filled(hourly(spark, sf), "event_type", "1 hour")
-    out = ts.backtest_naive(series, ["event_type"], "ts", "value", (1, 24, 168), 24)
+    out = ts.backtest_naive(series, ["event_type"], "ts", "value", (1, 24, 168), 24, "1 hour")
     return out.withColumn("mae", F.round("mae", 8))
 
 

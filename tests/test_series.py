@@ -163,3 +163,64 @@ def test_frequency_of_irregular_series_is_a_day(spark):
     assert {(r["regular"], r["seconds"]) for r in timeseries.infer_frequency(df, ["key"], "ts").collect()} == {(False, 86400)}
     hours = spark.range(5).select(F.lit("x").alias("key"), (F.lit("2024-01-01").cast("timestamp_ntz") + F.expr("make_dt_interval(0, 6 * id)")).alias("ts"))
     assert timeseries.infer_frequency(hours, ["key"], "ts").first()["seconds"] == 21600
+
+
+def steps(spark, n, key="a", skip=0, made="0, 0, 0, id"):
+    at = (F.lit("2020-01-01").cast("timestamp_ntz") + F.expr(f"make_dt_interval({made})")).alias("ts")
+    value = F.when((F.col("id") % 97 != 5) & ((F.col("id") < skip) | (F.col("id") > 2 * skip)), F.sin("id") * 10).alias("value")
+    return spark.range(n).select(F.lit(key).alias("key"), at, value)
+
+
+def test_parts_change_nothing(spark, monkeypatch):
+    """Ranges of five positions: every gap, lag and season crosses borders of parts."""
+    df, _ = gappy(spark, 6)
+    df = df.unionByName(steps(spark, 60, None, 14, "0, id")).cache()
+
+    def results():
+        grid = timeseries.regularize(df, ["key"], "ts", "value", "1 hour").cache()
+        filled = timeseries.interpolate_gaps(grid, ["key"], "ts", "value", step="1 hour").cache()
+        made = (
+            grid, filled, timeseries.interpolate_gaps(grid, ["key"], "ts", "value", drop=False), timeseries.lag_features(filled, ["key"], "ts", "value"),
+            timeseries.lag_features(filled, ["key"], "ts", "value", step="1 hour"), timeseries.time_split(filled, ["key"], "ts", 4),
+            timeseries.backtest_naive(filled, ["key"], "ts", "value", (1, 7), 4), forecasting.seasonal_ar(filled, ["key"], "ts", "value", 4, "1 hour", 9),
+        )
+        rounded = [m.select(*[F.round(c, 7).alias(c) if t == "double" else F.col(c) for c, t in m.dtypes]) for m in made]
+        return [sorted(map(repr, m.collect())) for m in rounded]
+
+    whole = results()
+    monkeypatch.setattr(timeseries, "RANGE_ROWS", 5)
+    monkeypatch.setattr(timeseries, "_FAN", 3)
+    assert results() == whole and whole[4] == whole[3] and len(whole[1]) > 100
+
+
+def test_calendars_of_months_and_of_short_days(spark):
+    first = spark.sql("SELECT 'a' AS key, TIMESTAMP_NTZ'2024-01-31 00:00:00' AS ts, 1.0D AS value UNION ALL SELECT 'a', TIMESTAMP_NTZ'2024-06-30 00:00:00', 6.0D")
+    got = [str(r["ts"])[:10] for r in timeseries.regularize(first, ["key"], "ts", "value", "1 month").orderBy("ts").collect()]
+    assert got == ["2024-01-31", "2024-02-29", "2024-03-31", "2024-04-30", "2024-05-31", "2024-06-30"]
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        local = spark.sql("SELECT 'a' AS key, explode(sequence(TIMESTAMP'2024-03-29', TIMESTAMP'2024-11-02', INTERVAL 1 DAY)) AS ts")
+        local = local.withColumn("value", F.when(F.dayofmonth("ts") != 31, F.dayofyear("ts").cast("double")))
+        grid = timeseries.regularize(local, ["key"], "ts", "value", "1 day")
+        assert grid.count() == local.count()
+        filled = timeseries.interpolate_gaps(grid, ["key"], "ts", "value", step="1 day")
+        assert filled.filter(F.abs(F.col("value") - F.dayofyear("ts")) > 1e-9).count() == 0 and filled.count() == local.count()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_one_long_series_is_never_in_one_task(spark):
+    """Ten million points of a single series: what any task holds is a few parts of it."""
+    ends = steps(spark, 1).unionByName(steps(spark, 10_000_001).filter("ts = TIMESTAMP_NTZ'2020-04-25 17:46:40'"))
+    grid = timeseries.regularize(ends, ["key"], "ts", "value", "1 second")
+    known = F.when(F.unix_micros(F.col("ts").cast("timestamp")) % 7_000_000 < 4_000_000, F.second("ts").cast("double"))
+    filled = timeseries.interpolate_gaps(grid.withColumn("value", known), ["key"], "ts", "value", step="1 second")
+    lagged = timeseries.lag_features(filled, ["key"], "ts", "value", step="1 second")
+    held = lagged.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n"), F.count("lag_14").alias("lagged"))
+    held = held.agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.sum("lagged").alias("lagged")).first()
+    assert held["n"] == 10_000_001 and held["n"] - held["lagged"] == 14 and held["most"] < held["n"] / 3
+    plan = lagged._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    # windows by the series alone run over one row per part, or one total per range of time
+    assert windows and all("__part" in w or "__bucket" in w or "r__n" in w for w in windows)
+    assert plan.count("explode(sequence(") == 3 and "least(2047" in plan
