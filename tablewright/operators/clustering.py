@@ -15,6 +15,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.operators import density
 from tablewright.operators.columns import numeric_columns, q
 from tablewright.operators.components import components
 from tablewright.operators.prepare import medians, robust_scale
@@ -27,6 +28,8 @@ MIN_SAMPLES = 5
 GRID_COLUMNS = 3
 EPS_SHARE = 0.9
 NOISE = -1
+#: halvings of a dense cell before the points of pairs of sub-cells that are still undecided are compared
+BOX_LEVELS = 20
 
 
 def feature_vectors(df: DataFrame, features: Sequence[str] | None = None, name: str = "features") -> DataFrame:
@@ -183,33 +186,22 @@ def pca2(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return out.select(*df.columns, (F.col("__xy")[0] * signs[0]).alias("pc1"), (F.col("__xy")[1] * signs[1]).alias("pc2"))
 
 
-def principal_axes(df: DataFrame, key: str, features: Sequence[str], k: int = GRID_COLUMNS) -> tuple[DataFrame, list[str]]:
-    """``(key, axis1 …)``: the first ``k`` principal components, and the names of the axes."""
-    ready = VectorAssembler(inputCols=list(features), outputCol="__raw").transform(df.select(key, *[q(c).cast("double").alias(c) for c in features]))
-    ready = StandardScaler(withMean=True, withStd=False, inputCol="__raw", outputCol="__centred").fit(ready).transform(ready)
-    axes = PCA(k=k, inputCol="__centred", outputCol="__axes").fit(ready).transform(ready).withColumn("__a", vector_to_array("__axes"))
-    names = [f"axis{i + 1}" for i in range(k)]
-    return cut(axes.select(key, *[F.col("__a")[i].alias(n) for i, n in enumerate(names)])), names
-
-
 def run_clustering(
     df: DataFrame, key: str, method: str = "kmeans", features: Sequence[str] | None = None, max_k: int = 10
 ) -> tuple[DataFrame, dict]:
     """``(labelled rows, metrics)`` by kmeans, dbscan, gaussian or hierarchical.
 
     Features are the numeric columns but the key, median-filled and robustly scaled. The
-    metrics hold ``best_k`` (or ``eps``) and the silhouette without noise. Density clusters of
-    more than three features are found on their first three principal components, since a grid
-    has too many neighbour cells beyond that; their silhouette is that of all features.
+    metrics hold ``best_k`` (or ``eps``) and the silhouette without noise.
     """
     if method not in ("kmeans", "dbscan", "gaussian", "hierarchical"):
         raise ValueError(f"unknown method {method!r}")
     features = list(features or [c for c in numeric_columns(df) if c != key])
     if method == "dbscan":
         scaled = robust_scale(df.select(key, *[q(c) for c in features]), features)
-        points, dims = (scaled, features) if len(features) <= GRID_COLUMNS else principal_axes(scaled, key, features)
-        eps = auto_eps(points, key, dims)
-        labels = cut(dbscan(points, key, dims, eps).select(key, "cluster"))
+        scaled = cut(scaled)
+        eps = auto_eps(scaled, key, features)
+        labels = cut(dbscan(scaled, key, features, eps).select(key, "cluster"))
         vectors = scaled.select(key, F.array(*[q(c) for c in features]).alias("features"))
         kept = vectors.join(labels.filter(F.col("cluster") != NOISE), key).select("features", "cluster")
         return df.join(labels, key), {"eps": eps, "silhouette": silhouette(kept, "features", "cluster")}
@@ -283,6 +275,8 @@ class _Grid:
 
 def core_points(df: DataFrame, key: str, dims: Sequence[str], eps: float, min_samples: int = MIN_SAMPLES) -> DataFrame:
     """``(key, core)``: whether at least ``min_samples`` points (itself included) lie within eps."""
+    if len(dims) > GRID_COLUMNS:
+        return density.dbscan(df, key, list(dims), eps, min_samples).select(key, "core")
     grid = _Grid(df, key, dims, eps, min_samples)
     flags = grid.flagged().select(*grid.x, "core")
     return spread_join(grid.rows, flags, grid.x).select(F.col("pid").alias(key), "core")
@@ -292,12 +286,16 @@ def auto_eps(df: DataFrame, key: str, dims: Sequence[str], min_samples: int = MI
     """The radius within which 90 % of the points have ``min_samples`` points, 0.3 at least.
 
     That radius is the 90th percentile of the distance to the ``min_samples``-th nearest
-    point (itself included). Core points at a trial radius are counted on the grid, and the
-    radius is bracketed by doubling and halved down to ``tolerance``. A table of fewer rows than
+    point (itself included). Core points at a trial radius are counted on the grid (or the tree of
+    cells, which is built once), and the radius is bracketed by doubling and halved down to ``tolerance``. A table of fewer rows than
     ``min_samples`` has no such radius and gets the smallest.
     """
 
+    tree = density.Tree(df, key, list(dims)) if len(dims) > GRID_COLUMNS else None
+
     def share(eps: float) -> float:
+        if tree:
+            return density.share_of_core(tree, eps, min_samples)
         grid = _Grid(df, key, dims, eps, min_samples)
         row = grid.flagged().agg(F.sum(F.when(F.col("core"), F.col("w")).otherwise(0)).alias("c"), F.sum("w").alias("n")).first()
         return row["c"] / row["n"]
@@ -318,13 +316,16 @@ def auto_eps(df: DataFrame, key: str, dims: Sequence[str], min_samples: int = MI
 def dbscan(df: DataFrame, key: str, dims: Sequence[str], eps: float | None = None, min_samples: int = MIN_SAMPLES) -> DataFrame:
     """``(key, core, cluster)``: the smallest core key of the cluster, -1 for noise.
 
-    Border points near several clusters take the smallest label. Exact for one to three
-    dimensions; ``key`` is an integer and no coordinate is null.
+    Border points near several clusters take the smallest label. Exact for any number of columns:
+    up to three on a grid, more in a tree of cells (``density``), since a grid cell has too many
+    neighbours then. ``key`` is an integer and no coordinate is null.
     """
-    if not 1 <= len(dims) <= 3:
-        raise ValueError("density clusters take one to three dimensions; project first")
+    if not dims:
+        raise ValueError("density clusters need a column")
     if eps is None:
         eps = auto_eps(df, key, dims, min_samples)
+    if len(dims) > GRID_COLUMNS:
+        return density.dbscan(df, key, list(dims), eps, min_samples)
     grid = _Grid(df, key, dims, eps, min_samples)
     points = cut(grid.flagged())
     core = points.filter("core")
@@ -380,12 +381,22 @@ def _dense_links(grid: _Grid, points: DataFrame, nodes: DataFrame) -> DataFrame:
     first = first.withColumns({f"b_{c}": F.col(f"a_{c}") + F.col(f"o.o{i}") for i, c in enumerate(grid.c)})
     state = cut(judged(first.join(boxes(0, "b"), [f"b_{c}" for c in grid.c])))
     found = state.filter("linked").select("a_node", "b_node").distinct()
-    for level in range(1, 60):
+    level = 0
+    while True:
+        level += 1
         open_pairs = state.filter("NOT linked AND NOT far").join(
             state.filter("linked").select("a_node", "b_node").distinct(), ["a_node", "b_node"], "left_anti"
         )
         if open_pairs.isEmpty():
             break
+        if level > BOX_LEVELS:  # the boxes are tiny: their points are compared themselves
+            for side in "ab":
+                sub = [F.floor(F.col(x) * F.lit(2.0 ** (level - 1) / grid.side)).cast("bigint").alias(f"{side}_k{i}") for i, x in enumerate(grid.x)]
+                points_of = dense.select(F.col("node").alias(f"{side}_node"), *sub, *[F.col(x).alias(f"{side}_{x}") for x in grid.x])
+                open_pairs = open_pairs.join(points_of, [f"{side}_node", *[f"{side}_k{i}" for i in range(grid.d)]])
+            met = open_pairs.filter(_distance2([f"a_{x}" for x in grid.x], [f"b_{x}" for x in grid.x]) <= eps2)
+            found = found.unionByName(met.select("a_node", "b_node").distinct())
+            break
         for side in "ab":
             up = {f"{side}_u{i}": F.expr(f"{side}_k{i} >> 1") for i in range(grid.d)}
             small = boxes(level, side).withColumns(up).drop(*[f"{side}_{c}" for c in grid.c])

@@ -168,6 +168,26 @@ def dbscan_auto(spark, sf):
     return clustering.dbscan(wide, "c_custkey", PLANE)
 
 
+FIVE = [f"e{i}" for i in range(1, 6)]
+
+
+@query(
+    "dbscan_wide",
+    f"""WITH RECURSIVE p AS (SELECT vec_id, {", ".join(f"embedding[{i + 1}]::DOUBLE AS {c}" for i, c in enumerate(FIVE))} FROM embeddings),
+    e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM p a, p b WHERE {" + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in FIVE)} <= 0.13::DOUBLE * 0.13::DOUBLE),
+    k AS (SELECT a AS vec_id, count(*) >= 5 AS core FROM e GROUP BY 1),
+    g AS (SELECT e.a, e.b FROM e JOIN k x ON x.vec_id = e.a AND x.core JOIN k y ON y.vec_id = e.b AND y.core),
+    r(a, label) AS (SELECT a, a FROM g WHERE a = b UNION SELECT g.b, r.label FROM r JOIN g ON g.a = r.a WHERE g.b > r.label),
+    l AS (SELECT a, min(label) AS label FROM r GROUP BY 1)
+    SELECT k.vec_id, k.core, coalesce(CASE WHEN core THEN (SELECT label FROM l WHERE l.a = k.vec_id)
+      ELSE (SELECT min(label) FROM e JOIN l ON l.a = e.b WHERE e.a = k.vec_id) END, -1) AS cluster FROM k""",
+)
+def dbscan_wide(spark, sf):
+    """Density clusters of five columns."""
+    rows = table(spark, sf, "embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(FIVE)])
+    return clustering.dbscan(rows, "vec_id", FIVE, 0.13)
+
+
 def _shape(spark, sf):
     return cut(clustering.feature_vectors(customer_points(spark, sf), ["balance", "n_orders", "spend"]).select("c_custkey", "features"))
 

@@ -146,3 +146,71 @@ def test_density_clusters_of_many_columns_and_of_few_rows(spark):
     assert left and right and not left & right
     few, _ = clustering.run_clustering(df.limit(4), "key", "dbscan")
     assert {r["cluster"] for r in few.collect()} == {-1}
+
+
+def labelled(spark, x, eps, least=5):
+    dims = [f"d{i}" for i in range(x.shape[1])]
+    pdf = pd.DataFrame(x, columns=dims)
+    pdf.insert(0, "id", np.arange(len(x)))
+    got = clustering.dbscan(spark.createDataFrame(pdf), "id", dims, eps, least).toPandas().sort_values("id")
+    return got["core"].to_numpy(), got["cluster"].to_numpy()
+
+
+def wide_cloud(kind):
+    rng = np.random.default_rng(8)
+    if kind == "blobs":
+        x = np.concatenate([rng.normal(c, 0.2, (80, 5)) for c in (0.0, 1.0, 3.0)] + [rng.uniform(-2, 5, (40, 5))])
+    elif kind == "copies":
+        x = np.concatenate([np.zeros((90, 4)), np.full((60, 4), 0.2), rng.uniform(-1, 1, (90, 4))])
+    elif kind == "tight":  # hundreds of points inside one radius, next to others at just that distance
+        ball = rng.normal(size=(200, 6))
+        ball = 0.2 * ball / np.linalg.norm(ball, axis=1, keepdims=True) * rng.uniform(0, 1, (200, 1))
+        x = np.concatenate([ball, ball[:50] + np.array([1.2, 0, 0, 0, 0, 0]), ball[:50] + np.array([0, 0.9, 0, 0, 0, 0])])
+    else:
+        t = rng.uniform(0, 40, 300)  # a long thin cluster through many cells
+        x = np.stack([np.cos(t), np.sin(t), t / 9, t / 7, 0 * t], axis=1)
+    return x[rng.permutation(len(x))]
+
+
+@pytest.mark.parametrize("kind,eps,cell,fan", [
+    ("blobs", 0.45, 1024, 16), ("blobs", 0.45, 12, 3), ("copies", 0.4, 12, 3), ("tight", 1.0, 12, 3), ("chain", 0.5, 12, 3)
+])
+def test_wide_dbscan_equals_brute_force(spark, monkeypatch, kind, eps, cell, fan):
+    monkeypatch.setattr(clustering.density, "CELL", cell)
+    monkeypatch.setattr(clustering.density, "FAN", fan)
+    x = wide_cloud(kind)
+    core, label = labelled(spark, x, eps)
+    want_core, want = brute_dbscan(x, eps, 5)
+    assert (core == want_core).all() and (label == want).all()
+    assert len(set(label)) > 1 or kind in ("chain", "tight")
+
+
+def test_wide_points_without_rows_and_alone(spark):
+    df = spark.createDataFrame([(7, 1.0, 2.0, 3.0, 4.0)], "id int, a double, b double, c double, d double")
+    one = clustering.dbscan(df, "id", list("abcd"), 0.5)
+    assert [tuple(r) for r in one.collect()] == [(7, False, -1)] and one.schema["id"].dataType.simpleString() == "int"
+    assert clustering.dbscan(df.limit(0), "id", list("abcd"), 0.5).count() == 0
+
+
+def test_few_pairs_of_leaves_meet(spark, monkeypatch):
+    """Far clusters never meet: pairs of leaves stay in proportion to the leaves."""
+    monkeypatch.setattr(clustering.density, "CELL", 20)
+    monkeypatch.setattr(clustering.density, "FAN", 4)
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(10.0 * c, 0.3, (60, 5)) for c in range(16)])
+    pdf = pd.DataFrame(x, columns=list("abcde"))
+    pdf.insert(0, "id", np.arange(len(x)))
+    tree = clustering.density.Tree(spark.createDataFrame(pdf), "id", list("abcde"))
+    near = clustering.density.Neighbours(tree, 0.2, 5)
+    leaves = tree.points.select("cell").distinct().count()
+    assert leaves > 48 and near.pairs.count() < 8 * leaves
+
+
+def test_distances_equal_to_the_radius_link_dense_cells(spark):
+    """The only pair within the radius is exactly as far, among points closer than any sub-cell."""
+    step = 2.0**-40
+    left, right = [-i * step for i in range(8)], [0.25 + i * step for i in range(8)]
+    core, label = labelled(spark, np.array([left + right]).T, 0.25)
+    assert core.all() and set(label) == {0}
+    core, label = labelled(spark, np.array([left + [r + step for r in right]]).T, 0.25)
+    assert core.all() and set(label) == {0, 8}
