@@ -6,11 +6,12 @@ import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tablewright.functions.text import slug
 from tablewright.operators.columns import datetime_columns, nan_to_null, numeric_columns, q, rough_distinct
-from tablewright.operators.ranking import rank_rows
+from tablewright.operators.ranking import offsets, rank_rows
 
 # Name patterns of likely targets, strongest first, for a single run and
 # for many datasets.
@@ -119,28 +120,43 @@ def task_of(problem_type: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*pairs), problem_type), F.lit("multiclass"))
 
 
+#: ranks and taken numbers that one task puts in order together
+NUMBER_RANGE = 1 << 16
+
+
 def job_ids(df: DataFrame, name: Column, order: str, buckets: int = 64) -> DataFrame:
     """Add ``job_id``: the slug of ``name``; later rows with the same slug get _2, _3 …
 
     The first row of every slug keeps it, so the numbers pass over those that would make the
     slug of another row: ``a, a, a_2`` gives ``a, a_3, a_2``. No id occurs twice. ``order`` is
-    a numeric key. A slug that many rows share is ranked in key ranges.
+    a numeric key; a null name has the empty slug.
+
+    The ``i``-th taken number ``x`` of a slug (from 0) moves all ranks of ``x - i`` or more on by one. Ranks and
+    these thresholds make one ordered stream, and a running total over ranges of it gives each
+    rank its moves; no slug's numbers are gathered in one place.
     """
-    slugged = df.withColumn("__slug", slug(name))
+    slugged = df.withColumn("__slug", F.coalesce(slug(name), F.lit("")))
     edge = df.agg(F.min(order).alias("lo"), F.max(order).alias("hi")).first()
     width = max((edge["hi"] or 0) - (edge["lo"] or 0) + 1, 1)
     bucket = F.floor((F.col(order) - F.lit(edge["lo"])) * F.lit(buckets) / F.lit(width))
     ranked = rank_rows(slugged, [order], bucket, ["__slug"], "__n", "__total")
-    # taken numbers of a slug, ascending; the i-th of them (from 0) moves all ranks >= number - i on by one
-    parts = slugged.select("__slug").distinct().select(
-        F.regexp_extract("__slug", r"^(.*)_([1-9][0-9]{0,8})$", 1).alias("__base"),
-        F.regexp_extract("__slug", r"^(.*)_([1-9][0-9]{0,8})$", 2).alias("__number"),
-    )
-    taken = parts.filter("__number <> '' AND __number <> '1'").groupBy(F.col("__base").alias("__slug")).agg(
-        F.sort_array(F.collect_list(F.col("__number").cast("bigint"))).alias("__taken")
-    )
-    number = F.col("__n") + F.size(F.filter(F.coalesce("__taken", F.array().cast("array<bigint>")), lambda x, i: x - i <= F.col("__n")))
-    placed = ranked.join(taken, "__slug", "left")
-    return placed.withColumn(
-        "job_id", F.concat_ws("_", "__slug", F.when(F.col("__n") > 1, number.cast("string")))
-    ).select(*df.columns, "job_id")
+
+    shape = r"^(.*)_([1-9][0-9]{0,8})$"
+    base, number = (F.regexp_extract("__slug", shape, i) for i in (1, 2))
+    taken = slugged.select("__slug").distinct().filter((number != "") & (number != "1"))
+    taken = taken.select(base.alias("__slug"), number.cast("bigint").alias("__x"))
+    # a base that is no row's slug needs no numbers
+    taken = taken.join(slugged.select("__slug").distinct(), "__slug", "left_semi")
+    placed = rank_rows(taken, ["__x"], F.floor(F.col("__x") / NUMBER_RANGE), ["__slug"], "__i", "__all_taken")
+    moves = placed.groupBy("__slug", (F.col("__x") - F.col("__i") + 1).alias("__v")).agg(F.count(F.lit(1)).alias("__moves"))
+
+    nothing = F.lit(None).cast(ranked.select(F.struct(*[q(c) for c in df.columns])).schema[0].dataType)
+    later = ranked.filter("__n > 1").select("__slug", F.col("__n").alias("__v"), F.lit(0).cast("bigint").alias("__moves"), F.struct(*[q(c) for c in df.columns]).alias("__row"))
+    stream = later.unionAll(moves.select("__slug", "__v", "__moves", nothing.alias("__row")))
+    stream = stream.withColumn("__range", F.floor(F.col("__v") / NUMBER_RANGE))
+    before = offsets(stream, ["__slug"], "__range", {"m": F.sum("__moves")}).select("__slug", "__range", "m__before")
+    # a threshold comes before the rank it equals
+    order_by = W.partitionBy("__slug", "__range").orderBy("__v", F.col("__row").isNotNull()).rowsBetween(W.unboundedPreceding, 0)
+    moved = stream.join(before, ["__slug", "__range"]).withColumn("__number", F.col("__v") + F.col("m__before") + F.sum("__moves").over(order_by))
+    numbered = moved.filter(F.col("__row").isNotNull()).select("__row.*", F.concat_ws("_", "__slug", F.col("__number").cast("string")).alias("job_id"))
+    return ranked.filter("__n = 1").select(*[q(c) for c in df.columns], F.col("__slug").alias("job_id")).unionAll(numbered)

@@ -34,6 +34,12 @@ def is_float(df: DataFrame, name: str) -> bool:
     return isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType))
 
 
+def is_measured(df: DataFrame, name: str) -> bool:
+    """Floating columns, and arrays of numbers: their values may all differ without being ids."""
+    kind = df.schema[name].dataType
+    return is_float(df, name) or (isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.NumericType))
+
+
 def nan_to_null(df: DataFrame) -> DataFrame:
     """Turn NaN into null in floating columns, so both count as missing."""
     floats = [c for c in df.columns if is_float(df, c)]

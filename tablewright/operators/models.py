@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import random
 import time
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import partial
 
+from pyspark import InheritableThread
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -25,12 +28,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewright.operators import metrics, prepare, profile
 from tablewright.operators.columns import categorical_columns, datetime_columns, nan_to_null, numeric_columns, q
 from tablewright.operators.ranking import row_hash
 from tablewright.operators.sampling import split_rows
-from tablewright.session import cut
+from tablewright.session import cut, stored
 
 LABEL = "__label"
 WEIGHT = "__weight"
@@ -76,16 +80,29 @@ class FeatureSpec:
     names: list[str] = field(default_factory=list)
 
 
+def array_lengths(df: DataFrame) -> dict[str, int]:
+    """Columns that are arrays of numbers, with their greatest length; empty ones are left out."""
+    arrays = [f.name for f in df.schema.fields if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.NumericType)]
+    found = df.agg(*[F.max(F.size(q(c))).alias(c) for c in arrays]).first().asDict() if arrays else {}
+    return {c: n for c, n in found.items() if n and n > 0}
+
+
 def fit_features(train: DataFrame, target: str, dropped: Sequence[str] = (), dates: Sequence[str] | None = None) -> FeatureSpec:
     """Learn fills, scales and categories on ``train``; the stages hold them as constants.
 
     Dates become calendar numbers inside the pipeline, so a saved model scores raw rows.
     """
-    work = nan_to_null(train).drop(*dropped)
+    work, stages = nan_to_null(train).drop(*dropped), []
+    wide = array_lengths(work.drop(target))
+    if wide:
+        # the places of an array are columns of their own; a shorter one has nulls in the last of them
+        places = [f"get({_name(c)}, {i}) AS {_name(f'{c}_{i}')}" for c, n in wide.items() for i in range(n)]
+        stages.append(SQLTransformer(statement=f"SELECT *, {', '.join(places)} FROM __THIS__"))
+        work = stages[0].transform(work).drop(*wide)
     inputs = work.drop(target)
     text_dates = list(dates) if dates is not None else prepare.date_text_columns(inputs)
     all_dates = [c for c in inputs.columns if c in text_dates or c in datetime_columns(inputs)]
-    stages, numeric = [], [c for c in numeric_columns(inputs)]
+    numeric = [c for c in numeric_columns(inputs)]
     if all_dates:
         parts = []
         for c in all_dates:
@@ -94,7 +111,7 @@ def fit_features(train: DataFrame, target: str, dropped: Sequence[str] = (), dat
                 parts.append(f"{fn}({ts}) AS {_name(f'{c}_{part}')}")
                 numeric.append(f"{c}_{part}")
         stages.append(SQLTransformer(statement=f"SELECT *, {', '.join(parts)} FROM __THIS__"))
-        inputs = stages[0].transform(inputs)
+        inputs = stages[-1].transform(inputs)
     categorical = [
         c for c in work.columns
         if c != target and c not in all_dates and c not in numeric_columns(work)
@@ -179,10 +196,13 @@ def prepare_task(
         code = F.create_map(*[x for i, v in enumerate(labels) for x in (F.lit(v), F.lit(float(i)))])
         mass = F.create_map(*[x for v in labels for x in (F.lit(v), F.lit(float(weight[v])))])
         value = q(target).cast("string")
-        rows = split.withColumn(LABEL, code[value]).withColumn(WEIGHT, mass[value])
+        # with the number of classes known, no estimator has to count them, or refuses more than a hundred
+        nominal = {"ml_attr": {"type": "nominal", "name": LABEL, "num_vals": len(labels)}}
+        rows = split.withColumn(LABEL, code[value].alias(LABEL, metadata=nominal)).withColumn(WEIGHT, mass[value])
     staged = PipelineModel(spec.stages).transform(rows)
     keep = [*columns, "split", LABEL, WEIGHT, FEATURES]
-    return Task(target, problem, spec, labels, staged.select(*[q(c) for c in keep]), strategy)
+    # written once: every candidate, metric and explanation reads the same rows
+    return Task(target, problem, spec, labels, stored(staged.select(*[q(c) for c in keep])), strategy)
 
 
 def candidate_models(problem: str, seed: int = 42, trees: int = 50, rounds: int = 20) -> dict:
@@ -243,41 +263,102 @@ class Trained:
     seconds: float
 
 
-def train_leaderboard(task: Task, models: dict | None = None, budget: float = 600.0) -> list[Trained]:
+class Board(list):
+    """The trained candidates, best first; ``dropped`` has ``(name, status, error)`` of the others:
+    ``failed``, ``out of time`` or ``not started``."""
+
+    def __init__(self, trained: Sequence[Trained], dropped: Sequence[tuple[str, str, str]]) -> None:
+        super().__init__(trained)
+        self.dropped = list(dropped)
+
+
+class OutOfTime(RuntimeError):
+    """Work that was ended at its time limit."""
+
+
+#: seconds that work has to end after its Spark jobs were cancelled
+GRACE = 10.0
+
+
+def within(spark: SparkSession, seconds: float, work):
+    """The result of ``work()``, or ``OutOfTime`` after so many seconds.
+
+    The work runs in a thread whose Spark jobs carry a tag of their own. At the limit the jobs of that tag
+    are cancelled, again and again until the work has ended, since a fit starts job after job.
+    """
+    context, tag = spark.sparkContext, f"within-{uuid.uuid4().hex}"
+    out: dict = {}
+
+    def run() -> None:
+        context.addJobTag(tag)
+        context.setInterruptOnCancel(True)
+        try:
+            out["value"] = work()
+        except BaseException as exc:  # handed to the caller
+            out["error"] = exc
+        finally:
+            context.removeJobTag(tag)
+
+    thread = InheritableThread(target=run, daemon=True)
+    thread.start()
+    thread.join(max(0.0, seconds))
+    if thread.is_alive():
+        ended = time.time() + GRACE
+        while thread.is_alive() and time.time() < ended:
+            context.cancelJobsWithTag(tag)
+            thread.join(0.2)
+        raise OutOfTime(f"ended after {seconds:.0f} seconds")
+    if "error" in out:
+        raise out["error"]
+    return out["value"]
+
+
+def train_leaderboard(task: Task, models: dict | None = None, budget: float = 600.0) -> Board:
     """Fit each candidate on train, score on validation, best first.
 
-    A failing candidate is skipped; the budget is looked at between candidates; if none is
-    left the run fails.
+    A candidate that fails, or that the budget of seconds ends, is reported in ``dropped``; so are those
+    it leaves no time for. Until one is trained, each may take its equal share of the budget even
+    when that is spent. If none can be trained the run fails.
     """
     models = models or candidate_models(task.problem)
     train, val = task.part("train").persist(), task.part("val").persist()
-    started, done = time.time(), []
+    started, done, dropped = time.time(), [], []
+
+    def fitted(name: str, estimator) -> Trained:
+        begun = time.time()
+        model = estimator.fit(train)
+        return Trained(name, model, scores(model.transform(val), task.problem), time.time() - begun)
+
     try:
         for name, estimator in models.items():
-            if done and time.time() - started > budget:
-                break
-            begun = time.time()
+            left = budget - (time.time() - started)
+            if done and left <= 0:
+                dropped.append((name, "not started", f"the budget of {budget:.0f} seconds is spent"))
+                continue
             try:
-                model = estimator.fit(train)
-                done.append(Trained(name, model, scores(model.transform(val), task.problem), time.time() - begun))
+                done.append(within(train.sparkSession, left if done else max(left, budget / len(models)), partial(fitted, name, estimator)))
+            except OutOfTime as exc:
+                dropped.append((name, "out of time", str(exc)))
             except Exception as exc:
-                print(f"candidate {name} failed: {str(exc)[:200]}")
+                dropped.append((name, "failed", str(exc)[:300]))
     finally:
         train.unpersist()
         val.unpersist()
     if not done:
-        raise RuntimeError("no candidate could be trained")
+        raise RuntimeError(f"no candidate could be trained: {'; '.join(f'{n}: {s}, {e}' for n, s, e in dropped)}"[:600])
     metric = primary_metric(task.problem)
-    return sorted(done, key=lambda t: -(t.scores.get(metric) or float("-inf")))
+    return Board(sorted(done, key=lambda t: -(t.scores.get(metric) or float("-inf"))), dropped)
 
 
 def leaderboard_frame(spark: SparkSession, board: Sequence[Trained], problem: str) -> DataFrame:
+    """A row per candidate and metric, and one, without rank and value, per candidate that was dropped."""
     metric = primary_metric(problem)
     rows = [
-        (i + 1, t.name, m, float(v), m == metric)
+        (i + 1, t.name, m, float(v), m == metric, "ok", None)
         for i, t in enumerate(board) for m, v in t.scores.items() if v is not None
     ]
-    return spark.createDataFrame(rows, "rank int, model string, metric string, value double, is_primary boolean")
+    rows += [(None, name, None, None, None, status, error) for name, status, error in getattr(board, "dropped", ())]
+    return spark.createDataFrame(rows, "rank int, model string, metric string, value double, is_primary boolean, status string, error string")
 
 
 def full_model(task: Task, model) -> PipelineModel:
@@ -363,13 +444,15 @@ def tree_importance(model, names: Sequence[str], columns: Sequence[str] = ()) ->
     return out
 
 
-def stacked_ensemble(task: Task, models: dict | None = None, folds: int = 5):
-    """Out-of-fold predictions of each base model feed a linear second level.
+def stacked_ensemble(task: Task, models: dict | None = None, folds: int = 5, budget: float | None = None):
+    """Out-of-fold predictions of each base model feed a linear second level; ``OutOfTime`` after ``budget`` seconds.
 
     Returns ``(predict, weights)`` where ``predict`` adds ``prediction`` (and, if binary,
     ``probability``) to rows with features.
     """
-    models = models or candidate_models(task.problem, trees=20, rounds=10)
+    if budget is not None:
+        return within(task.rows.sparkSession, budget, lambda: stacked_ensemble(task, models, folds))
+    models = models or candidate_models(task.problem)
     regression = task.problem == "regression"
     train = task.part("train").withColumn("__fold", F.pmod(F.xxhash64(FEATURES, LABEL), F.lit(folds))).persist()
     outputs = {name: f"__base{i}" for i, name in enumerate(models)}

@@ -13,6 +13,7 @@ from tablewright.operators.columns import (
     as_text,
     categorical_columns,
     is_float,
+    is_measured,
     nan_to_null,
     no_rows,
     numeric_columns,
@@ -64,12 +65,12 @@ def coerce_numeric(df: DataFrame, column: str) -> DataFrame:
 def id_like_columns(df: DataFrame, target: str) -> DataFrame:
     """Per column: distinct count and whether it is constant or nearly unique.
 
-    Floating columns may be unique. The decision is a table; drop with ``id_like_names``.
+    Floating columns and arrays of numbers may be unique. The decision is a table; drop with ``id_like_names``.
     """
     df = nan_to_null(df)
     columns = [c for c in df.columns if c != target]
     rows = df.count()
-    floats = [c for c in columns if is_float(df, c)]
+    floats = [c for c in columns if is_measured(df, c)]
     many = (F.col("distinct") >= F.lit(rows * ID_SHARE)) & ~F.col("column").isin(floats)
     return distinct_counts(df, columns).withColumn("drop", (F.col("distinct") <= 1) | many)
 
@@ -86,7 +87,7 @@ def id_like_names(df: DataFrame, target: str) -> list[str]:
     ).first()
     doubtful = [
         c for i, c in enumerate(columns)
-        if rough[f"d{i}"] <= 5 or (rough[f"d{i}"] >= 0.85 * rough["rows"] and not is_float(df, c))
+        if rough[f"d{i}"] <= 5 or (rough[f"d{i}"] >= 0.85 * rough["rows"] and not is_measured(df, c))
     ]
     if not doubtful:
         return []

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -207,10 +208,10 @@ def review(df: DataFrame, target: str, problem: str, candidates=None) -> DataFra
         task = models.prepare_task(df, target, catalog.TASKS.get(problem, "multiclass"))
         best = models.train_leaderboard(task, candidates, budget=120.0)[0]
         name, score = best.name, best.scores.get(models.primary_metric(task.problem))
-        found = model_importance(task, best.model, repeats=2).orderBy(F.desc("importance"), "feature").limit(5)
+        found = model_importance(task, best.model).orderBy(F.desc("importance"), "feature").limit(5)
         ranked = [(r["feature"], float(r["importance"])) for r in found.collect()]
-    except (ValueError, RuntimeError) as exc:
-        name = f"failed: {exc}"
+    except Exception as exc:  # also what Spark itself raises: the other steps still report
+        name = f"failed: {str(exc)[:300]}"
     facts = [("Model", "model", name), ("Model", "score", None if score is None else f"{score:.6f}")]
     facts += [("Model", f"importance:{f}", f"{v:.6f}") for f, v in ranked]
     scored = spark.createDataFrame([(score,)], "score double")
@@ -225,12 +226,14 @@ def review(df: DataFrame, target: str, problem: str, candidates=None) -> DataFra
 
 
 def train_automl(df: DataFrame, target: str, problem_type: str, time_limit: float = 300.0, calibrate: bool = True, folds: int = 5):
-    """Leaderboard and, with ``calibrate``, a stacked ensemble for any named problem type.
+    """Leaderboard and, with ``calibrate``, a stacked ensemble for any named problem type, within
+    ``time_limit`` seconds; if they end the stacking, the best candidate predicts alone.
 
     Returns ``{task, leaderboard, best, predict, metric, score}``, or None when training
     fails. ``predict`` adds predictions to rows of the task; ``score`` is its validation
     score (accuracy, or negative RMSE for regression).
     """
+    began = time.time()
     try:
         task = models.prepare_task(df, target, catalog.TASKS.get(problem_type, "multiclass"))
         board = models.train_leaderboard(task, budget=time_limit)
@@ -238,10 +241,13 @@ def train_automl(df: DataFrame, target: str, problem_type: str, time_limit: floa
         if calibrate:
             # second-level inputs need class probabilities, which boosting has for two classes only
             base = {t.name: models.candidate_models(task.problem)[t.name] for t in board}
-            predict, _ = models.stacked_ensemble(task, base, folds)
+            try:
+                predict, _ = models.stacked_ensemble(task, base, folds, max(0.0, time_limit - (time.time() - began)))
+            except models.OutOfTime as exc:
+                print(f"no stacking: {exc}")
         found = models.scores(predict(task.part("val")), task.problem)
-    except (ValueError, RuntimeError) as exc:
-        print(f"training failed: {exc}")
+    except Exception as exc:  # also what Spark itself raises
+        print(f"training failed: {str(exc)[:300]}")
         return None
     regression = task.problem == "regression"
     return {

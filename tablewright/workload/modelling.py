@@ -174,8 +174,7 @@ def autopilot_run(spark, sf):
 @query("review_steps")
 def review_steps(spark, sf):
     df = table(spark, sf, "lineitem").select("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
-    light = {"LogisticRegression": models.candidate_models("binary")["LogisticRegression"]}
-    return autopilot.review(df, "l_linestatus", "binary_classification", light)
+    return autopilot.review(df, "l_linestatus", "binary_classification")
 
 
 @query("batch_run")

@@ -1,9 +1,13 @@
 """Training, scoring, explanation and whole runs."""
 
+import random
+import re
+import time
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.ml import PipelineModel
+from pyspark.ml import Estimator
 from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import functions as F
 
@@ -166,9 +170,10 @@ def test_batch_isolates_failures(spark, tmp_path):
     assert {r["id"]: r["status"] for r in out.collect()} == {"shop_b": "ok", "bad": "failed", "lost": "failed"}
 
 
-def test_job_ids_avoid_taken_names():
-    taken = set()
-    assert [batch.job_id("p", s, taken) for s in ("a", "a_2", "a", "A!")] == ["p_a", "p_a_2", "p_a_3", "p_a_4"]
+def test_job_ids_avoid_taken_names(spark):
+    registry = batch._registry(spark, [("p", name, name, "t", "regression") for name in ("a", "a_2", "a", "A!")])
+    assert [r["id"] for r in registry.collect()] == ["p_a", "p_a_2", "p_a_3", "p_a_4"]
+    assert batch._registry(spark, []).count() == 0
 
 
 def test_sql_desk(spark):
@@ -267,6 +272,105 @@ def test_job_ids_pass_over_taken_names(spark):
     assert [found[i] for i in range(8)] == ["a", "a_3", "a_2", "a_5", "a_2_2", "a_4", "b", "a_6"]
 
 
+def numbers_by_hand(names):
+    """Job ids of names in order, one by one."""
+    slugs = [re.sub(r"^_+|_+$", "", re.sub(r"[^a-z0-9]+", "_", (n or "").lower())) for n in names]
+    taken, last, out = set(slugs), {}, []
+    for s in slugs:
+        n = last.get(s, 0) + 1
+        while n > 1 and f"{s}_{n}" in taken:
+            n += 1
+        last[s] = n
+        out.append(s if n == 1 else f"{s}_{n}")
+    return out
+
+
+def test_job_ids_equal_numbering_one_by_one(spark, monkeypatch):
+    rng = random.Random(5)
+    names = [rng.choice(["a", "b", "a_2", None, "", f"a {rng.randrange(2, 90)}", f"b_{rng.randrange(2, 9)}", "a_007", "a_1"]) for _ in range(600)]
+    df = spark.createDataFrame([(i, n, "x") for i, n in enumerate(names)], "k long, name string, __v string")
+    want = numbers_by_hand(names)
+    for size in (1 << 16, 8):
+        monkeypatch.setattr(catalog, "NUMBER_RANGE", size)
+        found = {r["k"]: r["job_id"] for r in catalog.job_ids(df, F.col("name"), "k").collect()}
+        assert [found[i] for i in range(len(names))] == want
+
+
+def test_job_ids_grow_with_the_rows(spark):
+    def seconds(n):
+        names = F.expr("CASE WHEN id % 5 = 0 THEN 'Job' WHEN id % 5 = 1 THEN 'job 2' ELSE concat('job ', id) END")
+        df = catalog.job_ids(spark.range(n).withColumn("name", names), F.col("name"), "id")
+        assert "collect_list" not in df._jdf.queryExecution().optimizedPlan().toString()
+        begun = time.time()
+        df.write.format("noop").mode("overwrite").save()
+        return time.time() - begun
+
+    seconds(20_000)
+    assert seconds(80_000) < 5 * seconds(20_000) + 1
+
+
+class Slow(Estimator):
+    """Its fit is one Spark job that takes ten minutes."""
+
+    def _fit(self, dataset):
+        nap = F.udf(lambda x: time.sleep(600), "int")
+        dataset.select(nap(F.col(models.LABEL))).collect()
+
+
+def test_budget_ends_a_fit(spark, task):
+    quick = models.candidate_models("binary")["LogisticRegression"]
+    models.train_leaderboard(task, {"LogisticRegression": quick})  # warm
+    begun = time.time()
+    board = models.train_leaderboard(task, {"LogisticRegression": quick, "Slow": Slow(), "Late": quick}, budget=25)
+    assert time.time() - begun < 60
+    assert [t.name for t in board] == ["LogisticRegression"]
+    assert [(n, s) for n, s, _ in board.dropped] == [("Slow", "out of time"), ("Late", "not started")]
+    deadline = time.time() + 10
+    while spark.sparkContext.statusTracker().getActiveJobsIds() and time.time() < deadline:
+        time.sleep(0.2)
+    assert not spark.sparkContext.statusTracker().getActiveJobsIds()
+    rows = models.leaderboard_frame(spark, board, "binary").filter("status <> 'ok'").collect()
+    assert {(r["model"], r["rank"], r["status"]) for r in rows} == {("Slow", None, "out of time"), ("Late", None, "not started")}
+    with pytest.raises(models.OutOfTime):
+        models.stacked_ensemble(task, {"Slow": Slow()}, folds=2, budget=3)
+    with pytest.raises(RuntimeError):
+        models.train_leaderboard(task, {"Slow": Slow()}, budget=2)
+
+
+def test_forests_take_any_number_of_classes(spark):
+    rows = spark.range(6000).select((F.col("id") % 250).cast("double").alias("x"), F.rand(3).alias("noise"), F.concat(F.lit("c"), F.col("id") % 250).alias("y"))
+    task = models.prepare_task(rows, "y", "multiclass")
+    board = models.train_leaderboard(task, {"RandomForest": models.candidate_models("multiclass", trees=3)["RandomForest"]})
+    assert [t.name for t in board] == ["RandomForest"] and board.dropped == []
+
+
+def test_arrays_are_features(spark, tmp_path):
+    rows = spark.range(300).select(
+        F.array(F.rand(1), F.col("id") % 2 + F.rand(2) / 4, F.when(F.col("id") % 9 > 0, F.rand(4))).alias("v"), F.array().cast("array<int>").alias("none"),
+        F.array(F.lit("t")).alias("words"), (F.col("id") % 2).alias("y"),
+    )
+    task = models.prepare_task(rows, "y", "binary")
+    assert [c for c in task.spec.numeric if c.startswith("v_")] == ["v_0", "v_1", "v_2"]
+    board = models.train_leaderboard(task, {"LogisticRegression": models.candidate_models("binary")["LogisticRegression"]})
+    assert board[0].scores["roc_auc"] > 0.95
+    models.save_bundle(models.full_model(task, board[0].model), {"target": "y", "problem_type": "binary", "dropped": task.spec.dropped}, str(tmp_path / "m"))
+    loaded, meta = models.load_bundle(spark, str(tmp_path / "m"))
+    assert models.score(loaded, rows.withColumns({"v": F.slice("v", 1, 2), "truth": F.col("y")}), meta).filter("prediction = truth").count() > 270
+
+
+def test_every_job_of_the_batch_succeeds(spark, sf):
+    from tablewright.workload import inference, table
+
+    def light(problem):
+        return {name: model for name, model in models.candidate_models(problem, trees=3, rounds=2).items() if name in ("RandomForest", "Ridge")}
+
+    tables = {t: table(spark, sf, t) for t in inference.TABLES}
+    registry = batch.build_registry(spark, tables, "retail")
+    assert not {r["target"] for r in registry.collect()} & {"l_shipdate", "o_orderdate", "ts"}
+    out = batch.run_batch(spark, registry, tables.__getitem__, candidates=light).collect()
+    assert len(out) > 4 and {(r["status"], r["error"]) for r in out} == {("ok", None)}
+
+
 def test_inference(spark):
     df = churn(spark)
     assert catalog.infer_target(df) == "churn"
