@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.operators import timeseries
-from tablewright.session import cut
+from tablewright.session import cut, stored
 
 MIN_POINTS = 30
 MIN_TREND_POINTS = 5
@@ -39,8 +39,13 @@ FITTED, SHORT = "fitted", "short"
 
 def by_length(df: DataFrame, keys: Sequence[str], points: int = MIN_POINTS) -> tuple[DataFrame, DataFrame]:
     """The series with at least ``points`` points, and the others."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= points).select(*keys)
-    return df.join(sizes, list(keys), "left_semi"), df.join(sizes, list(keys), "left_anti")
+    names = {k: f"__k{i}" for i, k in enumerate(keys)}
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= points)
+    sizes = sizes.select(*[F.col(k).alias(n) for k, n in names.items()])
+    same = F.lit(True)
+    for k, n in names.items():
+        same = same & F.col(k).eqNullSafe(F.col(n))
+    return df.join(sizes, same, "left_semi"), df.join(sizes, same, "left_anti")
 
 
 def _fallback(df: DataFrame, keys: Sequence[str], ts: str, value: str, horizon: int, step: str) -> DataFrame:
@@ -49,11 +54,6 @@ def _fallback(df: DataFrame, keys: Sequence[str], ts: str, value: str, horizon:
     return out.select(*keys, ts, "step", "forecast", F.lit(SHORT).alias("status"))
 
 
-def _schema(df: DataFrame, keys: Sequence[str], extra: str) -> str:
-    parts = [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys]
-    return ", ".join([*parts, extra])
-
-
 def seasonal_ar(
     df: DataFrame, keys: Sequence[str], ts: str, value: str, horizon: int, step: str = "1 day", season: int | None = None
 ) -> DataFrame:
@@ -267,8 +267,112 @@ def forecast_race(
     return won.select(*columns).unionByName(rest)
 
 
+# ---- trend and seasons ------------------------------------------------------------------
+#
+# The model is linear in its columns, so all a fit needs of a series is the sums of products of
+# its columns. Tasks add up the products of the rows they hold, Spark adds up the tasks' sums, and
+# one small system per series is solved on what comes out. A series may be of any length.
+
+#: series whose sums a task holds before it sends them on
+_HELD = 256
+
+
+def _design(days: np.ndarray, clock: np.ndarray, span: float, knots: int, use: Sequence[str]) -> np.ndarray:
+    """Columns of the model: level, slope, changes of slope up to four fifths of the span, seasons."""
+    t = days / span
+    columns = [np.ones_like(t), t]
+    columns += [np.maximum(t - 0.8 * i / (knots + 1), 0.0) for i in range(1, knots + 1)]
+    for name in use:
+        for n in range(1, ORDERS[name] + 1):
+            turn = 2 * np.pi * n * clock / DAYS[name]
+            columns += [np.sin(turn), np.cos(turn)]
+    return np.column_stack(columns)
+
+
+def _solved(sums: np.ndarray, knots: int, use: Sequence[str], points: int, ridge: float) -> tuple[np.ndarray, float]:
+    """Coefficients and the standard deviation of the residuals, from the sums of products."""
+    size = 2 + knots + 2 * sum(ORDERS[name] for name in use)
+    gram = sums[: size * size].reshape(size, size)
+    cross, square = sums[size * size : -1], sums[-1]
+    penalty = np.full(size, ridge)
+    penalty[:2] = 1e-9  # level and slope are free
+    coef = np.linalg.solve(gram + np.diag(penalty), cross)
+    mean = (cross[0] - gram[0] @ coef) / points
+    left = (square - 2 * cross @ coef + coef @ gram @ coef) / points
+    return coef, float(np.sqrt(max(left - mean * mean, 0.0)))
+
+
+def _runs(names: np.ndarray):
+    """Stretches of equal values in sorted names."""
+    starts = np.flatnonzero(np.r_[True, names[1:] != names[:-1]]) if len(names) else []
+    yield from zip(starts, [*starts[1:], len(names)])
+
+
+def _series_settings(points: DataFrame, keys: Sequence[str], ts: str, value: str, changes: int, seasons: Sequence[str]) -> DataFrame:
+    """One row per series: its number, first time, span, scale, changes of slope and the seasons it is long
+    and fine enough for (at least half of its steps are shorter than the season)."""
+    day = 86_400_000_000
+    rows, by = timeseries.overlapping(timeseries.numbered(points, keys, ts), keys, 1)
+    at = timeseries.micros(F.col(ts))
+    gap = (at - F.lag(at).over(W.partitionBy(*by).orderBy("__i"))) / day
+    rows = rows.withColumns({"__gap": gap, "__u": at}).filter("__own")
+    y = F.col(value).cast("double")
+    found = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.min("__u").alias("start"), F.max("__u").alias("end"), F.max(ts).alias("last"),
+        F.avg(y).alias("middle"), F.stddev_pop(y).alias("scale"), F.count("__gap").alias("gaps"),
+        F.count(F.when(F.col("__gap") < 7, 1)).alias("under_week"), F.count(F.when(F.col("__gap") < 1, 1)).alias("under_day"),
+    )
+    span = (F.col("end") - F.col("start")) / day
+    fits = {
+        "yearly": F.col("span") >= 730,
+        "weekly": (F.col("span") >= 14) & (2 * F.col("under_week") > F.col("gaps")),
+        "daily": (F.col("span") >= 2) & (2 * F.col("under_day") > F.col("gaps")),
+    }
+    use = F.filter(F.array(*[F.when(fits[name], name) for name in DAYS if name in seasons] or [F.lit(None).cast("string")]), lambda x: x.isNotNull())
+    scale = F.when(F.col("scale") > 0, F.col("scale")).otherwise(1.0)
+    knots = F.least(F.lit(changes), F.floor(F.col("n") / 3)).cast("int")
+    settings = found.withColumn("span", span).select(
+        *keys, "n", "start", "span", "last", "middle", scale.alias("scale"), knots.alias("knots"), use.alias("use")
+    )
+    return stored(settings.withColumn("series", F.monotonically_increasing_id()))
+
+
+def _sums(rows: DataFrame) -> DataFrame:
+    """``(series, sums)``: products of the model's columns and of the scaled values, over all rows of a series."""
+    import pyarrow as pa
+
+    def run(batches):
+        held: dict[int, np.ndarray] = {}
+
+        def sent() -> pa.RecordBatch:
+            out = [pa.array(list(held), pa.int64()), pa.array(list(held.values()), pa.list_(pa.float64()))]
+            held.clear()
+            return pa.RecordBatch.from_arrays(out, names=["series", "sums"])
+
+        for batch in batches:
+            pdf = batch.to_pandas().sort_values("series", kind="stable")
+            for start, end in _runs(pdf["series"].to_numpy()):
+                part = pdf.iloc[start:end]
+                first = part.iloc[0]
+                x = _design(part["days"].to_numpy(), part["clock"].to_numpy(), first["span"], int(first["knots"]), list(first["use"]))
+                y = part["y"].to_numpy()
+                made = np.concatenate([(x.T @ x).ravel(), x.T @ y, [y @ y]])
+                name = int(first["series"])
+                held[name] = held[name] + made if name in held else made
+                if len(held) >= _HELD:
+                    yield sent()
+        if held:
+            yield sent()
+
+    partial = rows.select("series", "days", "clock", "y", "span", "knots", "use").mapInArrow(run, "series bigint, sums array<double>")
+    added = partial.select("series", F.posexplode("sums").alias("place", "v")).groupBy("series", "place").agg(F.sum("v").alias("v"))
+    listed = F.sort_array(F.collect_list(F.struct("place", "v")))  # as many as the model has products
+    return added.groupBy("series").agg(listed["v"].alias("sums"))
+
+
 def trend_fourier(
-    df: DataFrame, keys: Sequence[str], ts: str, value: str, horizon: int = 30, changes: int = 25, ridge: float = 1.0
+    df: DataFrame, keys: Sequence[str], ts: str, value: str, horizon: int = 30, changes: int = 25, ridge: float = 1.0,
+    seasons: Sequence[str] = tuple(DAYS),
 ) -> DataFrame:
     """Piecewise trend plus Fourier seasons per series, history and ``horizon`` daily steps.
 
@@ -277,52 +381,61 @@ def trend_fourier(
     week, daily ones two days and steps below a day. Series under ``MIN_TREND_POINTS`` points come
     back as they are and repeat their last value, without a band.
     """
-    keys = list(keys)
+    import pyarrow as pa
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ts)
-        y = pdf[value].to_numpy(dtype="float64")
-        stamps = pdf[ts].reset_index(drop=True)
-        future = pd.Series([stamps.iloc[-1] + pd.Timedelta(days=i) for i in range(1, horizon + 1)])
-        every = pd.concat([stamps, future], ignore_index=True)
-        days = ((every - stamps.iloc[0]) / pd.Timedelta(days=1)).to_numpy(dtype="float64")
-        clock = ((every - pd.Timestamp("1970-01-01")) / pd.Timedelta(days=1)).to_numpy(dtype="float64")
-        known = days[: len(y)]
-        span, gap = known[-1], np.median(np.diff(known))
-        t = days / span
-        columns = [np.ones_like(t), t]
-        free = 2
-        knots = np.linspace(0, 0.8, min(changes, len(y) // 3) + 2)[1:-1]
-        columns += [np.maximum(t - k, 0.0) for k in knots]
-        use = {"yearly": span >= 730, "weekly": span >= 14 and gap < 7, "daily": span >= 2 and gap < 1}
-        for name, on in use.items():
-            if on:
-                for n in range(1, ORDERS[name] + 1):
-                    turn = 2 * np.pi * n * clock / DAYS[name]
-                    columns += [np.sin(turn), np.cos(turn)]
-        x = np.column_stack(columns)
-        penalty = np.full(x.shape[1], ridge)
-        penalty[:free] = 1e-9
-        middle, scale = y.mean(), y.std() or 1.0
-        past = x[: len(y)]
-        coef = np.linalg.solve(past.T @ past + np.diag(penalty), past.T @ ((y - middle) / scale))
-        fitted = middle + scale * (x @ coef)
-        band = BAND_80 * float(np.std(y - fitted[: len(y)]))
-        out = pd.DataFrame(
-            {ts: every, "is_future": np.arange(len(every)) >= len(y), "yhat": fitted, "yhat_lower": fitted - band, "yhat_upper": fitted + band}
-        )
-        for k in reversed(keys):
-            out.insert(0, k, pdf[k].iloc[0])
-        return out
-
-    points = timeseries.mean_per_timestamp(df.na.drop(subset=[ts, value]), keys, ts, value)
+    keys = list(keys)
     kind = df.schema[ts].dataType.simpleString()
-    schema = _schema(df, keys, f"`{ts}` {kind}, is_future boolean, yhat double, yhat_lower double, yhat_upper double")
+    points = stored(timeseries.mean_per_timestamp(df.na.drop(subset=[ts, value]), keys, ts, value))
     enough, short = by_length(points, keys, MIN_TREND_POINTS)
-    fitted = enough.groupBy(*keys).applyInPandas(solve, schema)
+    settings = _series_settings(enough, keys, ts, value, changes, seasons)
+    day = 86_400_000_000
+    same = F.lit(True)
+    for k in keys:
+        same = same & enough[k].eqNullSafe(settings[k])
+    at = timeseries.micros(F.col(ts))
+    placed = enough.join(settings.drop("last"), same).select(
+        "series", enough[ts].alias(ts), ((at - F.col("start")) / day).alias("days"), (at / day).alias("clock"),
+        ((F.col(value) - F.col("middle")) / F.col("scale")).alias("y"), "span", "knots", "use",
+    )
+
+    def solve(batches):
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("sums", "knots", "use", "n")]
+            made = [_solved(np.array(s), k, u, n, ridge) for s, k, u, n in zip(*columns)]
+            out = [batch.column("series"), pa.array([c for c, _ in made], pa.list_(pa.float64())), pa.array([r for _, r in made], pa.float64())]
+            yield pa.RecordBatch.from_arrays(out, names=["series", "coef", "spread"])
+
+    ready = _sums(placed).join(settings.select("series", "knots", "use", "n"), "series")
+    coefs = stored(ready.mapInArrow(solve, "series bigint, coef array<double>, spread double"))
+
+    ahead = settings.select("*", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step"))
+    stamp = (F.col("last") + F.col("step") * timeseries.interval("1 day")).cast(kind).alias(ts)
+    ahead = ahead.select("series", stamp, "start", "span", "knots", "use").select(
+        "series", ts, ((at - F.col("start")) / day).alias("days"), (at / day).alias("clock"), "span", "knots", "use", F.lit(True).alias("is_future")
+    )
+    every = placed.drop("y").withColumn("is_future", F.lit(False)).unionByName(ahead).join(coefs, "series")
+
+    def fit(batches):
+        for batch in batches:
+            pdf = batch.select(["series", "days", "clock", "span", "knots", "use", "coef"]).to_pandas()
+            order = np.argsort(pdf["series"].to_numpy(), kind="stable")
+            pdf, fitted = pdf.iloc[order], np.zeros(len(pdf))
+            for start, end in _runs(pdf["series"].to_numpy()):
+                part = pdf.iloc[start:end]
+                first = part.iloc[0]
+                x = _design(part["days"].to_numpy(), part["clock"].to_numpy(), first["span"], int(first["knots"]), list(first["use"]))
+                fitted[order[start:end]] = x @ np.array(first["coef"])
+            kept = [batch.column(c) for c in ("series", ts, "is_future", "spread")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(fitted, pa.float64())], names=["series", ts, "is_future", "spread", "fitted"])
+
+    scaled = every.mapInArrow(fit, f"series bigint, `{ts}` {kind}, is_future boolean, spread double, fitted double")
+    scaled = scaled.join(settings.select("series", *keys, "middle", "scale"), "series")
+    yhat, band = F.col("middle") + F.col("scale") * F.col("fitted"), F.lit(BAND_80) * F.col("scale") * F.col("spread")
+    fitted = scaled.select(*keys, ts, "is_future", yhat.alias("yhat"), (yhat - band).alias("yhat_lower"), (yhat + band).alias("yhat_upper"))
+
     columns = [*keys, F.col(ts).cast(kind).alias(ts)]
     no_band = [F.lit(None).cast("double").alias(c) for c in ("yhat_lower", "yhat_upper")]
     past = short.select(*columns, F.lit(False).alias("is_future"), F.col(value).alias("yhat"), *no_band)
-    ahead = timeseries.last_value_forecast(short, keys, ts, value, horizon, "1 day")
-    future = ahead.select(*columns, F.lit(True).alias("is_future"), F.col("forecast").alias("yhat"), *no_band)
+    last = timeseries.last_value_forecast(short, keys, ts, value, horizon, "1 day")
+    future = last.select(*columns, F.lit(True).alias("is_future"), F.col("forecast").alias("yhat"), *no_band)
     return fitted.unionByName(past).unionByName(future)

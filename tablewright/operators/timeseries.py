@@ -241,8 +241,9 @@ def future_steps(df: DataFrame, keys: Sequence[str], ts: str, horizon: int, step
 
 def last_value_forecast(df: DataFrame, keys: Sequence[str], ts: str, value: str, horizon: int, step: str) -> DataFrame:
     """Forecast every step with the last value: what is left where a series is too short to fit."""
-    last = df.groupBy(*keys).agg(F.max_by(F.col(value).cast("double"), ts).alias("forecast"))
-    return future_steps(df, keys, ts, horizon, step).join(last, list(keys))
+    last = df.groupBy(*keys).agg(F.max(ts).alias("__last"), F.max_by(F.col(value).cast("double"), ts).alias("forecast"))
+    steps = last.select("*", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step"))
+    return steps.select(*keys, (F.col("__last") + F.col("step") * interval(step)).alias(ts), "step", "forecast")
 
 
 def seasonal_naive(

@@ -18,7 +18,7 @@ from tablewright.workload import query, table
 from tablewright.workload.evaluation import LINE_TIES
 from tablewright.workload.inference import TABLES
 from tablewright.workload.preparation import hash_sql
-from tablewright.workload.series import HOURLY, STAMP, daily, filled, filled_sql, hourly, stamped
+from tablewright.workload.series import DAILY, HOURLY, STAMP, daily, filled, filled_sql, hourly, stamped
 
 
 def document_quality(spark, sf):
@@ -257,6 +257,24 @@ def forecast_run(spark, sf):
     return facts.filter("stage <> 'race'").select("key", "value")
 
 
+@query(
+    "trend_plain",
+    f"""WITH p AS (SELECT o_orderstatus, ts, avg(value) AS value, epoch_us(ts) / 86400000000 AS d FROM ({DAILY}) GROUP BY ALL),
+    o AS (SELECT o_orderstatus, min(d) AS d0, max(ts) AS last FROM p GROUP BY 1),
+    r AS (SELECT o_orderstatus, regr_slope(value, d - d0) AS a, regr_intercept(value, d - d0) AS b, any_value(d0) AS d0, any_value(last) AS last
+      FROM p JOIN o USING (o_orderstatus) GROUP BY 1),
+    e AS (SELECT o_orderstatus, stddev_pop(value - b - a * (d - d0)) AS s FROM p JOIN r USING (o_orderstatus) GROUP BY 1),
+    t AS (SELECT o_orderstatus, ts, false AS is_future FROM p
+      UNION ALL SELECT o_orderstatus, last + step * INTERVAL 1 DAY, true FROM r, (SELECT unnest(generate_series(1, 30)) AS step))
+    SELECT o_orderstatus, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, is_future, round(y, 3) AS yhat, round(y - 1.2816 * s, 3) AS yhat_lower, round(y + 1.2816 * s, 3) AS yhat_upper
+    FROM (SELECT *, b + a * (epoch_us(ts) / 86400000000 - d0) AS y FROM t JOIN r USING (o_orderstatus) JOIN e USING (o_orderstatus))""",
+)
+def trend_plain(spark, sf):
+    """The trend model without changes and seasons."""
+    out = forecasting.trend_fourier(daily(spark, sf), ["o_orderstatus"], "ts", "value", 30, changes=0, seasons=())
+    return stamped(out, "yhat", "yhat_lower", "yhat_upper", digits=3)
+
+
 @query("trend_fourier")
 def trend_fourier(spark, sf):
     return forecasting.trend_fourier(daily(spark, sf), ["o_orderstatus"], "ts", "value", 30)

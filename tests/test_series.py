@@ -224,3 +224,44 @@ def test_one_long_series_is_never_in_one_task(spark):
     # windows by the series alone run over one row per part, or one total per range of time
     assert windows and all("__part" in w or "__bucket" in w or "r__n" in w for w in windows)
     assert plan.count("explode(sequence(") == 3 and "least(2047" in plan
+
+
+def plain_trend(y, days, clock, changes, seasons, horizon, ridge=1.0):
+    """The same model by one design matrix."""
+    span, n = days[-1], len(y)
+    days, clock = (np.r_[x, x[-1] + np.arange(1, horizon + 1)] for x in (days, clock))
+    t, knots = days / span, np.linspace(0, 0.8, min(changes, n // 3) + 2)[1:-1]
+    columns = [np.ones_like(t), t, *[np.maximum(t - k, 0) for k in knots]]
+    for period, order in seasons:
+        columns += [f(2 * np.pi * i * clock / period) for i in range(1, order + 1) for f in (np.sin, np.cos)]
+    x = np.column_stack(columns)
+    penalty = np.diag([1e-9, 1e-9] + [ridge] * (x.shape[1] - 2))
+    scaled = (y - y.mean()) / y.std()
+    fitted = y.mean() + y.std() * (x @ np.linalg.solve(x[:n].T @ x[:n] + penalty, x[:n].T @ scaled))
+    return fitted, 1.2816 * np.std(y - fitted[:n])
+
+
+def test_trend_from_sums_equals_one_matrix(spark, monkeypatch):
+    monkeypatch.setattr(timeseries, "RANGE_ROWS", 50)
+    monkeypatch.setattr(forecasting, "_HELD", 1)
+    rng = np.random.default_rng(3)
+    frames, kinds = [], {"long": (800, "D"), None: (60, "D"), "hours": (120, "h"), "flat": (40, "D")}
+    for key, (n, unit) in kinds.items():
+        at = pd.date_range("2021-03-04", periods=n, freq=unit)
+        y = np.cumsum(rng.normal(size=n)) + 3 * np.sin(np.arange(n) / 3) if key != "flat" else np.full(n, 2.0)
+        frames.append(pd.DataFrame({"key": key, "ts": at, "value": y}))
+    df = spark.createDataFrame(pd.concat(frames)).repartition(7)
+    out = forecasting.trend_fourier(df, ["key"], "ts", "value", 9).toPandas()
+    plan = forecasting.trend_fourier(df, ["key"], "ts", "value", 9)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroups" not in plan
+    seasons = {"long": [(365.25, 10), (7.0, 3)], None: [(7.0, 3)], "hours": [(1.0, 4)]}
+    for frame in frames:
+        key = frame["key"].iloc[0]
+        mine = out[out["key"].isna() if key is None else out["key"] == key].sort_values("ts")
+        assert mine["is_future"].tolist() == [False] * len(frame) + [True] * 9
+        if key == "flat":
+            assert np.allclose(mine["yhat"], 2.0)
+            continue
+        clock = ((frame["ts"] - pd.Timestamp("1970-01-01")) / pd.Timedelta(days=1)).to_numpy()
+        want, band = plain_trend(frame["value"].to_numpy(), clock - clock[0], clock, 25, seasons[key], 9)
+        assert np.allclose(mine["yhat"], want, atol=1e-6) and np.allclose(mine["yhat_upper"] - mine["yhat"], band, atol=1e-6)
