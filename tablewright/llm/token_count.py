@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -18,8 +19,10 @@ from tablewright.llm.common import append, field, spans_of
 BATCH_BYTES = 1 << 18
 #: a text longer than this many characters is worked through in sections
 SECTION_CHARS = 1 << 20
-#: pieces whose counts a worker remembers (about 100 bytes each) before it starts anew
-REMEMBERED = 1_000_000
+#: bytes of pieces, with their places in a table, that a worker remembers before it starts anew
+REMEMBERED_BYTES = 128 << 20
+#: bytes that a piece's place in the table and its count take
+_PLACE = 120
 
 _SAFE = re.compile(r"(?<=\S)(?= )")
 _UNSAFE_SPACE = re.compile(r"\s ")
@@ -88,15 +91,17 @@ class PieceCounter:
         self.encode_lengths = encode_lengths
         self.first: dict[str, int] = {}
         self.later: dict[str, int] = {}
+        self.held = 0
 
     def learn(self, known: dict[str, int], pieces: set[str], lead: str) -> None:
         new = [p for p in pieces if p not in known]
+        self.held += sum(map(sys.getsizeof, new)) + _PLACE * len(new)
         for i, j in spans_of([len(p) for p in new], BATCH_BYTES):
             known.update(zip(new[i:j], self.encode_lengths([lead + p for p in new[i:j]])))
 
     def counts(self, texts: list[str]) -> list[int]:
-        if len(self.later) + len(self.first) > REMEMBERED:
-            self.first, self.later = {}, {}
+        if self.held > REMEMBERED_BYTES:
+            self.first, self.later, self.held = {}, {}, 0
         cut = [split(t) for t in texts]
         self.learn(self.first, {a for a, _ in cut}, "")
         self.learn(self.later, set().union(*[b for _, b in cut]), " ")

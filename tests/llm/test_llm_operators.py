@@ -64,6 +64,18 @@ def test_pieces_change_no_count(text):
     assert sum(_counter.counts([p])[0] for p in token_count.sections(text, 3)) == whole
 
 
+def test_remembered_pieces_are_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(token_count, "REMEMBERED_BYTES", 1 << 20)
+    counter = token_count.PieceCounter(lambda ts: [len(t) for t in ts])
+    rng, largest = random.Random(1), 0
+    for _ in range(300):  # texts without a space, each a piece of its own
+        text = "".join(rng.choice("漢字仮名交文") for _ in range(3000))
+        assert counter.counts([text]) == [3000]
+        kept = [*counter.first, *counter.later]
+        largest = max(largest, sum(len(p.encode()) for p in kept))
+    assert largest < 3 << 20 and 300 * 9000 > largest
+
+
 def test_token_counts_of_odd_rows(odd, none):
     out = token_count.token_counts(odd, BYTE_BPE, limit=5).collect()
     assert len(out) == len(odd_rows())
