@@ -8,14 +8,14 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
+from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.operators import density
+from tablewright.operators import density, hierarchy
 from tablewright.operators.columns import numeric_columns, q
 from tablewright.operators.components import components
 from tablewright.operators.prepare import medians, robust_scale
@@ -138,19 +138,21 @@ def gmm_auto(df: DataFrame, vector: str = "features", max_k: int = 10, seed: int
     return best[2].transform(df), best[0], best[1], scores
 
 
-def hierarchical_auto(df: DataFrame, vector: str = "features", max_k: int = 10, seed: int = 42):
-    """Top-down hierarchy cut at the best silhouette: ``(labelled, k, silhouette, scores)``.
+def hierarchical_auto(df: DataFrame, vector: str = "features", max_k: int = 10):
+    """Ward's bottom-up hierarchy cut at the best silhouette: ``(labelled, k, silhouette, scores)``.
 
-    (Bisecting splits; a bottom-up merge of raw points has no scalable form.)
+    One merge tree over cluster features serves every k (see ``hierarchy``).
     """
+    rows, tree = hierarchy.build(df, vector)
+    rows = cut(rows)
     scores, best = [], None
     for k in cluster_counts(df, max_k):
-        model = BisectingKMeans(k=k, seed=seed, featuresCol=vector, predictionCol="cluster").fit(df)
-        value = silhouette(model.transform(df).select(vector, "cluster"), vector, "cluster")
+        value = silhouette(hierarchy.cut(rows, tree, k).select(vector, "cluster"), vector, "cluster")
         scores.append((k, value))
         if best is None or value > best[1]:
-            best = (k, value, model)
-    return best[2].transform(df), best[0], best[1], scores
+            best = (k, value)
+    k, value = best or (1, 0.0)
+    return hierarchy.cut(rows, tree, k), k, value, scores
 
 
 def assign_nearest(df: DataFrame, vector: str, centroids: Sequence[Sequence[float]], name: str = "cluster") -> DataFrame:

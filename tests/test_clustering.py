@@ -214,3 +214,61 @@ def test_distances_equal_to_the_radius_link_dense_cells(spark):
     assert core.all() and set(label) == {0}
     core, label = labelled(spark, np.array([left + [r + step for r in right]]).T, 0.25)
     assert core.all() and set(label) == {0, 8}
+
+
+def brute_ward(x):
+    """Partitions of points by merging the pair that adds least to the squared error, for every number of clusters."""
+    groups = [[i] for i in range(len(x))]
+    found = {len(groups): sorted(map(tuple, groups))}
+    while len(groups) > 1:
+        def grown(a, b):
+            gap = x[a].mean(axis=0) - x[b].mean(axis=0)
+            return len(a) * len(b) / (len(a) + len(b)) * (gap @ gap)
+
+        _, i, j = min((grown(groups[i], groups[j]), i, j) for i in range(len(groups)) for j in range(i + 1, len(groups)))
+        groups[i] = sorted(groups[i] + groups.pop(j))
+        found[len(groups)] = sorted(map(tuple, groups))
+    return found
+
+
+def vectors_of(spark, x, parts=3):
+    return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, features array<double>").repartition(parts)
+
+
+def partition_of(out):
+    groups = {}
+    for r in out.collect():
+        groups.setdefault(r["cluster"], []).append(r["id"])
+    return sorted(tuple(sorted(g)) for g in groups.values())
+
+
+def test_hierarchy_equals_ward_on_distinct_points(spark):
+    x = np.random.default_rng(4).normal(size=(45, 3))
+    x = np.concatenate([x, x[:5]])  # copies are merged first, at height 0
+    want = brute_ward(x)
+    rows, tree = clustering.hierarchy.build(vectors_of(spark, x), "features")
+    for k in (1, 2, 3, 7, 20, 45):
+        assert partition_of(clustering.hierarchy.cut(rows, tree, k)) == want[k]
+    merges = tree.table(spark).orderBy("step").collect()
+    assert len(merges) == 44 and merges[-1]["rows"] == 50
+    assert all(a["height"] <= b["height"] + 1e-12 for a, b in zip(merges, merges[1:]))
+    total = ((x - x.mean(axis=0)) ** 2).sum()
+    assert abs(sum(m["height"] for m in merges) - total) < 1e-9
+
+
+def test_hierarchy_of_more_points_than_features(spark, monkeypatch):
+    monkeypatch.setattr(clustering.hierarchy, "FEATURES", 40)
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(c, 0.2, (150, 2)) for c in ((0, 0), (4, 0), (0, 5), (6, 6))])
+    out, k, score, scores = clustering.hierarchical_auto(vectors_of(spark, x), max_k=6)
+    assert k == 4 and score > 0.9 and [n for n, _ in scores] == [2, 3, 4, 5, 6]
+    assert partition_of(out) == [tuple(range(i * 150, (i + 1) * 150)) for i in range(4)]
+    again, *_ = clustering.hierarchical_auto(vectors_of(spark, x, 7), max_k=6)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, out.collect()))
+
+
+def test_hierarchy_without_rows_and_with_one(spark):
+    rows, tree = clustering.hierarchy.build(vectors_of(spark, np.zeros((1, 2))).limit(0), "features")
+    assert tree is None and clustering.hierarchy.cut(rows, tree, 2).count() == 0
+    rows, tree = clustering.hierarchy.build(vectors_of(spark, np.ones((9, 2))), "features")
+    assert tree.merges == [] and {r["cluster"] for r in clustering.hierarchy.cut(rows, tree, 2).collect()} == {0}
