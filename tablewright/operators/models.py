@@ -10,11 +10,12 @@ from dataclasses import dataclass, field
 from functools import partial
 
 from pyspark import InheritableThread
-from pyspark.ml import PipelineModel
+from pyspark.ml import Estimator, PipelineModel, Transformer
 from pyspark.ml.classification import (
     GBTClassifier,
     LogisticRegression,
     MultilayerPerceptronClassifier,
+    OneVsRest,
     RandomForestClassifier,
 )
 from pyspark.ml.feature import (
@@ -24,8 +25,9 @@ from pyspark.ml.feature import (
     StringIndexerModel,
     VectorAssembler,
 )
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -205,6 +207,30 @@ def prepare_task(
     return Task(target, problem, spec, labels, stored(staged.select(*[q(c) for c in keep])), strategy)
 
 
+class NormalisedScores(Transformer, DefaultParamsReadable, DefaultParamsWritable):
+    """``probability`` from the margins of one boosted model per class: their own probabilities, scaled to sum 1."""
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        # margins beyond 30 make no difference to a double
+        margins = F.transform(vector_to_array("rawPrediction"), lambda x: F.greatest(F.lit(-30.0), F.least(F.lit(30.0), x)))
+        chances = F.transform(margins, lambda x: 1.0 / (1.0 + F.exp(-2.0 * x)))
+        total = F.aggregate(chances, F.lit(0.0), lambda s, x: s + x)
+        return dataset.withColumn("probability", array_to_vector(F.transform(chances, lambda x: x / total)))
+
+
+class BoostedClasses(Estimator):
+    """Boosting for any number of classes: one model against the rest per class, and a probability vector."""
+
+    def __init__(self, rounds: int, seed: int, parallelism: int = 2, **columns: str) -> None:
+        super().__init__()
+        self.rounds, self.seed, self.parallelism, self.columns = rounds, seed, parallelism, columns
+
+    def _fit(self, dataset: DataFrame) -> PipelineModel:
+        one = GBTClassifier(maxIter=self.rounds, seed=self.seed)
+        model = OneVsRest(classifier=one, parallelism=self.parallelism, **self.columns).fit(dataset)
+        return PipelineModel([model, NormalisedScores()])
+
+
 def candidate_models(problem: str, seed: int = 42, trees: int = 50, rounds: int = 20) -> dict:
     """Estimators tried for a problem; weights apply to all of them."""
     common = {"featuresCol": FEATURES, "labelCol": LABEL, "weightCol": WEIGHT}
@@ -219,8 +245,9 @@ def candidate_models(problem: str, seed: int = 42, trees: int = 50, rounds: int
         "LogisticRegression": LogisticRegression(maxIter=100, **common),
     }
     if problem == "binary":
-        models = {"GradientBoosting": GBTClassifier(maxIter=rounds, seed=seed, **common), **models}
-    return models
+        return {"GradientBoosting": GBTClassifier(maxIter=rounds, seed=seed, **common), **models}
+    # last: with many classes it is the one that a budget may end
+    return {**models, "GradientBoosting": BoostedClasses(rounds, seed, **common)}
 
 
 def network(dim: int, classes: int, epochs: int = 80, seed: int = 42) -> MultilayerPerceptronClassifier:
@@ -471,8 +498,6 @@ def stacked_ensemble(task: Task, models: dict | None = None, folds: int = 5, bud
     whole = {name: estimator.fit(train) for name, estimator in models.items()}
 
     def widen(df: DataFrame) -> DataFrame:
-        from pyspark.ml.functions import array_to_vector
-
         return df.withColumn("__stack", array_to_vector(F.concat(*[F.col(c) for c in outputs.values()])))
 
     second = (

@@ -239,7 +239,6 @@ def train_automl(df: DataFrame, target: str, problem_type: str, time_limit: floa
         board = models.train_leaderboard(task, budget=time_limit)
         predict = board[0].model.transform
         if calibrate:
-            # second-level inputs need class probabilities, which boosting has for two classes only
             base = {t.name: models.candidate_models(task.problem)[t.name] for t in board}
             try:
                 predict, _ = models.stacked_ensemble(task, base, folds, max(0.0, time_limit - (time.time() - began)))

@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.ml import Estimator
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import functions as F
 
@@ -344,6 +345,25 @@ def test_forests_take_any_number_of_classes(spark):
     assert [t.name for t in board] == ["RandomForest"] and board.dropped == []
 
 
+def test_boosting_of_three_classes(spark, tmp_path):
+    rows = spark.range(900).select(F.rand(5).alias("a"), F.rand(6).alias("b"))
+    kind = F.when(F.col("a") + F.col("b") < 0.8, "low").when(F.col("a") > F.col("b"), "left").otherwise("right")
+    rows = rows.withColumn("y", kind).persist()
+    task = models.prepare_task(rows, "y", "multiclass")
+    quick = models.candidate_models("multiclass", trees=5, rounds=8)
+    assert set(quick) == {"GradientBoosting", "LogisticRegression", "RandomForest"}
+    board = models.train_leaderboard(task, {"GradientBoosting": quick["GradientBoosting"]})
+    assert board[0].scores["f1_weighted"] > 0.85 and board.dropped == []
+    found = board[0].model.transform(task.part("test")).select("prediction", vector_to_array("probability").alias("p")).collect()
+    assert all(abs(sum(r["p"]) - 1) < 1e-9 and len(r["p"]) == 3 and np.argmax(r["p"]) == r["prediction"] for r in found)
+    predict, _ = models.stacked_ensemble(task, {k: quick[k] for k in ("GradientBoosting", "LogisticRegression")}, folds=2)
+    assert models.scores(predict(task.part("test")), "multiclass")["f1_weighted"] > 0.85
+    models.save_bundle(models.full_model(task, board[0].model), {"target": "y", "problem_type": "multiclass", "dropped": task.spec.dropped}, str(tmp_path / "m"))
+    loaded, meta = models.load_bundle(spark, str(tmp_path / "m"))
+    scored = models.score(loaded, rows.withColumn("truth", F.col("y")), meta)
+    assert scored.filter("prediction = truth").count() > 780
+
+
 def test_arrays_are_features(spark, tmp_path):
     rows = spark.range(300).select(
         F.array(F.rand(1), F.col("id") % 2 + F.rand(2) / 4, F.when(F.col("id") % 9 > 0, F.rand(4))).alias("v"), F.array().cast("array<int>").alias("none"),
