@@ -63,11 +63,7 @@ def _number(v: float) -> str:
 def _date_sql(c: str, is_text: bool) -> str:
     if not is_text:
         return _name(c)
-    tries = ", ".join(
-        f"CASE WHEN {_name(c)} RLIKE {_text(shape)} THEN try_to_timestamp({_name(c)}, {_text(f)}) END"
-        for f, shape in prepare.DATE_SHAPES.items()
-    )
-    return f"coalesce({tries})"
+    return prepare.date_sql(_name(c))
 
 
 @dataclass

@@ -26,17 +26,56 @@ from tablewright.operators.quantiles import exact_quantiles
 from tablewright.session import cut
 
 # The formats a text date may have, tried in this order, each with the shape
-# a text must have to be worth the (much slower) attempt to parse it.
-DATE_SHAPES = {
-    "yyyy-MM-dd": r"^\d{4}-\d\d-\d\d$",
-    "yyyy-MM-dd HH:mm:ss": r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d$",
-    "yyyy-MM-dd'T'HH:mm:ss": r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d$",
-    "yyyy/MM/dd": r"^\d{4}/\d\d/\d\d$",
-    "MM/dd/yyyy": r"^\d\d/\d\d/\d{4}$",
-    "dd/MM/yyyy": r"^\d\d/\d\d/\d{4}$",
-    "dd-MM-yyyy": r"^\d\d-\d\d-\d{4}$",
-    "yyyyMMdd": r"^\d{8}$",
+# a text must have to be worth the (much slower) attempt to parse it. Where day and month are both
+# numbers the month comes first, unless it would be above 12. One-digit parts, names of months in
+# any case, and a time with fraction, half of day or zone are part of each.
+_TIME = r"([ T]\d{1,2}:\d\d(:\d\d([.,]\d{1,9})?)?( ?([AP]M|[ap]m))?( ?(Z|[+-]\d\d:?\d\d))?)?$"
+_TIME_24 = "[ ]['T'][H:mm[:ss[.SSSSSSSSS][,SSSSSSSSS]]][ ][XXX][XX]"
+_TIME_12 = "[ ]['T']h:mm[:ss[.SSSSSSSSS]][ ]a[ ][XXX][XX]"
+_MONTH = r"[A-Za-z]{3,9}"
+_DATES = {
+    "yyyy-M-d": r"^\d{4}-\d{1,2}-\d{1,2}",
+    "yyyy/M/d": r"^\d{4}/\d{1,2}/\d{1,2}",
+    "yyyy.M.d": r"^\d{4}\.\d{1,2}\.\d{1,2}",
+    "M/d/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}",
+    "d/M/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}",
+    "M-d-yyyy": r"^\d{1,2}-\d{1,2}-\d{4}",
+    "d-M-yyyy": r"^\d{1,2}-\d{1,2}-\d{4}",
+    "M.d.yyyy": r"^\d{1,2}\.\d{1,2}\.\d{4}",
+    "d.M.yyyy": r"^\d{1,2}\.\d{1,2}\.\d{4}",
+    "d[ ][-][MMMM][MMM][,][ ][-]yyyy": rf"^\d{{1,2}}[ -]{_MONTH}(, ?| |-)\d{{4}}",
+    "[MMMM][MMM] d[,] yyyy": rf"^{_MONTH} \d{{1,2}},? \d{{4}}",
+    "yyyy[ ][-][MMMM][MMM][ ][-]d": rf"^\d{{4}}[ -]{_MONTH}[ -]\d{{1,2}}",
+    "[MMMM][MMM][ ][-]yyyy": rf"^{_MONTH}[ -]\d{{4}}",
 }
+_HALF_DAY = r"(?i)[ap]m"
+#: a text that is no date by its first signs costs one look
+DATE_GATE = rf"^(\d{{1,4}}[-/. ]|\d{{8}}|{_MONTH}[ -]\d)"
+
+
+def _date_formats() -> list[tuple[str, str]]:
+    """``(format, shape)`` in the order of the tries: with the clock of 24 hours, then of 12."""
+    out = [("yyyyMMdd", r"^\d{8}$"), ("yyyyMMdd'T'HHmmss[XXX][XX]", r"^\d{8}T\d{6}(Z|[+-]\d\d:?\d\d)?$")]
+    for date, shape in _DATES.items():
+        out += [(date + _TIME_24, shape + _TIME), (date + _TIME_12, shape + _TIME)]
+    return out
+
+
+def date_sql(name: str) -> str:
+    """SQL text for the timestamp in the (quoted) text column ``name``: the first format that fits, else null."""
+
+    def text(v: str) -> str:
+        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    whole = f"trim({name})"
+    halved = f"{whole} RLIKE {text(_HALF_DAY)}"
+    tries = []
+    for form, shape in _date_formats():
+        clock = f" AND {halved}" if form.endswith(_TIME_12) else f" AND NOT {halved}" if form.endswith(_TIME_24) else ""
+        tries.append(f"CASE WHEN {whole} RLIKE {text(shape)}{clock} THEN try_to_timestamp({whole}, {text(form)}) END")
+    return f"CASE WHEN {whole} RLIKE {text(DATE_GATE)} THEN coalesce({', '.join(tries)}) END"
+
+
 DATE_SHARE = 0.9
 ID_SHARE = 0.98
 RARE = "__infrequent__"
@@ -96,10 +135,13 @@ def id_like_names(df: DataFrame, target: str) -> list[str]:
     return [c for c in columns if c in drop]
 
 
-def parse_date(c: Column) -> Column:
-    """Text as timestamp through the first format that fits, else null."""
-    tries = [F.when(c.rlike(shape), F.try_to_timestamp(c, F.lit(f))) for f, shape in DATE_SHAPES.items()]
-    return F.coalesce(*tries)
+def parse_date(name: str) -> Column:
+    """The text column ``name`` as timestamp through the first format that fits, else null.
+
+    Blanks around a date don't count. A text with a zone is that moment, shown in the session's zone;
+    fractions finer than a microsecond are cut.
+    """
+    return F.expr(date_sql("`" + name.replace("`", "``") + "`"))
 
 
 def datetime_share(df: DataFrame) -> DataFrame:
@@ -107,7 +149,7 @@ def datetime_share(df: DataFrame) -> DataFrame:
     columns = categorical_columns(df)
     if not columns:
         return no_rows(df, "column string, parsed double, is_date boolean")
-    aggs = [F.avg(parse_date(q(c)).isNotNull().cast("double")).alias(f"s{i}") for i, c in enumerate(columns)]
+    aggs = [F.avg(parse_date(c).isNotNull().cast("double")).alias(f"s{i}") for i, c in enumerate(columns)]
     return one_row_to_long(
         df.agg(*aggs),
         [
@@ -129,7 +171,7 @@ def calendar_features(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Year, month and day of week (Monday 0) of each date column, which is dropped."""
     parts = {}
     for c in columns:
-        ts = parse_date(q(c)) if c in categorical_columns(df) else q(c)
+        ts = parse_date(c) if c in categorical_columns(df) else q(c)
         parts |= {f"{c}_year": F.year(ts), f"{c}_month": F.month(ts), f"{c}_dow": F.weekday(ts)}
     return df.withColumns(parts).drop(*columns) if parts else df
 

@@ -47,8 +47,8 @@ def range_bounds(df: DataFrame, column: str, buckets: int) -> list[float]:
 
 
 def with_range_bucket(df: DataFrame, column: str, bounds: Sequence[float], name: str) -> DataFrame:
-    """Bucket of ``column`` among ``bounds``; equal values always share a bucket."""
-    splits = [float("-inf"), *[b for b in bounds if abs(b) != float("inf")], float("inf")]
+    """Bucket of ``column`` among ``bounds`` (none for an empty table); equal values always share a bucket."""
+    splits = [float("-inf"), *([b for b in bounds if abs(b) != float("inf")] or [0.0]), float("inf")]
     value = f"{name}__v"
     cut = Bucketizer(splits=splits, inputCol=value, outputCol=name)
     return cut.transform(df.withColumn(value, F.col(column).cast("double"))).drop(value)

@@ -1,4 +1,4 @@
-"""Feature scores: mutual information on equal-frequency bins, F tests, variance."""
+"""Feature scores: mutual information (nearest neighbours or equal-frequency bins), F tests, variance."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.operators import neighbour_information
 from tablewright.operators.columns import as_text, categorical_columns, nan_to_null, numeric_columns, one_row_to_long, q
 from tablewright.operators.prepare import label_codes, medians
 from tablewright.operators.quantiles import exact_quantiles
@@ -52,6 +53,16 @@ def mutual_information(df: DataFrame, columns: Sequence[str], target: str, bins:
     return joint.groupBy("column").agg(F.sum(term).alias("score"))
 
 
+def target_bins(df: DataFrame, target: str, bins: int = 10) -> Column:
+    """The equal-frequency bin of a numeric target."""
+    return bin_number(q(target).cast("double"), equal_frequency_cuts(nan_to_null(df), [target], bins)[target])
+
+
+def _information(df: DataFrame, columns: Sequence[str], target: str, numeric: bool) -> DataFrame:
+    classes = target_bins(df, target) if numeric else None
+    return neighbour_information.mutual_information(df, columns, target, classes=classes)
+
+
 def f_classif(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
     """One-way ANOVA F per feature from per-class counts, means and variances."""
     df = nan_to_null(df).na.drop(subset=[target])
@@ -105,11 +116,14 @@ def top_features(scores: DataFrame, k: int) -> DataFrame:
 
 def select_features(df: DataFrame, target: str, task: str = "classification", method: str = "mutual_info", k: int = 50) -> DataFrame:
     """The ``k`` best numeric columns and the target; unchanged when there are no more than
-    ``k`` of them, otherwise other columns go."""
+    ``k`` of them, otherwise other columns go. ``mutual_info`` is the nearest-neighbour estimate (a
+    numeric target in ten bins), ``mutual_info_binned`` the one on bins, anything else the F test."""
     columns = [c for c in numeric_columns(df) if c != target]
     if len(columns) <= k:
         return df
     if method == "mutual_info":
+        scores = _information(df, columns, target, task == "regression")
+    elif method == "mutual_info_binned":
         bins = 10 if task == "regression" else None
         scores = mutual_information(df, columns, target, target_bins=bins)
     elif task == "regression":
@@ -131,6 +145,8 @@ def extract_features(df: DataFrame, target: str | None = None, k: int = 50, meth
     mid = medians(work, columns)
     work = work.withColumns({c: F.coalesce(q(c).cast("double"), F.lit(mid[c])) for c in columns})
     if target is not None and method == "mutual_info":
+        scores = _information(work, columns, target, target in numeric_columns(df))
+    elif target is not None and method == "mutual_info_binned":
         bins = 10 if target in numeric_columns(df) else None
         scores = mutual_information(work, columns, target, target_bins=bins)
     else:

@@ -174,7 +174,7 @@ def forecast(
             raise ValueError(f"no column {name!r}")
     time = time or find_time(df)
     value = value or find_value(df, time)
-    stamp = prepare.parse_date(q(time)) if dict(df.dtypes)[time] == "string" else q(time).cast("timestamp")
+    stamp = prepare.parse_date(time) if dict(df.dtypes)[time] == "string" else q(time).cast("timestamp")
     points = df.select(F.lit("all").alias("series"), stamp.alias("ts"), q(value).cast("double").alias("value")).na.drop()
     points = cut(timeseries.mean_per_timestamp(points, ["series"], "ts", "value"))
     step = find_step(points, "ts")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablewright.operators import explain, metrics, profile, sampling, selection
+from tablewright.operators import explain, metrics, neighbour_information, profile, sampling, selection
 from tablewright.operators.ranking import seeded_hash
 from tablewright.workload import query, table
 from tablewright.workload.frames import CUSTOMER_POINTS, customer_points
@@ -135,6 +135,49 @@ def mutual_info(spark, sf):
     return out.withColumn("score", F.round("score", 6))
 
 
+def _psi(n: str) -> str:
+    z = f"({n} + 6.0::DOUBLE)"
+    steps = " - ".join(f"1 / ({n} + {j}.0::DOUBLE)" for j in range(6))
+    return f"(ln({z}) - 1 / (2 * {z}) - 1 / (12 * {z} ** 2) + 1 / (120 * {z} ** 4) - 1 / (252 * {z} ** 6) + 1 / (240 * {z} ** 8) - {steps})"
+
+
+def _nearest_information_sql(c: str, source: str, k: int = 3) -> str:
+    """Neighbours from the rows next to each row of its class, counts from the ordered distinct values."""
+    sides = ", ".join(f"abs(x - {move}(x, {j}) OVER w)" for j in range(1, k + 1) for move in ("lag", "lead"))
+    return f"""SELECT '{c}' AS "column", round(greatest(0, {_psi('any_value(total)')} + avg(
+      {_psi('CASE WHEN r > 0 THEN least(' + str(k) + ', c - 1) ELSE same END')} - {_psi('c')} - {_psi('CASE WHEN r > 0 THEN hi.below - lo.upto ELSE lo.n END')})), 6) AS score
+    FROM (SELECT *, x - r AS a, x + r AS z, count(*) OVER () AS total FROM
+      (SELECT x, c, same, list_sort(list_filter(near, lambda v: v IS NOT NULL))[least({k}, c - 1)] AS r FROM
+        (SELECT x, count(*) OVER (PARTITION BY y) AS c, count(*) OVER (PARTITION BY y, x) AS same, [{sides}] AS near
+         FROM (SELECT {c}::DOUBLE AS x, y FROM {source}) WINDOW w AS (PARTITION BY y ORDER BY x)) WHERE c > 1)) p
+    ASOF JOIN (SELECT x AS v, n, sum(n) OVER (ORDER BY x) AS upto FROM (SELECT {c}::DOUBLE AS x, count(*) AS n FROM {source} GROUP BY 1)
+      UNION ALL SELECT '-infinity'::DOUBLE, 0, 0) lo ON p.a >= lo.v
+    ASOF JOIN (SELECT x AS v, sum(n) OVER (ORDER BY x) AS below FROM (SELECT {c}::DOUBLE AS x, count(*) AS n FROM {source} GROUP BY 1)
+      UNION ALL SELECT '-infinity'::DOUBLE, 0) hi ON p.z > hi.v"""
+
+
+@query(
+    "mutual_info_neighbours",
+    "WITH t AS (SELECT *, l_returnflag AS y FROM lineitem) " + " UNION ALL ".join(_nearest_information_sql(c, "t") for c in FEATURES),
+)
+def mutual_info_neighbours(spark, sf):
+    out = neighbour_information.mutual_information(table(spark, sf, "lineitem"), FEATURES, "l_returnflag")
+    return out.withColumn("score", F.round("score", 6))
+
+
+@query(
+    "mutual_info_numeric_target",
+    "WITH q AS (SELECT list_sort(list_distinct([" + ", ".join(f"quantile_cont(l_extendedprice, {i / 10})" for i in range(1, 10)) + """])) AS cuts FROM lineitem),
+    t AS (SELECT l_quantity, l_discount, l_partkey, len(list_filter(cuts, lambda v: l_extendedprice > v)) AS y FROM lineitem, q) """
+    + " UNION ALL ".join(_nearest_information_sql(c, "t") for c in ("l_quantity", "l_discount", "l_partkey")),
+)
+def mutual_info_numeric_target(spark, sf):
+    lines = table(spark, sf, "lineitem")
+    bins = selection.target_bins(lines, "l_extendedprice")
+    out = neighbour_information.mutual_information(lines, ["l_quantity", "l_discount", "l_partkey"], "l_extendedprice", classes=bins)
+    return out.withColumn("score", F.round("score", 6))
+
+
 def _anova_sql(c: str) -> str:
     return f"""SELECT '{c}' AS "column", round((sum(n * (m - mean) ** 2) / (count(*) - 1)) / (sum(n * v) / (any_value(total) - count(*))), 5) AS score
     FROM (SELECT l_returnflag, count(*) AS n, avg({c}) AS m, var_pop({c}) AS v FROM lineitem GROUP BY 1),

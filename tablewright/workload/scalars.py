@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablewright.functions import text
-from tablewright.operators.prepare import calendar_features, coerce_numeric, datetime_share
+from tablewright.operators.prepare import calendar_features, coerce_numeric, datetime_share, parse_date
 from tablewright.workload import query, table
 from tablewright.workload.sqltext import SP
 
@@ -191,6 +191,29 @@ def datetime_detect(spark, sf):
     return datetime_share(mixed_text(spark, sf))
 
 
+# one moment per order, written in the shape that the key's remainder names: DuckDB's and Spark's format of each
+SHAPES = [
+    ("%Y-%m-%dT%H:%M:%S.%fZ", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"), ("%-d %b %Y", "d MMM yyyy"), ("%B %-d, %Y", "MMMM d, yyyy"),
+    ("%-m/%-d/%Y %I:%M %p", "M/d/yyyy hh:mm a"), ("%Y/%m/%d %H:%M", "yyyy/MM/dd HH:mm"), ("%d-%b-%Y", "dd-MMM-yyyy"),
+    ("%d.%m.%Y", "dd.MM.yyyy"), ("%Y%m%d", "yyyyMMdd"), ("about %Y", "'about' yyyy"),
+]
+
+
+@query(
+    "datetime_shapes",
+    f"""WITH m AS (SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) + to_seconds(o_orderkey * 37 % 86400) AS at FROM orders),
+    t AS (SELECT o_orderkey, CASE o_orderkey % {len(SHAPES)} {' '.join(f"WHEN {i} THEN strftime(at, '{d}')" for i, (d, _) in enumerate(SHAPES))} END AS day_text FROM m)
+    SELECT o_orderkey, day_text, strftime(coalesce(try_strptime(day_text, '%m.%d.%Y'), {', '.join(f"try_strptime(day_text, '{d}')" for d, _ in SHAPES[:-1])}),
+    '%Y-%m-%d %H:%M:%S') AS parsed FROM t""",
+)
+def datetime_shapes(spark, sf):
+    at = F.col("o_orderdate").cast("timestamp") + F.make_dt_interval(secs=F.col("o_orderkey") * 37 % 86400)
+    shape = F.col("o_orderkey") % len(SHAPES)
+    text = F.coalesce(*[F.when(shape == i, F.date_format(at, form)) for i, (_, form) in enumerate(SHAPES)])
+    frame = table(spark, sf, "orders").select("o_orderkey", text.alias("day_text"))
+    return frame.withColumn("parsed", F.date_format(parse_date("day_text"), "yyyy-MM-dd HH:mm:ss"))
+
+
 @query(
     "coerce_numeric",
     f"""SELECT o_orderkey, TRY_CAST(price_text AS DOUBLE) AS price FROM ({MIXED}) WHERE TRY_CAST(price_text AS DOUBLE) IS NOT NULL""",
