@@ -7,23 +7,24 @@ or rolls a fitted recursion forward.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression
+from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.operators import timeseries
+from tablewright.operators import ranking, timeseries
 from tablewright.session import cut, stored
 
 MIN_POINTS = 30
 MIN_TREND_POINTS = 5
+BOOSTING_ROUNDS = 20
 BAND_95 = 1.96
 BAND_80 = 1.2816
 # Points per season for each step length.
@@ -186,19 +187,20 @@ def lag_forecast(
     return out.select(*keys, at, steps.alias("step"), "forecast", F.lit(FITTED).alias("status")).unionByName(rest)
 
 
-def lag_forecast_linear(
-    df: DataFrame, keys: Sequence[str], ts: str, value: str, horizon: int, step: str = "1 day", model=None
+def _rolled_lags(
+    df: DataFrame, keys: Sequence[str], ts: str, value: str, horizon: int, step: str, scorer: Callable[[], Callable[[np.ndarray], np.ndarray]]
 ) -> DataFrame:
-    """The same recursion with a linear model, rolled forward from its coefficients; for
-    long horizons. Each series sends its last 14 values only."""
+    """The recursion of ``lag_forecast`` rolled forward inside tasks, all series of a batch a step at a time.
+
+    Each series sends its last 14 values only; ``scorer()`` gives the function from features to values.
+    """
     keys = list(keys)
     depth = max(timeseries.LAGS)
     enough, short = by_length(df, keys, depth)
     rest = _fallback(short, keys, ts, value, horizon, step)
     if enough.isEmpty():
         return rest
-    model = model or fit_lag_model(df, keys, ts, value, step=step)
-    coef, base = model.stages[-1].coefficients.toArray(), float(model.stages[-1].intercept)
+    scored = scorer()
     ahead = F.transform(
         F.sequence(F.lit(1), F.lit(horizon)), lambda h: F.col("__last") + h * timeseries.interval(step)
     )
@@ -209,7 +211,6 @@ def lag_forecast_linear(
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def roll(hists: pd.Series, months: pd.Series, days: pd.Series) -> pd.Series:
-        # all series of the batch take each step together
         past = np.zeros((len(hists), depth + horizon))
         past[:, :depth] = np.stack(hists.to_numpy())
         month, day = np.stack(months.to_numpy()), np.stack(days.to_numpy())
@@ -217,7 +218,7 @@ def lag_forecast_linear(
             at = depth + h
             week = past[:, at - 7 : at]
             x = [*[past[:, at - n] for n in timeseries.LAGS], week.mean(axis=1), week.std(axis=1, ddof=1), month[:, h], day[:, h]]
-            past[:, at] = base + np.column_stack(x) @ coef
+            past[:, at] = scored(np.column_stack(x))
         return pd.Series(list(past[:, depth:]))
 
     made = state.select(*keys, F.posexplode(roll("__hist", "__months", "__days")).alias("__p", "forecast"))
@@ -226,17 +227,124 @@ def lag_forecast_linear(
     return out.select(*keys, ts, "step", "forecast", F.lit(FITTED).alias("status")).unionByName(rest)
 
 
+def lag_forecast_linear(
+    df: DataFrame, keys: Sequence[str], ts: str, value: str, horizon: int, step: str = "1 day", model=None
+) -> DataFrame:
+    """The recursion with a linear model, rolled forward from its coefficients; for long horizons."""
+
+    def scorer():
+        fitted = (model or fit_lag_model(df, keys, ts, value, step=step)).stages[-1]
+        coef, base = fitted.coefficients.toArray(), float(fitted.intercept)
+        return lambda x: base + x @ coef
+
+    return _rolled_lags(df, keys, ts, value, horizon, step, scorer)
+
+
+def _trees(fitted) -> list[np.ndarray]:
+    """A boosted model as arrays over its nodes (feature or -1, threshold, left, right, value), then the
+    trees' roots and weights; a few thousand numbers, whatever the data."""
+    nodes, roots, weights, waiting = [], [], [], {}
+    for line in fitted.toDebugString.splitlines()[1:]:
+        words, indent = line.split(), len(line) - len(line.lstrip())
+        if not words:
+            continue
+        if words[0] == "Tree":
+            roots.append(len(nodes))
+            weights.append(float(words[3].rstrip("):")))
+        elif words[0] == "If":
+            waiting[indent] = len(nodes)
+            nodes.append([int(words[2]), float(words[4].rstrip(")")), len(nodes) + 1, 0, 0.0])
+        elif words[0] == "Else":
+            nodes[waiting[indent]][3] = len(nodes)
+        else:
+            nodes.append([-1, 0.0, len(nodes), len(nodes), float(words[1])])
+    feature, threshold, left, right, value = (np.array(c) for c in zip(*nodes))
+    return [feature, threshold, left, right, value, np.array(roots), np.array(weights)]
+
+
+def _boosted_values(x: np.ndarray, trees: list[np.ndarray]) -> np.ndarray:
+    feature, threshold, left, right, value, roots, weights = trees
+    at = np.tile(roots, (len(x), 1))
+    rows = np.arange(len(x))[:, None]
+    while (inner := feature[at] >= 0).any():
+        lower = x[rows, np.maximum(feature[at], 0)] <= threshold[at]
+        at = np.where(inner, np.where(lower, left[at], right[at]), at)
+    return value[at] @ weights
+
+
+def lag_forecast_boosted(
+    df: DataFrame, keys: Sequence[str], ts: str, value: str, horizon: int, step: str = "1 day", model=None
+) -> DataFrame:
+    """The recursion with boosted trees, rolled forward from the trees' nodes; for long horizons."""
+
+    def scorer():
+        estimator = GBTRegressor(maxIter=BOOSTING_ROUNDS, maxDepth=5, seed=42)
+        trees = _trees((model or fit_lag_model(df, keys, ts, value, estimator, step)).stages[-1])
+        return lambda x: _boosted_values(x, trees)
+
+    return _rolled_lags(df, keys, ts, value, horizon, step, scorer)
+
+
+# ---- race ---------------------------------------------------------------------------------
+
+CANDIDATES = ("seasonal_naive", "seasonal_ar", "lag_regression", "lag_boosted")
+
+
+def _candidates(data: DataFrame, keys: list[str], ts: str, value: str, steps: int, step: str, names: Sequence[str]) -> DataFrame:
+    """``(keys, ts, step, forecast, lower, upper, model)`` of the named candidates; only the autoregression has a band of its own."""
+    season = SEASONS.get(step, 7)
+    make = {
+        "seasonal_naive": lambda: timeseries.seasonal_naive(data, keys, ts, value, season, steps, step),
+        "seasonal_ar": lambda: seasonal_ar(data, keys, ts, value, steps, step, season),
+        "lag_regression": lambda: lag_forecast_linear(data, keys, ts, value, steps, step),
+        "lag_boosted": lambda: lag_forecast_boosted(data, keys, ts, value, steps, step),
+    }
+    out = None
+    for name in names:
+        made = make[name]()
+        bands = [F.col(c) if c in made.columns else F.lit(None).cast("double").alias(c) for c in ("lower", "upper")]
+        made = made.select(*keys, ts, "step", "forecast", *bands, F.lit(name).alias("model"))
+        out = made if out is None else out.unionByName(made)
+    return out
+
+
+def held_out_errors(
+    df: DataFrame, keys: Sequence[str], ts: str, value: str, horizon: int, step: str = "1 day", names: Sequence[str] = CANDIDATES
+) -> DataFrame:
+    """``(keys, ts, step, model, error)``: how far each candidate, learnt from the rest and rolled forward
+    without a look at the hold-out, is off at each of its points. The hold-out is a series' last fifth, at
+    least ``horizon`` points."""
+    keys = list(keys)
+    parts = timeseries.time_split(df.select(*keys, ts, value), keys, ts, horizon, step=step)
+    train, test = cut(parts.filter("split = 'train'").drop("split")), parts.filter("split = 'test'").drop("split")
+    longest = test.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or horizon
+    missed = _candidates(train, keys, ts, value, longest, step, names).join(test, [*keys, ts])
+    return missed.select(*keys, ts, "step", "model", F.abs(F.col(value) - F.col("forecast")).alias("error"))
+
+
+def error_bands(errors: DataFrame, by: Sequence[str], share: tuple[int, int] = (95, 100), error: str = "error") -> DataFrame:
+    """``(by, band)``: the split-conformal half width, the ``⌈(n + 1)·share⌉``-th smallest of a group's ``n``
+    errors, so that a new error of their kind is within it with that probability. Groups of too few errors for
+    the share get their largest. Ranks are exact, and no task sorts more than one range of a group's errors."""
+    errors = errors.filter(F.col(error).isNotNull())
+    keyed = ranking.with_range_bucket(errors, error, ranking.range_bounds(errors, error, 256), "__range")
+    ranked = ranking.rank_rows(keyed, [error], F.col("__range"), list(by))
+    wanted = F.least(F.col("total"), F.ceil((F.col("total") + 1) * share[0] / share[1]))
+    return ranked.filter(F.col("rank") == wanted).select(*by, F.col(error).alias("band"))
+
+
 def forecast_race(
-    df: DataFrame, keys: Sequence[str], ts: str, value: str, horizon: int, step: str = "1 day"
+    df: DataFrame, keys: Sequence[str], ts: str, value: str, horizon: int, step: str = "1 day", names: Sequence[str] = CANDIDATES
 ) -> DataFrame:
     """Per series the candidate with the lowest hold-out MAE, refitted on all points.
 
-    Returns ``(keys, ts, step, model, mae, forecast, lower, upper, status)``. The hold-out is the
-    last fifth (at least ``horizon`` points), forecast recursively from the rest. Bands come
-    from the autoregression alone. Series under ``MIN_POINTS`` points, or without a point left to learn
-    from, do not race: they repeat their last value as model ``last_value`` with the status ``short``.
+    Returns ``(keys, ts, step, model, mae, forecast, lower, upper, status)``. See ``held_out_errors`` for
+    the hold-out. The autoregression's band of 95 % grows with the step; the others' is the split-conformal
+    one of the series' errors in the hold-out. Only candidates that won a series are refitted. Series under
+    ``MIN_POINTS`` points, or without a point left to learn from, do not race: they repeat their last value
+    as model ``last_value`` with the status ``short``.
     """
-    keys, season = list(keys), SEASONS.get(step, 7)
+    keys = list(keys)
     every = cut(df.select(*keys, ts, value))
     long, short = by_length(every, keys, max(MIN_POINTS, horizon + 1))
     columns = [*keys, ts, "step", "model", "mae", "forecast", "lower", "upper", "status"]
@@ -245,26 +353,20 @@ def forecast_race(
     if long.isEmpty():
         return rest
     series = cut(long)
-    parts = timeseries.time_split(series, keys, ts, horizon, step=step)
-    train, test = cut(parts.filter("split = 'train'").drop("split")), parts.filter("split = 'test'").drop("split")
-    longest = test.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or horizon
-
-    def candidates(data: DataFrame, steps: int) -> DataFrame:
-        naive = timeseries.seasonal_naive(data, keys, ts, value, season, steps, step)
-        ar = seasonal_ar(data, keys, ts, value, steps, step, season)
-        lags = lag_forecast_linear(data, keys, ts, value, steps, step)
-        out = None
-        for name, made in (("seasonal_naive", naive), ("seasonal_ar", ar), ("lag_regression", lags)):
-            bands = [F.col(c) if c in made.columns else F.lit(None).cast("double").alias(c) for c in ("lower", "upper")]
-            made = made.select(*keys, ts, "step", "forecast", *bands, F.lit(name).alias("model"))
-            out = made if out is None else out.unionByName(made)
-        return out
-
-    missed = candidates(train, longest).join(test, [*keys, ts])
-    errors = missed.groupBy(*keys, "model").agg(F.avg(F.abs(F.col(value) - F.col("forecast"))).alias("mae"))
-    winners = timeseries.pick_winner(cut(errors), keys)
-    won = candidates(series, horizon).join(winners, [*keys, "model"]).withColumn("status", F.lit(FITTED))
-    return won.select(*columns).unionByName(rest)
+    missed = stored(held_out_errors(series, keys, ts, value, horizon, step, names))
+    errors = missed.groupBy(*keys, "model").agg(F.avg("error").alias("mae"))
+    winners = cut(timeseries.pick_winner(errors, keys))
+    bands = cut(error_bands(missed.join(winners.drop("mae"), [*keys, "model"], "left_semi"), [*keys, "model"]))
+    won = {r["model"] for r in winners.select("model").distinct().collect()}
+    if not won:
+        return rest
+    made = _candidates(series, keys, ts, value, horizon, step, [n for n in names if n in won])
+    out = made.join(winners, [*keys, "model"]).join(bands, [*keys, "model"], "left").withColumns({
+        "lower": F.coalesce("lower", F.col("forecast") - F.col("band")),
+        "upper": F.coalesce("upper", F.col("forecast") + F.col("band")),
+        "status": F.lit(FITTED),
+    })
+    return out.select(*columns).unionByName(rest)
 
 
 # ---- trend and seasons ------------------------------------------------------------------

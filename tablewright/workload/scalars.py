@@ -201,8 +201,8 @@ SHAPES = [
 
 @query(
     "datetime_shapes",
-    f"""WITH m AS (SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) + to_seconds(o_orderkey * 37 % 86400) AS at FROM orders),
-    t AS (SELECT o_orderkey, CASE o_orderkey % {len(SHAPES)} {' '.join(f"WHEN {i} THEN strftime(at, '{d}')" for i, (d, _) in enumerate(SHAPES))} END AS day_text FROM m)
+    f"""WITH m AS (SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) + to_seconds(o_orderkey * 37 % 86400) AS moment FROM orders),
+    t AS (SELECT o_orderkey, CASE o_orderkey % {len(SHAPES)} {' '.join(f"WHEN {i} THEN strftime(moment, '{d}')" for i, (d, _) in enumerate(SHAPES))} END AS day_text FROM m)
     SELECT o_orderkey, day_text, strftime(coalesce(try_strptime(day_text, '%m.%d.%Y'), {', '.join(f"try_strptime(day_text, '{d}')" for d, _ in SHAPES[:-1])}),
     '%Y-%m-%d %H:%M:%S') AS parsed FROM t""",
 )

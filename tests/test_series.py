@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
 from tablewright.operators import forecasting, relational, timeseries
@@ -152,12 +153,48 @@ def test_both_recursions_agree(spark):
 def test_race_and_trend(spark):
     df = sine(spark)
     race = forecasting.forecast_race(df, ["key"], "ts", "value", 7).toPandas()
+    assert race[["lower", "upper"]].notna().all().all() and (race["lower"] <= race["upper"]).all()
     assert len(race) == 14 and (race["mae"] < 0.5).all() and race.groupby("key")["model"].nunique().eq(1).all()
     out = forecasting.trend_fourier(df, ["key"], "ts", "value", 30).toPandas()
     assert out["is_future"].sum() == 60 and len(out) == 300
     assert (out["yhat_lower"] <= out["yhat"]).all() and (out["yhat"] <= out["yhat_upper"]).all()
 
 
+def test_boosted_recursion_equals_the_model(spark):
+    """The trees' nodes give what the model itself gives step by step."""
+    df, _ = gappy(spark, 5)
+    model = forecasting.fit_lag_model(df, ["key"], "ts", "value", GBTRegressor(maxIter=5, maxDepth=4, seed=1))
+    a = forecasting.lag_forecast(df, ["key"], "ts", "value", 8, model=model).toPandas().sort_values(["key", "step"])
+    b = forecasting.lag_forecast_boosted(df, ["key"], "ts", "value", 8, model=model).toPandas().sort_values(["key", "step"])
+    assert len(a) and np.allclose(a["forecast"], b["forecast"])
+
+
+def test_bands_are_ranks_of_errors(spark):
+    draw = np.random.default_rng(8)
+    rows = [(k, float(abs(e))) for k, n in (("a", 400), ("b", 19), ("c", 5)) for e in draw.normal(size=n)] + [("a", None)]
+    frame = spark.createDataFrame(rows, "k string, error double")
+    got = {r["k"]: r["band"] for r in forecasting.error_bands(frame, ["k"]).collect()}
+    for k, place in (("a", 381), ("b", 19), ("c", 5)):
+        assert got[k] == sorted(e for g, e in rows if g == k and e is not None)[place - 1]
+    assert forecasting.error_bands(frame.filter("false"), ["k"]).count() == 0
+
+
+def test_bands_cover_the_future(spark):
+    """Noise about a weekly pattern, 40 series: some 95 % of what comes later lies in the bands."""
+    draw = np.random.default_rng(11)
+    days, ahead = 150, 14
+    value = 50 + 10 * np.sin(2 * np.pi * np.arange(days + ahead) / 7) + draw.normal(size=(40, days + ahead))
+    at = pd.date_range("2024-01-01", periods=days + ahead)
+    whole = pd.concat([pd.DataFrame({"key": f"s{i}", "ts": at, "value": v}) for i, v in enumerate(value)])
+    past = spark.createDataFrame(whole[whole["ts"] < at[days]]).repartition(4)
+    for name in ("seasonal_naive", "lag_regression"):
+        made = forecasting.forecast_race(past, ["key"], "ts", "value", ahead, names=[name]).toPandas()
+        assert len(made) == 40 * ahead and (made["lower"] < made["forecast"]).all()
+        met = made.merge(whole, on=["key", "ts"])
+        inside = ((met["value"] >= met["lower"]) & (met["value"] <= met["upper"])).mean()
+        assert len(met) == 40 * ahead and 0.9 < inside < 0.99, (name, inside)
+
+
 def test_frequency_of_irregular_series_is_a_day(spark):
     df, _ = gappy(spark, 2)
     assert {(r["regular"], r["seconds"]) for r in timeseries.infer_frequency(df, ["key"], "ts").collect()} == {(False, 86400)}
