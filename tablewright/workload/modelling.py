@@ -237,12 +237,12 @@ def lag_forecast(spark, sf):
 
 @query(
     "forecast_bands",
-    f"""WITH {filled_sql(HOURLY, 'event_type', '1 hour')}, n AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM f),
-    s AS (SELECT *, n - greatest(n // 5, 24) AS m FROM n), l AS (SELECT event_type, max(ts) AS last, any_value(m) AS m FROM s WHERE i <= m GROUP BY 1),
-    t AS (SELECT s.event_type, s.value, l.m, date_diff('hour', last, ts) AS step FROM s JOIN l USING (event_type) WHERE i > s.m),
-    e AS (SELECT t.event_type, abs(t.value - s.value) AS error FROM t JOIN s ON s.event_type = t.event_type AND s.i = t.m + 1 - (24 - (t.step - 1) % 24)
-      WHERE t.step <= (SELECT max(n - m) FROM s))
-    SELECT event_type, round(avg(error), 6) AS mae, round(list_sort(list(error))[least(count(*), CAST(ceil((count(*) + 1) * 95 / 100) AS BIGINT))], 6) AS band FROM e GROUP BY 1""",
+    f"""WITH {filled_sql(HOURLY, 'event_type', '1 hour')}, numbered AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM f),
+    split AS (SELECT *, n - greatest(n // 5, 24) AS m FROM numbered), ends AS (SELECT event_type, max(ts) AS last, any_value(m) AS m FROM split WHERE i <= m GROUP BY 1),
+    test AS (SELECT s.event_type, s.value, l.m, date_diff('hour', last, ts) AS step FROM split s JOIN ends l USING (event_type) WHERE i > s.m),
+    errors AS (SELECT t.event_type, abs(t.value - s.value) AS error FROM test t JOIN split s ON s.event_type = t.event_type AND s.i = t.m + 1 - (24 - (t.step - 1) % 24)
+      WHERE t.step <= (SELECT max(n - m) FROM split))
+    SELECT event_type, round(avg(error), 6) AS mae, round(list_sort(list(error))[least(count(*), CAST(ceil((count(*) + 1) * 95 / 100) AS BIGINT))], 6) AS band FROM errors GROUP BY 1""",
 )
 def forecast_bands(spark, sf):
     """The naive candidate's error in the hold-out and the half width of its band."""
