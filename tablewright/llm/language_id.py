@@ -25,6 +25,8 @@ PENALTY = 3.0
 ROUNDS = 25
 SETTLED = 1e-3
 _CHUNK_BYTES = 1 << 20
+#: words of a long text whose scores wait to be folded into the different ones
+_WAITING_WORDS = 1 << 18
 
 #: ASCII letters and all bytes beyond ASCII stay, everything else becomes a space
 _LETTERS = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], dtype=np.uint32)
@@ -65,56 +67,81 @@ class LanguageModel:
         first = np.flatnonzero(np.diff(place, prepend=-2) > 1)
         return place[first], np.add.reduceat(self.scores[bucket], first, axis=0)
 
+    @property
+    def chunk_bytes(self) -> int:
+        """Bytes of text to score at once: a letter takes four bytes per language, 16 MB in all at most."""
+        return max(1 << 14, min(_CHUNK_BYTES, (1 << 22) // max(1, len(self.names))))
+
     def mixtures(self, texts: list[bytes]) -> list[tuple[list[tuple[str, float]], int]]:
         """Per text the chosen languages with their shares, largest first, and the number of words."""
-        places, scores = [], []
-        for i, t in enumerate(texts):
-            if len(t) > _CHUNK_BYTES:  # one long text: word by word over its parts
-                parts = list(_word_parts(t))
-                found = [self.word_scores(_joined([p])[0])[1] for p in parts]
-                scores.append(np.concatenate(found))
-                places.append(np.full(len(scores[-1]), i))
-        if places:
-            assert len(texts) == 1
-            owner, table = places[0], scores[0]
-        else:
-            data, starts = _joined(texts)
-            at, table = self.word_scores(data)
-            owner = np.searchsorted(starts, at - 1, side="right") - 1
-        return self._infer(owner, table, len(texts))
-
-    def _infer(self, owner: np.ndarray, table: np.ndarray, docs: int) -> list[tuple[list[tuple[str, float]], int]]:
-        words = np.bincount(owner, minlength=docs)
+        if any(len(t) > self.chunk_bytes for t in texts):
+            out = []
+            for t in texts:
+                if len(t) > self.chunk_bytes:
+                    table, times = self._long_scores(t)
+                    out += self._infer(np.zeros(len(table), dtype=np.int64), table, 1, times)
+                else:
+                    out += self.mixtures([t])
+            return out
+        data, starts = _joined(texts)
+        at, table = self.word_scores(data)
+        return self._infer(np.searchsorted(starts, at - 1, side="right") - 1, table, len(texts))
+
+    def _long_scores(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Different rows of word scores of a long text, and how many words have each: memory grows with
+        its different words, not with its length."""
+        table, times, waiting = np.zeros((0, len(self.names)), dtype=np.float32), np.zeros(0), []
+        size = 0
+
+        def folded():
+            rows = np.concatenate([table, *waiting])
+            counts = np.concatenate([times, *[np.ones(len(w)) for w in waiting]])
+            same, place = np.unique(rows, axis=0, return_inverse=True)
+            return same, np.bincount(place.reshape(-1), weights=counts, minlength=len(same))
+
+        for part in _word_parts(text, self.chunk_bytes):
+            waiting.append(self.word_scores(_joined([part])[0])[1])
+            size += len(waiting[-1])
+            if size > len(table) + _WAITING_WORDS:
+                table, times = folded()
+                waiting, size = [], 0
+        return folded()
+
+    def _infer(
+        self, owner: np.ndarray, table: np.ndarray, docs: int, times: np.ndarray | None = None
+    ) -> list[tuple[list[tuple[str, float]], int]]:
+        """Mixtures from the word scores in ``table``, each of document ``owner`` and found ``times`` times."""
+        rows_of = np.bincount(owner, minlength=docs)
+        times = np.ones(len(owner)) if times is None else times
+        words = np.bincount(owner, weights=times, minlength=docs)
         out: list[tuple[list[tuple[str, float]], int]] = [([], 0)] * docs
-        live = np.flatnonzero(words)
+        live = np.flatnonzero(rows_of)
         if not len(live) or not self.names:
             return out
-        n = words[live]
-        begin = np.concatenate([[0], np.cumsum(n)[:-1]])
+        n = rows_of[live]
+        begin = _begins(n)
         place = np.repeat(np.arange(len(live)), n)
         like = table.astype(np.float64)
         like -= like.max(axis=1, keepdims=True)
         like = np.exp(like)
         shares = np.full((len(live), len(self.names)), 1.0 / len(self.names))
-        shares, _ = _expectation_maximisation(like, place, begin, n, shares)
+        shares, _ = _expectation_maximisation(like, times, n, shares)
         order = np.argsort(-shares, axis=1, kind="stable")
         best = np.zeros((len(live), len(self.names)))
         best[np.arange(len(live)), order[:, 0]] = 1.0
-        top = np.add.reduceat(np.log(np.maximum(like[np.arange(len(place)), order[place, 0]], 1e-300)), begin)
+        top = np.add.reduceat(times * np.log(np.maximum(like[np.arange(len(place)), order[place, 0]], 1e-300)), begin)
         open_docs = np.arange(len(live))
         for k in range(2, len(self.names) + 1):
             # the k languages of the largest shares, fitted anew by themselves
             pick = np.isin(place, open_docs, assume_unique=False) if len(open_docs) < len(live) else slice(None)
-            sub_n = n[open_docs]
-            sub_begin = np.concatenate([[0], np.cumsum(sub_n)[:-1]])
-            sub_place = np.repeat(np.arange(len(open_docs)), sub_n)
             start = np.zeros((len(open_docs), len(self.names)))
             rows = np.arange(len(open_docs))[:, None]
             chosen = order[open_docs, :k]
             start[rows, chosen] = np.maximum(shares[open_docs[:, None], chosen], 1e-3)
             start /= start.sum(axis=1, keepdims=True)
-            fitted, value = _expectation_maximisation(like[pick], sub_place, sub_begin, sub_n, start)
-            better = value - PENALTY * np.log(sub_n + 1.0) > top[open_docs]
+            fitted, value = _expectation_maximisation(like[pick], times[pick], n[open_docs], start)
+            value -= PENALTY * np.log(words[live][open_docs] + 1.0)
+            better = value > top[open_docs]
             open_docs, fitted, value = open_docs[better], fitted[better], value[better]
             if not len(open_docs):
                 break
@@ -125,32 +152,45 @@ class LanguageModel:
         return out
 
 
-def _word_parts(text: bytes) -> Iterator[bytes]:
+def _word_parts(text: bytes, size: int = _CHUNK_BYTES) -> Iterator[bytes]:
     """A long text in parts cut at spaces (or, in one endless word, anywhere)."""
     start = 0
     while start < len(text):
-        cut = text.find(b" ", start + _CHUNK_BYTES, start + 2 * _CHUNK_BYTES)
-        cut = min(len(text), start + 2 * _CHUNK_BYTES) if cut < 0 else cut
+        cut = text.find(b" ", start + size, start + 2 * size)
+        cut = min(len(text), start + 2 * size) if cut < 0 else cut
         yield text[start:cut]
         start = cut
 
 
-def _expectation_maximisation(like, place, begin, n, shares):
+def _begins(n: np.ndarray) -> np.ndarray:
+    """Where each of consecutive runs of ``n`` rows begins."""
+    return np.concatenate([[0], np.cumsum(n)[:-1]])
+
+
+def _expectation_maximisation(like, times, n, shares):
     """Shares of each document that fit its words best, from the given start, and the log-likelihood.
 
-    A share of zero stays zero, which is how a smaller set of languages is fitted.
+    ``like`` holds the documents' rows one after another, ``n`` of each, a row counting ``times`` times. A
+    document is done when its own shares have settled, whatever others do, so its result depends on
+    its words alone. A share of zero stays zero, which is how a smaller set of languages is fitted.
     """
+    shares = shares.copy()
+    total_words = np.add.reduceat(times, _begins(n))
+    moving, left, often, size = np.arange(len(n)), like, times, n
     for _ in range(ROUNDS):
-        weighted = like * shares[place]
-        total = weighted.sum(axis=1)
-        weighted /= np.maximum(total, 1e-300)[:, None]
-        new = np.add.reduceat(weighted, begin, axis=0) / n[:, None]
-        moved = np.abs(new - shares).max()
-        shares = new
-        if moved < SETTLED:
+        begin = _begins(size)
+        weighted = left * np.repeat(shares[moving], size, axis=0)
+        weighted *= (often / np.maximum(weighted.sum(axis=1), 1e-300))[:, None]
+        new = np.add.reduceat(weighted, begin, axis=0) / total_words[moving][:, None]
+        unsettled = np.abs(new - shares[moving]).max(axis=1) >= SETTLED
+        shares[moving] = new
+        if not unsettled.any():
             break
-    value = np.add.reduceat(np.log(np.maximum((like * shares[place]).sum(axis=1), 1e-300)), begin)
-    return shares, value
+        if not unsettled.all():
+            rows = np.repeat(unsettled, size)
+            moving, left, often, size = moving[unsettled], left[rows], often[rows], size[unsettled]
+    seen = (like * np.repeat(shares, n, axis=0)).sum(axis=1)
+    return shares, np.add.reduceat(times * np.log(np.maximum(seen, 1e-300)), _begins(n))
 
 
 def train(df: DataFrame, text: str = "text", lang: str = "lang") -> LanguageModel:
@@ -197,7 +237,8 @@ def predict(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFram
     three … largest are fitted by themselves, and a larger set is taken only while it raises the
     log-likelihood by more than a penalty. Ties go to the language whose name sorts first. A text
     that is null, has no letter, or meets a model of no languages is ``und`` with score 0. Texts
-    are read whole; no rows give no rows. Columns with these names are replaced.
+    are read whole; no rows give no rows. Columns with these names are replaced. A row's result
+    depends on its text and the model alone, not on the rows beside it.
     """
     sent = df.sparkSession.sparkContext.broadcast(model)
     has_letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
@@ -209,7 +250,7 @@ def predict(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFram
             found, group, size = [], [], 0
             for t in texts:
                 t = t.as_py() or b""
-                if group and size + len(t) > _CHUNK_BYTES:
+                if group and size + len(t) > held.chunk_bytes:
                     found += held.mixtures(group)
                     group, size = [], 0
                 group.append(t)
@@ -241,7 +282,11 @@ def identify(df: DataFrame, ids: str = "doc_id", text: str = "text", lang: str =
 
 
 def keep_identified(df: DataFrame, ids: str = "doc_id", text: str = "text", lang: str = "lang", least: float = 0.5) -> DataFrame:
-    """``df`` without rows of no language (``und``) and rows in which no language has a share of ``least``."""
+    """``df`` without rows of no language (``und``) and rows in which no language has a share of ``least``.
+
+    Null and empty texts are ``und`` and go; null ids are held out and may stay. Copies are judged alike and
+    all stay. Columns keep their names, also those that ``predict`` would add. No rows give no rows.
+    """
     names = {c: f"__d{i}" for i, c in enumerate(df.columns)}
     found = identify(df.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), names[ids], names[text], names[lang])
     return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*[F.col(n).alias(c) for c, n in names.items()])

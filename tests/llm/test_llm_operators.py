@@ -133,12 +133,91 @@ def test_expectation_maximisation_is_plain(spark):
     for _ in range(500):
         w = like * shares
         shares = (w / w.sum(axis=1, keepdims=True)).mean(axis=0, keepdims=True)
-    begin, n, place = np.array([0]), np.array([3]), np.zeros(3, dtype=int)
-    found, value = language_id._expectation_maximisation(like, place, begin, n, np.array([[0.5, 0.5]]))
+    found, value = language_id._expectation_maximisation(like, np.ones(3), np.array([3]), np.array([[0.5, 0.5]]))
     assert np.abs(found - shares).max() < 0.05
     assert np.isclose(value[0], np.log((like * found).sum(axis=1)).sum())
 
 
+def plain_mixture(model, text):
+    """One document by itself, word by word, in plain loops."""
+    import math
+
+    words = "".join(c if c.isalpha() else " " for c in text).split()
+    like = []
+    for w in words:
+        bucket, _ = language_id._trigrams(np.frombuffer(b" " + w.encode() + b" ", dtype=np.uint8))
+        logs = [sum(float(model.scores[b, j]) for b in bucket) for j in range(len(model.names))]
+        like.append([math.exp(x - max(logs)) for x in logs])
+
+    def fit(shares):
+        for _ in range(language_id.ROUNDS):
+            new = [0.0] * len(shares)
+            for row in like:
+                seen = sum(a * b for a, b in zip(row, shares))
+                for j, (a, b) in enumerate(zip(row, shares)):
+                    new[j] += a * b / seen / len(like)
+            moved = max(abs(a - b) for a, b in zip(new, shares))
+            shares = new
+            if moved < language_id.SETTLED:
+                break
+        return shares, sum(math.log(sum(a * b for a, b in zip(row, shares))) for row in like)
+
+    first, _ = fit([1 / len(model.names)] * len(model.names))
+    order = sorted(range(len(first)), key=lambda j: -first[j])
+    best = [1.0 if j == order[0] else 0.0 for j in range(len(first))]
+    top = sum(math.log(row[order[0]]) for row in like)
+    for k in range(2, len(first) + 1):
+        start = [max(first[j], 1e-3) if j in order[:k] else 0.0 for j in range(len(first))]
+        shares, value = fit([s / sum(start) for s in start])
+        if value - language_id.PENALTY * math.log(len(like) + 1) <= top:
+            break
+        best, top = shares, value - language_id.PENALTY * math.log(len(like) + 1)
+    return {model.names[j]: s for j, s in enumerate(best) if s > 0}
+
+
+def test_language_set_by_brute_force(spark):
+    docs, mixed = language_docs()
+    model = language_id.train(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    words = {n: [w for _, t, m in docs if m == n for w in t.split()] for n in ("aa", "bb", "cc")}
+    rng = random.Random(9)
+    texts = [mixed, docs[0][1], "x", "ka"]
+    for _ in range(40):
+        parts = [rng.choice(words[n]) for n in words for _ in range(rng.choice([0, 1, 5, 40]))]
+        texts.append(" ".join(parts) or "oui")
+    found = model.mixtures([t.encode() for t in texts])
+    assert {len(m) for m, _ in found} == {1, 2, 3}
+    for t, (m, n) in zip(texts, found):
+        want = plain_mixture(model, t)
+        assert n == len(t.split()) and {a for a, _ in m} == set(want)
+        assert all(abs(s - want[a]) < 1e-6 for a, s in m)
+    # a row's result is its own: alone, in any company and order
+    assert [model.mixtures([t.encode()])[0] for t in texts] == found
+    assert model.mixtures([t.encode() for t in reversed(texts)]) == found[::-1]
+
+
+def test_long_text_takes_little_memory(spark, monkeypatch):
+    import tracemalloc
+
+    docs, mixed = language_docs()
+    model = language_id.train(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    short = [(mixed + " ") * 30, docs[2][1]]
+    plain = model.mixtures([t.encode() for t in short])
+    monkeypatch.setattr(language_id, "_WAITING_WORDS", 500)
+    monkeypatch.setattr(language_id.LanguageModel, "chunk_bytes", 1000)
+    cut = model.mixtures([t.encode() for t in short])
+    assert [(n, [a for a, _ in m]) for m, n in cut] == [(n, [a for a, _ in m]) for m, n in plain]
+    assert np.allclose([s for m, _ in cut for _, s in m], [s for m, _ in plain for _, s in m])
+    monkeypatch.undo()
+    peaks = []
+    for times in (10_000, 40_000):
+        text = ((mixed + " ") * times).encode()
+        tracemalloc.start()
+        model.mixtures([text])
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.5 * peaks[0], peaks
+
+
 def test_language_of_odd_rows(odd, none):
     out = {(r["doc_id"], r["text"]): (r["lang_pred"], r["score"]) for r in language_id.identify(odd).collect()}
     assert out[(1, None)] == out[(2, "")] == out[(7, "1234 5678 ...")] == out[(None, None)] == ("und", 0.0)
