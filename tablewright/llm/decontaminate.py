@@ -197,7 +197,10 @@ def contamination(found: DataFrame, one_in: int = ONE_IN) -> DataFrame:
 
 
 def drop_documents(docs: DataFrame, items: DataFrame, text: str = "text", one_in: int = ONE_IN, **how) -> DataFrame:
-    """``docs`` without contaminated rows; columns and all other rows stay as they are."""
+    """``docs`` without contaminated rows; columns and all other rows stay as they are.
+
+    Null and empty texts have no words and stay; copies are judged alike. Columns may have the names that
+    ``find_hits`` adds, in any case. No rows give no rows, and no items drop nothing."""
     taken = {c.lower() for c in docs.columns} & {"hit_spans", "hit_items", "n_words"}
     names = {c: f"__kept_{i}" for i, c in enumerate(docs.columns) if c.lower() in taken and c != text}
     found = contamination(find_hits(docs.withColumnsRenamed(names), items, text, **how).select(
@@ -208,11 +211,12 @@ def drop_documents(docs: DataFrame, items: DataFrame, text: str = "text", one_in
 
 def remove_spans(docs: DataFrame, items: DataFrame, text: str = "text", **how) -> DataFrame:
     """``docs`` with the hit words cut out of ``text``, from the first byte of a span's first word to
-    the last byte of its last word; texts without a hit stay byte for byte."""
-    found = find_hits(docs, items, text, **how)
-    names = docs.columns
-    if any(f.name in names for f in _HITS):
-        raise ValueError("rename the document columns hit_spans, hit_items and n_words first")
+    the last byte of its last word; texts without a hit stay byte for byte, null ones null.
+
+    Every row stays, copies too, with its columns whatever their names. No rows give no rows, and no items
+    change nothing."""
+    names = {c: f"d{i}" for i, c in enumerate(docs.columns)}
+    found = find_hits(docs.toDF(*names.values()), items, names[text], **how)
 
     def start():
         def work(texts: pa.Array, spans: pa.Array) -> list[pa.Array]:
@@ -220,8 +224,9 @@ def remove_spans(docs: DataFrame, items: DataFrame, text: str = "text", **how) -
 
         return work
 
-    reads = {"t": F.col(text).cast("binary"), "s": F.col("hit_spans")}
-    return append(found, reads, [field(text, "string")], start, [f.name for f in _HITS]).select(*names)
+    reads = {"t": F.col(names[text]).cast("binary"), "s": F.col("hit_spans")}
+    cut = append(found, reads, [field(names[text], "string")], start, [f.name for f in _HITS])
+    return cut.select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def _cut(text: bytes | None, spans: list[dict]) -> str | None:

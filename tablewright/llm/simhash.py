@@ -176,9 +176,12 @@ def drop_near_duplicates(df: DataFrame, ids: str = "doc_id", text: str = "text",
 
     Rows with the same id and text are one another's copies; one of them stays. Among rows of
     the smallest id whose texts differ, the smaller text hash stays. A group whose ids are all
-    null keeps one row too. All columns of ``df`` are kept. No rows give no rows.
+    null keeps one row too. All columns of ``df`` are kept, whatever their names. No rows give no rows.
     """
-    groups = near_duplicate_groups(df, ids, text, radius)
+    names = {c: f"d{i}" for i, c in enumerate(df.columns)}
+    df = df.toDF(*names.values())
+    groups = near_duplicate_groups(df, names[ids], names[text], radius)
+    ids, text = names[ids], names[text]
     alike = groups.groupBy("group", ids, "text_hash").agg(F.count(F.lit(1)).alias("n"))
     order = F.struct(F.col(ids).isNull().alias("no_id"), F.col(ids).alias("id"), "text_hash", "n")
     best = stored(stored(alike).groupBy("group").agg(F.min(order).alias("m")).select("m.*"))
@@ -188,4 +191,4 @@ def drop_near_duplicates(df: DataFrame, ids: str = "doc_id", text: str = "text",
     if (best.agg(F.max("n")).first()[0] or 0) > 1:
         once = joined.filter("__n > 1").dropDuplicates(["__id", "__hash"])
         joined = joined.filter("__n = 1").unionByName(once)
-    return joined.select(*[F.col(f"`{c}`") for c in df.columns])
+    return joined.select(*[F.col(n).alias(c) for c, n in names.items()])

@@ -126,8 +126,10 @@ def ratio(df: DataFrame, url: Column, model: DataFrame, name: str = "score") ->
     null for a null URL. Different URLs are scored once, by joins with the counts of ``model``."""
     scores = _scores(df.select(url.alias("t")), model)
     k1, k2 = _key(url)
-    joined = df.withColumns({"__k1": F.when(url.isNotNull(), k1), "__k2": k2}).join(scores, ["__k1", "__k2"], "left")
-    return joined.select(*[F.col(f"`{c}`") for c in df.columns if c != name], F.col("__score").alias(name))
+    kept = [c for c in df.columns if c.lower() != name.lower()]
+    keyed = df.select(*[F.col(f"`{c}`").alias(f"d{i}") for i, c in enumerate(kept)], F.when(url.isNotNull(), k1).alias("__k1"), k2)
+    joined = keyed.join(scores, ["__k1", "__k2"], "left")
+    return joined.select(*[F.col(f"d{i}").alias(c) for i, c in enumerate(kept)], F.col("__score").alias(name))
 
 
 def threshold(scored: DataFrame, verdict: str = "verdict", score: str = "score") -> float:
@@ -163,8 +165,9 @@ def judge(df: DataFrame, url: str = "url", rules: Sequence[tuple[str, str]] = RU
     rule, verdict = rule_of(host, path, rules)
     kept = [c for c in df.columns if c.lower() not in ("host", "path", "rule", "verdict", "score") or c == url]
     text = F.coalesce(F.col(url), F.lit(""))
+    # names that no helper column has
     own = df.select(
-        *[F.col(f"`{c}`") for c in kept], host.alias("__host"), path.alias("__path"), rule.alias("__rule"), verdict.alias("__verdict"),
+        *[F.col(f"`{c}`").alias(f"d{i}") for i, c in enumerate(kept)], host.alias("__host"), path.alias("__path"), rule.alias("__rule"), verdict.alias("__verdict"),
         *_key(text), text.alias("__text"),
     )
     slim = stored(own.select(F.col("__text").alias("t"), F.col("__verdict").alias("verdict"), "__k1", "__k2"))
@@ -178,13 +181,14 @@ def judge(df: DataFrame, url: str = "url", rules: Sequence[tuple[str, str]] = RU
     score = F.when(F.col("__rule").isNull(), F.col("__score"))
     decided = F.coalesce("__verdict", F.when(score >= F.lit(least), F.lit("allow")).otherwise(F.lit("block")))
     return scored.select(
-        *[F.col(f"`{c}`") for c in kept], F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__rule").alias("rule"),
+        *[F.col(f"d{i}").alias(c) for i, c in enumerate(kept)], F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__rule").alias("rule"),
         decided.alias("verdict"), score.alias("score"),
     )
 
 
 def keep_allowed(df: DataFrame, url: str = "url", rules: Sequence[tuple[str, str]] = RULES) -> DataFrame:
-    """The rows of ``df`` whose URL is allowed, with their columns."""
+    """The rows of ``df`` whose URL is allowed, with their columns, whatever their names. Null URLs are judged
+    as empty ones, copies alike. No rows give no rows."""
     named = df.select(*[F.col(f"`{c}`").alias(f"d{i}") for i, c in enumerate(df.columns)], F.col(url).alias("__url"))
     kept = judge(named, "__url", rules).filter(F.col("verdict") == "allow")
     return kept.select(*[F.col(f"d{i}").alias(c) for i, c in enumerate(df.columns)])

@@ -685,6 +685,44 @@ def test_recall_of_a_larger_table(spark):
     assert hits >= 0.93 * true.size
 
 
+# columns named like the operators' own helpers
+
+def clashing(df):
+    helpers = [
+        "__id", "__hash", "__b", "__h", "__n", "id", "text_hash", "group", "node", "label", "least", "__k1", "__k2", "__host", "__text",
+        "__score", "__verdict", "HIT_SPANS", "Hit_Items", "N_WORDS", "__kept_0", "__d0", "d1", "__domain", "__lang", "__source", "LANG_PRED", "SCORE", "languages",
+    ]
+    return df.select("doc_id", "text", "lang", "source", "n_chars").withColumns({n: F.lit(f"own {n}") for n in helpers})
+
+
+def test_helper_names_clash_with_nothing(spark, sf):
+    rows = [r for r in odd_rows() if r[0] in (1, 2, 9, 10, None)] + [(20, prose(31, 40), "en", "src1", 1), (21, prose(31, 40), "en", "src2", 1)]
+    docs = clashing(spark.createDataFrame(rows, SCHEMA))
+    own = {c: f"own {c}" for c in docs.columns[5:]}
+    items = spark.createDataFrame([(1, prose(31, 40))], "item_id long, text string")
+    made = {
+        "near": simhash.drop_near_duplicates(docs), "cut": decontaminate.remove_spans(docs, items),
+        "dropped": decontaminate.drop_documents(docs, items), "identified": language_id.keep_identified(docs),
+        **{name: stage(spark, docs, sf) for name, stage in corpus_pipeline.STAGES[:-1]},
+    }
+    for name, out in made.items():
+        assert out.columns == docs.columns, name
+        found = out.collect()
+        assert found and all({c: r[c] for c in own} == own for r in found), name
+    assert sum(r["text"] == prose(31, 40) for r in made["near"].collect()) == 1
+    assert {r["text"] for r in made["cut"].collect() if r["doc_id"] in (20, 21)} == {""}
+    assert not {20, 21} & {r["doc_id"] for r in made["dropped"].collect()}
+
+
+def test_urls_with_helper_names(spark):
+    pages = spark.createDataFrame([(1, "http://a.com/x"), (2, None), (3, "http://b.org/y"), (3, "http://b.org/y")], "page_id long, url string")
+    pages = pages.withColumns({c: F.lit("own") for c in ("__k1", "__k2", "__host", "__path", "__rule", "__verdict", "__text", "__score", "d0", "HOST")})
+    out = url_filter.judge(pages).collect()
+    assert len(out) == 4 and all(r["__k1"] == r["__score"] == r["d0"] == "own" for r in out)
+    assert {r["page_id"]: r["host"] for r in out} == {1: "a.com", 2: "", 3: "b.org"}
+    assert url_filter.keep_allowed(pages).columns == pages.columns
+
+
 # pipeline
 
 def test_pipeline_of_odd_rows(spark, odd, none, sf):
