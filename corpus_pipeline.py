@@ -21,32 +21,37 @@ FRACTION = 0.8
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which one language has at least half of the words."""
+    """Documents in which one language has at least half of the words; null and empty texts go, copies are
+    judged alike, no rows give no rows. Like all stages it keeps the columns, whatever their names."""
     return language_id.keep_identified(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one of the smallest id."""
+    """One document of each group of near duplicates, the one of the smallest id; null ids lose against any
+    other, texts without words are one another's copies, of repeated rows one stays, no rows give no rows."""
     return simhash.drop_near_duplicates(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth stands in a benchmark item."""
+    """Documents of which less than a twentieth stands in a benchmark item; null and empty texts stay, copies
+    are judged alike, no rows give no rows."""
     return decontaminate.drop_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Domains, languages and sources by weight; no document twice."""
-    tree = docs.withColumns({"__domain": domain(), "__lang": F.col("lang"), "__source": F.col("source")})
+    """Domains, languages and sources by weight; no document twice. Null languages and sources are leaves of
+    their own, null texts have no tokens, ties go by the text's hash, no rows give no rows."""
+    names = {c: f"d{i}" for i, c in enumerate(docs.columns)}
+    kept = [F.col(f"`{c}`").alias(n) for c, n in names.items()]
+    tree = docs.select(*kept, "doc_id", domain().alias("__domain"), F.col("lang").alias("__lang"), F.col("source").alias("__source"))
     levels = [f"__{c}" for c in LEVELS]
-    chosen = mixture.mix(
-        tree, levels, WEIGHTS, mixture.token_length(F.col("text")), tie=F.xxhash64("text"), fraction=FRACTION, most_epochs=1
-    )
-    return chosen.select(*[F.col(f"`{c}`") for c in docs.columns])
+    text = F.col(names["text"])
+    chosen = mixture.mix(tree, levels, WEIGHTS, mixture.token_length(text), tie=F.xxhash64(text), fraction=FRACTION, most_epochs=1)
+    return chosen.select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with its shard."""
+    """Every document with its shard, null and repeated ids too; no rows give no rows."""
     return sharding.with_shard(docs)
 
 
