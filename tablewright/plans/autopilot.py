@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import random
-import time
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tablewright.operators import catalog, explain, forecasting, insights, models, prepare, profile, sampling, timeseries
+from tablewright.operators import catalog, ensembles, explain, forecasting, insights, models, prepare, profile, sampling, timeseries
 from tablewright.operators.columns import datetime_columns, q
 from tablewright.operators.ranking import HASH_SPACE, row_hash
 from tablewright.session import cut
@@ -225,31 +224,44 @@ def review(df: DataFrame, target: str, problem: str, candidates=None) -> DataFra
     return out
 
 
-def train_automl(df: DataFrame, target: str, problem_type: str, time_limit: float = 300.0, calibrate: bool = True, folds: int = 5):
-    """Leaderboard and, with ``calibrate``, a stacked ensemble for any named problem type, within
-    ``time_limit`` seconds; if they end the stacking, the best candidate predicts alone.
+def train_automl(
+    df: DataFrame, target: str, problem_type: str, time_limit: float = 300.0, calibrate: bool = True, folds: int = 5,
+    eval_metric: str | None = None, levels: int = 1,
+):
+    """The best models for any named problem type by ``eval_metric`` (default: accuracy, or RMSE), within
+    ``time_limit`` seconds: with ``calibrate`` bags of ``folds`` models in ``levels`` levels above the first and an
+    ensemble chosen from them, else single models ranked on the validation part.
 
     Returns ``{task, leaderboard, best, predict, metric, score}``, or None when training
     fails. ``predict`` adds predictions to rows of the task; ``score`` is its validation
-    score (accuracy, or negative RMSE for regression).
+    score, with a minus sign where smaller is better.
     """
-    began = time.time()
     try:
         task = models.prepare_task(df, target, catalog.TASKS.get(problem_type, "multiclass"))
-        board = models.train_leaderboard(task, budget=time_limit)
-        predict = board[0].model.transform
+        metric = ensembles.check_metric(task.problem, eval_metric)
+        val = task.part("val")
         if calibrate:
-            base = {t.name: models.candidate_models(task.problem)[t.name] for t in board}
-            try:
-                predict, _ = models.stacked_ensemble(task, base, folds, max(0.0, time_limit - (time.time() - began)))
-            except models.OutOfTime as exc:
-                print(f"no stacking: {exc}")
-        found = models.scores(predict(task.part("val")), task.problem)
+            found = ensembles.bagged_ensemble(task, None, metric, folds, levels, budget=time_limit)
+            ranked = [models.Trained(b.name, b, {metric: b.score}, b.seconds) for b in found.bags]
+            board, predict = models.Board(ranked, found.dropped), found.predict
+        else:
+            board = models.train_leaderboard(task, budget=time_limit)
+            for t in board:
+                t.scores.update(judged(task, t.model.transform(val), metric))
+        board.sort(key=lambda t: -ensembles.gain(metric, t.scores[metric]))
+        if not calibrate:
+            predict = board[0].model.transform
+        score = judged(task, predict(val), metric)[metric]
     except Exception as exc:  # also what Spark itself raises
         print(f"training failed: {str(exc)[:300]}")
         return None
-    regression = task.problem == "regression"
     return {
-        "task": task, "leaderboard": board, "best": board[0].name, "predict": predict,
-        "metric": "rmse" if regression else "accuracy", "score": -found["rmse"] if regression else found["accuracy"],
+        "task": task, "leaderboard": board, "best": board[0].name, "predict": predict, "metric": metric,
+        "score": ensembles.gain(metric, score),
     }
+
+
+def judged(task: models.Task, predicted: DataFrame, metric: str) -> dict[str, float]:
+    """One metric of predicted rows."""
+    view = F.array("prediction") if task.problem == "regression" else vector_to_array("probability")
+    return ensembles.view_scores(predicted, {metric: view}, metric)

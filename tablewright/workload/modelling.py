@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tablewright.functions.text import words
-from tablewright.operators import explain, forecasting, models, sampling
+from tablewright.operators import ensembles, explain, forecasting, models, sampling
 from tablewright.operators.ranking import seeded_hash
 from tablewright.plans import autopilot, batch
 from tablewright.session import cut, scratch
@@ -74,6 +74,55 @@ def stacked_ensemble(spark, sf):
     return spark.createDataFrame([(k, float(v)) for k, v in found.items()], "metric string, value double")
 
 
+# rules of thumb for the price of a line, rounded so that both engines add up the same numbers
+PRICE_RULES = {
+    "by_quantity": "l_quantity * 1500.0",
+    "flat": "l_quantity * 0.0 + 38000.0",
+    "by_tax": "30000.0 + l_tax * 200000.0",
+    "steep": "l_quantity * 2600.0 - 9000.0",
+}
+
+
+def _ensemble_sql(rules: dict[str, str], rounds: int) -> str:
+    """Greedy choice over the products of the rules' errors, one step of a recursion per round."""
+    n = len(rules)
+    errors = ", ".join(f"{rule} - l_extendedprice AS e{i}" for i, rule in enumerate(rules.values()))
+    products = ", ".join(f"avg(e{i} * e{j}) AS g{i}_{j}" for i in range(n) for j in range(n))
+
+    def tried(more: int) -> str:
+        w = [f"(w{i} + {int(i == more)})" for i in range(n)]
+        total = " + ".join(f"{w[i]} * {w[j]} * g{i}_{j}" for i in range(n) for j in range(n))
+        return f"sqrt(({total}) / ((r + 1.0) * (r + 1.0)))"
+
+    found = "[" + ", ".join(f"round({tried(i)}, 7)" for i in range(n)) + "]"
+    uses = ", ".join(f"w{i} + CAST(list_position(s, list_min(s)) = {i + 1} AS INTEGER) AS w{i}" for i in range(n))
+    names = " UNION ALL ".join(
+        f"SELECT '{name}' AS model, w{i} AS uses, round(w{i} / r, 9) AS weight, round(sqrt(g{i}_{i}), 4) AS own_rmse, round(score, 4) AS ensemble_rmse FROM kept, g"
+        for i, name in enumerate(rules)
+    )
+    return f"""WITH RECURSIVE e AS (SELECT {errors} FROM lineitem), g AS (SELECT {products} FROM e),
+    t AS (SELECT 0 AS r, {', '.join(f'0 AS w{i}' for i in range(n))}, CAST(NULL AS DOUBLE) AS score
+      UNION ALL SELECT r + 1 AS r, {uses}, list_min(s) AS score FROM (SELECT t.*, {found} AS s FROM t, g WHERE r < {rounds})),
+    kept AS (SELECT * FROM t WHERE r > 0 ORDER BY score, r LIMIT 1) {names}"""
+
+
+@query("ensemble_weights", _ensemble_sql(PRICE_RULES, ensembles.ROUNDS))
+def ensemble_weights(spark, sf):
+    """How much each rule of thumb counts in the ensemble that is chosen from them."""
+    lines = table(spark, sf, "lineitem")
+    views = {name: F.array(F.expr(rule).cast("double")) for name, rule in PRICE_RULES.items()}
+    found = ensembles.choose(lines, views, "rmse", "l_extendedprice")
+    own = ensembles.view_scores(lines, views, "rmse", "l_extendedprice")
+    rows = [(n, found.uses[n], round(found.weights[n], 9), round(own[n], 4), round(found.score, 4)) for n in views]
+    return spark.createDataFrame(rows, "model string, uses int, weight double, own_rmse double, ensemble_rmse double")
+
+
+@query("bagged_ensemble")
+def bagged_ensemble(spark, sf):
+    """Bags in two levels and what each counts in the ensemble."""
+    return ensembles.bagged_ensemble(quality_task(spark, sf), metric="log_loss").frame(spark)
+
+
 @query("goal_search")
 def goal_search(spark, sf):
     rows, best = models.goal_search(quality_task(spark, sf), trials=8)

@@ -9,6 +9,7 @@ workload.load_all()
 # covered by the invariant tests, and slow to train
 TRAINED = {
     "leaderboard", "leaderboard_regression", "evaluate_holdout", "feature_importance", "stacked_ensemble", "goal_search",
+    "bagged_ensemble",
     "mlp", "shap_model", "autopilot_run", "review_steps", "batch_run", "kmeans_auto", "gmm_auto", "hierarchical",
     "lag_forecast", "forecast_race",
 }
