@@ -14,11 +14,13 @@ import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import partial, reduce
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml.feature import VectorAssembler, VectorSizeHint
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from tablewright.operators import metrics
 from tablewright.operators.models import FEATURES, LABEL, OutOfTime, Task, candidate_models, within
@@ -273,14 +275,19 @@ def bagged_ensemble(
 
     def bagged(estimator, view: str) -> tuple[list, DataFrame]:
         level_rows = rows.persist()
+        pool = ThreadPool(folds)
+
+        def without(k: int):
+            return estimator.copy().fit(level_rows.filter(F.col(FOLD) != k))
+
         try:
-            kept, parts = [], []
-            for k in range(folds):
-                model = estimator.fit(level_rows.filter(F.col(FOLD) != k))
-                kept.append(model)
-                parts.append(_opinion(model, level_rows.filter(F.col(FOLD) == k), view, regression))
+            # the folds' jobs share the executors; their threads carry the tag that a budget cancels by
+            fits = [inheritable_thread_target(spark)(partial(without, k)) for k in range(folds)]
+            kept = pool.map(lambda fit: fit(), fits)
+            parts = [_opinion(m, level_rows.filter(F.col(FOLD) == k), view, regression) for k, m in enumerate(kept)]
             return kept, stored(reduce(DataFrame.unionByName, parts))
         finally:
+            pool.close()
             level_rows.unpersist()
 
     for level in range(levels + 1):
