@@ -52,7 +52,10 @@ def skipped(path: Column) -> Column:
 
 
 def discover(spark: SparkSession, root: str) -> DataFrame:
-    """``(path, relative, bytes)`` of the datasets under ``root``; contents are not read."""
+    """``(path, relative, bytes)`` of the datasets under ``root``; contents are not read.
+
+    A folder named like a dataset (``t.parquet/``) is one, whatever number of files it holds.
+    """
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.{" + ",".join(KINDS) + "}").load(root)
@@ -61,8 +64,12 @@ def discover(spark: SparkSession, root: str) -> DataFrame:
     inside = f"{root.rstrip('/')}/"
     # by length, not by pattern: a root may hold any characters
     relative = F.expr("substring(path, locate(root, path) + length(root))")
-    listed = files.withColumn("root", F.lit(inside)).select("path", relative.alias("relative"), F.col("length").alias("bytes"))
-    return listed.filter(~skipped(F.col("relative"))).distinct().orderBy("relative")
+    listed = files.withColumn("root", F.lit(inside)).select("path", relative.alias("file"), F.col("length").alias("bytes")).distinct()
+    # up to the outermost folder named like a dataset, else the file itself
+    dataset = F.regexp_extract("file", rf"(?s)^(.*?\.({'|'.join(KINDS)}))(/|$)", 1)
+    placed = listed.withColumn("relative", dataset).filter(~skipped(F.col("relative")))
+    path = F.expr("substring(path, 1, length(path) - length(file) + length(relative))")
+    return placed.groupBy(path.alias("path"), "relative").agg(F.sum("bytes").alias("bytes")).orderBy("relative")
 
 
 def run_history(spark: SparkSession, root: str) -> DataFrame:

@@ -222,6 +222,16 @@ def test_discovery_takes_any_root(spark, tmp_path):
     assert [r["relative"] for r in readers.discover(spark, str(root)).collect()] == ["t.csv"]
 
 
+def test_a_folder_of_part_files_is_one_dataset(spark, tmp_path):
+    spark.range(20).repartition(3).write.parquet(f"{tmp_path}/shop/t.parquet")
+    spark.range(20).repartition(3).write.option("header", True).csv(f"{tmp_path}/u.csv")
+    spark.range(20).write.parquet(f"{tmp_path}/metrics.parquet")
+    (tmp_path / "v.csv").write_text("x\n1\n")
+    found = {r["relative"]: r for r in readers.discover(spark, str(tmp_path)).collect()}
+    assert sorted(found) == ["shop/t.parquet", "u.csv", "v.csv"]
+    assert readers.read_dataset(spark, found["shop/t.parquet"]["path"]).count() == readers.read_dataset(spark, found["u.csv"]["path"]).count() == 20
+
+
 def test_importance_of_columns_with_equals_signs():
     class Tree:
         featureImportances = type("V", (), {"toArray": lambda self: np.array([0.2, 0.3, 0.5])})()
