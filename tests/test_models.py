@@ -401,6 +401,13 @@ def test_every_job_of_the_batch_succeeds(spark, sf):
     assert len(out) > 4 and {(r["status"], r["error"]) for r in out} == {("ok", None)}
 
 
+def test_a_fit_reads_three_columns_in_few_tasks(task):
+    train = task.part("train")
+    slim = models.fit_rows(train)
+    assert slim.columns == [models.FEATURES, models.LABEL, models.WEIGHT]
+    assert slim.count() == train.count() > 300 and slim.rdd.getNumPartitions() == 1
+
+
 def test_a_registry_may_take_dates_as_targets(spark):
     days = spark.range(200).select("id", F.expr("date_add(date'2024-01-01', CAST(id % 5 AS INT))").alias("day"))
     assert batch.build_registry(spark, {"d": days}, "p", dates=True).first()["target"] == "day"
