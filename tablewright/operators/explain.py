@@ -54,15 +54,14 @@ def _bucket_parts(df: DataFrame, hashed: Column, buckets: int) -> int:
 
 
 def with_one_shuffled(copies: DataFrame, features: Sequence[str]) -> DataFrame:
-    """One row per feature with just that feature replaced, and one unchanged (``feature``
-    null); the input of any model's ``transform``."""
+    """One row per feature with just that feature replaced; the input of any model's ``transform``."""
     keep = [c for c in copies.columns if not c.endswith("__shuffled") and c not in features]
 
-    def version(name: str | None) -> Column:
+    def version(name: str) -> Column:
         values = [q(f"{f}__shuffled" if f == name else f).alias(f) for f in features]
-        return F.struct(F.lit(name).cast("string").alias("feature"), *values)
+        return F.struct(F.lit(name).alias("feature"), *values)
 
-    return copies.select(*keep, F.inline(F.array(*[version(f) for f in [None, *features]])))
+    return copies.select(*keep, F.inline(F.array(*[version(f) for f in features])))
 
 
 def permutation_importance(
@@ -77,14 +76,15 @@ def permutation_importance(
     """Mean drop of the metric when a feature is shuffled, over the repeats.
 
     ``predict`` adds the prediction, ``metric(df, by)`` returns ``(by…, score)``. All
-    repeats and features are scored in one plan and one grouped aggregation.
+    repeats and features are scored in one plan and one grouped aggregation; the unchanged
+    rows, the same in every repeat, are scored once.
     """
     rows = df.count() if rows is None else rows
     buckets = max(1, rows // ROWS_PER_BUCKET)
     copies = shuffled_copies(df, features, hashes, buckets, ties)
     scored = metric(predict(with_one_shuffled(copies, features)), ["feature", "repeat"])
-    base = scored.filter("feature IS NULL").select("repeat", F.col("score").alias("base"))
-    drop = scored.filter("feature IS NOT NULL").join(base, "repeat")
+    base = metric(predict(df), []).select(F.col("score").alias("base"))
+    drop = scored.crossJoin(F.broadcast(base))
     return drop.groupBy("feature").agg(
         F.avg(F.col("base") - F.col("score")).alias("importance"),
         F.stddev_pop(F.col("base") - F.col("score")).alias("spread"),

@@ -408,6 +408,19 @@ def test_a_fit_reads_three_columns_in_few_tasks(task):
     assert slim.count() == train.count() > 300 and slim.rdd.getNumPartitions() == 1
 
 
+def test_importance_scores_the_unchanged_rows_once(spark):
+    df = spark.range(100).select("id", (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 3).cast("double").alias("b"))
+    asked = []
+
+    def metric(frame, by):
+        asked.append((by, frame.count()))
+        return frame.groupBy(*by).agg((-F.avg(F.abs(F.col("p") - F.col("id") % 7))).alias("score"))
+
+    out = explain.permutation_importance(df, ["a", "b"], lambda f: f.withColumn("p", F.col("a") + 0 * F.col("b")), metric, [F.col("id"), F.col("id") * 31 % 97], ["id"])
+    found = {r["feature"]: r["importance"] for r in out.collect()}
+    assert found["a"] > 0.5 and found["b"] == 0 and sorted(asked) == [([], 100), (["feature", "repeat"], 400)]
+
+
 def test_a_registry_may_take_dates_as_targets(spark):
     days = spark.range(200).select("id", F.expr("date_add(date'2024-01-01', CAST(id % 5 AS INT))").alias("day"))
     assert batch.build_registry(spark, {"d": days}, "p", dates=True).first()["target"] == "day"
