@@ -200,8 +200,10 @@ def stream_scores(spark, sf):
     pipeline, meta = price_model(spark, sf)
     folder = scratch(spark)
     rows = table(spark, sf, "lineitem").select(*LINE_TIES[:5], "l_extendedprice")
-    rows.repartition(4).write.parquet(f"{folder}/in")
-    out = score_stream(spark, pipeline, meta, f"{folder}/in", rows.schema, f"{folder}/out", f"{folder}/state", 2)
+    # as many files as the table has splits, so a task's share doesn't grow with the table; half of them per batch
+    files = max(4, rows.rdd.getNumPartitions())
+    rows.repartition(files).write.parquet(f"{folder}/in")
+    out = score_stream(spark, pipeline, meta, f"{folder}/in", rows.schema, f"{folder}/out", f"{folder}/state", -(-files // 2))
     return out.withColumn("prediction", F.round("prediction", 4))
 
 

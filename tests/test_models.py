@@ -462,3 +462,20 @@ def test_batch_run_takes_every_table_whole(spark, sf, monkeypatch):
     whole = batch.build_registry(spark, {t: table(spark, sf, t) for t in inference.TABLES}, "retail").collect()
     assert jobs == whole and len(jobs) > 3 and not rest
     assert all(load(j["dataset"]).columns == table(spark, sf, j["dataset"]).columns for j in jobs)
+
+
+def test_the_files_of_the_scored_stream_grow_with_the_table(spark, sf, tmp_path, monkeypatch):
+    from tablewright.workload import modelling
+
+    lines, seen = spark.read.parquet(f"{sf}/lineitem.parquet"), []
+    for i in range(6):
+        lines.coalesce(1).write.mode("append").parquet(f"{tmp_path}/lineitem.parquet")
+
+    def scored(spark, pipeline, meta, source, schema, sink, checkpoint, per_batch):
+        seen.append((spark.read.parquet(source).rdd.getNumPartitions(), spark.read.parquet(source).count(), per_batch))
+        return lines.limit(0).withColumn("prediction", F.lit(0.0))
+
+    monkeypatch.setattr(modelling, "score_stream", scored)
+    modelling.stream_scores(spark, str(tmp_path))
+    files, rows, per_batch = seen[0]
+    assert files > 4 and rows == 6 * lines.count() and per_batch == -(-files // 2)
