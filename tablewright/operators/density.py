@@ -7,8 +7,9 @@ down the tree in pairs: by the triangle inequality a pair is out if its pivots a
 radii and ``eps``, and with it all pairs below. Vectors move only between leaves that are left.
 
 A cell of radius ``eps / 2`` with ``min_samples`` points is *tight*: its points are neighbours, so all are core
-and in one cluster, and no distances inside it are needed. Other leaves are clustered locally, and
-links between local clusters, not points, are merged through connected components.
+and in one cluster, and no distances inside it are needed. Other leaves are clustered locally. A point
+visits other leaves only while its own ones don't make it core, and leaves of one cluster need no further
+link, so most pairs of leaves within reach never meet; local clusters are merged through connected components.
 """
 
 from __future__ import annotations
@@ -30,6 +31,10 @@ CELL = 1024
 FAN = 16
 #: rows of a level's pivots that may be broadcast
 MOST_PIVOTS = 4096
+#: leaves that a group of points is compared with before all others in reach
+NEAREST = 8
+#: groups that one other group meets in one go
+VISITORS = 64
 NOISE = -1
 ROOT = "r"
 _SLACK = 1e-9
@@ -129,42 +134,103 @@ class Neighbours:
             pairs = stored(step.select(F.col("a_cell").alias("a"), F.col("b_cell").alias("b"), "a_node", "b_node", (F.col("apart") <= self.eps * (1 - _SLACK)).alias("joined")))
         return pairs
 
-    def _blocks(self, points: DataFrame, *columns: str) -> DataFrame:
-        """One row per leaf with its points, at most ``CELL``."""
-        listed = F.collect_list(F.struct("pid", "v", *columns)).alias("block")
-        return stored(points.groupBy("cell").agg(listed))
-
-    def _meet(self, pairs: DataFrame, blocks: DataFrame, function, schema: str) -> DataFrame:
-        """``function(a points, b points, same leaf)`` for every pair of leaves; a task holds two leaves at a time."""
-        def sent(s: str) -> DataFrame:
-            met = pairs.select("a", "b").join(blocks, F.col(s) == F.col("cell"))
-            return met.select(*[F.col(c).alias(f"{s}_{c}") for c in ("a", "b", "block")]).groupBy(f"{s}_a", f"{s}_b")
+    def visits(self, groups: DataFrame, others: DataFrame, unlike: str | None = None) -> DataFrame:
+        """``(a, b, apart, reach)``: which of ``others`` may hold neighbours of which of ``groups`` in another leaf, by
+        the triangle inequality with their own heads; with ``unlike`` only those that differ in that column."""
+        both = self.pairs.filter("a <> b").select(F.inline(F.array(
+            F.struct(F.col("a").alias("a_cell"), F.col("b").alias("b_cell")), F.struct(F.col("b").alias("a_cell"), F.col("a").alias("b_cell"))
+        )))
+        one, two = (g.select(*[F.col(c).alias(f"{s}_{c}") for c in ("id", "cell", "head", "far", *([unlike] if unlike else []))]) for s, g in (("a", groups), ("b", others)))
+        met = both.join(one, "a_cell").join(two, "b_cell")
+        if unlike:
+            met = met.filter(F.col(f"a_{unlike}") != F.col(f"b_{unlike}"))
+        apart, reach = _distance(F.col("a_head"), F.col("b_head")), (F.col("a_far") + F.col("b_far") + self.eps) * (1 + _SLACK)
+        met = met.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), apart.alias("apart"), reach.alias("reach"))
+        return met.filter("apart <= reach")
+
+    def _alone(self, points: DataFrame) -> DataFrame:
+        """``(pid, n, near)`` of the points that have too few neighbours in their own leaf."""
+        eps, least = self.eps, self.min_samples
 
-        def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            blocks = [pd.DataFrame.from_records([r if isinstance(r, dict) else r.asDict() for r in side[c].iloc[0]]) for side, c in ((left, "a_block"), (right, "b_block"))]
-            same = left["a_a"].iloc[0] == left["a_b"].iloc[0]
-            return function(blocks[0], blocks[1], bool(same))
+        def run(leaf: pd.DataFrame) -> pd.DataFrame:
+            pids, near = leaf["pid"].to_numpy(), _near(np.stack(leaf["v"]), np.stack(leaf["v"]), eps)
+            n = near @ leaf["w"].to_numpy()
+            few = np.flatnonzero(n < least)
+            return pd.DataFrame({"pid": pids[few], "n": n[few], "near": pd.Series([pids[near[i]].tolist() for i in few], dtype=object)})
 
-        return sent("a").cogroup(sent("b")).applyInPandas(run, schema)
+        return points.groupBy("cell").applyInPandas(run, "pid bigint, n bigint, near array<bigint>")
 
     def flagged(self) -> DataFrame:
-        """The points with ``node`` and ``core``."""
-        points = self.tree.points.join(self.nodes, "cell")
+        """The points with ``node`` and ``core``, and ``near``, the neighbours of a point that is not core.
+
+        Few points have too few neighbours in their own leaf; only these visit other leaves, the nearest
+        ones first, and the others only if those don't settle them.
+        """
+        points = stored(self.tree.points.join(self.nodes, "cell"))
         eps, least = self.eps, self.min_samples
-        blocks = self._blocks(points, "w", F.col("node").isNull().alias("loose"))
+        found = open_ = stored(self._alone(points.filter("node IS NULL").select("cell", "pid", "v", "w")))
+        leaves = _groups(points, "cell")
+
+        def count(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+            near = _near(_vectors(a), _vectors(b), eps)
+            n, other = near @ b["w"], b["pids"]
+            hit = np.flatnonzero(n)
+            # a point with more neighbours than these is core, and nobody asks for them
+            return pd.DataFrame({"pid": a["pids"][hit], "n": n[hit], "near": pd.Series([other[near[i]][:least].tolist() for i in hit], dtype=object)})
+
+        seen = None
+        for most in (NEAREST, None):
+            if open_.isEmpty():
+                break
+            groups = _groups(points.join(open_.select("pid"), "pid"), "cell")
+            visits = self.visits(groups, leaves)
+            if seen is not None:
+                visits = visits.join(seen, ["a", "b"], "left_anti")
+            visits = seen = stored(_nearest(visits, most).select("a", "b"))
+            met = stored(_meet(visits, groups, leaves, count, "pid bigint, n bigint, near array<bigint>"))
+            found = stored(found.unionAll(met).groupBy("pid").agg(F.sum("n").alias("n"), F.flatten(F.collect_list("near")).alias("near")))
+            open_ = found.filter(F.col("n") < least)
+        joined = points.join(found, "pid", "left")
+        core = F.col("node").isNotNull() | F.col("n").isNull() | (F.col("n") >= least)
+        return joined.select("pid", "w", "v", "cell", "node", core.alias("core"), F.when(~core, F.col("near")).alias("near"))
+
+
+def _groups(points: DataFrame, *by: str) -> DataFrame:
+    """``(id, cell, …, head, far, pids, w, x)``: a leaf's points of one kind, at most ``CELL``, around one of them."""
+    id_ = F.concat_ws("/", *[F.col(c).cast("string") for c in by]).alias("id")
+    made = points.groupBy(*by).agg(F.collect_list(F.struct("pid", "v", "w")).alias("block"))
+    made = made.withColumn("head", F.col("block")[0]["v"])
+    far = F.array_max(F.transform("block", lambda p: _distance(p["v"], F.col("head"))))
+    flat = [F.col("block")["pid"].alias("pids"), F.col("block")["w"].alias("w"), F.flatten(F.col("block")["v"]).alias("x")]
+    return stored(made.select(id_, *by, "head", far.alias("far"), *flat))
+
 
-        def count(a: pd.DataFrame, b: pd.DataFrame, same: bool) -> pd.DataFrame:
-            out = []
-            for one, other in ((a, b),) if same else ((a, b), (b, a)):
-                if one["loose"].iloc[0]:
-                    near = _near(np.stack(one["v"]), np.stack(other["v"]), eps)
-                    out.append(pd.DataFrame({"pid": one["pid"], "n": near @ other["w"].to_numpy()}))
-            return pd.concat(out) if out else pd.DataFrame({"pid": pd.Series([], dtype="int64"), "n": pd.Series([], dtype="int64")})
+def _vectors(group: pd.Series) -> np.ndarray:
+    return group["x"].reshape(len(group["pids"]), -1)
 
-        loose = self.pairs.filter("a_node IS NULL OR b_node IS NULL")
-        counted = self._meet(loose, blocks, count, "pid bigint, n bigint").groupBy("pid").agg(F.sum("n").alias("n"))
-        core = F.col("node").isNotNull() | (F.coalesce("n", F.lit(0)) >= least)
-        return points.join(counted, "pid", "left").select("pid", "w", "v", "cell", "node", core.alias("core"))
+
+def _nearest(visits: DataFrame, most: int | None) -> DataFrame:
+    """The ``most`` nearest visits of each group, or all."""
+    if not most:
+        return visits
+    place = F.row_number().over(W.partitionBy("a").orderBy("apart", "b"))
+    return visits.withColumn("place", place).filter(F.col("place") <= most)
+
+
+def _meet(pairs: DataFrame, left: DataFrame, right: DataFrame, function, schema: str) -> DataFrame:
+    """``function(group a, group b)`` for every pair of groups; a task holds one group ``b`` and ``VISITORS`` others at a time."""
+    turn = F.floor((F.row_number().over(W.partitionBy("b").orderBy("a")) - 1) / VISITORS)
+    turns = stored(pairs.select("a", "b", turn.alias("turn")))
+    one = turns.join(left.select(F.col("id").alias("a"), "pids", "w", "x"), "a")
+    two = turns.select("b", "turn").distinct().join(right.select(F.col("id").alias("b"), "pids", "w", "x"), "b")
+    one, two = (side.select(*[F.col(c).alias(f"{s}_{c}") for c in side.columns]) for s, side in (("a", one), ("b", two)))
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        a, b = (g.rename(columns=lambda c: c[2:]) for g in (a, b))
+        host = b.iloc[0]
+        return pd.concat([function(guest, host) for _, guest in a.iterrows()])
+
+    return one.groupBy("a_b", "a_turn").cogroup(two.groupBy("b_b", "b_turn")).applyInPandas(run, schema)
 
 
 def _local(eps: float):
@@ -184,25 +250,42 @@ def _local(eps: float):
     return run
 
 
-def _touching(eps: float):
-    """Links of two leaves: between local clusters, and from points that are not core to them."""
-    def run(a: pd.DataFrame, b: pd.DataFrame, same: bool) -> pd.DataFrame:
-        near = _near(np.stack(a["v"]), np.stack(b["v"]), eps)
-        core, names = ([s[c].to_numpy() for s in (a, b)] for c in ("core", "part"))
-        pids = [s["pid"].to_numpy() for s in (a, b)]
-        found = []
-        for own, other, table in ((0, 1, near), (1, 0, near.T)):
-            if not (same and own):
-                r, c = np.nonzero(table & ~core[own][:, None] & core[other][None, :])
-                found.append(np.unique(np.stack([pids[own][r], names[other][c]], axis=1), axis=0))
-        r, c = np.nonzero(near & core[0][:, None] & core[1][None, :])
-        links = np.unique(np.stack([names[0][r], names[1][c]], axis=1), axis=0)
-        links = links[links[:, 0] != links[:, 1]]
-        touches = np.concatenate(found)
-        every = np.concatenate([links, touches])
-        return pd.DataFrame({"one": every[:, 0], "part": every[:, 1], "link": np.arange(len(every)) < len(links)})
-
-    return run
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``(part, label)`` after links ``(a, b)`` between labels."""
+    found = components(links).select(F.col("node").alias("label"), F.col("label").alias("to"))
+    return stored(labels.join(found, "label", "left").select("part", F.coalesce("to", "label").alias("label")))
+
+
+def _clusters(near: Neighbours, core: DataFrame) -> DataFrame:
+    """``(part, label)``: the cluster, named by its smallest core point, of each local cluster.
+
+    Leaves whose pivots are neighbours are linked without any vector. Vectors are sent only between the groups
+    (leaf and cluster so far) of different clusters: to the nearest ones first, since these links leave
+    few others in doubt.
+    """
+    eps = near.eps
+
+    def touch(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        hit = _near(_vectors(a), _vectors(b), eps).any()
+        return pd.DataFrame({"a": [a["a"]] * int(hit), "b": [b["b"]] * int(hit)}, dtype=object)
+
+    ends = near.tree.points.select("cell").distinct()
+    heads = near.tree.kids.join(ends, "cell").select("cell", F.col("pivot").alias("v")).distinct()
+    heads = stored(heads.join(core, ["cell", "v"]).select("cell", "part"))
+    a, b = (heads.select(F.col("cell").alias(s), F.col("part").alias(f"{s}_part")) for s in "ab")
+    links = near.pairs.filter("joined AND a <> b").join(a, "a").join(b, "b").filter("a_part <> b_part")
+    labels = core.select("part", F.col("part").alias("label")).distinct()
+    labels = _merged(labels, stored(links.select(F.col("a_part").alias("a"), F.col("b_part").alias("b")).distinct()))
+    for most in (NEAREST, None):
+        groups = _groups(spread_join(core, labels, ["part"]), "cell", "label")
+        visits = stored(_nearest(near.visits(groups, groups, "label"), most).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        if visits.isEmpty():
+            break
+        met = stored(_meet(visits, groups, groups, touch, "a string, b string"))
+        one, two = (groups.select(F.col("id").alias(s), F.col("label").alias(f"{s}_label")) for s in "ab")
+        links = met.join(one, "a").join(two, "b").select(F.col("a_label").alias("a"), F.col("b_label").alias("b"))
+        labels = _merged(labels, stored(links.distinct()))
+    return labels
 
 
 def dbscan(df: DataFrame, key: str, dims: list[str], eps: float, min_samples: int, tree: Tree | None = None) -> DataFrame:
@@ -216,23 +299,14 @@ def dbscan(df: DataFrame, key: str, dims: list[str], eps: float, min_samples: in
     schema = "pid bigint, part bigint"
     local = points.filter("core AND node IS NULL").select("cell", "pid", "v").groupBy("cell").applyInPandas(_local(eps), schema)
     tight = points.filter("node IS NOT NULL").groupBy("node").agg(F.min("pid").alias("part"))
-    tight = stored(tight)
-    named = spread_join(points.filter("node IS NOT NULL").select("pid", "node"), tight, ["node"]).select("pid", "part")
-    parts = stored(local.unionAll(named))
-    # tight cells whose pivots are neighbours are linked; no vectors are sent for them
-    both = near.pairs.filter("a_node IS NOT NULL AND b_node IS NOT NULL")
-    linked = stored(both.filter("joined").select("a_node", "b_node").distinct())
-    rest = near.pairs.join(linked, ["a_node", "b_node"], "left_anti")
-    blocks = near._blocks(points.join(parts, "pid", "left").withColumn("part", F.coalesce("part", F.lit(NOISE))), "part", "core")
-    met = stored(near._meet(rest, blocks, _touching(eps), "one bigint, part bigint, link boolean").distinct())
-    a, b = (tight.select(F.col("node").alias(f"{s}_node"), F.col("part").alias(s)) for s in "ab")
-    links = met.filter("link").select(F.col("one").alias("a"), F.col("part").alias("b"))
-    links = links.unionAll(linked.join(a, "a_node").join(b, "b_node").select("a", "b"))
-    labels = parts.select("part").distinct().join(components(links).withColumnRenamed("node", "part"), "part", "left")
-    labels = stored(labels.select("part", F.coalesce("label", "part").alias("label")))
-    core = spread_join(parts, labels, ["part"]).select("pid", "label")
-    border = met.filter("NOT link").join(labels, "part").groupBy(F.col("one").alias("pid")).agg(F.min("label").alias("label"))
-    every = points.select("pid", "v", "core").join(core.unionAll(border), "pid", "left")
+    named = spread_join(points.filter("node IS NOT NULL").select("pid", "node"), stored(tight), ["node"]).select("pid", "part")
+    parts = local.unionAll(named)
+    core = stored(points.filter("core").select("pid", "w", "v", "cell").join(parts, "pid"))
+    labels = _clusters(near, core)
+    known = stored(spread_join(core.select("pid", "part"), labels, ["part"]).select("pid", "label"))
+    seen = points.filter("NOT core").select(F.col("pid").alias("one"), F.explode("near").alias("pid"))
+    border = seen.join(known, "pid").groupBy(F.col("one").alias("pid")).agg(F.min("label").alias("label"))
+    every = points.select("pid", "v", "core").join(known.unionAll(border), "pid", "left")
     every = every.select(*[F.col("v")[i].alias(x) for i, x in enumerate(tree.x)], "core", F.coalesce("label", F.lit(NOISE)).alias("cluster"))
     return spread_join(tree.rows, every, tree.x).select(F.col("pid").cast(df.schema[key].dataType).alias(key), "core", "cluster")
 

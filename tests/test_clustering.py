@@ -206,6 +206,27 @@ def test_few_pairs_of_leaves_meet(spark, monkeypatch):
     assert leaves > 48 and near.pairs.count() < 8 * leaves
 
 
+def test_leaves_within_reach_need_not_meet(spark, monkeypatch):
+    """In a dense cloud every leaf is within reach of others, but no vectors need be sent."""
+    density, met = clustering.density, []
+    monkeypatch.setattr(density, "CELL", 300)
+    monkeypatch.setattr(density, "FAN", 4)
+    meet = density._meet
+
+    def counted(pairs, *rest):
+        met.append(pairs.count())
+        return meet(pairs, *rest)
+
+    monkeypatch.setattr(density, "_meet", counted)
+    x = np.random.default_rng(3).uniform(0, 1, (1000, 4))
+    pdf = pd.DataFrame(x, columns=list("abcd"))
+    pdf.insert(0, "id", np.arange(len(x)))
+    tree = density.Tree(spark.createDataFrame(pdf), "id", list("abcd"))
+    near = density.Neighbours(tree, 0.6, 5)
+    assert near.pairs.filter("a <> b").count() > 10 and near.flagged().filter("core").count() == 1000
+    assert sum(met) == 0
+
+
 def test_distances_equal_to_the_radius_link_dense_cells(spark):
     """The only pair within the radius is exactly as far, among points closer than any sub-cell."""
     step = 2.0**-40
