@@ -5,9 +5,11 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -20,10 +22,14 @@ from tablewright.operators.columns import numeric_columns, q
 from tablewright.operators.components import components
 from tablewright.operators.prepare import medians, robust_scale
 from tablewright.operators.skew import spread_join
-from tablewright.session import cut
+from tablewright.session import cut, spread
 
 MIN_EPS = 0.3
 MIN_SAMPLES = 5
+#: rows that are worth a task of their own in a sweep over models
+FIT_ROWS = 5_000
+#: mixtures fitted at a time
+SIDE_BY_SIDE = 4
 #: columns a grid of cells is made for
 GRID_COLUMNS = 3
 EPS_SHARE = 0.9
@@ -124,18 +130,27 @@ def kmeans_auto(df: DataFrame, vector: str = "features", max_k: int = 10, seeds:
 
 
 def gmm_auto(df: DataFrame, vector: str = "features", max_k: int = 10, seed: int = 42):
-    """Gaussian mixture with the lowest BIC: ``(labelled, k, bic, scores)``."""
-    rows = df.count()
-    dim = len(df.select(vector).first()[0])
-    scores, best = [], None
-    for k in cluster_counts(df, max_k):
-        model = GaussianMixture(k=k, seed=seed, featuresCol=vector, predictionCol="cluster").fit(df)
+    """Gaussian mixture with the lowest BIC: ``(labelled, k, bic, scores)``.
+
+    The rows are dealt out to all cores, and several mixtures are fitted side by side.
+    """
+    slim = spread(df.select(vector), FIT_ROWS).persist()
+    rows = slim.count()
+    dim = len(slim.select(vector).first()[0]) if rows else 0
+
+    def fitted(k: int):
+        model = GaussianMixture(k=k, seed=seed, featuresCol=vector, predictionCol="cluster").fit(slim)
         free = k * dim + k * dim * (dim + 1) / 2 + k - 1
-        bic = -2.0 * model.summary.logLikelihood + free * math.log(rows)
-        scores.append((k, bic))
-        if best is None or bic < best[1]:
-            best = (k, bic, model)
-    return best[2].transform(df), best[0], best[1], scores
+        return k, -2.0 * model.summary.logLikelihood + free * math.log(rows), model
+
+    try:
+        with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:
+            # the costliest, those of many components, first
+            found = sorted(pool.map(inheritable_thread_target(df.sparkSession)(fitted), reversed(cluster_counts(slim, max_k))), key=lambda f: f[0])
+    finally:
+        slim.unpersist()
+    k, bic, model = min(found, key=lambda f: f[1])
+    return model.transform(df), k, bic, [f[:2] for f in found]
 
 
 def hierarchical_auto(df: DataFrame, vector: str = "features", max_k: int = 10):

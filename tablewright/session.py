@@ -34,6 +34,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` dealt out to all cores, if it has fewer partitions and at least ``rows`` rows for each: the small
+    result of a join often comes in one partition, and iterative work on it then keeps one core busy."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    parts = min(cores, -(-df.count() // rows))
+    return df.repartition(parts) if df.rdd.getNumPartitions() < parts else df
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder on the shared storage."""
     return f"{checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"

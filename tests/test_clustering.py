@@ -103,6 +103,18 @@ def test_sweeps_label_every_row(spark):
     assert bic == min(s for _, s in scores)
 
 
+def test_mixtures_use_all_cores(spark):
+    """Rows in one partition are dealt out before the mixtures are fitted; every number of components is tried."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(c, 0.1, (10_000, 2)) for c in (0.0, 5.0)])
+    df = clustering.feature_vectors(spark.createDataFrame(pd.DataFrame(x, columns=["a", "b"])).coalesce(1), ["a", "b"])
+    dealt = clustering.spread(df, clustering.FIT_ROWS)
+    assert dealt.rdd.getNumPartitions() == min(4, spark.sparkContext.defaultParallelism)
+    assert clustering.spread(df.limit(10), clustering.FIT_ROWS).rdd.getNumPartitions() == 1
+    out, k, _, scores = clustering.gmm_auto(df, max_k=3)
+    assert out.count() == 20_000 and [s[0] for s in scores] == [2, 3] and k == min(scores, key=lambda s: s[1])[0]
+
+
 def test_facade(spark):
     x = cloud("blobs")
     df = spark.createDataFrame(pd.DataFrame({"id": np.arange(len(x)), "a": x[:, 0], "b": x[:, 1]}))
