@@ -6,10 +6,11 @@ import random
 import time
 import uuid
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import partial
 
-from pyspark import InheritableThread
+from pyspark import InheritableThread, inheritable_thread_target
 from pyspark.ml import Estimator, PipelineModel, Transformer
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -488,7 +489,8 @@ def stacked_ensemble(task: Task, models: dict | None = None, folds: int = 5, bud
         return within(task.rows.sparkSession, budget, lambda: stacked_ensemble(task, models, folds))
     models = models or candidate_models(task.problem)
     regression = task.problem == "regression"
-    train = task.part("train").withColumn("__fold", F.pmod(F.xxhash64(FEATURES, LABEL), F.lit(folds))).persist()
+    slim = task.part("train").select(FEATURES, LABEL, WEIGHT)
+    train = slim.withColumn("__fold", F.pmod(F.xxhash64(FEATURES, LABEL), F.lit(folds))).persist()
     outputs = {name: f"__base{i}" for i, name in enumerate(models)}
 
     def opinion(model, df: DataFrame, name: str) -> DataFrame:
@@ -496,13 +498,25 @@ def stacked_ensemble(task: Task, models: dict | None = None, folds: int = 5, bud
         view = F.array(F.col("prediction")) if regression else vector_to_array("probability")
         return out.withColumn(outputs[name], view).select(*df.columns, outputs[name])
 
+    # the fits know nothing of each other: one per model and fold, and one per model on all rows
+    asked = [(k, name) for k in [*range(folds), None] for name in models]
+    pool = ThreadPoolExecutor(SIDE_BY_SIDE)
+
+    def fitted(one: tuple):
+        k, name = one
+        return models[name].fit(train if k is None else train.filter(F.col("__fold") != k))
+
+    try:
+        done = dict(zip(asked, pool.map(inheritable_thread_target(train.sparkSession)(fitted), asked)))
+    finally:
+        pool.shutdown(cancel_futures=True)
     held = None
     for k in range(folds):
-        rest, fold = train.filter(F.col("__fold") != k), train.filter(F.col("__fold") == k)
-        for name, estimator in models.items():
-            fold = opinion(estimator.fit(rest), fold, name)
+        fold = train.filter(F.col("__fold") == k)
+        for name in models:
+            fold = opinion(done[k, name], fold, name)
         held = fold if held is None else held.unionByName(fold)
-    whole = {name: estimator.fit(train) for name, estimator in models.items()}
+    whole = {name: done[None, name] for name in models}
 
     def widen(df: DataFrame) -> DataFrame:
         return df.withColumn("__stack", array_to_vector(F.concat(*[F.col(c) for c in outputs.values()])))

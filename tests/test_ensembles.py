@@ -125,3 +125,40 @@ def test_facade_obeys_its_arguments(spark, monkeypatch):
     assert out["metric"] == "mae" and out["score"] < 0 and out["best"] == "Ridge"
     assert [len(t.model.models) for t in out["leaderboard"]] == [3]
     assert autopilot.train_automl(df, "charge", "regression", eval_metric="accuracy") is None
+
+
+def test_stacking_fits_side_by_side(spark):
+    """The fits of the folds overlap, and all folds and the whole are fitted."""
+    import threading
+    import time
+
+    from pyspark.ml import Estimator
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.sql import functions as F
+
+    from tablewright.operators import models
+
+    lock, seen = threading.Lock(), {"now": 0, "most": 0, "all": 0}
+
+    class Watched(Estimator):
+        def _fit(self, dataset):
+            with lock:
+                seen["now"] += 1
+                seen["all"] += 1
+                seen["most"] = max(seen["most"], seen["now"])
+            time.sleep(0.3)
+            model = LogisticRegression(maxIter=2, featuresCol=models.FEATURES, labelCol=models.LABEL).fit(dataset)
+            with lock:
+                seen["now"] -= 1
+            return model
+
+    x = (F.col("id") % 17).cast("double")
+    rows = spark.range(200).select(
+        array_to_vector(F.array(x)).alias(models.FEATURES), (x > 8).cast("double").alias(models.LABEL),
+        F.lit(1.0).alias(models.WEIGHT), F.lit("train").alias("split"),
+    )
+    task = models.Task("y", "binary", None, ["0", "1"], rows, "none")
+    predict, whole = models.stacked_ensemble(task, {"a": Watched()}, folds=3)
+    assert list(whole) == ["a"] and seen["all"] == 4 and seen["most"] > 1
+    assert predict(rows).count() == 200
