@@ -59,9 +59,8 @@ def _cells(df: DataFrame, columns: Sequence[str], y: Column, buckets: int) -> Da
 def _neighbourhoods(cells: DataFrame, k: int) -> DataFrame:
     """Cells of classes of two rows or more with ``c`` (the class's rows), ``k`` (neighbours) and ``r`` (their reach)."""
     by = ["column", "y"]
-    off = ranking.offsets(cells, by, "b", {"r": F.count(F.lit(1)), "n": F.sum("n")})
     within = W.partitionBy(*by, "b").orderBy("x")
-    placed = cells.join(off, [*by, "b"]).select(
+    placed = ranking.with_offsets(cells, by, "b", {"r": F.count(F.lit(1)), "n": F.sum("n")}).select(
         *by, "x", "n", F.col("n__all").alias("c"), (F.col("r__all") - 1).alias("last"),
         (F.col("r__before") + F.row_number().over(within) - 1).alias("i"),
     ).filter("c > 1")

@@ -23,6 +23,7 @@ from tablewright.operators.columns import (
 )
 from tablewright.operators.profile import distinct_counts, value_counts
 from tablewright.operators.quantiles import exact_quantiles
+from tablewright.operators.skew import spread_join
 from tablewright.session import cut
 
 # The formats a text date may have, tried in this order, each with the shape
@@ -318,18 +319,17 @@ def label_codes(df: DataFrame, column: str, code: str = "code", missing: str | N
     if missing is not None:
         value = F.coalesce(value, F.lit(missing))
     keyed = df.withColumn("__v", value)
-    levels = _sorted_levels(keyed.filter("__v IS NOT NULL").select("__v").distinct(), code)
-    return keyed.join(levels, "__v", "left").select(*df.columns, code)
+    levels = cut(keyed.filter("__v IS NOT NULL").select("__v").distinct())
+    if levels.count() <= ONE_TASK_LEVELS:
+        # sent to the rows: shuffled by value they would be in as many tasks as there are levels
+        codes = cut(levels.withColumn(code, (F.row_number().over(W.orderBy("__v")) - 1).cast("int")))
+        return keyed.join(F.broadcast(codes), "__v", "left").select(*df.columns, code)
+    return spread_join(keyed, _sorted_levels(levels, code), ["__v"], "left").select(*df.columns, code)
 
 
 def _sorted_levels(levels: DataFrame, code: str) -> DataFrame:
-    """Distinct text with its rank from 0.
-
-    A short list is ranked in one task; a longer one is range-partitioned and written to
-    the shared folder, then each range is ranked by itself behind its offset.
-    """
-    if levels.count() <= ONE_TASK_LEVELS:
-        return levels.withColumn(code, (F.row_number().over(W.orderBy("__v")) - 1).cast("int"))
+    """Distinct text with its rank from 0: range-partitioned and written to the shared folder, then
+    each range is ranked by itself behind its offset."""
     ranged = cut(levels.repartitionByRange(F.col("__v")).withColumn("__p", F.spark_partition_id()))
     sizes = ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
     before = W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)

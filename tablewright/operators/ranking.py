@@ -69,6 +69,15 @@ def offsets(
     )
 
 
+def with_offsets(df: DataFrame, by: Sequence[str], bucket: str, totals: dict[str, Column]) -> DataFrame:
+    """``df`` with its ``offsets``, dealt out by ``(by, bucket)``.
+
+    The join must shuffle the rows: were a small file sent to the offsets instead, they would stay
+    where the groups' totals are, and a window over a bucket would run in one task per group.
+    """
+    return df.join(offsets(df, by, bucket, totals).hint("shuffle_hash"), [*by, bucket])
+
+
 def rank_rows(
     df: DataFrame,
     order_by: Sequence[Column | str],
@@ -87,9 +96,8 @@ def rank_rows(
     grouped = [*by] if by else ["__all"]
     if not by:
         keyed = keyed.withColumn("__all", F.lit(1))
-    off = offsets(keyed, grouped, b, {"r": F.count(F.lit(1))})
     within = W.partitionBy(*grouped, b).orderBy(*order_by)
-    ranked = keyed.join(off, [*grouped, b])
+    ranked = with_offsets(keyed, grouped, b, {"r": F.count(F.lit(1))})
     return ranked.select(
         *[F.col(c) for c in df.columns],
         (F.col("r__before") + F.row_number().over(within)).cast("bigint").alias(rank),
@@ -112,11 +120,10 @@ def running_totals(
     grouped = [*by] if by else ["__all"]
     keyed = df if by else df.withColumn("__all", F.lit(1))
     keyed = with_range_bucket(keyed, order_by, range_bounds(df, order_by, buckets), b)
-    off = offsets(keyed, grouped, b, {c: F.sum(c) for c in sums})
     within = (
         W.partitionBy(*grouped, b).orderBy(order_by).rowsBetween(W.unboundedPreceding, -1)
     )
-    joined = keyed.join(off, [*grouped, b])
+    joined = with_offsets(keyed, grouped, b, {c: F.sum(c) for c in sums})
     return joined.select(
         *[F.col(c) for c in df.columns],
         *[

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tablewright.operators import quantiles, ranking, sampling, skew
+from tablewright.operators import prepare, quantiles, ranking, sampling, skew
+from tablewright.session import stored
 
 
 def skewed(spark, n=3000):
@@ -27,6 +28,28 @@ def test_quantiles_equal_numpy(spark, one_pass, bracket):
     assert np.allclose(got["hole"], np.quantile(pdf["hole"].dropna(), probs))
 
 
+def held(df, column):
+    """Rows of the fullest partition with a value in ``column``."""
+    return df.groupBy(F.spark_partition_id()).agg(F.count(column).alias("n")).agg(F.max("n")).first()[0]
+
+
+def test_codes_and_totals_stay_spread(spark):
+    """Codes of two levels leave the rows where they are; totals of a small file are dealt out by range."""
+    off = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in off}
+    df = spark.range(0, 40_000, 1, 8).select("id", F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("v"))
+    try:
+        for k, v in off.items():
+            spark.conf.set(k, v)
+        assert held(prepare.label_codes(df, "v"), "code") == 5_000
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+        totals = ranking.running_totals(stored(df.select(F.lit("x").alias("column"), "id")), "id", ["id"], ["column"])
+        assert held(totals, "id_before") < 15_000
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def test_rank_rows_equals_window(spark):
     df = skewed(spark)
     h = ranking.seeded_hash(F.col("id"))
