@@ -28,6 +28,18 @@ def test_quantiles_equal_numpy(spark, one_pass, bracket):
     assert np.allclose(got["hole"], np.quantile(pdf["hole"].dropna(), probs))
 
 
+def test_quantiles_between_two_heavy_values(spark, monkeypatch):
+    """No sketch parts two values of half the rows each; narrowing ends, and the median lies between them."""
+    rounds, narrow = [], quantiles._narrow
+    monkeypatch.setattr(quantiles, "_narrow", lambda *a: rounds.append(1) or narrow(*a))
+    df = spark.range(4000).select(
+        (F.col("id") % 2).alias("half"), F.when(F.col("id") % 100 < 49, 0.0).when(F.col("id") % 100 > 50, 1.0).otherwise(F.rand(3)).alias("rest")
+    )
+    got = quantiles.exact_quantiles(df, ["half", "rest"], [0.25, 0.5, 0.75], 0, 200, accuracy=100)
+    rest = np.quantile(df.toPandas()["rest"], [0.25, 0.5, 0.75])
+    assert got["half"] == [0.0, 0.5, 1.0] and np.allclose(got["rest"], rest) and len(rounds) <= 2
+
+
 def held(df, column):
     """Rows of the fullest partition with a value in ``column``."""
     return df.groupBy(F.spark_partition_id()).agg(F.count(column).alias("n")).agg(F.max("n")).first()[0]
