@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tablewright.session import cut
+
 HASH_SPACE = 2147483647
 
 
@@ -73,9 +75,10 @@ def with_offsets(df: DataFrame, by: Sequence[str], bucket: str, totals: dict[str
     """``df`` with its ``offsets``, dealt out by ``(by, bucket)``.
 
     The join must shuffle the rows: were a small file sent to the offsets instead, they would stay
-    where the groups' totals are, and a window over a bucket would run in one task per group.
+    where the groups' totals are, and a window over a bucket would run in one task per group. The
+    offsets are written first, so the plan of ``df`` isn't doubled by every step on top of another.
     """
-    return df.join(offsets(df, by, bucket, totals).hint("shuffle_hash"), [*by, bucket])
+    return df.join(cut(offsets(df, by, bucket, totals)).hint("shuffle_hash"), [*by, bucket])
 
 
 def rank_rows(

@@ -19,11 +19,14 @@ from pyspark.sql import functions as F
 
 from tablewright.operators import ranking
 from tablewright.operators.relational import micros
+from tablewright.session import cut
 
 LAGS = (1, 2, 3, 7, 14)
 LONGEST_FILL = 5
 #: positions of a series that one task handles together
 RANGE_ROWS = 1 << 16
+#: points of calendars that one task unfolds
+GRID_ROWS = 1 << 18
 #: longest sequence that a row of a calendar is exploded into
 _FAN = 2048
 
@@ -137,16 +140,19 @@ def regularize(df: DataFrame, keys: Sequence[str], ts: str, value: str, step: st
     """
     keys = list(keys)
     kind = df.schema[ts].dataType
-    points = mean_per_timestamp(df.filter(F.col(ts).isNotNull()), keys, ts, value)
-    span = points.groupBy(*keys).agg(F.min(ts).alias("__lo"), F.max(ts).alias("__hi"))
-    span = span.withColumn("__n", calendar_index(F.col("__hi"), step) - calendar_index(F.col("__lo"), step))
+    df = df.filter(F.col(ts).isNotNull())
+    points = mean_per_timestamp(df, keys, ts, value)
+    span = df.groupBy(*keys).agg(F.min(ts).alias("__lo"), F.max(ts).alias("__hi"))
+    span = cut(span.withColumn("__n", calendar_index(F.col("__hi"), step) - calendar_index(F.col("__lo"), step)))
+    # as many parts as the calendar asks for: adaptive execution would judge by the few rows before they unfold
+    parts = -(-(span.agg(F.sum(F.col("__n") + 1)).first()[0] or 1) // GRID_ROWS)
 
     def unfold(frame: DataFrame, name: str, start: Column, size: int) -> DataFrame:
         most = F.least(F.lit(_FAN - 1), F.floor((F.col("__n") - start) / size)) if size < _FAN**2 else F.floor(F.col("__n") / size)
         return frame.withColumn(name, F.explode(F.sequence(F.lit(0).cast("bigint"), most.cast("bigint"))))
 
     block, chunk = F.col("__a") * _FAN**2, F.col("__b") * _FAN
-    dealt = unfold(unfold(span, "__a", F.lit(0), _FAN**2), "__b", block, _FAN).repartition(*keys, "__a", "__b")
+    dealt = unfold(unfold(span, "__a", F.lit(0), _FAN**2), "__b", block, _FAN).repartition(int(parts), *keys, "__a", "__b")
     grid = unfold(dealt, "__c", block + chunk, 1)
     at = (F.col("__lo") + (block + chunk + F.col("__c")) * interval(step)).cast(kind)
     grid = grid.withColumn(ts, at).filter(F.col(ts) <= F.col("__hi")).select(*keys, ts)
@@ -163,7 +169,7 @@ def interpolate_gaps(
     ``regularize`` gives it; positions are then read off the calendar instead of being counted.
 
     Each part of a series learns the last known point before it and the first one after it
-    from one row per part.
+    from one row per part; these are written first, so a plan on top holds the rows' own plan once.
     """
     keys = list(keys)
     placed = df.withColumn("__i", calendar_index(F.col(ts), step)) if step else numbered(df, keys, ts).drop("__n")
@@ -178,6 +184,7 @@ def interpolate_gaps(
         *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__part").alias("__at"),
         F.last("__last", ignorenulls=True).over(before).alias("__before"), F.last("__first", ignorenulls=True).over(after).alias("__after"),
     )
+    around = cut(around)
     same = F.col("__part") == F.col("__at")
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))

@@ -246,6 +246,17 @@ def test_calendars_of_months_and_of_short_days(spark):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+def test_many_short_calendars_are_unfolded_in_many_tasks(spark, monkeypatch):
+    """The few rows a calendar starts from don't decide in how many tasks it is unfolded."""
+    monkeypatch.setattr(timeseries, "GRID_ROWS", 30_000, raising=False)
+    ends = spark.range(300).select(F.col("id").alias("key"), F.explode(F.sequence(F.lit(0), F.lit(999), F.lit(999))).alias("h"))
+    ends = ends.select("key", (F.lit("2024-01-01").cast("timestamp_ntz") + F.expr("make_interval(0, 0, 0, 0, h)")).alias("ts"), F.lit(1.0).alias("value"))
+    grid = timeseries.regularize(ends, ["key"], "ts", "value", "1 hour")
+    held = grid.groupBy(F.spark_partition_id()).agg(F.count("ts").alias("n"), F.count("value").alias("known"))
+    held = held.agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.sum("known").alias("known")).first()
+    assert held["n"] == 300_000 and held["known"] == 600 and held["most"] < 100_000
+
+
 def test_one_long_series_is_never_in_one_task(spark):
     """Ten million points of a single series: what any task holds is a few parts of it."""
     ends = steps(spark, 1).unionByName(steps(spark, 10_000_001).filter("ts = TIMESTAMP_NTZ'2020-04-25 17:46:40'"))
