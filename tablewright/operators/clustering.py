@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
@@ -249,27 +249,51 @@ def _offsets(d: int) -> list[tuple[int, ...]]:
     return [o for o in near if sum(max(abs(x) - 1, 0) ** 2 for x in o) <= d + 1e-9]
 
 
+class _Points:
+    """The rows of a frame and its distinct points with their weights, written once for all radii."""
+
+    def __init__(self, df: DataFrame, key: str, dims: Sequence[str]) -> None:
+        self.x = [f"x{i}" for i in range(len(dims))]
+        self.rows = cut(df.select(F.col(key).alias("pid"), *[q(v).cast("double").alias(x) for v, x in zip(dims, self.x)]))
+        # equal points count as one with a weight, so copies never meet each other
+        self.unique = cut(self.rows.groupBy(*self.x).agg(F.min("pid").alias("pid"), F.count(F.lit(1)).alias("w")))
+
+    def each(self, found: DataFrame) -> DataFrame:
+        """The rows with what was found for their points."""
+        return spread_join(self.rows, found, self.x, counts=self.unique.select(*self.x, F.col("w").alias("__n")))
+
+
 class _Grid:
-    """Distinct points of a frame in cells, with their weights and core flags."""
+    """Distinct points in cells, with their weights and core flags."""
 
-    def __init__(self, df: DataFrame, key: str, dims: Sequence[str], eps: float, min_samples: int) -> None:
-        self.d, self.eps, self.min_samples = len(dims), eps, min_samples
+    def __init__(self, points: _Points, eps: float, min_samples: int) -> None:
+        self.x, self.d, self.eps, self.min_samples = points.x, len(points.x), eps, min_samples
         self.side = eps / math.sqrt(self.d)
-        self.x = [f"x{i}" for i in range(self.d)]
         self.c = [f"c{i}" for i in range(self.d)]
-        placed = df.select(F.col(key).alias("pid"), *[q(v).cast("double").alias(x) for v, x in zip(dims, self.x)])
-        # equal points count as one with a weight, so copies never meet each other
-        unique = placed.groupBy(*self.x).agg(F.min("pid").alias("pid"), F.count(F.lit(1)).alias("w"))
         cells = [F.floor(F.col(x) / F.lit(self.side)).cast("bigint").alias(c) for x, c in zip(self.x, self.c)]
-        self.points = cut(unique.select("pid", "w", *self.x, *cells))
-        self.rows = placed
-        self.cells = cut(
-            self.points.groupBy(*self.c).agg(F.sum("w").alias("n")).withColumn("dense", F.col("n") >= min_samples)
-        )
+        self.points = points.unique.select("pid", "w", *self.x, *cells)
+        sizes = self.points.groupBy(*self.c).agg(F.sum("w").alias("n"), F.count(F.lit(1)).alias("__n"))
+        self.cells = cut(sizes.withColumn("dense", F.col("n") >= min_samples))
+        self.known: DataFrame | None = None
+
+    def by_cell(self, some: DataFrame, small: DataFrame) -> DataFrame:
+        """Some of the points joined by their cell, of which the number of points is known."""
+        return spread_join(some, small, self.c, counts=self.cells.select(*self.c, "__n"))
 
     def flagged(self) -> DataFrame:
+        """Points with ``core``, written once."""
+        if self.known is None:
+            self.known = cut(self._flagged())
+        return self.known
+
+    def share(self) -> float:
+        """The share of the rows that are core."""
+        row = self.flagged().agg(F.sum(F.when(F.col("core"), F.col("w")).otherwise(0)).alias("c"), F.sum("w").alias("n")).first()
+        return row["c"] / row["n"]
+
+    def _flagged(self) -> DataFrame:
         """Points with ``core``: by their cell if dense, else by counted neighbours."""
-        points = spread_join(self.points, self.cells.select(*self.c, "dense"), self.c)
+        points = self.by_cell(self.points, self.cells.select(*self.c, "dense"))
         sparse = points.filter("NOT dense")
         near = self.pairs(points, sparse.select("pid", *self.x, *self.c))
         counted = near.groupBy("s_pid").agg(F.sum("w").alias("around")).withColumnRenamed("s_pid", "pid")
@@ -286,7 +310,7 @@ class _Grid:
             *[F.col(c).alias(f"s_{c}") for c in self.c],
             *[(F.col(c) + F.col(f"o.o{i}")).alias(c) for i, c in enumerate(self.c)],
         )
-        met = spread_join(points, sent, self.c)
+        met = self.by_cell(points, sent)
         return met.filter(_distance2(self.x, [f"s_{x}" for x in self.x]) <= F.lit(self.eps * self.eps))
 
 
@@ -294,9 +318,9 @@ def core_points(df: DataFrame, key: str, dims: Sequence[str], eps: float, min_sa
     """``(key, core)``: whether at least ``min_samples`` points (itself included) lie within eps."""
     if len(dims) > GRID_COLUMNS:
         return density.dbscan(df, key, list(dims), eps, min_samples).select(key, "core")
-    grid = _Grid(df, key, dims, eps, min_samples)
-    flags = grid.flagged().select(*grid.x, "core")
-    return spread_join(grid.rows, flags, grid.x).select(F.col("pid").alias(key), "core")
+    points = _Points(df, key, dims)
+    flags = _Grid(points, eps, min_samples).flagged().select(*points.x, "core")
+    return points.each(flags).select(F.col("pid").alias(key), "core")
 
 
 def auto_eps(df: DataFrame, key: str, dims: Sequence[str], min_samples: int = MIN_SAMPLES, tolerance: float = 0.01) -> float:
@@ -307,16 +331,26 @@ def auto_eps(df: DataFrame, key: str, dims: Sequence[str], min_samples: int = MI
     cells, which is built once), and the radius is bracketed by doubling and halved down to ``tolerance``. A table of fewer rows than
     ``min_samples`` has no such radius and gets the smallest.
     """
+    if len(dims) > GRID_COLUMNS:
+        tree = density.Tree(df, key, list(dims))
+        return _radius(df, lambda eps: density.share_of_core(tree, eps, min_samples), min_samples, tolerance)
+    return _auto_grid(_Points(df, key, dims), min_samples, tolerance).eps
+
 
-    tree = density.Tree(df, key, list(dims)) if len(dims) > GRID_COLUMNS else None
+def _auto_grid(points: _Points, min_samples: int, tolerance: float = 0.01) -> _Grid:
+    """The grid of the radius that ``auto_eps`` finds; its core flags are known from the trial."""
+    grids: dict[float, _Grid] = {}
 
     def share(eps: float) -> float:
-        if tree:
-            return density.share_of_core(tree, eps, min_samples)
-        grid = _Grid(df, key, dims, eps, min_samples)
-        row = grid.flagged().agg(F.sum(F.when(F.col("core"), F.col("w")).otherwise(0)).alias("c"), F.sum("w").alias("n")).first()
-        return row["c"] / row["n"]
+        grids[eps] = _Grid(points, eps, min_samples)
+        return grids[eps].share()
+
+    eps = _radius(points.rows, share, min_samples, tolerance)
+    return grids.get(eps) or _Grid(points, eps, min_samples)
 
+
+def _radius(df: DataFrame, share: Callable[[float], float], min_samples: int, tolerance: float) -> float:
+    """The smallest radius found by doubling and halving of which enough of the rows are core."""
     if df.limit(min_samples).count() < min_samples:
         return MIN_EPS  # no radius makes any point core
     low, high = MIN_EPS, 2 * MIN_EPS
@@ -339,15 +373,14 @@ def dbscan(df: DataFrame, key: str, dims: Sequence[str], eps: float | None = Non
     """
     if not dims:
         raise ValueError("density clusters need a column")
-    if eps is None:
-        eps = auto_eps(df, key, dims, min_samples)
     if len(dims) > GRID_COLUMNS:
-        return density.dbscan(df, key, list(dims), eps, min_samples)
-    grid = _Grid(df, key, dims, eps, min_samples)
-    points = cut(grid.flagged())
+        return density.dbscan(df, key, list(dims), auto_eps(df, key, dims, min_samples) if eps is None else eps, min_samples)
+    placed = _Points(df, key, dims)
+    grid = _auto_grid(placed, min_samples) if eps is None else _Grid(placed, eps, min_samples)
+    points = grid.flagged()
     core = points.filter("core")
     nodes = cut(core.groupBy(*grid.c).agg(F.min("pid").alias("node"), F.max("dense").alias("dense")))
-    named = spread_join(core.select("pid", "w", *grid.x, *grid.c), nodes.select(*grid.c, "node"), grid.c)
+    named = grid.by_cell(core.select("pid", "w", *grid.x, *grid.c), nodes.select(*grid.c, "node"))
     near = grid.pairs(named, points.filter("NOT dense").select("pid", *grid.x, *grid.c))
     touches = cut(near.select("s_pid", "node").distinct())
     sparse_core = points.filter("core AND NOT dense").join(nodes.select(*grid.c, "node"), grid.c)
@@ -355,7 +388,7 @@ def dbscan(df: DataFrame, key: str, dims: Sequence[str], eps: float | None = Non
     links = links.select("a", F.col("node").alias("b")).unionByName(_dense_links(grid, points, nodes))
     labels = connected_labels(nodes.select("node"), links.filter("a <> b").distinct())
     cell_label = nodes.join(labels, "node").select(*grid.c, "label")
-    core_label = spread_join(core.select("pid", *grid.x, *grid.c), cell_label, grid.c).select(*grid.x, "label")
+    core_label = grid.by_cell(core.select("pid", *grid.x, *grid.c), cell_label).select(*grid.x, "label")
     border = points.filter("NOT core").join(
         touches.join(labels, "node").groupBy("s_pid").agg(F.min("label").alias("label")).withColumnRenamed("s_pid", "pid"),
         "pid", "left",
@@ -363,22 +396,27 @@ def dbscan(df: DataFrame, key: str, dims: Sequence[str], eps: float | None = Non
     every = core_label.withColumn("core", F.lit(True)).unionByName(
         border.select(*grid.x, F.coalesce("label", F.lit(NOISE)).alias("label")).withColumn("core", F.lit(False))
     )
-    return spread_join(grid.rows, every, grid.x).select(F.col("pid").alias(key), "core", F.col("label").alias("cluster"))
+    return placed.each(every).select(F.col("pid").alias(key), "core", F.col("label").alias("cluster"))
 
 
 def _dense_links(grid: _Grid, points: DataFrame, nodes: DataFrame) -> DataFrame:
     """Links ``(a, b)`` between dense cells that hold two points within eps."""
-    dense = spread_join(points.filter("dense").select(*grid.x, *grid.c), nodes.select(*grid.c, "node"), grid.c)
+    dense = cut(grid.by_cell(points.filter("dense").select(*grid.x, *grid.c), nodes.select(*grid.c, "node")))
     eps2 = grid.eps * grid.eps
+    k = [f"k{i}" for i in range(grid.d)]
+
+    def placed(some: DataFrame, level: int) -> DataFrame:
+        return some.withColumns({c: F.floor(F.col(x) * F.lit(2.0**level / grid.side)).cast("bigint") for c, x in zip(k, grid.x)})
 
-    def boxes(level: int, side: str) -> DataFrame:
-        """Per sub-cell of each dense cell: the bounds of its points and one of them."""
-        sub = [F.floor(F.col(x) * F.lit(2.0**level / grid.side)).cast("bigint").alias(f"k{i}") for i, x in enumerate(grid.x)]
-        made = dense.select("node", *grid.c, *sub, *grid.x).groupBy("node", *grid.c, *[f"k{i}" for i in range(grid.d)]).agg(
+    def boxes(some: DataFrame, level: int) -> DataFrame:
+        """Per sub-cell of each dense cell: the bounds of its points and one of them; written once for both sides."""
+        return cut(placed(some, level).groupBy("node", *grid.c, *k).agg(
             *[F.min(x).alias(f"lo{i}") for i, x in enumerate(grid.x)],
             *[F.max(x).alias(f"hi{i}") for i, x in enumerate(grid.x)],
             F.min(F.struct(*grid.x)).alias("p"),
-        )
+        ))
+
+    def sided(made: DataFrame, side: str) -> DataFrame:
         return made.select(*[F.col(c).alias(f"{side}_{c}") for c in made.columns])
 
     def judged(pairs: DataFrame) -> DataFrame:
@@ -394,9 +432,10 @@ def _dense_links(grid: _Grid, points: DataFrame, nodes: DataFrame) -> DataFrame:
 
     half = [o for o in _offsets(grid.d) if o > (0,) * grid.d]
     moves = F.array(*[F.struct(*[F.lit(v).alias(f"o{i}") for i, v in enumerate(o)]) for o in half])
-    first = boxes(0, "a").select("*", F.explode(moves).alias("o"))
+    whole = boxes(dense, 0)
+    first = sided(whole, "a").select("*", F.explode(moves).alias("o"))
     first = first.withColumns({f"b_{c}": F.col(f"a_{c}") + F.col(f"o.o{i}") for i, c in enumerate(grid.c)})
-    state = cut(judged(first.join(boxes(0, "b"), [f"b_{c}" for c in grid.c])))
+    state = cut(judged(first.join(sided(whole, "b"), [f"b_{c}" for c in grid.c])))
     found = state.filter("linked").select("a_node", "b_node").distinct()
     level = 0
     while True:
@@ -414,9 +453,14 @@ def _dense_links(grid: _Grid, points: DataFrame, nodes: DataFrame) -> DataFrame:
             met = open_pairs.filter(_distance2([f"a_{x}" for x in grid.x], [f"b_{x}" for x in grid.x]) <= eps2)
             found = found.unionByName(met.select("a_node", "b_node").distinct())
             break
+        # only points of sub-cells in open pairs are looked at again, fewer at each level
+        still = [open_pairs.select(F.col(f"{s}_node").alias("node"), *[F.col(f"{s}_{c}").alias(c) for c in k]) for s in "ab"]
+        met = placed(dense, level - 1).join(still[0].unionByName(still[1]).distinct(), ["node", *k], "left_semi")
+        dense = cut(met.select(*dense.columns))
+        made = boxes(dense, level)
         for side in "ab":
             up = {f"{side}_u{i}": F.expr(f"{side}_k{i} >> 1") for i in range(grid.d)}
-            small = boxes(level, side).withColumns(up).drop(*[f"{side}_{c}" for c in grid.c])
+            small = sided(made, side).withColumns(up).drop(*[f"{side}_{c}" for c in grid.c])
             keys = [f"{side}_node", *[f"{side}_u{i}" for i in range(grid.d)]]
             open_pairs = open_pairs.withColumnsRenamed({f"{side}_k{i}": f"{side}_u{i}" for i in range(grid.d)})
             open_pairs = open_pairs.join(small, keys).drop(*keys[1:])

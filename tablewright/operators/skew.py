@@ -17,15 +17,18 @@ def spread_join(
     keys: Sequence[str],
     how: str = "inner",
     hot_rows: int = HOT_ROWS,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """``big ⋈ small`` on ``keys`` with the hot keys of ``big`` cut into salted parts.
 
     A key is hot above ``max(hot_rows, rows/1000)`` rows, so there are at most 1000 of
     them and their list may be broadcast. Each hot key of ``big`` is spread over parts of
-    about the threshold; its rows in ``small`` are repeated once per part.
+    about the threshold; its rows in ``small`` are repeated once per part. ``counts`` has a
+    key's rows in ``big`` (or more) as ``__n``, where they are known already.
     """
     keys = list(keys)
-    counts = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    if counts is None:
+        counts = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     rows = counts.agg(F.sum("__n").alias("s"), F.max("__n").alias("m")).first()
     limit = max(hot_rows, (rows["s"] or 0) // HOT_SHARE)
     if (rows["m"] or 0) <= limit:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablewright.session import cut
 from tablewright.workload import table
 
 ORDERS_GAPS = """SELECT o_orderkey, o_custkey, o_orderstatus,
@@ -53,12 +54,14 @@ CUSTOMER_POINTS = """SELECT c.c_custkey, c.c_acctbal AS balance, o.n_orders, o.s
 
 
 def customer_points(spark: SparkSession, sf: str) -> DataFrame:
-    """Balance, order count and spend per customer; the exact sums keep engines equal."""
+    """Balance, order count and spend per customer; the exact sums keep engines equal.
+
+    Written once: scaling and fits read them many times, and would add up all orders each time.
+    """
     spend = table(spark, sf, "orders").groupBy("o_custkey").agg(
         F.count(F.lit(1)).alias("n_orders"),
         F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("spend"),
     )
     customers = table(spark, sf, "customer")
-    return customers.join(spend, customers.c_custkey == spend.o_custkey, "left").select(
-        "c_custkey", F.col("c_acctbal").alias("balance"), "n_orders", "spend"
-    )
+    joined = customers.join(spend, customers.c_custkey == spend.o_custkey, "left")
+    return cut(joined.select("c_custkey", F.col("c_acctbal").alias("balance"), "n_orders", "spend"))

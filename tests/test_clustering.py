@@ -305,3 +305,16 @@ def test_hierarchy_without_rows_and_with_one(spark):
     assert tree is None and clustering.hierarchy.cut(rows, tree, 2).count() == 0
     rows, tree = clustering.hierarchy.build(vectors_of(spark, np.ones((9, 2))), "features")
     assert tree.merges == [] and {r["cluster"] for r in clustering.hierarchy.cut(rows, tree, 2).collect()} == {0}
+
+
+def test_density_clusters_read_their_input_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def noted(x):
+        seen.add(1)
+        return x
+
+    rows = spark.range(300).select("id", noted(F.sin("id") * 4).alias("a"), (F.cos("id") * 4).alias("b"))
+    assert clustering.dbscan(rows, "id", ["a", "b"]).filter("core").count() >= 270
+    assert seen.value == 300
