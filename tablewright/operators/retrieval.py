@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -47,12 +47,18 @@ def term_frequency(df: DataFrame, text: str = "text") -> DataFrame:
     return uses.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.count_if(first).alias("docs"))
 
 
-def fit_embedder(df: DataFrame, text: str = "text", dim: int = 1024) -> PipelineModel:
-    """TF-IDF over hashed terms, unit length: stands for a sentence encoder."""
-    tokens = df.select(words(F.lower(text)).alias("tokens"))
+def fit_embedder(df: DataFrame, keep: Sequence[str], text: str = "text", dim: int = 1024) -> tuple[PipelineModel, DataFrame]:
+    """TF-IDF over hashed terms, unit length: stands for a sentence encoder.
+
+    Returns the model and the vectors of the rows it was fitted on, with the columns ``keep``. Their
+    texts are split and hashed once: the counts are written, and both the fit and the vectors read them.
+    """
+    tokens = df.select(*keep, words(F.lower(text)).alias("tokens"))
     hashed = HashingTF(inputCol="tokens", outputCol="tf", numFeatures=dim)
-    idf = IDF(inputCol="tf", outputCol="idf").fit(hashed.transform(tokens))
-    return PipelineModel([hashed, idf, Normalizer(inputCol="idf", outputCol="vec")])
+    counted = stored(hashed.transform(tokens).drop("tokens"))
+    weigh = [IDF(inputCol="tf", outputCol="idf").fit(counted), Normalizer(inputCol="idf", outputCol="vec")]
+    vectors = PipelineModel(weigh).transform(counted)
+    return PipelineModel([hashed, *weigh]), vectors.select(*keep, vector_to_array("vec").alias("embedding"))
 
 
 def embed(model: PipelineModel, df: DataFrame, text: str = "text", name: str = "embedding") -> DataFrame:
@@ -170,9 +176,8 @@ class DocumentIndex:
     def build(self) -> "DocumentIndex":
         if self.chunks is None:
             raise ValueError("load documents first")
-        self.model = fit_embedder(self.chunks, "text", self.dim)
-        vectors = embed(self.model, self.chunks).select("item_id", F.col("embedding").cast("array<float>").alias("embedding"))
-        self.vectors = cut(vectors)
+        self.model, vectors = fit_embedder(self.chunks, ["item_id"], "text", self.dim)
+        self.vectors = cut(vectors.withColumn("embedding", F.col("embedding").cast("array<float>")))
         return self
 
     def query(self, questions: DataFrame, key: str, text: str = "text", k: int = TOP_K) -> DataFrame:

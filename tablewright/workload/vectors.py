@@ -79,7 +79,7 @@ def document_answers(spark, sf):
 @query("tfidf_embed")
 def tfidf_embed(spark, sf):
     chunks = retrieval.chunk_documents(table(spark, sf, "documents", spread=True), "doc_id")
-    return retrieval.embed(retrieval.fit_embedder(chunks), chunks).drop("text")
+    return retrieval.fit_embedder(chunks, ["doc_id", "chunk_id"])[1]
 
 
 @query(

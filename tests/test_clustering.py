@@ -318,3 +318,18 @@ def test_density_clusters_read_their_input_once(spark):
     rows = spark.range(300).select("id", noted(F.sin("id") * 4).alias("a"), (F.cos("id") * 4).alias("b"))
     assert clustering.dbscan(rows, "id", ["a", "b"]).filter("core").count() >= 270
     assert seen.value == 300
+
+
+def test_embedder_reads_its_texts_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def noted(x):
+        seen.add(1)
+        return x
+
+    rows = spark.range(60).select("id", noted(F.concat(F.lit("Word "), F.col("id") % 7, F.lit("  end"))).alias("text"))
+    model, vectors = retrieval.fit_embedder(rows, ["id"], dim=64)
+    got = {r["id"]: r["embedding"] for r in vectors.collect()}
+    assert seen.value == 60 and len(got) == 60
+    assert got == {r["id"]: r["embedding"] for r in retrieval.embed(model, rows).collect()}
