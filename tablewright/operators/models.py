@@ -299,6 +299,10 @@ class Board(list):
         super().__init__(trained)
         self.dropped = list(dropped)
 
+    def losses(self) -> str:
+        """The candidates that were dropped, and why, as text."""
+        return "; ".join(f"{name}: {status}, {error}" for name, status, error in self.dropped)
+
 
 class OutOfTime(RuntimeError):
     """Work that was ended at its time limit."""
@@ -380,7 +384,7 @@ def train_leaderboard(task: Task, models: dict | None = None, budget: float = 60
         train.unpersist()
         val.unpersist()
     if not done:
-        raise RuntimeError(f"no candidate could be trained: {'; '.join(f'{n}: {s}, {e}' for n, s, e in dropped)}"[:600])
+        raise RuntimeError(f"no candidate could be trained: {Board([], dropped).losses()}"[:600])
     metric = primary_metric(task.problem)
     return Board(sorted(done, key=lambda t: -(t.scores.get(metric) or float("-inf"))), dropped)
 

@@ -479,3 +479,11 @@ def test_the_files_of_the_scored_stream_grow_with_the_table(spark, sf, tmp_path,
     modelling.stream_scores(spark, str(tmp_path))
     files, rows, per_batch = seen[0]
     assert files > 4 and rows == 6 * lines.count() and per_batch == -(-files // 2)
+
+
+def test_a_review_that_cannot_train_is_an_error(spark):
+    quick = models.candidate_models("binary")["LogisticRegression"]
+    broken = LogisticRegression(featuresCol="nope")
+    for candidates in ({"broken": broken}, {"LogisticRegression": quick, "broken": broken}):
+        with pytest.raises(RuntimeError, match="broken: failed"):
+            autopilot.review(churn(spark, 200), "churn", "binary_classification", candidates)
