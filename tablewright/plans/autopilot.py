@@ -77,7 +77,7 @@ def model_importance(task: models.Task, model, repeats: int = 5, seed: int = 42)
     return explain.permutation_importance(part, columns, stages.transform, metric, hashes, columns)
 
 
-def run(df: DataFrame, target: str | None = None, budget: float = 600.0, folder: str | None = None, candidates=None) -> DataFrame:
+def run(df: DataFrame, target: str | None = None, budget: float | None = None, folder: str | None = None, candidates=None) -> DataFrame:
     """Infer, profile, prepare, train, evaluate, explain; ``(stage, key, value)`` rows.
 
     With ``folder`` the bundle and the result tables are written there.
